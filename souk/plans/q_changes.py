@@ -1 +1,397 @@
-"""Registered queries (filled in below)."""
+"""Registered change rules (C rows) over request tables derived from the data.
+
+Ordered folds (C1, C2, C7) are twinned by DuckDB recursive CTEs that walk
+each key's requests by row number; the rest by joins and windows.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from souk.functions.predicates import money
+from souk.operators import audits as Q
+from souk.operators import changes as C
+from souk.operators import reports as R
+from souk.plans.registry import AS_OF, money_sql as M, register
+
+
+def _fold_out(df):
+    return df.select("request_id", "kind", "user_id", "status", "reason", money("amount").alias("amount"),
+                     money("balance_after").alias("balance_after"))
+
+
+register("place_orders", f"""
+WITH RECURSIVE ev AS (
+  SELECT r.request_id, r.customer_id AS user_id, cast(s.price as decimal(12,2)) AS amount,
+         CASE WHEN s.id IS NULL OR NOT s.is_active THEN 'service'
+              WHEN s.executor_id = r.customer_id THEN 'own' END AS pre,
+         row_number() OVER (PARTITION BY r.customer_id ORDER BY r.ts, r.request_id) AS rn,
+         cast(coalesce(b.amount, 0) as decimal(14,2)) AS start
+  FROM m_req_orders r LEFT JOIN m_services s ON s.id = r.service_id
+  LEFT JOIN m_balances b ON b.user_id = r.customer_id),
+f AS (
+  SELECT user_id, rn, request_id, amount,
+         CASE WHEN pre IS NOT NULL THEN pre WHEN start < amount THEN 'funds' END AS reason,
+         cast(CASE WHEN pre IS NULL AND start >= amount THEN start - amount ELSE start END as decimal(14,2)) AS bal
+  FROM ev WHERE rn = 1
+  UNION ALL
+  SELECT e.user_id, e.rn, e.request_id, e.amount,
+         CASE WHEN e.pre IS NOT NULL THEN e.pre WHEN f.bal < e.amount THEN 'funds' END,
+         cast(CASE WHEN e.pre IS NULL AND f.bal >= e.amount THEN f.bal - e.amount ELSE f.bal END as decimal(14,2))
+  FROM f JOIN ev e ON e.user_id = f.user_id AND e.rn = f.rn + 1)
+SELECT request_id, 'order' AS kind, user_id,
+       CASE WHEN reason IS NULL THEN 'accepted' ELSE 'rejected' END AS status, reason,
+       {M('amount')} AS amount, {M('bal')} AS balance_after
+FROM f""", "C1: orders against balances, per customer in time order")(
+    lambda T: _fold_out(C.place_orders(T, T["req_orders"])))
+
+_TR = """tr(role, old, new) AS (VALUES ('customer','created','cancelled'), ('customer','in_progress','review'),
+  ('customer','review','completed'), ('executor','created','in_progress'), ('executor','created','cancelled'),
+  ('executor','in_progress','review'))"""
+
+register("apply_status_changes", f"""
+WITH RECURSIVE {_TR},
+ev AS (
+  SELECT r.request_id, r.order_id, r.actor_id, r.new_status,
+         CASE WHEN r.actor_id = o.customer_id THEN 'customer' WHEN r.actor_id = o.executor_id THEN 'executor' END AS role,
+         row_number() OVER (PARTITION BY r.order_id ORDER BY r.ts, r.request_id) AS rn
+  FROM m_req_status r LEFT JOIN m_orders o ON o.id = r.order_id),
+f AS (
+  SELECT e.order_id, e.rn, e.request_id, e.actor_id, e.role, 'created' AS old_status, e.new_status,
+         CASE WHEN e.role IS NULL THEN 'participant' WHEN tr.new IS NULL THEN 'transition' END AS reason,
+         CASE WHEN e.role IS NOT NULL AND tr.new IS NOT NULL THEN e.new_status ELSE 'created' END AS cur
+  FROM ev e LEFT JOIN tr ON tr.role = e.role AND tr.old = 'created' AND tr.new = e.new_status
+  WHERE e.rn = 1
+  UNION ALL
+  SELECT e.order_id, e.rn, e.request_id, e.actor_id, e.role, f.cur, e.new_status,
+         CASE WHEN e.role IS NULL THEN 'participant' WHEN tr.new IS NULL THEN 'transition' END,
+         CASE WHEN e.role IS NOT NULL AND tr.new IS NOT NULL THEN e.new_status ELSE f.cur END
+  FROM f JOIN ev e ON e.order_id = f.order_id AND e.rn = f.rn + 1
+  LEFT JOIN tr ON tr.role = e.role AND tr.old = f.cur AND tr.new = e.new_status)
+SELECT request_id, order_id, actor_id, role, old_status, new_status,
+       CASE WHEN reason IS NULL THEN 'accepted' ELSE 'rejected' END AS status, reason
+FROM f""", "C2: status changes replayed from creation, wrong-order copies refused")(
+    lambda T: C.apply_status_changes(T, T["req_status"], T["orders"].withColumn("status", F.lit("created"))))
+
+register("force_status", """
+SELECT r.request_id, r.order_id, r.actor_id, 'admin' AS role,
+       coalesce(lag(r.new_status) OVER (PARTITION BY r.order_id ORDER BY r.ts, r.request_id), 'created') AS old_status,
+       r.new_status, 'accepted' AS status, cast(NULL AS varchar) AS reason,
+       r.new_status = 'completed' AND coalesce(lag(r.new_status) OVER (PARTITION BY r.order_id ORDER BY r.ts, r.request_id), 'created') <> 'completed' AS pays_executor,
+       r.new_status = 'cancelled' AND coalesce(lag(r.new_status) OVER (PARTITION BY r.order_id ORDER BY r.ts, r.request_id), 'created') NOT IN ('completed','cancelled') AS refunds_customer
+FROM m_req_status r JOIN m_orders o ON o.id = r.order_id""",
+         "C5: forced statuses with payout and refund flags")(
+    lambda T: C.force_status(T, T["req_status"], T["orders"].withColumn("status", F.lit("created"))))
+
+register("apply_price_changes", """
+SELECT request_id, order_id, actor_id, price,
+       CASE WHEN reason IS NOT NULL THEN 'rejected' WHEN rk = 1 THEN 'applied' ELSE 'superseded' END AS status,
+       reason
+FROM (
+  SELECT q.*, CASE WHEN reason IS NULL THEN row_number() OVER (
+           PARTITION BY order_id, reason IS NULL ORDER BY ts DESC, request_id DESC) END AS rk
+  FROM (
+    SELECT r.request_id, r.order_id, r.actor_id, cast(r.price as double) AS price, r.ts,
+           CASE WHEN o.id IS NULL THEN 'order' WHEN r.actor_id <> o.executor_id THEN 'executor'
+                WHEN o.status NOT IN ('created','in_progress') THEN 'status'
+                WHEN NOT coalesce(r.price > 0, false) THEN 'price' END AS reason
+    FROM m_req_price r LEFT JOIN m_orders o ON o.id = r.order_id) q) z""",
+         "C3: price changes, executor only, open orders, last wins")(
+    lambda T: C.apply_price_changes(T, T["req_price"]))
+
+register("apply_reviews", """
+SELECT request_id, order_id, customer_id, rating,
+       CASE WHEN reason IS NULL AND rk = 1 THEN 'accepted' ELSE 'rejected' END AS status,
+       coalesce(reason, CASE WHEN rk = 1 THEN NULL ELSE 'duplicate' END) AS reason
+FROM (
+  SELECT q.*, CASE WHEN reason IS NULL THEN row_number() OVER (
+           PARTITION BY order_id, reason IS NULL ORDER BY ts, request_id) END AS rk
+  FROM (
+    SELECT r.*, CASE WHEN o.id IS NULL OR o.customer_id <> r.customer_id THEN 'order'
+                     WHEN o.status <> 'completed' THEN 'status'
+                     WHEN NOT coalesce(r.rating BETWEEN 1 AND 5, false) THEN 'rating'
+                     WHEN coalesce(length(r.comment), 0) > 1000 THEN 'comment'
+                     WHEN EXISTS (SELECT 1 FROM m_reviews v WHERE v.order_id = r.order_id) THEN 'exists' END AS reason
+    FROM m_req_reviews r LEFT JOIN m_orders o ON o.id = r.order_id) q) z""",
+         "C4: reviews, first valid per order, existing ones kept")(
+    lambda T: C.apply_reviews(T, T["req_reviews"]))
+
+register("apply_deposits", f"""
+SELECT coalesce(b.user_id, d.user_id) AS user_id, {M('coalesce(b.amount, 0) + coalesce(d.amount, 0)')} AS amount
+FROM m_balances b FULL OUTER JOIN (
+  SELECT user_id, sum(amount) AS amount FROM m_req_deposits WHERE amount > 99 GROUP BY user_id) d
+  ON d.user_id = b.user_id""", "C6/C14: deposits above 99 added to balances")(
+    lambda T: C.apply_deposits(T, T["req_deposits"])["balances"].select("user_id", money("amount").alias("amount")))
+
+register("adjust_balances", f"""
+WITH RECURSIVE ev AS (
+  SELECT r.request_id, r.user_id, cast(r.amount as decimal(12,2)) AS amount,
+         row_number() OVER (PARTITION BY r.user_id ORDER BY r.ts, r.request_id) AS rn,
+         cast(coalesce(b.amount, 0) as decimal(14,2)) AS start
+  FROM m_req_adjust r LEFT JOIN m_balances b ON b.user_id = r.user_id),
+f AS (
+  SELECT user_id, rn, request_id, amount,
+         CASE WHEN amount IS NULL OR amount = 0 THEN 'amount' WHEN amount < 0 AND start < -amount THEN 'funds' END AS reason,
+         cast(CASE WHEN amount IS NULL OR amount = 0 OR (amount < 0 AND start < -amount) THEN start ELSE start + amount END as decimal(14,2)) AS bal
+  FROM ev WHERE rn = 1
+  UNION ALL
+  SELECT e.user_id, e.rn, e.request_id, e.amount,
+         CASE WHEN e.amount IS NULL OR e.amount = 0 THEN 'amount' WHEN e.amount < 0 AND f.bal < -e.amount THEN 'funds' END,
+         cast(CASE WHEN e.amount IS NULL OR e.amount = 0 OR (e.amount < 0 AND f.bal < -e.amount) THEN f.bal ELSE f.bal + e.amount END as decimal(14,2))
+  FROM f JOIN ev e ON e.user_id = f.user_id AND e.rn = f.rn + 1)
+SELECT request_id, 'adjust' AS kind, user_id,
+       CASE WHEN reason IS NULL THEN 'accepted' ELSE 'rejected' END AS status, reason,
+       {M('amount')} AS amount, {M('bal')} AS balance_after
+FROM f""", "C7: manual balance changes, a debit needs cover")(
+    lambda T: _fold_out(C.adjust_balances(T, T["req_adjust"])))
+
+register("post_messages", """
+SELECT r.request_id, r.order_id, r.sender_id,
+  CASE WHEN r.is_admin THEN '🛡️ [Администратор]: ' || trim(r.message) ELSE r.message END AS stored,
+  CASE WHEN q.reason IS NULL AND NOT r.is_admin THEN
+       CASE WHEN r.sender_id = o.customer_id THEN o.executor_id ELSE o.customer_id END END AS notify_user,
+  CASE WHEN q.reason IS NULL AND NOT r.is_admin THEN substr(r.message, 1, 100) END AS notify_body,
+  CASE WHEN q.reason IS NULL THEN 'accepted' ELSE 'rejected' END AS status, q.reason
+FROM m_req_messages r LEFT JOIN m_orders o ON o.id = r.order_id
+CROSS JOIN LATERAL (SELECT
+  CASE WHEN coalesce(length(trim(r.message)), 0) < 1 THEN 'message'
+       WHEN r.is_admin THEN NULL
+       WHEN length(r.message) > 2000 THEN 'message'
+       WHEN o.id IS NULL OR NOT (r.sender_id = o.customer_id OR r.sender_id = o.executor_id) THEN 'participant'
+       WHEN o.status IN ('completed','cancelled') THEN 'closed' END AS reason) q""",
+         "C8: chat lines, participant and open order; admin prefix")(
+    lambda T: C.post_messages(T, T["req_messages"]))
+
+
+def _read_requests(T):
+    o = T["orders"].filter(F.expr("cast(substring(id, 2) as bigint) % 5 = 0")).select(
+        F.concat(F.lit("k"), "id").alias("request_id"), F.col("updated_at").alias("ts"),
+        F.col("executor_id").alias("user_id"), F.col("id").alias("order_id"))
+    n = T["users"].filter(F.expr("role = 'customer' and cast(substring(id, 2) as bigint) % 7 = 0")).select(
+        F.concat(F.lit("k"), "id").alias("request_id"), F.col("created_at").alias("ts"),
+        F.col("id").alias("user_id"), F.lit(None).cast("string").alias("order_id"))
+    return o.unionByName(n)
+
+
+register("mark_read_messages", """
+SELECT m.id, m.is_read OR EXISTS (
+  SELECT 1 FROM m_orders o WHERE o.id = m.order_id AND cast(substring(o.id, 2) as bigint) % 5 = 0
+    AND o.executor_id <> m.sender_id) AS is_read
+FROM m_messages m""", "C9: an executor reads the order chat; others' lines become read")(
+    lambda T: C.mark_read(T, _read_requests(T))["messages"].select("id", "is_read"))
+
+register("mark_read_notifications", """
+SELECT n.id, n.is_read OR (cast(substring(n.user_id, 2) as bigint) % 7 = 0
+   AND EXISTS (SELECT 1 FROM m_users u WHERE u.id = n.user_id AND u.role = 'customer')) AS is_read
+FROM m_notifications n""", "C9: users mark all their notifications read")(
+    lambda T: C.mark_read(T, _read_requests(T))["notifications"].select("id", "is_read"))
+
+
+def _toggle_requests(T):
+    s = T["services"].select("id", "executor_id", "created_at")
+    k = F.expr("cast(substring(id, 2) as bigint)")
+    once = s.filter(k % 3 == 0).select(F.concat(F.lit("t1"), "id").alias("request_id"),
+                                       F.col("created_at").alias("ts"), F.col("executor_id").alias("actor_id"),
+                                       F.lit(False).alias("is_admin"), F.col("id").alias("service_id"))
+    twice = s.filter(k % 9 == 0).select(F.concat(F.lit("t2"), "id").alias("request_id"),
+                                        F.col("created_at").alias("ts"), F.col("executor_id").alias("actor_id"),
+                                        F.lit(False).alias("is_admin"), F.col("id").alias("service_id"))
+    stranger = s.filter(k % 4 == 0).select(F.concat(F.lit("t3"), "id").alias("request_id"),
+                                           F.col("created_at").alias("ts"), F.lit("c1").alias("actor_id"),
+                                           F.lit(False).alias("is_admin"), F.col("id").alias("service_id"))
+    admin = s.filter(k % 10 == 1).select(F.concat(F.lit("t4"), "id").alias("request_id"),
+                                         F.col("created_at").alias("ts"), F.lit("a0").alias("actor_id"),
+                                         F.lit(True).alias("is_admin"), F.col("id").alias("service_id"))
+    return once.unionByName(twice).unionByName(stranger).unionByName(admin)
+
+
+register("toggle_services", """
+SELECT id, CASE WHEN ((CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END) + (CASE WHEN k % 9 = 0 THEN 1 ELSE 0 END)
+                      + (CASE WHEN k % 10 = 1 THEN 1 ELSE 0 END)) % 2 = 1 THEN NOT is_active ELSE is_active END AS is_active
+FROM (SELECT *, cast(substring(id, 2) as bigint) AS k FROM m_services) s""",
+         "C10c: odd number of allowed toggles flips a service")(
+    lambda T: C.toggle_services(T, _toggle_requests(T)).select("id", "is_active"))
+
+
+def _delete_requests(T):
+    s = T["services"].filter(F.expr("cast(substring(id, 2) as bigint) % 10 = 0"))
+    return s.select(F.concat(F.lit("d"), "id").alias("request_id"), F.col("created_at").alias("ts"),
+                    F.when(F.expr("cast(substring(id, 2) as bigint) % 20 = 0"), F.col("executor_id"))
+                    .otherwise(F.lit("c2")).alias("actor_id"),
+                    F.lit(False).alias("is_admin"), F.col("id").alias("service_id"))
+
+
+register("delete_services", """
+SELECT 'd' || s.id AS request_id, s.id AS service_id,
+       CASE WHEN cast(substring(s.id, 2) as bigint) % 20 = 0 THEN s.executor_id ELSE 'c2' END AS actor_id,
+       CASE WHEN cast(substring(s.id, 2) as bigint) % 20 <> 0 OR EXISTS (SELECT 1 FROM m_orders o WHERE o.service_id = s.id)
+            THEN 'rejected' ELSE 'accepted' END AS status,
+       CASE WHEN cast(substring(s.id, 2) as bigint) % 20 <> 0 THEN 'owner'
+            WHEN EXISTS (SELECT 1 FROM m_orders o WHERE o.service_id = s.id) THEN 'referenced' END AS reason
+FROM m_services s WHERE cast(substring(s.id, 2) as bigint) % 10 = 0""",
+         "C10d/X13: deletes by owner only; referenced services refused")(
+    lambda T: C.delete_services(T, _delete_requests(T))["outcomes"])
+
+
+def _register_requests(T):
+    c = T.raw["customer"]
+    k = F.col("c_custkey")
+    email = (F.when(k % 4 == 0, F.concat(F.lit(" USER"), k.cast("string"), F.lit("@GMAIL.COM ")))
+             .when(k % 4 == 1, F.concat(F.lit("new"), (k % 50).cast("string"), F.lit("@mail.ru")))
+             .when(k % 4 == 2, F.concat(F.lit("x"), k.cast("string"), F.lit("@123.ru")))
+             .otherwise(F.concat(F.lit("fresh"), k.cast("string"), F.lit("@yandex.ru"))))
+    return c.select(F.concat(F.lit("g"), k.cast("string")).alias("request_id"),
+                    (F.lit("2001-08-01 00:00:00").cast("timestamp") + F.expr("INTERVAL 1 SECOND") * (k % 1000).cast("int"))
+                    .alias("ts"),
+                    F.when(k % 9 == 0, F.lit("A")).otherwise(F.col("c_name")).alias("name"),
+                    email.alias("email"),
+                    F.when(k % 11 == 0, F.lit("admin")).otherwise(F.lit("customer")).alias("role"))
+
+
+def _register_sql():
+    return """
+SELECT request_id, name, email, role,
+       CASE WHEN reason IS NULL AND rk = 1 THEN 'accepted' ELSE 'rejected' END AS status,
+       coalesce(reason, CASE WHEN rk = 1 THEN NULL ELSE 'duplicate' END) AS reason,
+       CASE WHEN reason IS NULL AND rk = 1 THEN '#' END AS user_id
+FROM (
+  SELECT q.*, CASE WHEN reason IS NULL THEN row_number() OVER (
+           PARTITION BY email, reason IS NULL ORDER BY ts, request_id) END AS rk
+  FROM (
+    SELECT r.request_id, r.ts, trim(r.name) AS name, r.email, r.role,
+      CASE WHEN length(trim(r.name)) < 2 THEN 'name'
+           WHEN r.role NOT IN ('customer','executor') THEN 'role'
+           WHEN NOT (regexp_full_match(r.email, '[a-z0-9._%+\\-]+@[a-z0-9.\\-]+\\.[a-z]{2,}')
+                     AND NOT regexp_full_match(regexp_replace(split_part(r.email, '@', -1), '\\.[^.]*$', ''), '[0-9]+')
+                     AND len(list_filter(['gmail.com','googlemail.com','mail.ru','bk.ru','inbox.ru','list.ru',
+                        'yandex.ru','yandex.com','ya.ru','icloud.com','me.com','mac.com','outlook.com','hotmail.com',
+                        'live.com','msn.com','yahoo.com','yahoo.ru','proton.me','protonmail.com','rambler.ru',
+                        'rambler.com','vk.com','internet.ru','corp.mail.ru','tut.by','mail.com','email.com'],
+                        lambda d: split_part(r.email, '@', -1) = d OR ends_with(split_part(r.email, '@', -1), '.' || d))) > 0)
+                THEN 'email'
+           WHEN EXISTS (SELECT 1 FROM m_users u WHERE lower(u.email) = r.email) THEN 'taken' END AS reason
+    FROM (SELECT 'g' || cast(c_custkey as varchar) AS request_id,
+                 timestamp '2001-08-01 00:00:00' + INTERVAL 1 SECOND * cast(c_custkey % 1000 as int) AS ts,
+                 CASE WHEN c_custkey % 9 = 0 THEN 'A' ELSE c_name END AS name,
+                 lower(trim(CASE WHEN c_custkey % 4 = 0 THEN ' USER' || cast(c_custkey as varchar) || '@GMAIL.COM '
+                      WHEN c_custkey % 4 = 1 THEN 'new' || cast(c_custkey % 50 as varchar) || '@mail.ru'
+                      WHEN c_custkey % 4 = 2 THEN 'x' || cast(c_custkey as varchar) || '@123.ru'
+                      ELSE 'fresh' || cast(c_custkey as varchar) || '@yandex.ru' END)) AS email,
+                 CASE WHEN c_custkey % 11 = 0 THEN 'admin' ELSE 'customer' END AS role
+          FROM customer) r) q) z"""
+
+
+register("register_users", _register_sql(),
+         "C11a/Q6/Q8: registrations; e-mail rules, taken and duplicate e-mails refused")(
+    lambda T: C.register_users(T, _register_requests(T)).withColumn(
+        "user_id", F.when(F.col("user_id").isNotNull(), F.lit("#"))))
+
+
+def _user_requests(T, tag: str, mod: int):
+    u = T["users"].filter(F.expr(f"role = 'customer' and cast(substring(id, 2) as bigint) % {mod} = 0"))
+    return u.select(F.concat(F.lit(tag), "id").alias("request_id"), F.col("updated_at").alias("ts"),
+                    F.when(F.expr("cast(substring(id, 2) as bigint) % 2 = 0"), F.lit("a0"))
+                    .otherwise(F.col("id")).alias("actor_id"),
+                    F.col("id").alias("user_id"),
+                    F.when(F.expr("cast(substring(id, 2) as bigint) % 3 = 0"), F.lit("executor"))
+                    .otherwise(F.lit("superuser")).alias("role"))
+
+
+register("toggle_users", """
+SELECT id, CASE WHEN role = 'customer' AND cast(substring(id, 2) as bigint) % 5 = 0
+                 AND cast(substring(id, 2) as bigint) % 2 = 0 THEN NOT is_active ELSE is_active END AS is_active
+FROM m_users""", "C11d: block/unblock by another user")(
+    lambda T: C.toggle_users(T, _user_requests(T, "u", 5)).select("id", "is_active"))
+
+register("change_roles", """
+SELECT id, CASE WHEN role = 'customer' AND cast(substring(id, 2) as bigint) % 5 = 0
+                 AND cast(substring(id, 2) as bigint) % 2 = 0 AND cast(substring(id, 2) as bigint) % 3 = 0
+                THEN 'executor' ELSE role END AS role
+FROM m_users""", "C11e: valid role, not oneself")(
+    lambda T: C.change_roles(T, _user_requests(T, "r", 5)).select("id", "role"))
+
+register("soft_delete_users", """
+SELECT id,
+  CASE WHEN role = 'customer' AND cast(substring(id, 2) as bigint) % 13 = 0
+       THEN email || '_deleted_' || cast(epoch(timestamp '2001-08-02 00:00:00') as bigint) ELSE email END AS email,
+  CASE WHEN role = 'customer' AND cast(substring(id, 2) as bigint) % 13 = 0 THEN name || ' (удалён)' ELSE name END AS name,
+  CASE WHEN role = 'customer' AND cast(substring(id, 2) as bigint) % 13 = 0 THEN false ELSE is_active END AS is_active
+FROM m_users""", "C11f: soft delete with stamped e-mail")(
+    lambda T: C.soft_delete_users(T, _user_requests(T, "x", 13), AS_OF).select("id", "email", "name", "is_active"))
+
+
+def _broadcast_requests(T):
+    ev = T.raw["events"].select("event_type").distinct()
+    return ev.select(F.concat(F.lit("b"), "event_type").alias("request_id"),
+                     F.lit("2001-08-02 00:00:00").cast("timestamp").alias("ts"),
+                     F.concat(F.lit("news "), "event_type").alias("title"), F.lit("body").alias("body"),
+                     F.when(F.col("event_type") == "click", "customer")
+                     .when(F.col("event_type") == "view", "executor").alias("role"))
+
+
+register("notify_all", """
+SELECT 'b' || e.event_type AS request_id, u.id AS user_id, 'news ' || e.event_type AS title
+FROM (SELECT DISTINCT event_type FROM events) e JOIN m_users u
+  ON u.is_active AND (u.role = CASE e.event_type WHEN 'click' THEN 'customer' WHEN 'view' THEN 'executor' END
+                      OR e.event_type NOT IN ('click','view'))""",
+         "C12: one notification per active user of the role")(
+    lambda T: C.notify_all(T, _broadcast_requests(T)).select(
+        F.concat(F.lit("b"), F.substring_index("title", " ", -1)).alias("request_id"), "user_id", "title"))
+
+
+def _category_requests(T):
+    p = T.raw["part"].select("p_type", "p_brand").distinct()
+    return p.select(F.concat(F.lit("k"), "p_type", F.lit("/"), "p_brand").alias("request_id"),
+                    F.lit("2001-08-02 00:00:00").cast("timestamp").alias("ts"),
+                    F.initcap("p_brand").alias("name"),
+                    F.when(F.col("p_brand") == "Brand#1", F.lower("p_type"))
+                    .otherwise(F.lower(F.regexp_replace("p_brand", "#", "-"))).alias("slug"),
+                    F.lit(None).cast("int").alias("sort_order"))
+
+
+register("add_categories", """
+SELECT id, name, slug, sort_order FROM m_categories
+UNION ALL
+SELECT cast((SELECT max(id) FROM m_categories) + row_number() OVER (ORDER BY ts, request_id) as int), name, slug, 99 FROM (
+  SELECT arg_min(name, request_id) AS name, slug, min(ts) AS ts, min(request_id) AS request_id FROM (
+    SELECT 'k' || p_type || '/' || p_brand AS request_id, timestamp '2001-08-02 00:00:00' AS ts,
+           upper(substr(p_brand, 1, 1)) || lower(substr(p_brand, 2)) AS name,
+           CASE WHEN p_brand = 'Brand#1' THEN lower(p_type) ELSE lower(replace(p_brand, '#', '-')) END AS slug
+    FROM (SELECT DISTINCT p_type, p_brand FROM part) p) r
+  WHERE slug NOT IN (SELECT slug FROM m_categories)
+  GROUP BY slug) n""", "C13a/C15: new categories, existing slugs kept")(
+    lambda T: C.add_categories(T, _category_requests(T)))
+
+register("delete_reviews", """
+SELECT s.id AS service_id,
+  cast(cast(coalesce((SELECT avg(rating) FROM m_reviews r WHERE r.service_id = s.id
+                        AND cast(substring(r.id, 2) as bigint) % 5 <> 0), 0) as decimal(3,2)) as double) AS rating,
+  (SELECT count(*) FROM m_reviews r WHERE r.service_id = s.id AND cast(substring(r.id, 2) as bigint) % 5 <> 0)
+    AS reviews_count
+FROM m_services s""", "C13b/A9/X6: delete reviews, ratings recomputed")(
+    lambda T: R.service_ratings({**T, "reviews": C.delete_by_id(
+        T["reviews"], T["reviews"].filter(F.expr("cast(substring(id, 2) as bigint) % 5 = 0")).select("id")),
+        "services": T["services"]}))
+
+register("delete_notifications", """
+SELECT n.id, n.user_id FROM m_notifications n
+WHERE NOT (cast(substring(n.id, 2) as bigint) % 4 = 0 AND cast(substring(n.id, 2) as bigint) % 8 <> 0)""",
+         "C13c: users delete their own notifications only")(
+    lambda T: C.delete_by_id(T["notifications"], T["notifications"].filter(
+        F.expr("cast(substring(id, 2) as bigint) % 4 = 0")).select(
+        "id", F.when(F.expr("cast(substring(id, 2) as bigint) % 8 = 0"), F.lit("a0"))
+        .otherwise(F.col("user_id")).alias("actor_id")), owner_col="user_id").select("id", "user_id"))
+
+register("fix_balances", f"""
+SELECT coalesce(b.user_id, d.user_id) AS user_id,
+       {M('CASE WHEN d.user_id IS NOT NULL THEN d.corrected ELSE b.amount END')} AS amount
+FROM m_balances b FULL OUTER JOIN (
+  SELECT u.id AS user_id, greatest(coalesce(l.ledger, 0), 0) AS corrected
+  FROM m_users u
+  LEFT JOIN (SELECT user_id, sum(CASE WHEN type = 'deposit' THEN amount ELSE 0 END)
+                        - sum(CASE WHEN type IN ('payment','withdrawal') THEN amount ELSE 0 END) AS ledger
+             FROM m_transactions GROUP BY user_id) l ON l.user_id = u.id
+  LEFT JOIN m_balances b2 ON b2.user_id = u.id
+  WHERE u.is_active AND abs(coalesce(l.ledger, 0) - coalesce(b2.amount, 0)) > 0.01) d ON d.user_id = b.user_id""",
+         "Q10/C14: balances corrected to the ledger (set-mode upsert)")(
+    lambda T: Q.fix_balances(T).select("user_id", money("amount").alias("amount")))

@@ -43,7 +43,14 @@ def oracle(name: str) -> str | None:
     q = REGISTRY[name]
     if q.sql is None:
         return None
-    return with_clause(_m_tables(q.sql)) + q.sql
+    prefix = with_clause(_m_tables(q.sql))
+    body = q.sql.lstrip()
+    m = re.match(r"(?is)with(\s+recursive)?\s+", body)
+    if prefix and m:
+        # one WITH list: the fixture tables first, then the query's own CTEs
+        head = "WITH RECURSIVE " if m.group(1) else "WITH "
+        return head + prefix[len("WITH "):].rstrip().rstrip("\n") + ",\n" + body[m.end():]
+    return prefix + body
 
 
 def spark_query(name: str) -> Callable[[SparkSession, str], DataFrame]:

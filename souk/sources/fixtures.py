@@ -199,6 +199,63 @@ BLOCKS: dict[str, list[Block]] = {
                  "when 2 then ' Buy CASINO now' when 3 then repeat('я', 60) when 4 then ' яcrypto' "
                  "when 6 then ' https://y.example' else '' end)"),
     ])],
+
+    # ---- request tables (inputs of the change rules, FIXTURES.md section 3) ----
+    "m_req_orders": [Block("m_orders", [
+        ("request_id", "id"), ("ts", "created_at"), ("customer_id", "customer_id"),
+        ("service_id", "service_id"), ("requirements", "requirements"),
+    ], deps=("m_orders",))],
+    "m_req_status": [
+        Block("m_status_log", [
+            ("request_id", "concat('q', order_id, '-', new_status)"), ("ts", "created_at"),
+            ("order_id", "order_id"), ("actor_id", "changed_by"), ("new_status", "new_status"),
+            ("note", "cast(null as string)"),
+        ], deps=("m_status_log",)),
+        Block("m_status_log", [
+            ("request_id", "concat('w', order_id, '-', new_status)"),
+            ("ts", "created_at + interval '12' hour"),
+            ("order_id", "order_id"), ("actor_id", "changed_by"), ("new_status", "new_status"),
+            ("note", "'repeat'"),
+        ], deps=("m_status_log",)),
+    ],
+    "m_req_deposits": [
+        Block("m_transactions", [
+            ("request_id", "id"), ("ts", "created_at"), ("user_id", "user_id"),
+            ("amount", "amount"), ("reason", "'topup'"),
+        ], where="type = 'deposit'", deps=("m_transactions",)),
+        Block("m_transactions", [
+            ("request_id", "concat('d', id)"), ("ts", "created_at"), ("user_id", "user_id"),
+            ("amount", "cast(floor(amount * 5) / 100 as decimal(12,2))"), ("reason", "'small'"),
+        ], where="type = 'withdrawal'", deps=("m_transactions",)),
+    ],
+    "m_req_adjust": [Block("m_transactions", [
+        ("request_id", "id"), ("ts", "created_at"), ("user_id", "user_id"),
+        ("amount", "case when type = 'payment' then -amount else cast(floor(amount * 25) / 100 as decimal(12,2)) end"),
+        ("reason", "type"),
+    ], where="type in ('payment','withdrawal')", deps=("m_transactions",))],
+    "m_req_price": [Block("m_orders", [
+        ("request_id", "concat('p', id)"), ("ts", "updated_at"), ("order_id", "id"),
+        ("actor_id", "case when cast(substring(id, 2) as bigint) % 2 = 0 then executor_id else customer_id end"),
+        ("price", "cast(floor(total_price * 110) / 100 as decimal(12,2))"), ("note", "'reprice'"),
+    ], where="cast(substring(id, 2) as bigint) % 7 = 0", deps=("m_orders",))],
+    "m_req_reviews": [
+        Block("m_orders", [
+            ("request_id", "concat('v', id)"), ("ts", "updated_at + interval '2' day"),
+            ("customer_id", "customer_id"), ("order_id", "id"),
+            ("rating", "cast(1 + cast(substring(id, 2) as bigint) % 6 as int)"),
+            ("comment", "case when cast(substring(id, 2) as bigint) % 4 = 0 then 'good work' else null end"),
+        ], where="status in ('completed','review')", deps=("m_orders",)),
+        Block("m_orders", [
+            ("request_id", "concat('x', id)"), ("ts", "updated_at + interval '3' day"),
+            ("customer_id", "customer_id"), ("order_id", "id"),
+            ("rating", "5"), ("comment", "'again'"),
+        ], where="status = 'completed' and cast(substring(id, 2) as bigint) % 2 = 0", deps=("m_orders",)),
+    ],
+    "m_req_messages": [Block("m_messages", [
+        ("request_id", "concat('q', id)"), ("ts", "created_at + interval '1' minute"),
+        ("order_id", "order_id"), ("sender_id", "sender_id"), ("message", "message"),
+        ("is_admin", "sender_id = 'a0'"),
+    ], deps=("m_messages",))],
 }
 
 # FROM clauses as DuckDB text; the Spark side builds the same relation below.
@@ -278,6 +335,9 @@ class Tables(dict):
         "status_log": "m_status_log", "messages": "m_messages", "balances": "m_balances",
         "transactions": "m_transactions", "notifications": "m_notifications",
         "attempts": "m_attempts", "texts": "m_texts",
+        "req_orders": "m_req_orders", "req_status": "m_req_status", "req_deposits": "m_req_deposits",
+        "req_adjust": "m_req_adjust", "req_price": "m_req_price", "req_reviews": "m_req_reviews",
+        "req_messages": "m_req_messages",
     }
 
     def __init__(self, spark: SparkSession, raw: dict[str, DataFrame]):
