@@ -74,8 +74,12 @@ FIELD_LIMITS = {
 STOP_WORDS = ("casino", "poker", "xxx", "porn", "viagra", "crypto", "nft", "airdrop", "pump")
 
 # Screening rules in the order they are tested; the first one that fires is the reason.
-RULE_REPEAT = r"(?iu)(.)\1{6,}"                       # a character 7+ times in a row
-RULE_LINK = r"(?i)https?://\S{3,}"                    # a link
+# JavaScript's ``.`` (no line terminators) and ``\s`` (Unicode spaces), spelled out so
+# the rule means the same in every regex engine that runs it.
+JS_NOT_LINE_END = r"[^\n\r\u2028\u2029]"
+JS_NOT_SPACE = r"[^\t\n\u000B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+RULE_REPEAT = r"(?iu)(" + JS_NOT_LINE_END + r")\1{6,}"  # a character 7+ times in a row
+RULE_LINK = r"(?i)https?://" + JS_NOT_SPACE + r"{3,}"   # a link
 RULE_STOP = r"(?i)(?<![A-Za-z0-9_])(" + "|".join(STOP_WORDS) + r")(?![A-Za-z0-9_])"
 RULE_NON_ASCII = r"[^\x00-\x7F]{50,}"                 # 50+ non-ASCII characters in a row
 

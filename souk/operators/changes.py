@@ -389,7 +389,7 @@ def create_services(T, requests: DataFrame) -> DataFrame:
     errs = service_errors(F.col("title"), F.col("description"), F.col("price"), F.col("deadline"),
                           F.col("category_id"))
     return requests.withColumn("errors", F.array_join(errs, ",")).select(
-        request_uuid("request_id").alias("id"), F.col("actor_id").alias("executor_id"), "category_id",
+        "request_id", request_uuid("request_id").alias("id"), F.col("actor_id").alias("executor_id"), "category_id",
         F.trim("title").alias("title"), F.trim("description").alias("description"), "price", "deadline",
         F.lit(True).alias("is_active"), F.coalesce(F.col("tags"), F.lit("[]")).alias("tags"),
         F.coalesce(F.col("is_negotiable"), F.lit(False)).alias("is_negotiable"),
