@@ -1 +1,122 @@
-"""Registered queries (filled in below)."""
+"""Registered stream operators (T rows) and their batch twins.
+
+A stream query writes its input rows (derived from the driver's tables) as
+files under the session's checkpoint folder, runs the streaming plan over
+them with ``availableNow`` and returns the result table, so each stream is
+checked against the same SQL as its batch twin.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from souk.plans.registry import REGISTRY, register
+from souk.session import checkpoint_dir
+from souk.streaming import streams as S
+
+P = S.POLICIES["fixture"]
+
+
+def _as_stream(df: DataFrame, files: int = 1, order: list[str] | None = None) -> DataFrame:
+    """Write ``df`` as ``files`` parquet files and open a file stream over them."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/stream_in/{uuid.uuid4().hex}"
+    out = df.repartition(files) if files > 1 else df.coalesce(1)
+    if order:
+        out = out.sortWithinPartitions(*order)
+    out.write.parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _run(stream: DataFrame, mode: str = "append", foreach=None) -> DataFrame:
+    spark = stream.sparkSession
+    base = S.run_available(spark, stream, mode, foreach)
+    return spark.read.parquet(f"{base}/out")
+
+
+_LIMIT_SQL = """
+WITH RECURSIVE a AS (
+  SELECT attempt_id, attempt_key, ts,
+         row_number() OVER (PARTITION BY attempt_key ORDER BY ts, attempt_id) AS rn FROM m_attempts),
+f AS (
+  SELECT attempt_key, rn, attempt_id, ts, ts AS first_at, 1 AS cnt FROM a WHERE rn = 1
+  UNION ALL
+  SELECT a.attempt_key, a.rn, a.attempt_id, a.ts,
+         CASE WHEN a.ts - f.first_at > INTERVAL 12 HOUR THEN a.ts ELSE f.first_at END,
+         CASE WHEN a.ts - f.first_at > INTERVAL 12 HOUR THEN 1 ELSE f.cnt + 1 END
+  FROM f JOIN a ON a.attempt_key = f.attempt_key AND a.rn = f.rn + 1)
+SELECT attempt_id, attempt_key, ts, cnt AS attempt_count, cnt > 2 AS blocked FROM f"""
+
+register("limit_attempts", _LIMIT_SQL, "T1/T2: anchored-window limiter over attempts (batch)")(
+    lambda T: S.limit_attempts(T["attempts"], P))
+
+register("limit_attempts_stream", _LIMIT_SQL, "T1/T4: the limiter as a stateful stream")(
+    lambda T: _run(S.limit_attempts_stream(
+        _as_stream(T["attempts"].withColumn("ts", F.col("ts").cast("timestamp"))), P, "1 hour")))
+
+register("request_rate", """
+SELECT attempt_key AS client, time_bucket(INTERVAL 15 MINUTE, ts) AS window_start, count(*) AS requests,
+       count(*) > 30 AS limited
+FROM m_attempts GROUP BY ALL""", "T3: requests per client per 15-minute window")(
+    lambda T: S.request_rate(T["attempts"].withColumnRenamed("attempt_key", "client")))
+
+
+def _rate_stream(T):
+    src = _as_stream(T["attempts"].withColumnRenamed("attempt_key", "client")
+                     .withColumn("ts", F.col("ts").cast("timestamp")), files=4)
+    spark = src.sparkSession
+    base = f"{checkpoint_dir(spark)}/streams/{uuid.uuid4().hex}"
+
+    def sink(batch, epoch):
+        batch.write.mode("overwrite").parquet(f"{base}/out")
+
+    q = (S.request_rate(src, watermark="1 hour").writeStream.outputMode("complete")
+         .option("checkpointLocation", f"{base}/_chk").trigger(availableNow=True).foreachBatch(sink).start())
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
+register("request_rate_stream", """
+SELECT attempt_key AS client, time_bucket(INTERVAL 15 MINUTE, ts) AS window_start, count(*) AS requests,
+       count(*) > 30 AS limited
+FROM m_attempts GROUP BY ALL""", "T3: the same counts from a watermarked stream")(_rate_stream)
+
+_ALERT_SQL = """
+SELECT user_id, timestamp '1970-01-01 00:00:00' + INTERVAL 1 SECOND * cast(tick * 8 as bigint) AS poll_at,
+       arrived, cum AS unread_count, cum - arrived > 0 AS alert
+FROM (
+  SELECT user_id, tick, arrived,
+         sum(arrived) OVER (PARTITION BY user_id ORDER BY tick ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
+  FROM (SELECT user_id, cast(floor(epoch(created_at) / 8) as bigint) AS tick, count(*) AS arrived
+        FROM m_notifications WHERE NOT is_read GROUP BY 1, 2) p) q"""
+
+register("unread_alerts", _ALERT_SQL, "T5: unread count per poll and alert flag (batch)")(
+    lambda T: S.unread_alerts(T["notifications"]))
+
+register("unread_alerts_stream", _ALERT_SQL, "T5: the alerts as a stateful stream")(
+    lambda T: _run(S.unread_alerts_stream(_as_stream(
+        T["notifications"].withColumn("created_at", F.col("created_at").cast("timestamp"))))))
+
+
+def _ratings_stream(T):
+    src = _as_stream(T["reviews"].select("service_id", "rating"), files=4)
+    spark = src.sparkSession
+    base = f"{checkpoint_dir(spark)}/ratings/{uuid.uuid4().hex}"
+    q = (S.streaming_ratings(src).writeStream.outputMode("update")
+         .option("checkpointLocation", f"{base}/_chk").trigger(availableNow=True)
+         .foreachBatch(S.ratings_upsert_batch(base)).start())
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/current").select(
+        "service_id", F.col("rating").cast("double").alias("rating"), "reviews_count")
+
+
+register("streaming_ratings", """
+SELECT service_id, cast(cast(avg(rating) as decimal(3,2)) as double) AS rating, count(*) AS reviews_count
+FROM m_reviews GROUP BY service_id""", "T6: ratings kept current by an update-mode stream")(_ratings_stream)
+
+register("screen_stream", REGISTRY["screen_texts"].sql,
+         "T7: the Q7 screening expression on arriving rows")(
+    lambda T: _run(S.screen_stream(_as_stream(T["texts"], files=3))).select("doc_id", "field", "reason"))
