@@ -39,26 +39,30 @@ def running_sum(df: DataFrame, key: str, ts: str, tiebreak: str, value: Column,
                 out: str = "running", bucket: str = "month") -> DataFrame:
     """Exact running sum of ``value`` per ``key`` in (ts, tiebreak) order, split by time bucket."""
     d = df.withColumn("_v", value).withColumn("_b", F.date_trunc(bucket, F.col(ts)))
-    inner = Window.partitionBy(key, "_b").orderBy(ts, tiebreak).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("_in", F.sum("_v").over(inner))
-    totals = d.groupBy(key, "_b").agg(F.sum("_v").alias("_bt"))
+    part = Window.partitionBy(key, "_b")
+    # running sum and bucket total from the same shuffle; the totals below reuse it
+    d = (d.withColumn("_in", F.sum("_v").over(part.orderBy(ts, tiebreak)
+                                                 .rowsBetween(Window.unboundedPreceding, 0)))
+         .withColumn("_bt", F.sum("_v").over(part)))
+    totals = d.select(key, "_b", "_bt").dropDuplicates([key, "_b"])
     before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.withColumn("_off", F.coalesce(F.sum("_bt").over(before), F.lit(0))).drop("_bt")
     return (d.join(offsets, [key, "_b"]).withColumn(out, F.col("_in") + F.col("_off"))
-            .drop("_v", "_b", "_in", "_off"))
+            .drop("_v", "_b", "_in", "_bt", "_off"))
 
 
 def trailing_count(df: DataFrame, key: str, ts: str, seconds: int, out: str = "earlier") -> DataFrame:
     """Rows of the same key with ``ts`` in ``[ts - seconds, ts]``, this row excluded."""
     width = int(seconds) * 1_000_000
     t = F.unix_micros(F.col(ts).cast("timestamp"))  # NTZ columns read as UTC wall time
-    base = df.withColumn("_t", t).withColumn("_b", F.floor(F.col("_t") / width))
-    cur = base.withColumn("_cur", F.lit(True))
-    ctx = base.withColumn("_b", F.col("_b") + 1).withColumn("_cur", F.lit(False))
+    # each row once as itself (shift 0) and once as context for the next bucket (shift 1),
+    # made in one pass over the input
+    base = (df.withColumn("_t", t)
+            .withColumn("_shift", F.explode(F.array(F.lit(0), F.lit(1))))
+            .withColumn("_b", F.floor(F.col("_t") / width) + F.col("_shift")))
     w = Window.partitionBy(key, "_b").orderBy("_t").rangeBetween(-width, 0)
-    return (cur.unionByName(ctx)
-            .withColumn(out, F.count(F.lit(1)).over(w) - 1)
-            .filter(F.col("_cur")).drop("_t", "_b", "_cur"))
+    return (base.withColumn(out, F.count(F.lit(1)).over(w) - 1)
+            .filter(F.col("_shift") == 0).drop("_t", "_b", "_shift"))
 
 
 def flag_bursts(df: DataFrame, key: str, ts: str, seconds: int, limit: int) -> DataFrame:

@@ -340,20 +340,54 @@ class Tables(dict):
         "req_messages": "m_req_messages",
     }
 
-    def __init__(self, spark: SparkSession, raw: dict[str, DataFrame]):
+    def __init__(self, spark: SparkSession, raw: dict[str, DataFrame], store: str | None = None):
         super().__init__()
         self.spark = spark
         self.raw = raw
+        self.store = store
 
     def __missing__(self, key: str) -> DataFrame:
         name = self.SHORT.get(key, key)
         if name not in BLOCKS:
             raise KeyError(key)
         df = _build(self, name)
+        if self.store:
+            import hashlib
+            # the definition (with its dependencies) is part of the name: a changed
+            # expression never reads a table stored by an older one
+            version = hashlib.sha1(with_clause([name]).encode()).hexdigest()[:12]
+            df = _stored(self.spark, f"{self.store}/{name}-{version}", df)
         self[key] = df
         return df
 
 
+def _stored(spark: SparkSession, path: str, df: DataFrame) -> DataFrame:
+    """Write a derived table once (parquet, committed with ``_SUCCESS``) and scan it.
+
+    The marketplace tables are this engine's inputs; in a deployment they are
+    stored tables. Storing the derivation once per input directory gives the
+    queries the same shape: column-pruned, filter-pushed parquet scans
+    instead of re-running the TPC-H-to-marketplace joins in every plan.
+    """
+    try:
+        spark.read.text(f"{path}/_SUCCESS").count()
+    except Exception:  # not written yet (or an interrupted write): (re)write it
+        df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def _input_digest(sf_dir: str) -> str:
+    """Identity of an input directory: its path and its files' sizes and times."""
+    import hashlib
+    import os
+    h = hashlib.sha1(sf_dir.encode())
+    if os.path.isdir(sf_dir):
+        for name in sorted(os.listdir(sf_dir)):
+            st = os.stat(os.path.join(sf_dir, name))
+            h.update(f"{name}:{st.st_size}:{st.st_mtime_ns}".encode())
+    return h.hexdigest()[:16]
+
+
 def _relation(T: Tables, source: str) -> DataFrame:
     spark, raw = T.spark, T.raw
     if source == "categories_values":
@@ -372,12 +406,14 @@ def _relation(T: Tables, source: str) -> DataFrame:
             F.count(F.lit(1)).alias("rc"), F.avg("rating").alias("ra"))
         return (raw["part"].join(oc, F.col("os") == pid, "left")
                 .join(rc, F.col("rs") == pid, "left"))
-    if source == "conversations_x_orders":
-        return raw["conversations"].join(
-            T["orders"], F.col("id") == F.concat(F.lit("o"), F.col("conv_id").cast("string")))
-    if source == "lineitem_x_orders":
-        return raw["lineitem"].join(
-            T["orders"], F.col("id") == F.concat(F.lit("o"), F.col("l_orderkey").cast("string")))
+    if source in ("conversations_x_orders", "lineitem_x_orders"):
+        # ``id = concat('o', cast(k as string))`` holds exactly when the numeric keys are
+        # equal (the mapping is injective), so Spark joins on the bigint key and skips
+        # building and comparing strings; the m_orders columns are the shared expressions.
+        left, k = (raw["conversations"], "conv_id") if source.startswith("conv") else (raw["lineitem"], "l_orderkey")
+        mo = _relation(T, "orders_x_part").selectExpr(
+            "o_orderkey AS _ok", *[f"{expr} AS {col}" for col, expr in BLOCKS["m_orders"][0].cols])
+        return left.join(mo, F.col(k) == F.col("_ok")).drop("_ok")
     if source in RAW_TABLES:
         return raw[source]
     short = {v: k for k, v in Tables.SHORT.items()}.get(source)
@@ -411,5 +447,17 @@ def read_raw(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return _Raw()
 
 
-def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
-    return Tables(spark, read_raw(spark, sf_dir))
+def fixture_tables(spark: SparkSession, sf_dir: str, store: bool | None = None) -> Tables:
+    """The derived tables over ``sf_dir``.
+
+    With ``store`` (default: the session setting ``souk.fixtures.store``, on) each
+    derived table is written once under the session's checkpoint folder and
+    scanned from there; otherwise every plan derives it from the raw tables.
+    """
+    if store is None:
+        store = spark.conf.get("souk.fixtures.store", "true").lower() == "true"
+    path = None
+    if store:
+        from souk.session import checkpoint_dir
+        path = f"{checkpoint_dir(spark)}/fixtures/{_input_digest(sf_dir)}"
+    return Tables(spark, read_raw(spark, sf_dir), path)
