@@ -149,7 +149,7 @@ def money(col: str | Column) -> Column:
 def ru_number(col: str | Column) -> Column:
     """ru-RU number text: no-break-space grouping, decimal comma, ≤ 3 decimals."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.translate(F.format_number(c.cast("double"), "#,##0.###"), ",.", " ,")
+    return F.translate(F.call_function("format_number", c.cast("double"), F.lit("#,##0.###")), ",.", " ,")
 
 
 # ----------------------------------------------------------------------------- F19 / F21

@@ -399,14 +399,31 @@ def create_services(T, requests: DataFrame) -> DataFrame:
 
 
 def update_services(T, requests: DataFrame) -> DataFrame:
-    """Own services only (admins: any); the last request per service replaces all
-    fields, tags default to '[]', is_active kept when absent; admin edits fall back to
-    price 1 and deadline 1."""
+    """The last request per service replaces its fields.
+
+    Owners only (admins: any). An owner's price must be in (0, 500000] and deadline in
+    (0, 180]; an admin's missing or zero price/deadline becomes 1. Title, description
+    and category are required (the columns are NOT NULL); tags default to '[]',
+    ``is_negotiable`` to false, and ``is_active`` is kept when absent.
+    """
     s = T["services"]
     last = first_per_key(requests, "service_id", last=True)
     j = s.join(last.withColumnRenamed("service_id", "id"), "id", "left")
-    own = F.col("is_admin") | (F.col("actor_id") == F.col("executor_id"))
-    apply = F.col("request_id").isNotNull() & F.coalesce(own, F.lit(False))
+    admin = F.coalesce(F.col("is_admin"), F.lit(False))
+    price = F.when(admin, F.when(F.coalesce(F.col("new_price"), F.lit(0)) != 0, F.col("new_price"))
+                   .otherwise(F.lit(1))).otherwise(F.col("new_price"))
+    deadline = F.when(admin, F.when(F.coalesce(F.col("new_deadline"), F.lit(0)) != 0, F.col("new_deadline"))
+                      .otherwise(F.lit(1))).otherwise(F.col("new_deadline"))
+    reason = (F.when(F.col("request_id").isNull(), F.lit(None))
+              .when(~admin & (F.col("actor_id") != F.col("executor_id")), "owner")
+              .when(F.col("new_title").isNull() | F.col("new_description").isNull()
+                    | F.col("new_category_id").isNull(), "fields")
+              .when(~admin & ~F.coalesce((F.col("new_price") > 0) & (F.col("new_price") <= 500000), F.lit(False)),
+                    "price")
+              .when(~admin & ~F.coalesce((F.col("new_deadline") > 0) & (F.col("new_deadline") <= 180), F.lit(False)),
+                    "deadline"))
+    j = j.withColumn("_reason", reason)
+    apply = F.col("request_id").isNotNull() & F.col("_reason").isNull()
 
     def pick(new: Column, old: str) -> Column:
         return F.when(apply, new).otherwise(F.col(old))
@@ -415,13 +432,13 @@ def update_services(T, requests: DataFrame) -> DataFrame:
         pick(F.col("new_category_id"), "category_id").alias("category_id"),
         pick(F.col("new_title"), "title").alias("title"),
         pick(F.col("new_description"), "description").alias("description"),
-        pick(F.when(F.col("is_admin"), F.coalesce("new_price", F.lit(1))).otherwise(F.col("new_price"))
-             .cast("decimal(12,2)"), "price").alias("price"),
-        pick(F.when(F.col("is_admin"), F.coalesce("new_deadline", F.lit(1))).otherwise(F.col("new_deadline")),
-             "deadline").alias("deadline"),
+        pick(price.cast("decimal(12,2)"), "price").alias("price"),
+        pick(deadline.cast("int"), "deadline").alias("deadline"),
         pick(F.coalesce(F.col("new_is_active"), F.col("is_active")), "is_active").alias("is_active"),
         pick(F.coalesce(F.col("new_tags"), F.lit("[]")), "tags").alias("tags"),
-        "is_negotiable", "rating", "reviews_count", "orders_count", "created_at")
+        pick(F.coalesce(F.col("new_is_negotiable"), F.lit(False)), "is_negotiable").alias("is_negotiable"),
+        "rating", "reviews_count", "orders_count", "created_at",
+        F.col("request_id").alias("applied_request"), F.col("_reason").alias("reason"))
 
 
 def toggle_flags(df: DataFrame, requests: DataFrame, key: str, flag: str,
@@ -481,11 +498,48 @@ def update_users(T, requests: DataFrame) -> DataFrame:
     last = first_per_key(requests, "user_id", last=True).select(
         F.col("user_id").alias("id"), F.col("name").alias("_n"), F.col("bio").alias("_b"))
     j = T["users"].join(last, "id", "left")
-    return (j.withColumn("name", F.when(F.coalesce(F.length(F.trim("_n")), F.lit(0)) > 0, F.trim("_n"))
+    return (j.withColumn("name", F.when(F.coalesce(F.length("_n"), F.lit(0)) > 0, F.col("_n"))
                          .otherwise(F.col("name")))
             .withColumn("bio", F.coalesce("_b", "bio")).drop("_n", "_b"))
 
 
+def _json_array_or(col: str, empty_ok: bool = True) -> Column:
+    n = F.json_array_length(F.col(col))
+    ok = n.isNotNull() if empty_ok else F.coalesce(n > 0, F.lit(False))
+    return F.when(ok, F.col(col)).otherwise(F.lit("[]"))
+
+
+def upsert_profiles(T, requests: DataFrame) -> DataFrame:
+    """The last request per user. Executors set every profile field (defaults:
+    available, '< 24 часов', empty lists); other users set only their socials. A
+    profile row is created when missing."""
+    last = first_per_key(requests, "actor_id", last=True)
+    role = T["users"].select(F.col("id").alias("actor_id"), "role")
+    r = last.join(role, "actor_id")
+    is_exec = F.col("role") == "executor"
+    nonempty = lambda c: F.when(F.length(F.col(c)) > 0, F.col(c))
+    socials = F.when(F.json_object_keys(F.col("socials")).isNotNull(), F.col("socials")).otherwise(F.lit("{}"))
+    new = r.select(
+        F.col("actor_id").alias("user_id"), is_exec.alias("_exec"),
+        F.coalesce(nonempty("availability"), F.lit("available")).alias("n_availability"),
+        nonempty("specialization").alias("n_specialization"),
+        F.when(F.coalesce(F.col("hourly_rate"), F.lit(0)) != 0, F.col("hourly_rate"))
+        .cast("decimal(10,2)").alias("n_hourly_rate"),
+        F.coalesce(nonempty("response_time"), F.lit("< 24 часов")).alias("n_response_time"),
+        _json_array_or("languages", empty_ok=False).alias("n_languages"),
+        _json_array_or("skills").alias("n_skills"), _json_array_or("portfolio").alias("n_portfolio"),
+        socials.alias("n_socials"))
+    p = T["profiles"]
+    j = p.join(new, "user_id", "full_outer")
+    ex = F.coalesce(F.col("_exec"), F.lit(False))
+    cols = [F.col("user_id")]
+    for c in ("availability", "specialization", "hourly_rate", "response_time", "languages", "skills",
+              "portfolio"):
+        cols.append(F.when(ex, F.col(f"n_{c}")).otherwise(F.col(c)).alias(c))
+    cols.append(F.coalesce(F.col("n_socials"), F.col("socials")).alias("socials"))
+    return j.select(*cols)
+
+
 def change_roles(T, requests: DataFrame) -> DataFrame:
     """C11e: valid role, not oneself; the last such request per user wins."""
     ok = requests.filter(F.col("role").isin("customer", "executor", "admin")

@@ -395,3 +395,94 @@ FROM m_balances b FULL OUTER JOIN (
   WHERE u.is_active AND abs(coalesce(l.ledger, 0) - coalesce(b2.amount, 0)) > 0.01) d ON d.user_id = b.user_id""",
          "Q10/C14: balances corrected to the ledger (set-mode upsert)")(
     lambda T: Q.fix_balances(T).select("user_id", money("amount").alias("amount")))
+
+
+def _service_update_requests(T):
+    s = T["services"]
+    k = F.expr("cast(substring(id, 2) as bigint)")
+    base = dict(service_id=F.col("id"), ts=F.col("created_at"), new_title=F.upper("title"),
+                new_description=F.col("description"), new_price=(F.col("price") + 1).cast("decimal(12,2)"),
+                new_deadline=F.col("deadline"), new_category_id=F.col("category_id"),
+                new_tags=F.lit(None).cast("string"), new_is_active=F.lit(None).cast("boolean"),
+                new_is_negotiable=F.lit(None).cast("boolean"))
+
+    def req(cond, tag, actor, admin, **over):
+        cols = {**base, **over}
+        return s.filter(cond).select(F.concat(F.lit(tag), "id").alias("request_id"),
+                                     actor.alias("actor_id"), F.lit(admin).alias("is_admin"),
+                                     *[v.alias(n) for n, v in cols.items()])
+    return (req(k % 6 == 0, "e", F.col("executor_id"), False)
+            .unionByName(req(k % 6 == 3, "f", F.lit("c5"), False))
+            .unionByName(req(k % 12 == 1, "g", F.lit("a0"), True, new_price=F.lit(None).cast("decimal(12,2)"),
+                             new_deadline=F.lit(0), new_title=F.concat("title", F.lit(" *")),
+                             new_tags=F.lit('["x"]'), new_is_active=F.lit(False)))
+            .unionByName(req(k % 18 == 5, "h", F.col("executor_id"), False,
+                             new_price=F.lit(0).cast("decimal(12,2)"))))
+
+
+register("update_services", f"""
+SELECT id,
+  CASE WHEN k % 6 = 0 THEN upper(title) WHEN k % 12 = 1 THEN title || ' *' ELSE title END AS title,
+  {M("CASE WHEN k % 6 = 0 THEN price + 1 WHEN k % 12 = 1 THEN 1 ELSE price END")} AS price,
+  CASE WHEN k % 12 = 1 THEN 1 ELSE deadline END AS deadline,
+  CASE WHEN k % 12 = 1 THEN false ELSE is_active END AS is_active,
+  CASE WHEN k % 6 = 0 THEN '[]' WHEN k % 12 = 1 THEN '["x"]' ELSE tags END AS tags,
+  CASE WHEN k % 6 = 0 OR k % 12 = 1 THEN false ELSE is_negotiable END AS is_negotiable,
+  CASE WHEN k % 6 = 3 THEN 'owner' WHEN k % 18 = 5 THEN 'price' END AS reason
+FROM (SELECT *, cast(substring(id, 2) as bigint) AS k FROM m_services) s""",
+         "C10b: service edits, owner-only with limits; admin fallbacks")(
+    lambda T: C.update_services(T, _service_update_requests(T)).select(
+        "id", "title", money("price").alias("price"), "deadline", "is_active", "tags", "is_negotiable", "reason"))
+
+
+def _user_update_requests(T):
+    u = T["users"].filter("role = 'customer'")
+    k = F.expr("cast(substring(id, 2) as bigint)")
+    return u.filter((k % 7 == 0) | (k % 7 == 1)).select(
+        F.concat(F.lit("m"), "id").alias("request_id"), F.col("updated_at").alias("ts"),
+        F.col("id").alias("user_id"),
+        F.when(k % 7 == 0, F.lit("")).otherwise(F.lit("  Renamed ")).alias("name"),
+        F.when(k % 7 == 0, F.lit("new bio")).otherwise(F.lit(None).cast("string")).alias("bio"))
+
+
+register("update_users", """
+SELECT id,
+  CASE WHEN role = 'customer' AND cast(substring(id, 2) as bigint) % 7 = 1 THEN '  Renamed ' ELSE name END AS name,
+  CASE WHEN role = 'customer' AND cast(substring(id, 2) as bigint) % 7 = 0 THEN 'new bio' ELSE bio END AS bio
+FROM m_users""", "C11b: profile basics, empty name and null bio keep the old value")(
+    lambda T: C.update_users(T, _user_update_requests(T)).select("id", "name", "bio"))
+
+
+def _profile_requests(T):
+    u = T["users"]
+    k = F.expr("cast(substring(id, 2) as bigint)")
+    ex = u.filter((F.col("role") == "executor") & (k % 3 == 0))
+    cu = u.filter((F.col("role") == "customer") & (k % 25 == 0))
+    cols = lambda avail, spec, rate, socials: [
+        F.concat(F.lit("q"), "id").alias("request_id"), F.col("updated_at").alias("ts"),
+        F.col("id").alias("actor_id"), F.lit(avail).alias("availability"), F.lit(spec).alias("specialization"),
+        F.lit(rate).cast("decimal(10,2)").alias("hourly_rate"), F.lit(None).cast("string").alias("response_time"),
+        F.lit("[]").alias("languages"), F.lit('[{"name":"go","level":4}]').alias("skills"),
+        F.lit("oops").alias("portfolio"), F.lit(socials).alias("socials")]
+    return ex.select(*cols("", "sql", 0, '{"github":"gh"}')).unionByName(
+        cu.select(*cols("busy", "x", 5, "not json")))
+
+
+register("upsert_profiles", f"""
+SELECT coalesce(p.user_id, r.user_id) AS user_id,
+  CASE WHEN r.exec THEN 'available' ELSE p.availability END AS availability,
+  CASE WHEN r.exec THEN 'sql' ELSE p.specialization END AS specialization,
+  {M("CASE WHEN r.exec THEN NULL ELSE p.hourly_rate END")} AS hourly_rate,
+  CASE WHEN r.exec THEN '< 24 часов' ELSE p.response_time END AS response_time,
+  CASE WHEN r.exec THEN '[]' ELSE p.languages END AS languages,
+  CASE WHEN r.exec THEN '[{{"name":"go","level":4}}]' ELSE p.skills END AS skills,
+  CASE WHEN r.exec THEN '[]' ELSE p.portfolio END AS portfolio,
+  coalesce(CASE WHEN r.exec THEN '{{"github":"gh"}}' WHEN r.user_id IS NOT NULL THEN '{{}}' END, p.socials) AS socials
+FROM m_profiles p FULL OUTER JOIN (
+  SELECT id AS user_id, role = 'executor' AS exec FROM m_users
+  WHERE (role = 'executor' AND cast(substring(id, 2) as bigint) % 3 = 0)
+     OR (role = 'customer' AND cast(substring(id, 2) as bigint) % 25 = 0)) r ON r.user_id = p.user_id""",
+         "C11c: profile upsert, executors all fields with defaults, others socials only")(
+    lambda T: C.upsert_profiles(T, _profile_requests(T)).select(
+        "user_id", "availability", "specialization", money("hourly_rate").alias("hourly_rate"), "response_time",
+        "languages", "skills", "portfolio", "socials"))

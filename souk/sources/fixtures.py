@@ -350,30 +350,40 @@ class Tables(dict):
         name = self.SHORT.get(key, key)
         if name not in BLOCKS:
             raise KeyError(key)
-        df = _build(self, name)
         if self.store:
             import hashlib
             # the definition (with its dependencies) is part of the name: a changed
             # expression never reads a table stored by an older one
             version = hashlib.sha1(with_clause([name]).encode()).hexdigest()[:12]
-            df = _stored(self.spark, f"{self.store}/{name}-{version}", df)
+            df = _stored(self.spark, f"{self.store}/{name}-{version}", lambda: _build(self, name))
+        else:
+            df = _build(self, name)
         self[key] = df
         return df
 
 
-def _stored(spark: SparkSession, path: str, df: DataFrame) -> DataFrame:
-    """Write a derived table once (parquet, committed with ``_SUCCESS``) and scan it.
+_STORED: dict[str, DataFrame] = {}
+
+
+def _stored(spark: SparkSession, path: str, build) -> DataFrame:
+    """Write a derived table once (a committed parquet directory) and scan it.
 
     The marketplace tables are this engine's inputs; in a deployment they are
     stored tables. Storing the derivation once per input directory gives the
     queries the same shape: column-pruned, filter-pushed parquet scans
-    instead of re-running the TPC-H-to-marketplace joins in every plan.
+    instead of re-running the TPC-H-to-marketplace joins in every plan. The
+    derivation plan is only built when the table has to be written.
     """
+    df = _STORED.get(path)
+    if df is not None:
+        return df
     try:
-        spark.read.text(f"{path}/_SUCCESS").count()
-    except Exception:  # not written yet (or an interrupted write): (re)write it
-        df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+        df = spark.read.parquet(path)       # committed by an earlier query of this session
+    except Exception:                       # absent (a failed job commits nothing): write it
+        build().write.mode("overwrite").parquet(path)
+        df = spark.read.parquet(path)
+    _STORED[path] = df
+    return df
 
 
 def _input_digest(sf_dir: str) -> str:
@@ -459,5 +469,7 @@ def fixture_tables(spark: SparkSession, sf_dir: str, store: bool | None = None)
     path = None
     if store:
         from souk.session import checkpoint_dir
-        path = f"{checkpoint_dir(spark)}/fixtures/{_input_digest(sf_dir)}"
+        # per application: concurrent sessions never write the same directory
+        app = spark.conf.get("spark.app.id", None) or "session"
+        path = f"{checkpoint_dir(spark)}/fixtures/{app}/{_input_digest(sf_dir)}"
     return Tables(spark, read_raw(spark, sf_dir), path)
