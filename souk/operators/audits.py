@@ -91,14 +91,22 @@ def all_duplicate_keys(T) -> DataFrame:
 
 # ----------------------------------------------------------------------------- Q2
 def orphans(T) -> DataFrame:
-    """Child rows whose (non-null) foreign key has no parent row."""
-    parts = []
+    """Child rows whose (non-null) foreign key has no parent row.
+
+    The references to one parent table are unioned first, so each parent is
+    shuffled once for one anti join (4 joins instead of 17).
+    """
+    by_parent: dict[str, list[DataFrame]] = {}
     for name, child, col, parent, key in FOREIGN_KEYS:
-        c = T[child].filter(F.col(col).isNotNull()).select(
-            F.expr(key).cast("string").alias("row_key"), F.col(col).cast("string").alias("ref"))
+        by_parent.setdefault(parent, []).append(
+            T[child].filter(F.col(col).isNotNull()).select(
+                F.lit(name).alias("fk"), F.expr(key).cast("string").alias("row_key"),
+                F.col(col).cast("string").alias("ref")))
+    parts = []
+    for parent, refs in by_parent.items():
         p = T[parent].select(F.col("id").cast("string").alias("pid"))
-        parts.append(c.join(p, F.col("ref") == F.col("pid"), "left_anti")
-                     .select(F.lit(name).alias("fk"), "row_key", "ref"))
+        parts.append(functools.reduce(DataFrame.unionByName, refs)
+                     .join(p, F.col("ref") == F.col("pid"), "left_anti"))
     return functools.reduce(DataFrame.unionByName, parts)
 
 

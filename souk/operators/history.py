@@ -36,8 +36,12 @@ def top_k_per_key(df: DataFrame, key: str, order: list[Column], k: int,
 
 
 def running_sum(df: DataFrame, key: str, ts: str, tiebreak: str, value: Column,
-                out: str = "running", bucket: str = "month") -> DataFrame:
-    """Exact running sum of ``value`` per ``key`` in (ts, tiebreak) order, split by time bucket."""
+                out: str = "running", bucket: str = "quarter") -> DataFrame:
+    """Exact running sum of ``value`` per ``key`` in (ts, tiebreak) order, split by time bucket.
+
+    ``bucket`` (a ``date_trunc`` unit) sets how finely one key is split: pick it so
+    a busy key spans many buckets while (keys × buckets) stays far below the rows.
+    """
     d = df.withColumn("_v", value).withColumn("_b", F.date_trunc(bucket, F.col(ts)))
     part = Window.partitionBy(key, "_b")
     # running sum and bucket total from the same shuffle; the totals below reuse it

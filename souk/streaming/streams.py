@@ -129,7 +129,7 @@ def unread_alerts(notifications: DataFrame, poll_seconds: int = POLL_SECONDS) ->
          .withColumn("tick", F.floor(F.unix_seconds(F.col("created_at").cast("timestamp")) / poll_seconds)))
     per = n.groupBy("user_id", "tick").agg(F.count(F.lit(1)).alias("arrived"))
     per = per.withColumn("tick_ts", F.timestamp_seconds(F.col("tick") * poll_seconds))
-    cum = running_sum(per, "user_id", "tick_ts", "tick", F.col("arrived"), "unread_count")
+    cum = running_sum(per, "user_id", "tick_ts", "tick", F.col("arrived"), "unread_count", bucket="day")
     return cum.select("user_id", F.col("tick_ts").alias("poll_at"), "arrived",
                       F.col("unread_count").cast("bigint").alias("unread_count"),
                       ((F.col("unread_count") - F.col("arrived")) > 0).alias("alert"))
@@ -141,7 +141,8 @@ def _alert_state_fn(poll_seconds: int):
             return
         last = state.get[0] if state.exists else 0
         rows = pd.concat(list(pdfs))
-        ticks = (rows["created_at"].astype("int64") // 10**9 // poll_seconds).value_counts().sort_index()
+        secs = rows["created_at"].to_numpy().astype("datetime64[s]").astype("int64")
+        ticks = pd.Series(secs // poll_seconds).value_counts().sort_index()
         out = []
         for tick, arrived in ticks.items():
             count = last + int(arrived)

@@ -242,3 +242,25 @@ def test_predicates(spark):
     assert d.filter(P.older_than("t", "2001-08-02 00:00:00", 30)).count() == 0
     lv = spark.createDataFrame([(150,), (30,), (10,), (9,), (None,)], "n int").select(P.executor_level("n")).collect()
     assert [r[0] for r in lv] == ["master", "expert", "pro", "novice", "novice"]
+
+
+def test_orphans_and_duplicates_are_found(spark, base):
+    from souk.operators import audits as Q
+    t = dict(base)
+    t["orders"] = base["orders"].unionByName(spark.createDataFrame(
+        [("o9", "p404", "c1", "ghost", "created", D("1.00"), None, None, T0, T0),
+         ("o1", "p1", "c1", "s1", "created", D("1.00"), None, None, T0, T0)], ORDERS))
+    empty = "id string, order_id string, sender_id string, user_id string, new_status string, " \
+            "customer_id string, executor_id string, service_id string"
+    for name in ("status_log", "messages", "transactions", "notifications"):
+        t[name] = spark.createDataFrame([], empty)
+    t["reviews"] = spark.createDataFrame([("r1", "o404", "p1", "c1", "s1")],
+                                         "id string, order_id string, service_id string, customer_id string, "
+                                         "executor_id string")
+    t["profiles"] = spark.createDataFrame([("zz", None)], "user_id string, availability string")
+    got = {(r.fk, r.row_key, r.ref) for r in Q.orphans(t).collect()}
+    assert got == {("fk_ord_svc", "o9", "p404"), ("fk_ord_exec", "o9", "ghost"),
+                   ("fk_rev_order", "r1", "o404"), ("fk_profile_user", "zz", "zz")}
+    dup = {(r.table_name, r.key_value, r.n) for r in Q.duplicate_keys(t["orders"], ["id"]).select(
+        F.lit("orders").alias("table_name"), F.col("id").alias("key_value"), "n").collect()}
+    assert dup == {("orders", "o1", 2)}
