@@ -567,18 +567,23 @@ def soft_delete_users(T, requests: DataFrame, as_of) -> DataFrame:
 
 
 # ----------------------------------------------------------------------------- C12 / C13
-def notify_all(T, requests: DataFrame) -> DataFrame:
+def notify_all(T, requests: DataFrame, salts: int = 64) -> DataFrame:
     """One notification per active user (of the request's role, when given).
 
-    Each request row joins the users of its role by equi-join on role; a
-    request without role expands over the role list first, so there is no
-    cartesian product.
+    A role has few values and most users share one, so joining on the role alone
+    would send nearly every user to one task. Users get a salt ``hash(id) % salts``
+    and every request is copied once per salt; the equi-join on (role, salt) spreads
+    each role over ``salts`` tasks. No cartesian product: a request without a role
+    expands over the role list first.
     """
     roles = F.array(F.lit("customer"), F.lit("executor"), F.lit("admin"))
-    r = requests.filter(F.col("title").isNotNull() & (F.length("title") > 0)).withColumn(
-        "_role", F.explode(F.when(F.col("role").isNotNull(), F.array(F.col("role"))).otherwise(roles)))
-    u = T["users"].filter(F.col("is_active")).select(F.col("id").alias("user_id"), F.col("role").alias("_urole"))
-    return (r.join(u, F.col("_role") == F.col("_urole"))
+    r = (requests.filter(F.col("title").isNotNull() & (F.length("title") > 0))
+         .withColumn("_role", F.explode(F.when(F.col("role").isNotNull(), F.array(F.col("role"))).otherwise(roles)))
+         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
+    u = T["users"].filter(F.col("is_active")).select(
+        F.col("id").alias("user_id"), F.col("role").alias("_urole"),
+        F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("_usalt"))
+    return (r.join(u, (F.col("_role") == F.col("_urole")) & (F.col("_salt") == F.col("_usalt")))
             .select(F.concat(F.lit("nb-"), request_uuid("request_id", "user_id")).alias("id"), "user_id",
                     F.lit("admin").alias("type"), "title", "body", F.col("ts").alias("created_at")))
 

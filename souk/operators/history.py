@@ -55,15 +55,22 @@ def running_sum(df: DataFrame, key: str, ts: str, tiebreak: str, value: Column,
             .drop("_v", "_b", "_in", "_bt", "_off"))
 
 
-def trailing_count(df: DataFrame, key: str, ts: str, seconds: int, out: str = "earlier") -> DataFrame:
-    """Rows of the same key with ``ts`` in ``[ts - seconds, ts]``, this row excluded."""
+def trailing_count(df: DataFrame, key: str, ts: str, seconds: int, out: str = "earlier",
+                   splits: int = 1) -> DataFrame:
+    """Rows of the same key with ``ts`` in ``[ts - seconds, ts]``, this row excluded.
+
+    Rows are bucketed by ``floor(ts / (seconds / splits))`` and each row is also
+    copied into the ``splits`` following buckets, so a bucket holds every row its
+    own members can see. ``splits`` > 1 spreads a key that is busy within a single
+    window length over more tasks, at the cost of ``splits + 1`` copies per row.
+    """
     width = int(seconds) * 1_000_000
+    step = -(-width // int(splits))                       # ceil(width / splits)
     t = F.unix_micros(F.col(ts).cast("timestamp"))  # NTZ columns read as UTC wall time
-    # each row once as itself (shift 0) and once as context for the next bucket (shift 1),
-    # made in one pass over the input
+    # each row once as itself (shift 0) and as context for the next buckets, in one pass
     base = (df.withColumn("_t", t)
-            .withColumn("_shift", F.explode(F.array(F.lit(0), F.lit(1))))
-            .withColumn("_b", F.floor(F.col("_t") / width) + F.col("_shift")))
+            .withColumn("_shift", F.explode(F.sequence(F.lit(0), F.lit(int(splits)))))
+            .withColumn("_b", F.floor(F.col("_t") / step) + F.col("_shift")))
     w = Window.partitionBy(key, "_b").orderBy("_t").rangeBetween(-width, 0)
     return (base.withColumn(out, F.count(F.lit(1)).over(w) - 1)
             .filter(F.col("_shift") == 0).drop("_t", "_b", "_shift"))

@@ -227,6 +227,8 @@ def test_skew_safe_windows_match_plain_windows(spark):
         brute[i] = sum(1 for j, k2, t2, _ in rows if k2 == k and j != i and t - dt.timedelta(hours=5) <= t2 <= t)
     got = {r.id: r.earlier for r in H.trailing_count(d, "key", "t", 5 * 3600).collect()}
     assert got == brute
+    got4 = {r.id: r.earlier for r in H.trailing_count(d, "key", "t", 5 * 3600, splits=4).collect()}
+    assert got4 == brute
 
 
 def test_executor_stats_fanout_literal(spark, base):
