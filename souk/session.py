@@ -61,3 +61,28 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if sc is not None and not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
     return d
+
+
+def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int,
+                 target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Settings to start a large run with (apply them when building the session).
+
+    Shuffle partitions are sized so one partition is about ``target_partition_bytes``
+    of input (and at least two waves of tasks); AQE then coalesces small ones and
+    splits skewed ones. Scans split files at the same size. Streams keep their state
+    in RocksDB so large per-key state does not sit on the JVM heap.
+    """
+    slots = executors * cores_per_executor
+    partitions = max(2 * slots, -(-int(input_bytes) // target_partition_bytes))
+    return {
+        **REQUIRED_CONF,
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.streaming.stateStore.providerClass":
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+    }
