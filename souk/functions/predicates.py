@@ -152,6 +152,14 @@ def ru_number(col: str | Column) -> Column:
     return F.translate(F.call_function("format_number", c.cast("double"), F.lit("#,##0.###")), ",.", " ,")
 
 
+# ----------------------------------------------------------------------------- F18
+def parse_number(col: str | Column, default=None, dtype: str = "double") -> Column:
+    """Number from text; unparsable or empty → ``default`` (``try_cast``, never an error)."""
+    c = F.col(col) if isinstance(col, str) else col
+    v = F.trim(c.cast("string")).try_cast(dtype)
+    return v if default is None else F.coalesce(v, F.lit(default).cast(dtype))
+
+
 # ----------------------------------------------------------------------------- F19 / F21
 # Executor level thresholds (completed orders) and labels.
 LEVELS = ((100, "master"), (30, "expert"), (10, "pro"))

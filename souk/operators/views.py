@@ -20,6 +20,22 @@ from souk.functions.predicates import (
     money, order_participants, price_bounds, search_cond, search_tags_cond, where_all)
 
 
+# ----------------------------------------------------------------------------- P2
+# Columns never shown (secrets) and the public profile columns.
+SECRET_COLUMNS = ("password_hash",)
+PUBLIC_USER_COLUMNS = ("id", "name", "avatar", "bio", "role", "created_at")
+
+
+def private_users(users: DataFrame) -> DataFrame:
+    """What a user sees of their own row: everything but secrets."""
+    return users.drop(*SECRET_COLUMNS)
+
+
+def public_users(users: DataFrame) -> DataFrame:
+    """Public profiles: active users only, no e-mail, no secrets."""
+    return users.filter(F.col("is_active")).select(*[c for c in PUBLIC_USER_COLUMNS if c in users.columns])
+
+
 # ----------------------------------------------------------------------------- P4
 def visibility_cond(svc: str = "s", usr: str = "u", prof: str = "ep") -> Column:
     """Service active, executor active, no profile or profile 'available'."""

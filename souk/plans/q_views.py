@@ -140,3 +140,12 @@ JOIN m_categories c ON c.id = s.category_id
 LEFT JOIN m_profiles ep ON ep.user_id = u.id
 WHERE u.role = 'executor'""", "J15: service page with executor numbers and profile")(
     lambda T: V.service_detail(T))
+
+register("public_users", """
+SELECT id, name, bio, role, created_at FROM m_users WHERE is_active""",
+         "P2: public profiles of active users (no e-mail, no secrets)")(lambda T: V.public_users(T["users"]))
+
+register("status_history", """
+SELECT order_id, old_status, new_status, changed_by, created_at FROM m_status_log""",
+         "J3 (log part): every order's status changes")(
+    lambda T: V.status_history(T).select("order_id", "old_status", "new_status", "changed_by", "created_at"))

@@ -117,3 +117,32 @@ def test_fixture_store_is_versioned(spark, sf_dir):
     files = a.inputFiles()
     assert files and all("m_orders-" in f for f in files)
     assert os.path.basename(os.path.dirname(files[0])).startswith("m_orders-")
+
+
+def test_parse_number_and_user_views(spark):
+    got = spark.createDataFrame([(" 12.5 ",), ("abc",), (None,)], "x string").select(
+        P.parse_number("x", 1).alias("v")).collect()
+    assert [r.v for r in got] == [12.5, 1.0, 1.0]
+    u = spark.createDataFrame([("u1", "A", "a@x", "h", True, "customer"), ("u2", "B", "b@x", "h", False, "executor")],
+                              "id string, name string, email string, password_hash string, is_active boolean, role string")
+    assert V.private_users(u).columns == ["id", "name", "email", "is_active", "role"]
+    pub = V.public_users(u)
+    assert pub.columns == ["id", "name", "role"] and pub.count() == 1
+
+
+def test_cascade_follows_declared_keys(spark):
+    mk = lambda rows, schema: spark.createDataFrame(rows, schema)
+    t = {"users": mk([("u1",), ("u2",)], "id string"),
+         "services": mk([("p1", "u1"), ("p2", "u2")], "id string, executor_id string"),
+         "balances": mk([("u1",), ("u2",)], "user_id string"),
+         "notifications": mk([("n1", "u1")], "id string, user_id string"),
+         "profiles": mk([("u1",)], "user_id string"),
+         "orders": mk([("o1",), ("o2",)], "id string"),
+         "status_log": mk([("o1", "x")], "order_id string, new_status string"),
+         "messages": mk([("m1", "o1"), ("m2", "o2")], "id string, order_id string")}
+    gone = RT.cascade(t, "users", mk([("u1",)], "id string"))
+    assert [r.id for r in gone["services"].collect()] == ["p2"]
+    assert gone["notifications"].count() == 0 and gone["profiles"].count() == 0
+    assert [r.user_id for r in gone["balances"].collect()] == ["u2"]
+    gone = RT.cascade(t, "orders", mk([("o1",)], "id string"))
+    assert gone["status_log"].count() == 0 and [r.id for r in gone["messages"].collect()] == ["m2"]
