@@ -68,8 +68,12 @@ def first_per_key(df: DataFrame, key: str | list[str], order: list[str] | None =
 
 
 def insert_ignore(df: DataFrame, rows: DataFrame, key: str, order: list[str] | None = None) -> DataFrame:
-    """Insert rows whose key is absent (first row per key wins); existing rows stay."""
-    new = first_per_key(rows, key, order) if order else rows.dropDuplicates([key])
+    """Insert rows whose key is absent (first row per key wins); existing rows stay.
+
+    Without an ``order`` the smallest whole row wins, so a retried task picks the
+    same row (``dropDuplicates`` may keep a different one on each attempt).
+    """
+    new = first_per_key(rows, key, order or list(rows.columns))
     new = new.join(df.select(key), key, "left_anti").select(*df.columns)
     return df.unionByName(new)
 

@@ -163,15 +163,21 @@ def run_retention(T, as_of, policy: str = "api", as_of_notifications=None,
                lambda x: drop_old_messages(x, as_of),
                lambda x: drop_dead_services(x, as_of, policy)):
         st = fn(t)
-        t = st.tables if materialize is None else {k: materialize(v) for k, v in st.tables.items()}
+        if materialize is not None:
+            # only the tables this step changed; untouched ones keep their plan
+            st.tables = {k: (v if v is t.get(k) else materialize(v)) for k, v in st.tables.items()}
+            st.removed = materialize(st.removed)
+            st.extra = {k: materialize(v) for k, v in st.extra.items()}
+        t = st.tables
         steps.append(st)
     return t, steps
 
 
-def retention_counts(T, as_of, policy: str = "api", as_of_notifications=None) -> DataFrame:
+def retention_counts(T, as_of, policy: str = "api", as_of_notifications=None,
+                     materialize=None) -> DataFrame:
     """One row: rows removed per step and the row counts left (A3), as the run log reports."""
     from souk.operators.reports import table_counts
-    t, steps = run_retention(T, as_of, policy, as_of_notifications)
+    t, steps = run_retention(T, as_of, policy, as_of_notifications, materialize)
     counts = [st.removed.agg(F.count(F.lit(1)).alias(st.name)) for st in steps]
     blocked = steps[1].extra["blocked"].agg(F.count(F.lit(1)).alias("blocked_users"))
     out = counts[0]
