@@ -30,6 +30,8 @@ def ordered_fold(events: DataFrame, key: str, order: list[str],
     balance or status travels on the rows); ``step(state, row)`` returns the
     new state and the output record for that row.
     """
+    from souk.session import ship_package
+    ship_package(events.sparkSession)
     n = partitions or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_events = events.repartition(n, key).sortWithinPartitions(key, *order)
     # top-level commas only: ``decimal(12,2)`` holds one

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from souk.functions.predicates import (
-    ACTIVE_ORDER_STATES, email_domain, money, on_day, since, ts_lit)
+    ACTIVE_ORDER_STATES, email_domain, money, on_day, since)
 
 
 def _count_if(cond: Column) -> Column:
@@ -218,6 +218,3 @@ def service_order_counts(T) -> DataFrame:
                     F.coalesce("n", F.lit(0)).cast("bigint").alias("orders_count"),
                     F.col("orders_count").cast("bigint").alias("stored_count")))
 
-
-def as_of_lit(as_of) -> Column:
-    return ts_lit(as_of)

@@ -86,3 +86,21 @@ def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int,
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
     }
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``souk`` importable on the executors' Python workers (once per session).
+
+    Operators that run Python on executors (the ordered folds, the stateful
+    streams) reference functions of this package; the workers import it from a
+    zip that Spark distributes with ``addPyFile`` (as ``--py-files`` would).
+    """
+    if spark.conf.get("souk.shipped", None):
+        return
+    import shutil
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="souk-pkg-", dir="/tmp")
+    archive = shutil.make_archive(os.path.join(out, "souk"), "zip", root_dir=os.path.dirname(pkg),
+                                  base_dir=os.path.basename(pkg))
+    spark.sparkContext.addPyFile(archive)
+    spark.conf.set("souk.shipped", archive)

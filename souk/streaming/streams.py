@@ -20,7 +20,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from souk.functions.text import screen_reason
 from souk.operators.folds import ordered_fold
-from souk.session import checkpoint_dir
+from souk.session import checkpoint_dir, ship_package
 
 
 # ----------------------------------------------------------------------------- T2
@@ -96,6 +96,7 @@ def _limit_state_fn(policy: Policy):
 
 def limit_attempts_stream(attempts: DataFrame, policy: Policy, watermark: str = "1 minute") -> DataFrame:
     """The limiter on a streaming frame (state per key, cleared by event-time timeout)."""
+    ship_package(attempts.sparkSession)
     a = (attempts.select("attempt_id", "attempt_key", F.col("ts").cast("timestamp").alias("ts"))
          .withWatermark("ts", watermark))
     return a.groupBy("attempt_key").applyInPandasWithState(
@@ -154,6 +155,7 @@ def _alert_state_fn(poll_seconds: int):
 
 
 def unread_alerts_stream(notifications: DataFrame, poll_seconds: int = POLL_SECONDS) -> DataFrame:
+    ship_package(notifications.sparkSession)
     n = notifications.filter(~F.col("is_read")).select(
         "user_id", F.col("created_at").cast("timestamp").alias("created_at"))
     return n.groupBy("user_id").applyInPandasWithState(

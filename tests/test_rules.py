@@ -266,3 +266,15 @@ def test_orphans_and_duplicates_are_found(spark, base):
     dup = {(r.table_name, r.key_value, r.n) for r in Q.duplicate_keys(t["orders"], ["id"]).select(
         F.lit("orders").alias("table_name"), F.col("id").alias("key_value"), "n").collect()}
     assert dup == {("orders", "o1", 2)}
+
+
+def test_accent_insensitive_search_and_pages(spark, base):
+    from souk.functions.predicates import search_cond
+    d = spark.createDataFrame([("Дизайн логотипа",), ("Café crème",), ("plain",)], "t string")
+    got = [r.t for r in d.filter(search_cond(["t"], "ДИЗАИН", accent_insensitive=True)).collect()]
+    assert got == ["Дизайн логотипа"]
+    got = [r.t for r in d.filter(search_cond(["t"], "CAFE", accent_insensitive=True)).collect()]
+    assert got == ["Café crème"]
+    assert d.filter(search_cond(["t"], "CAFE")).count() == 0          # the default ignores case only
+    page = V.catalog_page(base, page=1, limit=1, sort="price_asc")
+    assert page.total == 2 and page.pages == 2 and [r.id for r in page.rows.collect()] == ["p3"]
