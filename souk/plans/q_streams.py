@@ -20,14 +20,28 @@ from souk.streaming import streams as S
 P = S.POLICIES["fixture"]
 
 
-def _as_stream(df: DataFrame, files: int = 1, order: list[str] | None = None) -> DataFrame:
-    """Write ``df`` as ``files`` parquet files and open a file stream over them."""
+def _as_stream(df: DataFrame, files: int = 1, time_col: str | None = None) -> DataFrame:
+    """Write ``df`` as ``files`` parquet files and open a file stream over them.
+
+    With ``time_col`` the files hold consecutive time ranges and are written one
+    after another, so the stream sees rows in arrival (time) order, as a live
+    source would deliver them; a watermark then drops nothing that is on time.
+    """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/stream_in/{uuid.uuid4().hex}"
-    out = df.repartition(files) if files > 1 else df.coalesce(1)
-    if order:
-        out = out.sortWithinPartitions(*order)
-    out.write.parquet(path)
+    if time_col and files > 1:
+        t = F.unix_micros(F.col(time_col).cast("timestamp"))
+        cuts = df.select(t.alias("_t")).approxQuantile("_t", [i / files for i in range(1, files)], 0.0)
+        bounds = [None, *cuts, None]
+        for lo, hi in zip(bounds, bounds[1:]):
+            part = df
+            if lo is not None:
+                part = part.filter(t > lo)
+            if hi is not None:
+                part = part.filter(t <= hi)
+            part.coalesce(1).write.mode("append").parquet(path)
+    else:
+        (df.repartition(files) if files > 1 else df.coalesce(1)).write.parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
@@ -55,7 +69,8 @@ register("limit_attempts", _LIMIT_SQL, "T1/T2: anchored-window limiter over atte
 
 register("limit_attempts_stream", _LIMIT_SQL, "T1/T4: the limiter as a stateful stream")(
     lambda T: _run(S.limit_attempts_stream(
-        _as_stream(T["attempts"].withColumn("ts", F.col("ts").cast("timestamp"))), P, "1 hour")))
+        _as_stream(T["attempts"].withColumn("ts", F.col("ts").cast("timestamp")), files=3, time_col="ts"),
+        P, "1 hour")))
 
 register("request_rate", """
 SELECT attempt_key AS client, time_bucket(INTERVAL 15 MINUTE, ts) AS window_start, count(*) AS requests,
@@ -66,17 +81,14 @@ FROM m_attempts GROUP BY ALL""", "T3: requests per client per 15-minute window")
 
 def _rate_stream(T):
     src = _as_stream(T["attempts"].withColumnRenamed("attempt_key", "client")
-                     .withColumn("ts", F.col("ts").cast("timestamp")), files=4)
+                     .withColumn("ts", F.col("ts").cast("timestamp")), files=4, time_col="ts")
     spark = src.sparkSession
     base = f"{checkpoint_dir(spark)}/streams/{uuid.uuid4().hex}"
-
-    def sink(batch, epoch):
-        batch.write.mode("overwrite").parquet(f"{base}/out")
-
-    q = (S.request_rate(src, watermark="1 hour").writeStream.outputMode("complete")
-         .option("checkpointLocation", f"{base}/_chk").trigger(availableNow=True).foreachBatch(sink).start())
+    q = (S.request_rate(src, watermark="1 hour").writeStream.outputMode("update")
+         .option("checkpointLocation", f"{base}/_chk").trigger(availableNow=True)
+         .foreachBatch(S.upsert_batch(base, ["client", "window_start"])).start())
     q.awaitTermination()
-    return spark.read.parquet(f"{base}/out")
+    return spark.read.parquet(f"{base}/current")
 
 
 register("request_rate_stream", """

@@ -108,7 +108,11 @@ def limit_attempts_stream(attempts: DataFrame, policy: Policy, watermark: str =
 def request_rate(events: DataFrame, key: str = "client", ts: str = "ts", limit: int = 30,
                  window: str = "15 minutes", watermark: str | None = None) -> DataFrame:
     """Requests per client per tumbling window, ``limited`` when above the limit.
-    Works on batch and streaming frames (give ``watermark`` on streams)."""
+
+    Works on batch and streaming frames. On a stream give ``watermark`` and run it
+    in ``update`` mode (``upsert_batch`` on (client, window_start)): windows older
+    than the watermark leave the state store, so state stays bounded.
+    """
     e = events.withColumn(ts, F.col(ts).cast("timestamp"))
     if watermark:
         e = e.withWatermark(ts, watermark)
@@ -171,15 +175,16 @@ def streaming_ratings(reviews: DataFrame) -> DataFrame:
         F.avg("rating").alias("avg_r"), F.count(F.lit(1)).alias("reviews_count"))
 
 
-def ratings_upsert_batch(target_path: str):
-    """``foreachBatch`` sink: merge the batch's service ratings into a parquet table
-    (new version directory per batch, C14 set-mode upsert)."""
+def upsert_batch(target_path: str, keys: list[str], select=None):
+    """``foreachBatch`` sink for update-mode streams: the batch's rows replace the rows
+    with the same key in a parquet table (C14 set mode). Each epoch writes a new
+    version directory, then ``current``; a replayed epoch rewrites the same version."""
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        new = batch.select("service_id", F.col("avg_r").cast("decimal(3,2)").alias("rating"), "reviews_count")
+        new = select(batch) if select else batch
         try:
             old = spark.read.parquet(f"{target_path}/current")
-            merged = old.join(new.select("service_id"), "service_id", "left_anti").unionByName(new)
+            merged = old.join(new.select(*keys), keys, "left_anti").unionByName(new)
         except Exception:  # first batch: no table yet
             merged = new
         path = f"{target_path}/v{epoch:08d}"
@@ -188,6 +193,12 @@ def ratings_upsert_batch(target_path: str):
     return write
 
 
+def ratings_upsert_batch(target_path: str):
+    """T6 sink: service ratings (2 decimals) merged by service."""
+    return upsert_batch(target_path, ["service_id"], lambda b: b.select(
+        "service_id", F.col("avg_r").cast("decimal(3,2)").alias("rating"), "reviews_count"))
+
+
 # ----------------------------------------------------------------------------- T7
 def screen_stream(texts: DataFrame, text_col: str = "body", field_col: str = "field") -> DataFrame:
     """Stateless screening on arriving rows: the Q7 expression, unchanged."""
