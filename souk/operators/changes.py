@@ -181,7 +181,7 @@ def _status_step(state, r):
     new = r["new_status"]
     if r["role"] is None:
         return old, _st(r, old, "rejected", "participant")
-    if new not in TRANSITIONS[r["role"]].get(old, ()):
+    if new not in TRANSITIONS.get(r["role"], {}).get(old, ()):
         return old, _st(r, old, "rejected", "transition")
     return new, _st(r, old, "accepted", None)
 
@@ -197,11 +197,19 @@ STATUS_SCHEMA = ("request_id string, order_id string, actor_id string, role stri
 
 
 def apply_status_changes(T, requests: DataFrame, orders: DataFrame | None = None) -> DataFrame:
-    """C2 outcomes: each request checked against the order's status at that point."""
+    """C2 outcomes: each request checked against the order's status at that point.
+
+    The actor must be the order's customer or executor; the transition table is
+    read with the actor's account role (a participant with another role has no
+    allowed transition).
+    """
     o = (orders if orders is not None else T["orders"]).select(
         F.col("id").alias("_oid"), "customer_id", "executor_id", F.col("status").alias("start"))
+    u = T["users"].select(F.col("id").alias("_uid"), F.col("role").alias("_urole"))
+    participant = (F.col("actor_id") == F.col("customer_id")) | (F.col("actor_id") == F.col("executor_id"))
     ev = (requests.join(o, F.col("order_id") == F.col("_oid"), "left")
-          .withColumn("role", _role(F.col("actor_id")))
+          .join(u, F.col("actor_id") == F.col("_uid"), "left")
+          .withColumn("role", F.when(F.coalesce(participant, F.lit(False)), F.col("_urole")))
           .withColumn("start", F.coalesce("start", F.lit("created")))
           .select("request_id", "ts", "order_id", "actor_id", "new_status", "role", "start"))
     return ordered_fold(ev, "order_id", _order_key(), lambda r: r["start"], _status_step, STATUS_SCHEMA)
@@ -219,7 +227,7 @@ def status_effects(T, outcomes: DataFrame, requests: DataFrame, forced: bool = F
     if forced:
         refund = acc.filter((F.col("new_status") == "cancelled") & ~F.col("old_status").isin(*CLOSED_ORDER_STATES))
     else:
-        refund = acc.filter(F.col("new_status") == "cancelled")
+        refund = acc.filter((F.col("new_status") == "cancelled") & (F.col("old_status") != "completed"))
     money_rows = (pay.select("request_id", "order_id", F.col("executor_id").alias("user_id"), "total_price", "ts")
                   .unionByName(refund.select("request_id", "order_id", F.col("customer_id").alias("user_id"),
                                              "total_price", "ts")))
@@ -242,21 +250,33 @@ def status_effects(T, outcomes: DataFrame, requests: DataFrame, forced: bool = F
             "notifications": notes}
 
 
+# States an admin may set.
+ORDER_STATES = ("created", "in_progress", "review", "completed", "cancelled")
+
+
 def force_status(T, requests: DataFrame, orders: DataFrame | None = None) -> DataFrame:
-    """An admin moves an order to any state; the state before each request is the
-    previous request's target (or the stored status), so no fold is needed — a lag."""
+    """An admin moves an order to any valid state. Rejection depends only on the
+    request (unknown order, invalid state), so the state before an accepted request
+    is the previous accepted target, or the stored status: a ``lag``, no fold."""
     from pyspark.sql import Window
     o = (orders if orders is not None else T["orders"]).select(F.col("id").alias("_oid"),
                                                                F.col("status").alias("start"))
+    ev = requests.join(o, F.col("order_id") == F.col("_oid"), "left")
+    reason = (F.when(F.col("_oid").isNull(), "order")
+              .when(~F.coalesce(F.col("new_status").isin(*ORDER_STATES), F.lit(False)), "status"))
+    ev = ev.withColumn("reason", reason)
+    ok = ev.filter(F.col("reason").isNull())
     w = Window.partitionBy("order_id").orderBy("ts", "request_id")
-    ev = requests.join(o, F.col("order_id") == F.col("_oid"))
-    ev = ev.withColumn("old_status", F.coalesce(F.lag("new_status").over(w), F.col("start")))
-    return ev.select("request_id", "order_id", "actor_id", F.lit("admin").alias("role"), "old_status",
-                     "new_status", F.lit("accepted").alias("status"), F.lit(None).cast("string").alias("reason"),
-                     F.when((F.col("new_status") == "completed") & (F.col("old_status") != "completed"), True)
-                     .otherwise(False).alias("pays_executor"),
-                     F.when((F.col("new_status") == "cancelled") & ~F.col("old_status").isin(*CLOSED_ORDER_STATES),
-                            True).otherwise(False).alias("refunds_customer"))
+    ok = ok.withColumn("old_status", F.coalesce(F.lag("new_status").over(w), F.col("start")))
+    bad = ev.filter(F.col("reason").isNotNull()).withColumn("old_status", F.lit(None).cast("string"))
+    out = ok.unionByName(bad)
+    accepted = F.col("reason").isNull()
+    return out.select(
+        "request_id", "order_id", "actor_id", F.lit("admin").alias("role"), "old_status", "new_status",
+        F.when(accepted, "accepted").otherwise("rejected").alias("status"), "reason",
+        (accepted & (F.col("new_status") == "completed") & (F.col("old_status") != "completed")).alias("pays_executor"),
+        (accepted & (F.col("new_status") == "cancelled") & ~F.col("old_status").isin(*CLOSED_ORDER_STATES))
+        .alias("refunds_customer"))
 
 
 # ----------------------------------------------------------------------------- C3

@@ -53,9 +53,9 @@ register("apply_status_changes", f"""
 WITH RECURSIVE {_TR},
 ev AS (
   SELECT r.request_id, r.order_id, r.actor_id, r.new_status,
-         CASE WHEN r.actor_id = o.customer_id THEN 'customer' WHEN r.actor_id = o.executor_id THEN 'executor' END AS role,
+         CASE WHEN r.actor_id = o.customer_id OR r.actor_id = o.executor_id THEN u.role END AS role,
          row_number() OVER (PARTITION BY r.order_id ORDER BY r.ts, r.request_id) AS rn
-  FROM m_req_status r LEFT JOIN m_orders o ON o.id = r.order_id),
+  FROM m_req_status r LEFT JOIN m_orders o ON o.id = r.order_id LEFT JOIN m_users u ON u.id = r.actor_id),
 f AS (
   SELECT e.order_id, e.rn, e.request_id, e.actor_id, e.role, 'created' AS old_status, e.new_status,
          CASE WHEN e.role IS NULL THEN 'participant' WHEN tr.new IS NULL THEN 'transition' END AS reason,

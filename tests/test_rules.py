@@ -117,13 +117,17 @@ def test_status_changes(spark, base):
 
 def test_force_status_pays_once(spark, base):
     req = df(spark, [("a", ts(2001, 8, 2, 1), "o2", "a0", "in_progress", None),
+                     ("a2", ts(2001, 8, 2, 1, 30), "o2", "a0", "bogus", None),
                      ("b", ts(2001, 8, 2, 2), "o2", "a0", "completed", None),
-                     ("c", ts(2001, 8, 2, 3), "o1", "a0", "cancelled", None)],
+                     ("c", ts(2001, 8, 2, 3), "o1", "a0", "cancelled", None),
+                     ("z", ts(2001, 8, 2, 3), "o404", "a0", "cancelled", None)],
              "request_id string, ts timestamp, order_id string, actor_id string, new_status string, note string")
     out = {r.request_id: r for r in C.force_status(base, req).collect()}
     assert out["a"].old_status == "completed" and not out["a"].pays_executor
     assert out["b"].old_status == "in_progress" and out["b"].pays_executor      # X11 kept
     assert out["c"].refunds_customer
+    assert (out["a2"].status, out["a2"].reason) == ("rejected", "status")
+    assert (out["z"].status, out["z"].reason) == ("rejected", "order") and not out["z"].refunds_customer
 
 
 # ----------------------------------------------------------------------------- C4
