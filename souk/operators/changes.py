@@ -302,17 +302,18 @@ def apply_price_changes(T, requests: DataFrame) -> DataFrame:
 
 # ----------------------------------------------------------------------------- C4
 def apply_reviews(T, requests: DataFrame) -> DataFrame:
-    """C4 outcomes: the order is the customer's and completed, rating 1..5, comment ≤ 1000,
-    no stored review; the first valid request per order wins."""
+    """C4 outcomes: rating 1..5 and comment ≤ 1000 (trimmed), the order is the
+    customer's and completed, no stored review; the first valid request per order wins."""
     o = T["orders"].select(F.col("id").alias("_oid"), F.col("customer_id").alias("_cust"),
                            F.col("status").alias("_st"))
     have = T["reviews"].select(F.col("order_id").alias("_rev"))
     j = (requests.join(o, F.col("order_id") == F.col("_oid"), "left")
          .join(have, F.col("order_id") == F.col("_rev"), "left"))
-    reason = (F.when(F.col("_oid").isNull() | (F.col("_cust") != F.col("customer_id")), "order")
+    # input rules first, then the order, then an existing review (the handler's order)
+    reason = (F.when(~F.coalesce(F.col("rating").between(1, 5), F.lit(False)), "rating")
+              .when(F.coalesce(F.length(F.trim("comment")), F.lit(0)) > 1000, "comment")
+              .when(F.col("_oid").isNull() | (F.col("_cust") != F.col("customer_id")), "order")
               .when(F.col("_st") != "completed", "status")
-              .when(~F.coalesce(F.col("rating").between(1, 5), F.lit(False)), "rating")
-              .when(F.coalesce(F.length("comment"), F.lit(0)) > 1000, "comment")
               .when(F.col("_rev").isNotNull(), "exists"))
     j = j.withColumn("reason", reason)
     first = first_per_key(j.filter(F.col("reason").isNull()).select("order_id", "ts", "request_id"), "order_id") \

@@ -107,10 +107,10 @@ FROM (
   SELECT q.*, CASE WHEN reason IS NULL THEN row_number() OVER (
            PARTITION BY order_id, reason IS NULL ORDER BY ts, request_id) END AS rk
   FROM (
-    SELECT r.*, CASE WHEN o.id IS NULL OR o.customer_id <> r.customer_id THEN 'order'
+    SELECT r.*, CASE WHEN NOT coalesce(r.rating BETWEEN 1 AND 5, false) THEN 'rating'
+                     WHEN coalesce(length(trim(r.comment)), 0) > 1000 THEN 'comment'
+                     WHEN o.id IS NULL OR o.customer_id <> r.customer_id THEN 'order'
                      WHEN o.status <> 'completed' THEN 'status'
-                     WHEN NOT coalesce(r.rating BETWEEN 1 AND 5, false) THEN 'rating'
-                     WHEN coalesce(length(r.comment), 0) > 1000 THEN 'comment'
                      WHEN EXISTS (SELECT 1 FROM m_reviews v WHERE v.order_id = r.order_id) THEN 'exists' END AS reason
     FROM m_req_reviews r LEFT JOIN m_orders o ON o.id = r.order_id) q) z""",
          "C4: reviews, first valid per order, existing ones kept")(
