@@ -177,9 +177,10 @@ def screen_texts(texts: DataFrame) -> DataFrame:
 def request_reason(kind: str, df: DataFrame) -> Column:
     c = F.col
     if kind == "register":
+        # the generic address check runs on the text as sent: surrounding blanks fail it
         return (F.when(F.coalesce(F.length(js_trim(c("name"))), F.lit(0)) < 2, "name")
                 .when(~F.coalesce(c("role").isin("customer", "executor"), F.lit(False)), "role")
-                .when(~email_ok("email"), "email"))
+                .when(~F.coalesce(c("email") == js_trim(c("email")), F.lit(False)) | ~email_ok("email"), "email"))
     if kind == "review":
         return (F.when(~F.coalesce(c("rating").between(1, 5), F.lit(False)), "rating")
                 .when(F.coalesce(F.length(c("comment")), F.lit(0)) > 1000, "comment"))

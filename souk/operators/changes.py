@@ -518,6 +518,15 @@ def register_users(T, requests: DataFrame) -> DataFrame:
                     F.when(F.col("_win").isNotNull(), request_uuid("request_id")).alias("user_id"))
 
 
+def register_effects(T, outcomes: DataFrame) -> dict[str, DataFrame]:
+    """New user rows of accepted registrations and their zero balances (insert-ignore)."""
+    acc = outcomes.filter(F.col("status") == "accepted")
+    users = acc.select(F.col("user_id").alias("id"), "name", "email", "role", F.lit(True).alias("is_active"))
+    zero = acc.select("user_id", F.lit(0).cast("decimal(12,2)").alias("amount"))
+    balances = insert_ignore(T["balances"].select("user_id", "amount"), zero, "user_id")
+    return {"users": users, "balances": balances}
+
+
 def update_users(T, requests: DataFrame) -> DataFrame:
     """Last request per user; name/avatar replaced unless empty, bio unless null."""
     last = first_per_key(requests, "user_id", last=True).select(

@@ -261,6 +261,7 @@ FROM (
     SELECT r.request_id, r.ts, trim(r.name) AS name, r.email, r.role,
       CASE WHEN length(trim(r.name)) < 2 THEN 'name'
            WHEN r.role NOT IN ('customer','executor') THEN 'role'
+           WHEN r.raw_email <> trim(r.raw_email) THEN 'email'
            WHEN NOT (regexp_full_match(r.email, '[a-z0-9._%+\\-]+@[a-z0-9.\\-]+\\.[a-z]{2,}')
                      AND NOT regexp_full_match(regexp_replace(split_part(r.email, '@', -1), '\\.[^.]*$', ''), '[0-9]+')
                      AND len(list_filter(['gmail.com','googlemail.com','mail.ru','bk.ru','inbox.ru','list.ru',
@@ -270,15 +271,15 @@ FROM (
                         lambda d: split_part(r.email, '@', -1) = d OR ends_with(split_part(r.email, '@', -1), '.' || d))) > 0)
                 THEN 'email'
            WHEN EXISTS (SELECT 1 FROM m_users u WHERE lower(u.email) = r.email) THEN 'taken' END AS reason
-    FROM (SELECT 'g' || cast(c_custkey as varchar) AS request_id,
+    FROM (SELECT r0.*, e.email FROM (SELECT 'g' || cast(c_custkey as varchar) AS request_id,
                  timestamp '2001-08-01 00:00:00' + INTERVAL 1 SECOND * cast(c_custkey % 1000 as int) AS ts,
                  CASE WHEN c_custkey % 9 = 0 THEN 'A' ELSE c_name END AS name,
-                 lower(trim(CASE WHEN c_custkey % 4 = 0 THEN ' USER' || cast(c_custkey as varchar) || '@GMAIL.COM '
+                 CASE WHEN c_custkey % 4 = 0 THEN ' USER' || cast(c_custkey as varchar) || '@GMAIL.COM '
                       WHEN c_custkey % 4 = 1 THEN 'new' || cast(c_custkey % 50 as varchar) || '@mail.ru'
                       WHEN c_custkey % 4 = 2 THEN 'x' || cast(c_custkey as varchar) || '@123.ru'
-                      ELSE 'fresh' || cast(c_custkey as varchar) || '@yandex.ru' END)) AS email,
+                      ELSE 'fresh' || cast(c_custkey as varchar) || '@yandex.ru' END AS raw_email,
                  CASE WHEN c_custkey % 11 = 0 THEN 'admin' ELSE 'customer' END AS role
-          FROM customer) r) q) z"""
+          FROM customer) r0 CROSS JOIN LATERAL (SELECT lower(trim(r0.raw_email)) AS email) e) r) q) z"""
 
 
 register("register_users", _register_sql(),

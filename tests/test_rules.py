@@ -282,3 +282,22 @@ def test_accent_insensitive_search_and_pages(spark, base):
     assert d.filter(search_cond(["t"], "CAFE")).count() == 0          # the default ignores case only
     page = V.catalog_page(base, page=1, limit=1, sort="price_asc")
     assert page.total == 2 and page.pages == 2 and [r.id for r in page.rows.collect()] == ["p3"]
+
+
+def test_registration_rules(spark, base):
+    req = df(spark, [("g1", ts(2001, 8, 2, 1), "New One", "NEW@gmail.com", "customer"),
+                     ("g2", ts(2001, 8, 2, 2), "New Two", "new@GMAIL.com", "executor"),   # same e-mail, later
+                     ("g3", ts(2001, 8, 2, 3), "Ann Again", "ANN@gmail.com", "customer"),  # taken (any case)
+                     ("g4", ts(2001, 8, 2, 4), "Spaced", " sp@gmail.com", "customer"),    # blanks fail the check
+                     ("g5", ts(2001, 8, 2, 5), "X", "x@gmail.com", "customer"),           # name too short
+                     ("g6", ts(2001, 8, 2, 6), "Boss", "boss@gmail.com", "admin")],       # role not allowed
+             "request_id string, ts timestamp, name string, email string, role string")
+    out = C.register_users(base, req)
+    got = {r.request_id: (r.status, r.reason) for r in out.collect()}
+    assert got == {"g1": ("accepted", None), "g2": ("rejected", "duplicate"), "g3": ("rejected", "taken"),
+                   "g4": ("rejected", "email"), "g5": ("rejected", "name"), "g6": ("rejected", "role")}
+    eff = C.register_effects(base, out)
+    new = eff["users"].collect()
+    assert len(new) == 1 and new[0].email == "new@gmail.com"
+    bal = dict(eff["balances"].collect())
+    assert bal[new[0].id] == D("0.00") and bal["c1"] == D("100.00")
