@@ -215,11 +215,13 @@ def apply_status_changes(T, requests: DataFrame, orders: DataFrame | None = None
     return ordered_fold(ev, "order_id", _order_key(), lambda r: r["start"], _status_step, STATUS_SCHEMA)
 
 
-def status_effects(T, outcomes: DataFrame, requests: DataFrame, forced: bool = False) -> dict[str, DataFrame]:
+def status_effects(T, outcomes: DataFrame, requests: DataFrame, forced: bool = False,
+                   orders: DataFrame | None = None) -> dict[str, DataFrame]:
     """Log rows, payouts (completed) and refunds (cancelled), notifications, new statuses."""
+    orders = orders if orders is not None else T["orders"]
     acc = (outcomes.filter(F.col("status") == "accepted")
            .join(requests.select("request_id", "ts", "note"), "request_id"))
-    o = T["orders"].select(F.col("id").alias("order_id"), "customer_id", "executor_id", "total_price")
+    o = orders.select(F.col("id").alias("order_id"), "customer_id", "executor_id", "total_price")
     acc = acc.join(o, "order_id")
     log = acc.select("order_id", "old_status", "new_status", F.col("actor_id").alias("changed_by"),
                      "note", F.col("ts").alias("created_at"))
@@ -237,8 +239,8 @@ def status_effects(T, outcomes: DataFrame, requests: DataFrame, forced: bool = F
     credit = money_rows.groupBy("user_id").agg(F.sum("total_price").alias("amount"))
     balances = upsert(T["balances"].select("user_id", "amount"), credit, "user_id", "amount", "add")
     last = first_per_key(acc.select("order_id", "ts", "request_id", "new_status"), "order_id", last=True)
-    orders = (T["orders"].join(last.select(F.col("order_id").alias("id"), F.col("new_status"),
-                                           F.col("ts").alias("_ts")), "id", "left")
+    orders = (orders.join(last.select(F.col("order_id").alias("id"), F.col("new_status"),
+                                      F.col("ts").alias("_ts")), "id", "left")
               .withColumn("status", F.coalesce("new_status", "status"))
               .withColumn("updated_at", F.coalesce(F.col("_ts").cast("timestamp"), F.col("updated_at").cast("timestamp")))
               .drop("new_status", "_ts"))

@@ -132,3 +132,19 @@ FROM m_reviews GROUP BY service_id""", "T6: ratings kept current by an update-mo
 register("screen_stream", REGISTRY["screen_texts"].sql,
          "T7: the Q7 screening expression on arriving rows")(
     lambda T: _run(S.screen_stream(_as_stream(T["texts"], files=3))).select("doc_id", "field", "reason"))
+
+
+def _status_stream(T):
+    reqs = T["req_status"]
+    src = _as_stream(reqs.withColumn("ts", F.col("ts").cast("timestamp")), files=3, time_col="ts")
+    spark = src.sparkSession
+    base = f"{checkpoint_dir(spark)}/status_stream/{uuid.uuid4().hex}"
+    start = T["orders"].withColumn("status", F.lit("created"))
+    q = (src.writeStream.option("checkpointLocation", f"{base}/_chk").trigger(availableNow=True)
+         .foreachBatch(S.status_stream_batch(T, base, start)).start())
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/outcomes").drop("epoch")
+
+
+register("apply_status_stream", REGISTRY["apply_status_changes"].sql,
+         "T8: status changes arriving as a stream, C2 per micro-batch on the current orders")(_status_stream)

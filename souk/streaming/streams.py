@@ -206,14 +206,27 @@ def screen_stream(texts: DataFrame, text_col: str = "body", field_col: str = "fi
 
 
 # ----------------------------------------------------------------------------- T8
-def status_stream_batch(T, orders_path: str):
-    """``foreachBatch`` sink: apply a batch of status requests with C2 against the
-    current order snapshot and write the outcomes (idempotent per epoch)."""
-    from souk.operators.changes import apply_status_changes
+def status_stream_batch(T, base: str, orders: DataFrame | None = None):
+    """``foreachBatch`` sink for T8: apply a micro-batch of status requests with C2
+    against the current order snapshot, write the outcomes, and publish the new
+    order snapshot for the next batch (versioned per epoch, so a replayed epoch
+    rewrites the same files and re-reads the snapshot of the epoch before it)."""
+    from souk.operators.changes import apply_status_changes, status_effects
 
     def run(batch: DataFrame, epoch: int) -> None:
-        out = apply_status_changes(T, batch)
-        out.write.mode("overwrite").parquet(f"{orders_path}/outcomes/epoch={epoch}")
+        spark = batch.sparkSession
+        try:
+            prev = max(int(r.value) for r in spark.read.text(f"{base}/orders/_epochs").collect()
+                       if int(r.value) < epoch)
+            current = spark.read.parquet(f"{base}/orders/v{prev:08d}")
+        except Exception:  # first epoch: start from the given snapshot
+            current = orders if orders is not None else T["orders"]
+        out = apply_status_changes(T, batch, current)
+        out.write.mode("overwrite").parquet(f"{base}/outcomes/epoch={epoch}")
+        outcomes = spark.read.parquet(f"{base}/outcomes/epoch={epoch}")
+        new_orders = status_effects(T, outcomes, batch, orders=current)["orders"]
+        new_orders.write.mode("overwrite").parquet(f"{base}/orders/v{epoch:08d}")
+        spark.createDataFrame([(str(epoch),)], "value string").write.mode("append").text(f"{base}/orders/_epochs")
     return run
 
 
