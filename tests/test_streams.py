@@ -56,9 +56,7 @@ def test_status_changes_as_a_stream(spark, T):
     src = spark.readStream.schema(reqs.schema).parquet(d)
     out = f"{d}-out-{uuid.uuid4().hex}"
     start = T["orders"].withColumn("status", F.lit("created"))
-    T2 = dict(T)
-    T2["orders"] = start
-    S.run_available(spark, src, foreach_batch=S.status_stream_batch(T2, out))
+    S.run_available(spark, src, foreach_batch=S.status_stream_batch(T, out, start))
     got = sorted(spark.read.parquet(f"{out}/outcomes").drop("epoch").collect())
-    want = sorted(C.apply_status_changes(T2, spark.read.parquet(d)).collect())
+    want = sorted(C.apply_status_changes(T, spark.read.parquet(d), start).collect())
     assert got == want
