@@ -150,10 +150,10 @@ def catalog(T, category=None, search=None, min_price=None, max_price=None,
             .select(*catalog_cols()).orderBy(*sort_columns(sort)))
 
 
-def catalog_page(T, page=1, limit=None, sort="newest", **filters) -> Page:
+def catalog_page(T, page=1, limit=None, sort="newest", with_total: bool = True, **filters) -> Page:
     """J1 as the handler answers it: one page (default 12, max 50) and the total."""
     df = catalog_filter(T, **filters).select(*catalog_cols())
-    return paginate(df, sort_columns(sort), page, limit, 12, 50)
+    return paginate(df, sort_columns(sort), page, limit, 12, 50, with_total)
 
 
 # ----------------------------------------------------------------------------- L3 / L4

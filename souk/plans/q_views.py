@@ -149,3 +149,7 @@ register("status_history", """
 SELECT order_id, old_status, new_status, changed_by, created_at FROM m_status_log""",
          "J3 (log part): every order's status changes")(
     lambda T: V.status_history(T).select("order_id", "old_status", "new_status", "changed_by", "created_at"))
+
+register("catalog_page", _CATALOG_SELECT + """
+ORDER BY price DESC, id LIMIT 12 OFFSET 12""", "L2: second catalogue page, most expensive first")(
+    lambda T: V.catalog_page(T, page=2, limit=12, sort="price_desc", with_total=False).rows)
