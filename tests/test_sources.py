@@ -146,3 +146,17 @@ def test_cascade_follows_declared_keys(spark):
     assert [r.user_id for r in gone["balances"].collect()] == ["u2"]
     gone = RT.cascade(t, "orders", mk([("o1",)], "id string"))
     assert gone["status_log"].count() == 0 and [r.id for r in gone["messages"].collect()] == ["m2"]
+
+
+def test_registered_plans_run_on_loaded_tables(spark, T):
+    """Production path: stored marketplace tables read with their declared schemas."""
+    from souk.plans.registry import REGISTRY
+    d = _scratch()
+    names = ["users", "services", "orders", "reviews", "balances", "transactions", "categories", "profiles"]
+    for n in names:
+        schemas.cast_types(T[n], n).write.parquet(f"{d}/{n}")
+    loaded = tables.load_tables(spark, d, names)
+    for q in ("top_executors", "platform_stats", "catalog", "executor_stats"):
+        a = sorted(tuple(r) for r in REGISTRY[q].plan(T).collect())
+        b = sorted(tuple(r) for r in REGISTRY[q].plan(loaded).collect())
+        assert a == b, q
