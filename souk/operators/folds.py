@@ -20,34 +20,44 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
-def ordered_fold(events: DataFrame, key: str, order: list[str],
+def ordered_fold(events: DataFrame, key: str | list[str], order: list[str],
                  init: Callable[[dict], object],
                  step: Callable[[object, dict], tuple[object, dict]],
-                 out_schema: str, partitions: int | None = None) -> DataFrame:
+                 out_schema: str, partitions: int | None = None,
+                 finish: Callable[[object, dict], dict] | None = None) -> DataFrame:
     """Run ``step`` over each key's events in ``order``.
 
     ``init(row)`` builds the key's state from its first row (so a starting
     balance or status travels on the rows); ``step(state, row)`` returns the
-    new state and the output record for that row.
+    new state and the output record for that row (or ``None`` for no output).
+    With ``finish(state, last_row)`` one more record is emitted when a key ends.
+    ``key`` may be several columns.
     """
     from souk.session import ship_package
     ship_package(events.sparkSession)
+    keys = [key] if isinstance(key, str) else list(key)
     n = partitions or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_events = events.repartition(n, key).sortWithinPartitions(key, *order)
+    sorted_events = events.repartition(n, *keys).sortWithinPartitions(*keys, *order)
     # top-level commas only: ``decimal(12,2)`` holds one
     out_cols = [f.strip().split(" ")[0] for f in re.split(r",(?![^()]*\))", out_schema)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current = object()
-        state = None
+        state, last = None, None
         for pdf in batches:
             out = []
             for row in pdf.to_dict("records"):
-                k = row[key]
+                k = tuple(row[c] for c in keys)
                 if k != current:
+                    if finish is not None and last is not None:
+                        out.append(finish(state, last))
                     current, state = k, init(row)
                 state, rec = step(state, row)
-                out.append(rec)
+                last = row
+                if rec is not None:
+                    out.append(rec)
             yield pd.DataFrame(out, columns=out_cols)
+        if finish is not None and last is not None:
+            yield pd.DataFrame([finish(state, last)], columns=out_cols)
 
     return sorted_events.mapInPandas(run, out_schema)

@@ -12,7 +12,7 @@ from souk.functions.predicates import money
 from souk.operators import audits as Q
 from souk.operators import changes as C
 from souk.operators import reports as R
-from souk.plans.registry import AS_OF, money_sql as M, register
+from souk.plans.registry import AS_OF, REGISTRY, money_sql as M, register
 
 
 def _fold_out(df):
@@ -73,6 +73,11 @@ SELECT request_id, order_id, actor_id, role, old_status, new_status,
 FROM f""", "C2: status changes replayed from creation, wrong-order copies refused")(
     lambda T: C.apply_status_changes(T, T["req_status"], T["orders"].withColumn("status", F.lit("created"))))
 
+register("apply_status_changes_split", REGISTRY["apply_status_changes"].sql,
+         "C2 with orders cut into daily chunks (exact parallel scan for busy orders)")(
+    lambda T: C.apply_status_changes(T, T["req_status"], T["orders"].withColumn("status", F.lit("created")),
+                                     split="day"))
+
 register("force_status", """
 SELECT r.request_id, r.order_id, r.actor_id, 'admin' AS role,
        coalesce(lag(r.new_status) OVER (PARTITION BY r.order_id ORDER BY r.ts, r.request_id), 'created') AS old_status,

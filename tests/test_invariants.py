@@ -92,3 +92,23 @@ def test_status_changes_pay_at_most_once_per_order(spark, T):
     money = (out.filter((F.col("status") == "accepted") & F.col("new_status").isin("completed", "cancelled"))
              .groupBy("order_id").count().filter("count > 1"))
     assert money.count() == 0
+
+
+def test_split_status_fold_equals_single_scan_on_a_hot_order(spark):
+    import random
+    rnd = random.Random(5)
+    users = spark.createDataFrame([("c1", "customer"), ("s1", "executor"), ("x9", "customer"), ("a0", "admin")],
+                                  "id string, role string")
+    orders = spark.createDataFrame([("hot", "c1", "s1", "created"), ("o2", "c1", "s1", "in_progress")],
+                                   "id string, customer_id string, executor_id string, status string")
+    targets = ["in_progress", "review", "completed", "cancelled", "created"]
+    rows = [(f"r{i:04d}", T0 + dt.timedelta(hours=rnd.randint(0, 24 * 30), minutes=rnd.randint(0, 59)),
+             "hot" if i % 10 else "o2", rnd.choice(["c1", "s1", "x9", "a0"]), rnd.choice(targets), None)
+            for i in range(600)]
+    req = spark.createDataFrame(rows, "request_id string, ts timestamp, order_id string, actor_id string, "
+                                      "new_status string, note string")
+    T = {"users": users, "orders": orders}
+    plain = sorted(C.apply_status_changes(T, req).collect())
+    split = sorted(C.apply_status_changes(T, req, split="day").collect())
+    assert plain == split
+    assert sum(r.status == "accepted" for r in plain) >= 2
