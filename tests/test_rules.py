@@ -301,3 +301,23 @@ def test_registration_rules(spark, base):
     assert len(new) == 1 and new[0].email == "new@gmail.com"
     bal = dict(eff["balances"].collect())
     assert bal[new[0].id] == D("0.00") and bal["c1"] == D("100.00")
+
+
+def test_refund_anomalies_and_ledger_gaps(spark, base):
+    from souk.operators import audits as Q
+    t = dict(base)
+    t["orders"] = base["orders"].unionByName(df(spark, [
+        ("o4", "p1", "c1", "s1", "cancelled", D("40.00"), None, None, T0, T0),
+        ("o5", "p1", "c1", "s1", "cancelled", D("0.00"), None, None, T0, T0)], ORDERS))
+    t["transactions"] = df(spark, [
+        ("t1", "c2", "o3", "deposit", D("100.00"), T0),          # o3 was refunded
+        ("t2", "c1", None, "payment", D("30.00"), T0),
+        ("t3", "c1", None, "deposit", D("130.00"), T0),
+        ("t4", "s2", None, "deposit", D("5.00"), T0)],           # s2 has no balance row
+        "id string, user_id string, order_id string, type string, amount decimal(12,2), created_at timestamp")
+    flagged = [r.id for r in Q.refund_anomalies(t).collect()]
+    assert flagged == ["o4"]                                     # o3 refunded, o5 has no price
+    gaps = {r.user_id: (r.calculated, r.actual, r.corrected) for r in Q.balance_discrepancies(t).collect()}
+    assert gaps == {"c2": (D("100.00"), D("30.00"), D("100.00")), "s2": (D("5.00"), 0, D("5.00"))}
+    fixed = dict(Q.fix_balances(t).collect())
+    assert fixed == {"c1": D("100.00"), "c2": D("100.00"), "s2": D("5.00")}
