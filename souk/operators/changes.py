@@ -95,9 +95,8 @@ def _order_step(state, r):
 
 
 def _out(r, status, reason, bal):
-    return {"request_id": r["request_id"], "kind": r["kind"], "user_id": r["user_id"],
-            "status": status, "reason": reason, "amount": r["amount"],
-            "balance_after": Decimal(bal).quantize(CENT)}
+    # a tuple in FOLD_SCHEMA order
+    return (r["request_id"], r["kind"], r["user_id"], status, reason, r["amount"], Decimal(bal).quantize(CENT))
 
 
 FOLD_SCHEMA = ("request_id string, kind string, user_id string, status string, reason string, "
@@ -137,7 +136,8 @@ def place_orders(T, requests: DataFrame, deposits: DataFrame | None = None) -> D
                             F.when(~F.coalesce(F.col("amount") > 99, F.lit(False)), "amount").alias("pre"))
         ev = ev.unionByName(d)
     ev = _start_balance(T, ev)
-    return ordered_fold(ev, "user_id", _order_key(), lambda r: r["start"], _order_step, FOLD_SCHEMA)
+    return ordered_fold(ev, "user_id", _order_key(), lambda r: r["start"], _order_step, FOLD_SCHEMA,
+                        sort_only=["ts"])
 
 
 def place_orders_effects(T, requests: DataFrame, outcomes: DataFrame) -> dict[str, DataFrame]:
@@ -187,9 +187,8 @@ def _status_step(state, r):
 
 
 def _st(r, old, status, reason):
-    return {"request_id": r["request_id"], "order_id": r["order_id"], "actor_id": r["actor_id"],
-            "role": r["role"], "old_status": old, "new_status": r["new_status"],
-            "status": status, "reason": reason}
+    # a tuple in STATUS_SCHEMA order
+    return (r["request_id"], r["order_id"], r["actor_id"], r["role"], old, r["new_status"], status, reason)
 
 
 STATUS_SCHEMA = ("request_id string, order_id string, actor_id string, role string, old_status string, "
@@ -212,7 +211,7 @@ def _chunk_step(ends, r):
 def _incoming_step(state, r):
     """Carry an order's state across its chunks: record the state entering the chunk."""
     ends = r["ends"].split(",")
-    return ends[STATES.index(state)], {"order_id": r["order_id"], "_b": r["_b"], "incoming": state}
+    return ends[STATES.index(state)], (r["order_id"], r["_b"], state)
 
 
 def _split_status_changes(ev: DataFrame, split: str) -> DataFrame:
@@ -227,14 +226,15 @@ def _split_status_changes(ev: DataFrame, split: str) -> DataFrame:
     """
     ev = ev.withColumn("_b", F.date_trunc(split, F.col("ts").cast("timestamp")))
     maps = ordered_fold(
-        ev, ["order_id", "_b"], ["ts", "request_id"], lambda r: list(STATES), _chunk_step,
+        ev.drop("actor_id"), ["order_id", "_b"], _order_key(), lambda r: list(STATES), _chunk_step,
         "order_id string, _b timestamp, start string, ends string",
-        finish=lambda ends, last: {"order_id": last["order_id"], "_b": last["_b"], "start": last["start"],
-                                   "ends": ",".join(ends)})
+        finish=lambda ends, last: (last["order_id"], last["_b"], last["start"], ",".join(ends)),
+        sort_only=_order_key())
     incoming = ordered_fold(maps, "order_id", ["_b"], lambda r: r["start"], _incoming_step,
                             "order_id string, _b timestamp, incoming string")
     ev = ev.join(incoming, ["order_id", "_b"]).withColumn("start", F.col("incoming")).drop("incoming")
-    return ordered_fold(ev, ["order_id", "_b"], _order_key(), lambda r: r["start"], _status_step, STATUS_SCHEMA)
+    return ordered_fold(ev, ["order_id", "_b"], _order_key(), lambda r: r["start"], _status_step, STATUS_SCHEMA,
+                        sort_only=["ts"])
 
 
 def apply_status_changes(T, requests: DataFrame, orders: DataFrame | None = None,
@@ -257,7 +257,8 @@ def apply_status_changes(T, requests: DataFrame, orders: DataFrame | None = None
           .select("request_id", "ts", "order_id", "actor_id", "new_status", "role", "start"))
     if split:
         return _split_status_changes(ev, split)
-    return ordered_fold(ev, "order_id", _order_key(), lambda r: r["start"], _status_step, STATUS_SCHEMA)
+    return ordered_fold(ev, "order_id", _order_key(), lambda r: r["start"], _status_step, STATUS_SCHEMA,
+                        sort_only=["ts"])
 
 
 def status_effects(T, outcomes: DataFrame, requests: DataFrame, forced: bool = False,
@@ -409,7 +410,8 @@ def adjust_balances(T, requests: DataFrame) -> DataFrame:
     """C7 outcomes: manual change ≠ 0; a negative one needs balance ≥ its size."""
     ev = _start_balance(T, requests.select("request_id", "ts", "user_id", F.lit("adjust").alias("kind"),
                                            F.col("amount").cast("decimal(12,2)").alias("amount")))
-    return ordered_fold(ev, "user_id", _order_key(), lambda r: r["start"], _adjust_step, FOLD_SCHEMA)
+    return ordered_fold(ev, "user_id", _order_key(), lambda r: r["start"], _adjust_step, FOLD_SCHEMA,
+                        sort_only=["ts"])
 
 
 # ----------------------------------------------------------------------------- C8 / C9

@@ -24,20 +24,26 @@ def ordered_fold(events: DataFrame, key: str | list[str], order: list[str],
                  init: Callable[[dict], object],
                  step: Callable[[object, dict], tuple[object, dict]],
                  out_schema: str, partitions: int | None = None,
-                 finish: Callable[[object, dict], dict] | None = None) -> DataFrame:
+                 finish: Callable[[object, dict], dict] | None = None,
+                 sort_only: list[str] | None = None) -> DataFrame:
     """Run ``step`` over each key's events in ``order``.
 
     ``init(row)`` builds the key's state from its first row (so a starting
     balance or status travels on the rows); ``step(state, row)`` returns the
-    new state and the output record for that row (or ``None`` for no output).
+    new state and the output record for that row — a tuple in ``out_schema``
+    order — or ``None`` for no output.
     With ``finish(state, last_row)`` one more record is emitted when a key ends.
-    ``key`` may be several columns.
+    ``key`` may be several columns. Columns in ``sort_only`` order the rows but
+    are not handed to ``step`` (they are dropped after the sort, which keeps the
+    order), so no Python objects are built for them.
     """
     from souk.session import ship_package
     ship_package(events.sparkSession)
     keys = [key] if isinstance(key, str) else list(key)
     n = partitions or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_events = events.repartition(n, *keys).sortWithinPartitions(*keys, *order)
+    if sort_only:
+        sorted_events = sorted_events.drop(*sort_only)
     # top-level commas only: ``decimal(12,2)`` holds one
     out_cols = [f.strip().split(" ")[0] for f in re.split(r",(?![^()]*\))", out_schema)]
 
@@ -46,7 +52,9 @@ def ordered_fold(events: DataFrame, key: str | list[str], order: list[str],
         state, last = None, None
         for pdf in batches:
             out = []
-            for row in pdf.to_dict("records"):
+            cols = list(pdf.columns)
+            for values in zip(*[pdf[c].tolist() for c in cols]):
+                row = dict(zip(cols, values))
                 k = tuple(row[c] for c in keys)
                 if k != current:
                     if finish is not None and last is not None:
@@ -56,8 +64,8 @@ def ordered_fold(events: DataFrame, key: str | list[str], order: list[str],
                 last = row
                 if rec is not None:
                     out.append(rec)
-            yield pd.DataFrame(out, columns=out_cols)
+            yield pd.DataFrame.from_records(out, columns=out_cols)
         if finish is not None and last is not None:
-            yield pd.DataFrame([finish(state, last)], columns=out_cols)
+            yield pd.DataFrame.from_records([finish(state, last)], columns=out_cols)
 
     return sorted_events.mapInPandas(run, out_schema)

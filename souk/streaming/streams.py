@@ -54,8 +54,7 @@ def _limit_step(policy: Policy):
             count, first = 1, now
         else:
             count += 1
-        return (count, first), {"attempt_id": r["attempt_id"], "attempt_key": r["attempt_key"], "ts": now,
-                                "attempt_count": count, "blocked": count > policy.limit}
+        return (count, first), (r["attempt_id"], r["attempt_key"], now, count, count > policy.limit)
     return step
 
 
