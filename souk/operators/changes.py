@@ -25,6 +25,17 @@ from souk.operators.folds import ordered_fold
 
 CENT = Decimal("0.01")
 
+# Texts written into ledger rows, notifications, chat lines and
+# profiles (they must read as the original application writes them).
+TEXT = {
+    "payment_description": "Оплата заказа: ",
+    "order_created_title": "📦 Новый заказ!",
+    "order_created_body": ("Заказ на «", "»"),
+    "admin_message_prefix": "🛡️ [Администратор]: ",
+    "deleted_name_suffix": " (удалён)",
+    "default_response_time": "< 24 часов",
+}
+
 # Who may move an order from which state to which.
 TRANSITIONS = {
     "customer": {"created": ("cancelled",), "in_progress": ("review",), "review": ("completed",),
@@ -153,11 +164,11 @@ def place_orders_effects(T, requests: DataFrame, outcomes: DataFrame) -> dict[st
         F.concat(F.lit("tx-"), order_id).alias("id"),
         F.col("customer_id").alias("user_id"), F.lit(None).cast("string").alias("order_id"),
         F.lit("payment").alias("type"), F.col("price").alias("amount"),
-        F.concat(F.lit("Оплата заказа: "), F.col("title")).alias("description"), F.col("ts").alias("created_at"))
+        F.concat(F.lit(TEXT["payment_description"]), F.col("title")).alias("description"), F.col("ts").alias("created_at"))
     notes = acc.select(
         F.concat(F.lit("nt-"), order_id).alias("id"), F.col("executor_id").alias("user_id"),
-        F.lit("order_created").alias("type"), F.lit("📦 Новый заказ!").alias("title"),
-        F.concat(F.lit("Заказ на «"), F.col("title"), F.lit("»")).alias("body"),
+        F.lit("order_created").alias("type"), F.lit(TEXT["order_created_title"]).alias("title"),
+        F.concat(F.lit(TEXT["order_created_body"][0]), F.col("title"), F.lit(TEXT["order_created_body"][1])).alias("body"),
         F.to_json(F.struct(order_id.alias("order_id"))).alias("data"), F.lit(False).alias("is_read"),
         F.col("ts").alias("created_at"))
     spent = acc.groupBy(F.col("customer_id").alias("user_id")).agg((-F.sum("price")).alias("amount"))
@@ -415,7 +426,7 @@ def adjust_balances(T, requests: DataFrame) -> DataFrame:
 
 
 # ----------------------------------------------------------------------------- C8 / C9
-ADMIN_PREFIX = "🛡️ [Администратор]: "
+ADMIN_PREFIX = TEXT["admin_message_prefix"]
 
 
 def post_messages(T, requests: DataFrame) -> DataFrame:
@@ -608,7 +619,7 @@ def upsert_profiles(T, requests: DataFrame) -> DataFrame:
         nonempty("specialization").alias("n_specialization"),
         F.when(F.coalesce(F.col("hourly_rate"), F.lit(0)) != 0, F.col("hourly_rate"))
         .cast("decimal(10,2)").alias("n_hourly_rate"),
-        F.coalesce(nonempty("response_time"), F.lit("< 24 часов")).alias("n_response_time"),
+        F.coalesce(nonempty("response_time"), F.lit(TEXT["default_response_time"])).alias("n_response_time"),
         _json_array_or("languages", empty_ok=False).alias("n_languages"),
         _json_array_or("skills").alias("n_skills"), _json_array_or("portfolio").alias("n_portfolio"),
         socials.alias("n_socials"))
@@ -644,7 +655,7 @@ def soft_delete_users(T, requests: DataFrame, as_of) -> DataFrame:
     hit = F.col("_d").isNotNull()
     stamp = F.unix_timestamp(ts_lit(as_of)).cast("string")
     return (j.withColumn("email", F.when(hit, F.concat("email", F.lit("_deleted_"), stamp)).otherwise(F.col("email")))
-            .withColumn("name", F.when(hit, F.concat("name", F.lit(" (удалён)"))).otherwise(F.col("name")))
+            .withColumn("name", F.when(hit, F.concat("name", F.lit(TEXT["deleted_name_suffix"]))).otherwise(F.col("name")))
             .withColumn("is_active", F.when(hit, F.lit(False)).otherwise(F.col("is_active")))
             .drop("_d"))
 

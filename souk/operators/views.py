@@ -341,6 +341,7 @@ def service_detail(T) -> DataFrame:
 # ----------------------------------------------------------------------------- J16
 def user_full(T) -> DataFrame:
     """User + executor profile (with derived level, skills, socials) + A7 numbers."""
+    from souk.operators.changes import TEXT
     from souk.operators.reports import executor_stats
     from souk.functions.predicates import (availability_label, executor_level, known_socials,
                                            skill_percents)
@@ -355,7 +356,7 @@ def user_full(T) -> DataFrame:
         .alias("availability"),
         F.col("p.specialization").alias("specialization"),
         money("p.hourly_rate").alias("hourly_rate"),
-        F.coalesce(F.col("p.response_time"), F.lit("< 24 часов")).alias("response_time"),
+        F.coalesce(F.col("p.response_time"), F.lit(TEXT["default_response_time"])).alias("response_time"),
         F.array_join(F.transform(skill_percents("p.skills"),
                                  lambda k: F.concat_ws(":", k["name"], k["pct"].cast("string"))), ",")
         .alias("skills_text"),
