@@ -148,3 +148,18 @@ def _status_stream(T):
 
 register("apply_status_stream", REGISTRY["apply_status_changes"].sql,
          "T8: status changes arriving as a stream, C2 per micro-batch on the current orders")(_status_stream)
+
+
+_REG = S.POLICIES["registration"]
+register("limit_attempts_registration", _LIMIT_SQL.replace("INTERVAL 12 HOUR", "INTERVAL 1 HOUR")
+         .replace("cnt > 2 AS blocked", "cnt > 3 AS blocked"),
+         "T1/T2: the limiter under the registration policy (3 per hour)")(
+    lambda T: S.limit_attempts(T["attempts"], _REG))
+
+_ALL_LIMIT, _ALL_WINDOW = S.REQUEST_LIMITS["all"]
+register("request_rate_all", """
+SELECT attempt_key AS client, time_bucket(INTERVAL 1 MINUTE, ts) AS window_start, count(*) AS requests,
+       count(*) > 300 AS limited
+FROM m_attempts GROUP BY ALL""", "T3: requests per client per minute against the global limit")(
+    lambda T: S.request_rate(T["attempts"].withColumnRenamed("attempt_key", "client"),
+                             limit=_ALL_LIMIT, window=_ALL_WINDOW))
