@@ -34,6 +34,12 @@ TEXT = {
     "admin_message_prefix": "🛡️ [Администратор]: ",
     "deleted_name_suffix": " (удалён)",
     "default_response_time": "< 24 часов",
+    "status_changed_title": "Статус заказа изменён",
+    "payout_title": "💰 Оплата получена!",
+    "payout_body": "Зачислено ",
+    "refund_title": "↩️ Возврат средств",
+    "refund_body": "Возвращено ",
+    "currency": " ₽",
 }
 
 # Who may move an order from which state to which.
@@ -301,12 +307,25 @@ def status_effects(T, outcomes: DataFrame, requests: DataFrame, forced: bool = F
               .withColumn("status", F.coalesce("new_status", "status"))
               .withColumn("updated_at", F.coalesce(F.col("_ts").cast("timestamp"), F.col("updated_at").cast("timestamp")))
               .drop("new_status", "_ts"))
+    from souk.functions.predicates import ru_number
     other = F.when(F.col("actor_id") == F.col("customer_id"), F.col("executor_id")).otherwise(F.col("customer_id"))
+    data = F.to_json(F.struct("order_id")).alias("data")
     notes = acc.select(F.concat(F.lit("ns-"), request_uuid("request_id")).alias("id"), other.alias("user_id"),
-                       F.lit("status_changed").alias("type"), F.col("new_status").alias("title"),
-                       F.to_json(F.struct("order_id")).alias("data"), F.col("ts").alias("created_at"))
+                       F.lit("order_accepted").alias("type"), F.lit(TEXT["status_changed_title"]).alias("title"),
+                       F.concat(F.lit("«"), "old_status", F.lit("» → «"), "new_status", F.lit("»")).alias("body"),
+                       data, F.col("ts").alias("created_at"))
+
+    def money_note(df: DataFrame, prefix: str, title: str, body: str) -> DataFrame:
+        return df.select(F.concat(F.lit(prefix), request_uuid("request_id")).alias("id"), "user_id",
+                         F.lit("payment_received").alias("type"), F.lit(TEXT[title]).alias("title"),
+                         F.concat(F.lit(TEXT[body]), ru_number("total_price"), F.lit(TEXT["currency"])).alias("body"),
+                         data, F.col("ts").alias("created_at"))
+    paid = money_note(pay.select("request_id", "order_id", F.col("executor_id").alias("user_id"), "total_price", "ts"),
+                      "np-", "payout_title", "payout_body")
+    back = money_note(refund.select("request_id", "order_id", F.col("customer_id").alias("user_id"), "total_price",
+                                    "ts"), "nr-", "refund_title", "refund_body")
     return {"status_log": log, "transactions": tx, "balances": balances, "orders": orders,
-            "notifications": notes}
+            "notifications": notes.unionByName(paid).unionByName(back)}
 
 
 # States an admin may set.

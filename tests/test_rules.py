@@ -113,6 +113,11 @@ def test_status_changes(spark, base):
     bal = {r.user_id: r.amount for r in eff["balances"].collect()}
     assert bal["s1"] == D("100.00")
     assert {r.id: r.status for r in eff["orders"].collect()}["o1"] == "completed"
+    notes = eff["notifications"].collect()
+    assert sorted(n.body for n in notes if n.type == "order_accepted") == [
+        "«created» → «in_progress»", "«in_progress» → «review»", "«review» → «completed»"]
+    paid = [n for n in notes if n.type == "payment_received"]
+    assert len(paid) == 1 and paid[0].user_id == "s1" and paid[0].body == "Зачислено 100 ₽"
 
 
 def test_force_status_pays_once(spark, base):
