@@ -40,6 +40,9 @@ TEXT = {
     "refund_title": "↩️ Возврат средств",
     "refund_body": "Возвращено ",
     "currency": " ₽",
+    "price_changed_title": "💰 Цена изменена",
+    "price_changed_body": "Исполнитель изменил цену на ",
+    "price_changed_chat": "💰 Исполнитель изменил цену: ",
 }
 
 # Who may move an order from which state to which.
@@ -363,10 +366,12 @@ def apply_price_changes(T, requests: DataFrame) -> DataFrame:
     o = T["orders"].select(F.col("id").alias("_oid"), "executor_id", "customer_id",
                            F.col("status").alias("order_status"))
     j = requests.join(o, F.col("order_id") == F.col("_oid"), "left")
-    reason = (F.when(F.col("_oid").isNull(), "order")
-              .when(F.col("actor_id") != F.col("executor_id"), "executor")
+    participant = (F.col("actor_id") == F.col("customer_id")) | (F.col("actor_id") == F.col("executor_id"))
+    # the handler's order: price, participant, open order, executor
+    reason = (F.when(~F.coalesce(F.col("price") > 0, F.lit(False)), "price")
+              .when(F.col("_oid").isNull() | ~F.coalesce(participant, F.lit(False)), "order")
               .when(~F.col("order_status").isin("created", "in_progress"), "status")
-              .when(~F.coalesce(F.col("price") > 0, F.lit(False)), "price"))
+              .when(F.col("actor_id") != F.col("executor_id"), "executor"))
     j = j.withColumn("reason", reason)
     ok = j.filter(F.col("reason").isNull())
     last = first_per_key(ok.select("order_id", "ts", "request_id"), "order_id", last=True) \
@@ -378,6 +383,38 @@ def apply_price_changes(T, requests: DataFrame) -> DataFrame:
                     "reason"))
 
 
+def price_change_effects(T, requests: DataFrame) -> dict[str, DataFrame]:
+    """Every accepted price change notifies the customer (X1's intent) and writes a chat
+    line with the previous and the new price; the order keeps the last price. The
+    previous price of a change is the one before it (a ``lag``), or the stored price."""
+    from pyspark.sql import Window
+    from souk.functions.predicates import ru_number
+    out = apply_price_changes(T, requests).filter(F.col("status") != "rejected").select("request_id")
+    o = T["orders"].select(F.col("id").alias("order_id"), "customer_id", "total_price")
+    acc = requests.join(out, "request_id").join(o, "order_id")
+    w = Window.partitionBy("order_id").orderBy("ts", "request_id")
+    acc = acc.withColumn("old_price", F.coalesce(F.lag("price").over(w), F.col("total_price")))
+    note = F.coalesce(F.col("note"), F.lit(""))
+    notes = acc.select(
+        F.concat(F.lit("npc-"), request_uuid("request_id")).alias("id"), F.col("customer_id").alias("user_id"),
+        F.lit("price_changed").alias("type"), F.lit(TEXT["price_changed_title"]).alias("title"),
+        F.concat(F.lit(TEXT["price_changed_body"]), ru_number("price"), F.lit(TEXT["currency"]),
+                 F.when(F.length(note) > 0, F.concat(F.lit(" — "), note)).otherwise(F.lit(""))).alias("body"),
+        F.to_json(F.struct("order_id")).alias("data"), F.col("ts").alias("created_at"))
+    chat = acc.select(
+        F.concat(F.lit("mpc-"), request_uuid("request_id")).alias("id"), "order_id",
+        F.col("actor_id").alias("sender_id"),
+        F.concat(F.lit(TEXT["price_changed_chat"]), ru_number("old_price"), F.lit(" → "), ru_number("price"),
+                 F.lit(TEXT["currency"]),
+                 F.when(F.length(note) > 0, F.concat(F.lit(" ("), note, F.lit(")"))).otherwise(F.lit("")))
+        .alias("message"), F.lit(False).alias("is_read"), F.col("ts").alias("created_at"))
+    last = first_per_key(acc.select("order_id", "ts", "request_id", "price"), "order_id", last=True)
+    orders = (T["orders"].join(last.select(F.col("order_id").alias("id"), F.col("price").alias("_p")), "id", "left")
+              .withColumn("total_price", F.coalesce(F.col("_p"), F.col("total_price")).cast("decimal(12,2)"))
+              .drop("_p"))
+    return {"orders": orders, "notifications": notes, "messages": chat}
+
+
 # ----------------------------------------------------------------------------- C4
 def apply_reviews(T, requests: DataFrame) -> DataFrame:
     """C4 outcomes: rating 1..5 and comment ≤ 1000 (trimmed), the order is the

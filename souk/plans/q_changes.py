@@ -97,9 +97,10 @@ FROM (
            PARTITION BY order_id, reason IS NULL ORDER BY ts DESC, request_id DESC) END AS rk
   FROM (
     SELECT r.request_id, r.order_id, r.actor_id, cast(r.price as double) AS price, r.ts,
-           CASE WHEN o.id IS NULL THEN 'order' WHEN r.actor_id <> o.executor_id THEN 'executor'
+           CASE WHEN NOT coalesce(r.price > 0, false) THEN 'price'
+                WHEN o.id IS NULL OR NOT (r.actor_id = o.customer_id OR r.actor_id = o.executor_id) THEN 'order'
                 WHEN o.status NOT IN ('created','in_progress') THEN 'status'
-                WHEN NOT coalesce(r.price > 0, false) THEN 'price' END AS reason
+                WHEN r.actor_id <> o.executor_id THEN 'executor' END AS reason
     FROM m_req_price r LEFT JOIN m_orders o ON o.id = r.order_id) q) z""",
          "C3: price changes, executor only, open orders, last wins")(
     lambda T: C.apply_price_changes(T, T["req_price"]))

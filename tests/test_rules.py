@@ -326,3 +326,22 @@ def test_refund_anomalies_and_ledger_gaps(spark, base):
     assert gaps == {"c2": (D("100.00"), D("30.00"), D("100.00")), "s2": (D("5.00"), 0, D("5.00"))}
     fixed = dict(Q.fix_balances(t).collect())
     assert fixed == {"c1": D("100.00"), "c2": D("100.00"), "s2": D("5.00")}
+
+
+def test_price_changes_and_effects(spark, base):
+    req = df(spark, [("p1", ts(2001, 8, 2, 1), "o1", "s1", D("120.00"), None),
+                     ("p2", ts(2001, 8, 2, 2), "o1", "s1", D("1500.50"), "more work"),
+                     ("p3", ts(2001, 8, 2, 3), "o1", "c1", D("90.00"), None),      # customer: not allowed
+                     ("p4", ts(2001, 8, 2, 4), "o2", "s1", D("90.00"), None),      # completed order
+                     ("p5", ts(2001, 8, 2, 5), "o1", "c2", D("90.00"), None),      # not a participant
+                     ("p6", ts(2001, 8, 2, 6), "o1", "s1", D("0.00"), None)],      # no price
+             "request_id string, ts timestamp, order_id string, actor_id string, price decimal(12,2), note string")
+    out = {r.request_id: (r.status, r.reason) for r in C.apply_price_changes(base, req).collect()}
+    assert out == {"p1": ("superseded", None), "p2": ("applied", None), "p3": ("rejected", "executor"),
+                   "p4": ("rejected", "status"), "p5": ("rejected", "order"), "p6": ("rejected", "price")}
+    eff = C.price_change_effects(base, req)
+    assert {r.id: r.total_price for r in eff["orders"].collect()}["o1"] == D("1500.50")
+    chat = sorted(r.message for r in eff["messages"].collect())
+    assert chat == ["💰 Исполнитель изменил цену: 100 → 120 ₽",
+                    "💰 Исполнитель изменил цену: 120 → 1\u00a0500,5 ₽ (more work)"]   # no-break space
+    assert {r.user_id for r in eff["notifications"].collect()} == {"c1"}
