@@ -43,6 +43,7 @@ TEXT = {
     "price_changed_title": "💰 Цена изменена",
     "price_changed_body": "Исполнитель изменил цену на ",
     "price_changed_chat": "💰 Исполнитель изменил цену: ",
+    "new_review_title": "Новый отзыв! ⭐",
 }
 
 # Who may move an order from which state to which.
@@ -449,6 +450,19 @@ def review_rows(T, requests: DataFrame, outcomes: DataFrame) -> DataFrame:
                     "executor_id", "rating", "comment", F.col("ts").alias("created_at")))
 
 
+def review_effects(T, requests: DataFrame, outcomes: DataFrame) -> dict[str, DataFrame]:
+    """Accepted reviews: the new rows, the executor's notification, and the services'
+    rating and review count recomputed from all reviews (A9, what the trigger kept)."""
+    from souk.operators.reports import service_ratings
+    new = review_rows(T, requests, outcomes)
+    notes = new.select(F.concat(F.lit("nrv-"), F.col("id")).alias("id"), F.col("executor_id").alias("user_id"),
+                       F.lit("new_review").alias("type"), F.lit(TEXT["new_review_title"]).alias("title"),
+                       F.to_json(F.struct("order_id", "rating")).alias("data"), "created_at")
+    reviews = T["reviews"].unionByName(new.select(*T["reviews"].columns))
+    return {"reviews": reviews, "notifications": notes,
+            "ratings": service_ratings({"reviews": reviews, "services": T["services"]})}
+
+
 # ----------------------------------------------------------------------------- C6 / C7
 def apply_deposits(T, requests: DataFrame) -> dict[str, DataFrame]:
     """Deposits above 99 add to the balance and append a deposit row."""

@@ -345,3 +345,13 @@ def test_price_changes_and_effects(spark, base):
     assert chat == ["💰 Исполнитель изменил цену: 100 → 120 ₽",
                     "💰 Исполнитель изменил цену: 120 → 1\u00a0500,5 ₽ (more work)"]   # no-break space
     assert {r.user_id for r in eff["notifications"].collect()} == {"c1"}
+
+
+
+def test_review_effects_update_ratings(spark, base):
+    req = df(spark, [("x1", ts(2001, 8, 2, 1), "c2", "o2", 4, " ok ")],
+             "request_id string, ts timestamp, customer_id string, order_id string, rating int, comment string")
+    eff = C.review_effects(base, req, C.apply_reviews(base, req))
+    assert {r.service_id: (r.rating, r.reviews_count) for r in eff["ratings"].collect()}["p1"] == (4.0, 1)
+    note = eff["notifications"].first()
+    assert note.user_id == "s1" and note.data == '{"order_id":"o2","rating":4}'
