@@ -14,7 +14,8 @@ _spec.loader.exec_module(entry_mod)
 QUERIES = entry_mod.queries()
 
 # ordered folds and stateful streams run Python over Arrow batches by design
-FOLDS = {"place_orders", "adjust_balances", "apply_status_changes", "apply_status_changes_split", "limit_attempts"}
+FOLDS = {"place_orders", "adjust_balances", "apply_status_changes", "apply_status_changes_split", "limit_attempts",
+         "limit_attempts_registration"}
 STREAMS = {n for n in QUERIES if n.endswith("_stream") or n in ("streaming_ratings",)}
 # one-row results combined side by side (each side is a global aggregate)
 ONE_ROW_COMBINES = {"platform_stats", "health_counts", "table_counts", "category_counts", "run_retention",
