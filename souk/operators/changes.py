@@ -44,6 +44,7 @@ TEXT = {
     "price_changed_body": "Исполнитель изменил цену на ",
     "price_changed_chat": "💰 Исполнитель изменил цену: ",
     "new_review_title": "Новый отзыв! ⭐",
+    "new_message_title": "Новое сообщение",
 }
 
 # Who may move an order from which state to which.
@@ -521,6 +522,23 @@ def post_messages(T, requests: DataFrame) -> DataFrame:
         F.when(F.col("reason").isNull(), "accepted").otherwise("rejected").alias("status"), "reason")
 
 
+def message_effects(T, requests: DataFrame) -> dict[str, DataFrame]:
+    """Accepted chat lines as message rows, and the other side's notification
+    (admin lines carry the prefix and notify nobody)."""
+    out = post_messages(T, requests).filter(F.col("status") == "accepted")
+    req = requests.select("request_id", "ts")
+    acc = out.join(req, "request_id")
+    messages = acc.select(request_uuid("request_id").alias("id"), "order_id", "sender_id",
+                          F.col("stored").alias("message"), F.lit(False).alias("is_read"),
+                          F.col("ts").alias("created_at"))
+    notes = acc.filter(F.col("notify_user").isNotNull()).select(
+        F.concat(F.lit("nm-"), request_uuid("request_id")).alias("id"), F.col("notify_user").alias("user_id"),
+        F.lit("new_message").alias("type"), F.lit(TEXT["new_message_title"]).alias("title"),
+        F.col("notify_body").alias("body"), F.to_json(F.struct("order_id")).alias("data"),
+        F.col("ts").alias("created_at"))
+    return {"messages": messages, "notifications": notes}
+
+
 def mark_read(T, requests: DataFrame) -> dict[str, DataFrame]:
     """A reader marks an order's messages from others read; order_id null = all notifications."""
     msg_req = requests.filter(F.col("order_id").isNotNull()).select(

@@ -355,3 +355,21 @@ def test_review_effects_update_ratings(spark, base):
     assert {r.service_id: (r.rating, r.reviews_count) for r in eff["ratings"].collect()}["p1"] == (4.0, 1)
     note = eff["notifications"].first()
     assert note.user_id == "s1" and note.data == '{"order_id":"o2","rating":4}'
+
+
+
+def test_message_effects(spark, base):
+    req = df(spark, [("m1", ts(2001, 8, 2, 1), "o1", "c1", "hello " + "x" * 150, False),
+                     ("m2", ts(2001, 8, 2, 2), "o2", "c2", "late", False),           # completed order
+                     ("m3", ts(2001, 8, 2, 3), "o1", "a0", "  watch it ", True),     # admin line
+                     ("m4", ts(2001, 8, 2, 4), "o1", "c2", "hi", False)],            # not a participant
+             "request_id string, ts timestamp, order_id string, sender_id string, message string, "
+             "is_admin boolean")
+    out = {r.request_id: (r.status, r.reason) for r in C.post_messages(base, req).collect()}
+    assert out == {"m1": ("accepted", None), "m2": ("rejected", "closed"), "m3": ("accepted", None),
+                   "m4": ("rejected", "participant")}
+    eff = C.message_effects(base, req)
+    msgs = sorted(r.message for r in eff["messages"].collect())
+    assert msgs[0].startswith("hello") and msgs[1] == "🛡️ [Администратор]: watch it"
+    notes = eff["notifications"].collect()
+    assert len(notes) == 1 and notes[0].user_id == "s1" and len(notes[0].body) == 100
