@@ -496,6 +496,21 @@ def adjust_balances(T, requests: DataFrame) -> DataFrame:
                         sort_only=["ts"])
 
 
+def adjust_effects(T, requests: DataFrame, outcomes: DataFrame) -> dict[str, DataFrame]:
+    """Accepted manual changes: a deposit (positive) or withdrawal (negative) row with
+    the absolute amount and the request's reason, and the balances moved by it."""
+    acc = (outcomes.filter(F.col("status") == "accepted").select("request_id")
+           .join(requests, "request_id"))
+    tx = acc.select(F.concat(F.lit("tx-"), request_uuid("request_id")).alias("id"), "user_id",
+                    F.lit(None).cast("string").alias("order_id"),
+                    F.when(F.col("amount") > 0, "deposit").otherwise("withdrawal").alias("type"),
+                    F.abs("amount").cast("decimal(12,2)").alias("amount"),
+                    F.col("reason").alias("description"), F.col("ts").alias("created_at"))
+    balances = upsert(T["balances"].select("user_id", "amount"), acc.select("user_id", "amount"),
+                      "user_id", "amount", "add")
+    return {"transactions": tx, "balances": balances}
+
+
 # ----------------------------------------------------------------------------- C8 / C9
 ADMIN_PREFIX = TEXT["admin_message_prefix"]
 

@@ -373,3 +373,26 @@ def test_message_effects(spark, base):
     assert msgs[0].startswith("hello") and msgs[1] == "🛡️ [Администратор]: watch it"
     notes = eff["notifications"].collect()
     assert len(notes) == 1 and notes[0].user_id == "s1" and len(notes[0].body) == 100
+
+
+
+def test_deposits_and_manual_changes(spark, base):
+    dep = df(spark, [("d1", ts(2001, 8, 2, 1), "c1", D("150.00"), "topup"), ("d2", ts(2001, 8, 2, 2), "c2", D("99.00"), "x"),
+                     ("d3", ts(2001, 8, 2, 3), "s9", D("200.00"), "new")],
+             "request_id string, ts timestamp, user_id string, amount decimal(12,2), reason string")
+    eff = C.apply_deposits(base, dep)
+    assert dict(eff["balances"].collect()) == {"c1": D("250.00"), "c2": D("30.00"), "s9": D("200.00")}
+    assert [r.request_id for r in eff["rejects"].collect()] == ["d2"] and eff["transactions"].count() == 2
+    adj = df(spark, [("a1", ts(2001, 8, 2, 1), "c2", D("-40.00"), "fee"),     # more than the balance
+                     ("a2", ts(2001, 8, 2, 2), "c2", D("-30.00"), "fee"),     # exactly the balance
+                     ("a3", ts(2001, 8, 2, 3), "c2", D("0.00"), "none"),
+                     ("a4", ts(2001, 8, 2, 4), "c2", D("5.00"), "bonus")],
+             "request_id string, ts timestamp, user_id string, amount decimal(12,2), reason string")
+    out = C.adjust_balances(base, adj)
+    got = {r.request_id: (r.status, r.reason, r.balance_after) for r in out.collect()}
+    assert got == {"a1": ("rejected", "funds", D("30.00")), "a2": ("accepted", None, D("0.00")),
+                   "a3": ("rejected", "amount", D("0.00")), "a4": ("accepted", None, D("5.00"))}
+    e2 = C.adjust_effects(base, adj, out)
+    assert sorted((r.type, r.amount) for r in e2["transactions"].collect()) == [
+        ("deposit", D("5.00")), ("withdrawal", D("30.00"))]
+    assert dict(e2["balances"].collect())["c2"] == D("5.00")
