@@ -396,3 +396,19 @@ def test_deposits_and_manual_changes(spark, base):
     assert sorted((r.type, r.amount) for r in e2["transactions"].collect()) == [
         ("deposit", D("5.00")), ("withdrawal", D("30.00"))]
     assert dict(e2["balances"].collect())["c2"] == D("5.00")
+
+
+def test_place_orders_effects(spark, base):
+    req = df(spark, [("r1", ts(2001, 8, 2, 1), "c1", "p1", "asap"), ("r2", ts(2001, 8, 2, 2), "c2", "p1", None)],
+             "request_id string, ts timestamp, customer_id string, service_id string, requirements string")
+    out = C.place_orders(base, req)
+    eff = C.place_orders_effects(base, req, out)
+    orders = eff["orders"].collect()
+    assert len(orders) == 1 and orders[0].customer_id == "c1" and orders[0].executor_id == "s1"
+    assert orders[0].deadline_date == dt.date(2001, 8, 5) and orders[0].total_price == D("100.00")
+    pay = eff["transactions"].first()
+    assert pay.type == "payment" and pay.order_id is None and pay.description == "Оплата заказа: Logo design pro"
+    note = eff["notifications"].first()
+    assert note.user_id == "s1" and note.body == "Заказ на «Logo design pro»"
+    assert dict(eff["balances"].collect()) == {"c1": D("0.00"), "c2": D("30.00")}
+    assert {r.id: r.orders_count for r in eff["services"].collect()}["p1"] == 1
