@@ -1,0 +1 @@
+"""Column-level predicates and scalar rules (no UDFs)."""

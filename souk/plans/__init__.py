@@ -1,0 +1 @@
+"""Registered queries (Spark plan + DuckDB oracle SQL) and the plan audit."""

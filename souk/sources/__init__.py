@@ -1,0 +1 @@
+"""Table sources, declared schemas, sinks and the fixture derivation."""

@@ -1,0 +1 @@
+"""Structured Streaming operators and their sinks."""
