@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.llm import decontamination, licenses, mixing, url_filter
+from souk.llm import decontamination, fingerprints, licenses, mixing, secrets, token_counts, url_filter
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -29,6 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_token_counts")
+def op1_token_counts(spark, sf_dir):
+    lengths = token_counts.document_lengths(table(spark, sf_dir, "documents").select("text"))
+    return token_counts.context_limits(token_counts.length_histogram(lengths))
+
+
 @query("op2_mixing", """
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size,
@@ -56,6 +62,21 @@ def op2_mixing(spark, sf_dir):
                        (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
+@query("op3_secrets")
+def op3_secrets(spark, sf_dir):
+    scanned, spans = secrets.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter(spans, lambda s: s["rank"] < 3)
+
+    def n(kind):
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+    def joined(xs):
+        return F.array_join(F.transform(xs, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    return scanned.select("doc_id", n("assign").alias("n_assign"), n("access").alias("n_access"), n("hex").alias("n_hex"),
+                          F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col(spans)).alias("spans"))
+
+
 @query("op5_url_filter")
 def op5_url_filter(spark, sf_dir):
     judged = url_filter.judge_urls(table(spark, sf_dir, "pages"))
@@ -91,6 +112,25 @@ def op7_decontamination(spark, sf_dir):
                         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+@query("op9_fingerprints")
+def op9_fingerprints(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    lookup = fingerprints.lexicon_lookup(fingerprints.lexicon(docs))
+    own, fp = fingerprints.fingerprints(docs, lookup)
+    pairs = fingerprints.with_next(own, ["text", fp])
+    cut = F.floor(F.length("text") / 3).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), F.length("text") - cut), F.substring("next_text", F.lit(1), cut))
+    out = pairs.select("doc_id", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"),
+                       F.col(fp).alias("own"), F.col(f"next_{fp}").alias("following"))
+    out, changed = fingerprints.fingerprints(out, lookup, "edited")
+    out = out.withColumnRenamed(changed, "changed")
+    return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+                      fingerprints.as_text(F.col("own")).alias("fingerprint"),
+                      fingerprints.as_text(F.col("changed")).alias("edited_fingerprint"),
+                      fingerprints.likeness(F.col("own"), F.col("changed")).alias("near_edited"),
+                      fingerprints.likeness(F.col("own"), F.col("following")).alias("near_next"))
+
+
 @query("op10_licenses")
 def op10_licenses(spark, sf_dir):
     scanned = licenses.scan_licenses(table(spark, sf_dir, "documents"))
