@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.llm import decontamination, fingerprints, licenses, mixing, secrets, token_counts, url_filter
+from souk.llm import decontamination, fingerprints, licenses, mixing, secrets, token_counts, toxicity, url_filter
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -112,6 +112,14 @@ def op7_decontamination(spark, sf_dir):
                         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+@query("op8_toxicity")
+def op8_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored, (score, evidence) = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", toxicity.is_held_out(F.col("doc_id")).alias("held_out"), F.col(score).alias("score"),
+                         (F.col(score) >= 0.5).cast("int").alias("predicted"), F.col(evidence).alias("evidence"))
+
+
 @query("op9_fingerprints")
 def op9_fingerprints(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
