@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.llm import decontamination, fingerprints, licenses, mixing, secrets, token_counts, toxicity, url_filter
+from souk.llm import decontamination, fingerprints, licenses, mixing, near_dedup, secrets, token_counts, toxicity, url_filter
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -77,6 +77,11 @@ def op3_secrets(spark, sf_dir):
                           F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col(spans)).alias("spans"))
 
 
+@query("op4_near_dedup")
+def op4_near_dedup(spark, sf_dir):
+    return near_dedup.assign_classes(table(spark, sf_dir, "documents"))
+
+
 @query("op5_url_filter")
 def op5_url_filter(spark, sf_dir):
     judged = url_filter.judge_urls(table(spark, sf_dir, "pages"))
