@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.llm import decontamination, fingerprints, licenses, mixing, near_dedup, secrets, token_counts, toxicity, url_filter
+from souk.llm import decontamination, fingerprints, licenses, mixing, near_dedup, pii, secrets, token_counts, toxicity, url_filter
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -88,6 +88,12 @@ def op5_url_filter(spark, sf_dir):
     return judged.select("page_id", "host", "path", "rule", "verdict", "alias")
 
 
+@query("op6_pii")
+def op6_pii(spark, sf_dir):
+    replaced, entities = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return replaced.select("doc_id", "text", F.col(entities).alias("entities"))
+
+
 @query("op7_decontamination", """
 WITH dw AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(
               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
