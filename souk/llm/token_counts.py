@@ -89,7 +89,8 @@ def answer(limits: DataFrame, limit: int) -> DataFrame:
     below = limits.filter(F.col("length") <= limit).agg(F.max_by(
         F.struct("docs_over", "tokens_over", "tokens_total", "docs_total"), "length").alias("s"))
     all_over = limits.agg(F.max("docs_total").alias("docs"), F.max("tokens_total").alias("tokens"))
-    s = F.coalesce("s", F.struct(F.col("docs"), F.col("tokens"), F.col("tokens"), F.col("docs")))
+    s = F.coalesce("s", F.struct(F.col("docs").alias("docs_over"), F.col("tokens").alias("tokens_over"),
+                                    F.col("tokens").alias("tokens_total"), F.col("docs").alias("docs_total")))
     return (below.crossJoin(all_over).filter("docs is not null").select(F.lit(limit).alias("limit"), s.alias("s"))
             .select("limit", "s.docs_over", "s.tokens_over",
                     (F.col("s.tokens_total") - F.col("s.tokens_over") + F.col("s.docs_over") * limit).alias("tokens_kept")))

@@ -76,12 +76,8 @@ def _absolute(href: Column, url: Column) -> Column:
             .otherwise(F.concat(F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/"))), href)))
 
 
-def alias_edges(pages: DataFrame) -> DataFrame:
-    """(a, b) canonical forms of a page and of what it redirects or points to as canonical.
-
-    A node is a canonical form, so spellings of one address are one node
-    already; pages whose markup names no other address add no edge.
-    """
+def alias_links(pages: DataFrame) -> DataFrame:
+    """(url, target): addresses that pages redirect or point to as canonical, absolute."""
     linked = pages.filter(F.col("html").rlike(r"(?i)canonical|http-equiv") & F.col("url").contains("://"))
     tags = F.regexp_extract_all("html", F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
     tag = F.col("tag")
@@ -90,8 +86,17 @@ def alias_edges(pages: DataFrame) -> DataFrame:
     target = (F.when(tag.rlike(r"""(?is)^<link\b.*\brel\s*=\s*["']?canonical\b"""), href)
               .when(tag.rlike(r"""(?is)^<meta\b.*\bhttp-equiv\s*=\s*["']?refresh\b"""), to))
     out = linked.select("url", F.explode(tags).alias("tag")).select("url", target.alias("target")).filter("target <> ''")
-    a, b = canonical_form(F.col("url")), canonical_form(_absolute(F.col("target"), F.col("url")))
-    return out.select(a.alias("a"), b.alias("b")).filter("a is not null and b is not null and a <> b").distinct()
+    return out.select("url", _absolute(F.col("target"), F.col("url")).alias("target")).distinct()
+
+
+def alias_edges(links: DataFrame) -> DataFrame:
+    """(a, b) canonical forms of the two ends of each link.
+
+    A node is a canonical form, so spellings of one address are one node
+    already; pages whose markup names no other address add no edge.
+    """
+    out = links.select(canonical_form(F.col("url")).alias("a"), canonical_form(F.col("target")).alias("b"))
+    return out.filter("a is not null and b is not null and a <> b").distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -125,17 +130,20 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 def judge_urls(pages: DataFrame, rules=RULES, default: str = "allow") -> DataFrame:
     """``pages`` plus host, path, rule, alias (the component's name) and verdict.
 
-    Decisions are gathered per canonical form (combined before the shuffle),
-    then per component, and joined back on the canonical form. Input columns
+    Rules judge the pages' addresses and those that they link to. Decisions are
+    gathered per canonical form (combined before the shuffle), then per
+    component, and joined back on the canonical form. Input columns
     named like a new one are replaced by it.
     """
     url = F.col("url")
-    judged = pages.select("url").filter(url.contains("://")).distinct().select(
+    links = stored(alias_links(pages), "url-links")
+    every = pages.select("url").unionByName(links.select(F.col("target").alias("url")))
+    judged = every.filter(url.contains("://")).distinct().select(
         canonical_form(url).alias("node"), rule_for(host_of(url), path_of(url), rules)["verdict"].alias("verdict"))
     judged = stored(judged.filter("node is not null").groupBy("node").agg(
         F.coalesce(F.max(F.col("verdict") == "allow"), F.lit(False)).alias("allowed"),
         F.coalesce(F.max(F.col("verdict") == "block"), F.lit(False)).alias("blocked")), "url-nodes")
-    roots = stored(components(alias_edges(pages)), "url-roots")
+    roots = stored(components(alias_edges(links)), "url-roots")
     judged = judged.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     groups = judged.groupBy("root").agg(F.max("allowed").alias("allowed"), F.max("blocked").alias("blocked"))
     node, root, group, fit, own = fresh(pages, "_node", "_root", "_group", "_fit", "_own")
