@@ -73,7 +73,7 @@ class Model:
         starts = range(0, len(keep), BLOCK)
         self.blocks = [(a, min(a + BLOCK, len(keep))) for a in starts]
         # the inverted index: feature -> blocks, largest weights
-        most = np.array([self.v[a:b].max(axis=0) for a, b in self.blocks]).reshape(-1, len(features))
+        most = np.array([self.v[a:b].max(axis=0) for a, b in self.blocks]).reshape(len(self.blocks), len(features))
         self.postings = [(np.flatnonzero(col), col[np.flatnonzero(col)]) for col in most.T]
         self.knots = None
         self._calibrate()
