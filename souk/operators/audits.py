@@ -183,12 +183,12 @@ def request_reason(kind: str, df: DataFrame) -> Column:
                 .when(~F.coalesce(c("email") == js_trim(c("email")), F.lit(False)) | ~email_ok("email"), "email"))
     if kind == "review":
         return (F.when(~F.coalesce(c("rating").between(1, 5), F.lit(False)), "rating")
-                .when(F.coalesce(F.length(c("comment")), F.lit(0)) > 1000, "comment"))
+                .when(F.coalesce(F.length(js_trim(c("comment"))), F.lit(0)) > 1000, "comment"))
     if kind == "deposit":
         return F.when(~F.coalesce(c("amount") > 99, F.lit(False)), "amount")
     if kind == "message":
         n = F.coalesce(F.length(js_trim(c("message"))), F.lit(0))
-        return F.when((n < 1) | (F.length(c("message")) > 2000), "message")
+        return F.when((n < 1) | (n > 2000), "message")
     if kind == "price":
         return F.when(~F.coalesce(c("price") > 0, F.lit(False)), "price")
     raise ValueError(kind)

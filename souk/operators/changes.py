@@ -21,7 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from souk.functions.predicates import CLOSED_ORDER_STATES, request_uuid
+from souk.functions.text import js_trim
 from souk.operators.folds import ordered_fold
+from souk.operators.ordering import running_totals
 
 CENT = Decimal("0.01")
 
@@ -45,6 +47,17 @@ TEXT = {
     "price_changed_chat": "💰 Исполнитель изменил цену: ",
     "new_review_title": "Новый отзыв! ⭐",
     "new_message_title": "Новое сообщение",
+    "payout_description": "Оплата за выполненный заказ",
+    "refund_description": "Возврат за отменённый заказ",
+    "forced_payout_description": "выплата по решению администратора",
+    "forced_refund_description": "возврат по решению администратора",
+    "forced_title": "⚠️ Статус заказа изменён администратором",
+    "forced_body": ("Статус изменён с «", "» на «", "»"),
+    "forced_reason": ". Причина: ",
+    "forced_note": "принудительно изменено администратором",
+    "default_category_icon": "📁",
+    "deposit_description": "Пополнение баланса",
+    "adjust_description": "корректировка администратором",
 }
 
 # Who may move an order from which state to which.
@@ -283,6 +296,29 @@ def apply_status_changes(T, requests: DataFrame, orders: DataFrame | None = None
                         sort_only=["ts"])
 
 
+def forced_status_effects(T, outcomes: DataFrame, requests: DataFrame,
+                          orders: DataFrame | None = None) -> dict[str, DataFrame]:
+    """What accepted forced changes write: log rows with a note, one notification to each
+    side with the old and the new status and the reason, payout or refund rows with the
+    admin's description (and no payment notification), balances, new statuses."""
+    eff = status_effects(T, outcomes, requests, forced=True, orders=orders)
+    acc = (outcomes.filter(F.col("status") == "accepted").join(requests.select("request_id", "ts", "note"), "request_id")
+           .join((orders if orders is not None else T["orders"]).select(
+               F.col("id").alias("order_id"), "customer_id", "executor_id"), "order_id"))
+    head, middle, tail = TEXT["forced_body"]
+    reason = F.when(F.length("note") > 0, F.concat(F.lit(TEXT["forced_reason"]), "note")).otherwise("")
+    sides = F.explode(F.array(F.struct(F.lit("c").alias("side"), F.col("customer_id").alias("user_id")),
+                              F.struct(F.lit("e").alias("side"), F.col("executor_id").alias("user_id"))))
+    notes = acc.withColumn("to", sides).select(
+        F.concat(F.lit("nf-"), F.col("to.side"), request_uuid("request_id")).alias("id"), F.col("to.user_id").alias("user_id"),
+        F.lit("admin").alias("type"), F.lit(TEXT["forced_title"]).alias("title"),
+        F.concat(F.lit(head), "old_status", F.lit(middle), "new_status", F.lit(tail), reason).alias("body"),
+        F.to_json(F.struct("order_id")).alias("data"), F.col("ts").alias("created_at"))
+    note = F.when(F.length("note") > 0, F.col("note")).otherwise(F.lit(TEXT["forced_note"]))
+    log = eff["status_log"].withColumn("note", note)
+    return {**eff, "status_log": log, "notifications": notes}
+
+
 def status_effects(T, outcomes: DataFrame, requests: DataFrame, forced: bool = False,
                    orders: DataFrame | None = None) -> dict[str, DataFrame]:
     """Log rows, payouts (completed) and refunds (cancelled), notifications, new statuses."""
@@ -298,11 +334,13 @@ def status_effects(T, outcomes: DataFrame, requests: DataFrame, forced: bool = F
         refund = acc.filter((F.col("new_status") == "cancelled") & ~F.col("old_status").isin(*CLOSED_ORDER_STATES))
     else:
         refund = acc.filter((F.col("new_status") == "cancelled") & (F.col("old_status") != "completed"))
-    money_rows = (pay.select("request_id", "order_id", F.col("executor_id").alias("user_id"), "total_price", "ts")
+    about = lambda key: F.lit(TEXT[f"forced_{key}" if forced else key]).alias("description")
+    money_rows = (pay.select("request_id", "order_id", F.col("executor_id").alias("user_id"), "total_price", "ts",
+                             about("payout_description"))
                   .unionByName(refund.select("request_id", "order_id", F.col("customer_id").alias("user_id"),
-                                             "total_price", "ts")))
+                                             "total_price", "ts", about("refund_description"))))
     tx = money_rows.select(F.concat(F.lit("tx-"), request_uuid("request_id")).alias("id"), "user_id", "order_id",
-                           F.lit("deposit").alias("type"), F.col("total_price").alias("amount"),
+                           F.lit("deposit").alias("type"), F.col("total_price").alias("amount"), "description",
                            F.col("ts").alias("created_at"))
     credit = money_rows.groupBy("user_id").agg(F.sum("total_price").alias("amount"))
     balances = upsert(T["balances"].select("user_id", "amount"), credit, "user_id", "amount", "add")
@@ -428,7 +466,7 @@ def apply_reviews(T, requests: DataFrame) -> DataFrame:
          .join(have, F.col("order_id") == F.col("_rev"), "left"))
     # input rules first, then the order, then an existing review (the handler's order)
     reason = (F.when(~F.coalesce(F.col("rating").between(1, 5), F.lit(False)), "rating")
-              .when(F.coalesce(F.length(F.trim("comment")), F.lit(0)) > 1000, "comment")
+              .when(F.coalesce(F.length(js_trim(F.col("comment"))), F.lit(0)) > 1000, "comment")
               .when(F.col("_oid").isNull() | (F.col("_cust") != F.col("customer_id")), "order")
               .when(F.col("_st") != "completed", "status")
               .when(F.col("_rev").isNotNull(), "exists"))
@@ -436,19 +474,25 @@ def apply_reviews(T, requests: DataFrame) -> DataFrame:
     first = first_per_key(j.filter(F.col("reason").isNull()).select("order_id", "ts", "request_id"), "order_id") \
         .select(F.col("request_id").alias("_win"))
     return (j.join(first, F.col("request_id") == F.col("_win"), "left")
-            .select("request_id", "order_id", "customer_id", "rating",
+            .select("request_id", "order_id", "customer_id", "rating", stored_comment().alias("comment"),
                     F.when(F.col("reason").isNotNull(), "rejected")
                     .when(F.col("_win").isNotNull(), "accepted").otherwise("rejected").alias("status"),
                     F.coalesce(F.col("reason"), F.when(F.col("_win").isNull(), "duplicate")).alias("reason")))
 
 
+def stored_comment() -> Column:
+    """A review's comment as it is stored: trimmed, none instead of an empty one."""
+    text = js_trim(F.col("comment"))
+    return F.when(F.length(text) > 0, text)
+
+
 def review_rows(T, requests: DataFrame, outcomes: DataFrame) -> DataFrame:
     """New review rows of accepted requests (then A9 gives the new ratings)."""
     acc = outcomes.filter(F.col("status") == "accepted").select("request_id")
     o = T["orders"].select(F.col("id").alias("order_id"), "service_id", "executor_id")
     return (requests.join(acc, "request_id").join(o, "order_id")
             .select(request_uuid("request_id").alias("id"), "order_id", "service_id", "customer_id",
-                    "executor_id", "rating", "comment", F.col("ts").alias("created_at")))
+                    "executor_id", "rating", stored_comment().alias("comment"), F.col("ts").alias("created_at")))
 
 
 def review_effects(T, requests: DataFrame, outcomes: DataFrame) -> dict[str, DataFrame]:
@@ -470,7 +514,7 @@ def apply_deposits(T, requests: DataFrame) -> dict[str, DataFrame]:
     ok = requests.filter(F.col("amount") > 99)
     tx = ok.select(F.concat(F.lit("tx-"), request_uuid("request_id")).alias("id"), "user_id",
                    F.lit(None).cast("string").alias("order_id"), F.lit("deposit").alias("type"),
-                   "amount", F.col("ts").alias("created_at"))
+                   "amount", F.lit(TEXT["deposit_description"]).alias("description"), F.col("ts").alias("created_at"))
     balances = upsert(T["balances"].select("user_id", "amount"), ok.select("user_id", "amount"),
                       "user_id", "amount", "add")
     rejects = requests.filter(~F.coalesce(F.col("amount") > 99, F.lit(False))).withColumn("reason", F.lit("amount"))
@@ -505,7 +549,8 @@ def adjust_effects(T, requests: DataFrame, outcomes: DataFrame) -> dict[str, Dat
                     F.lit(None).cast("string").alias("order_id"),
                     F.when(F.col("amount") > 0, "deposit").otherwise("withdrawal").alias("type"),
                     F.abs("amount").cast("decimal(12,2)").alias("amount"),
-                    F.col("reason").alias("description"), F.col("ts").alias("created_at"))
+                    F.when(F.length("reason") > 0, F.col("reason")).otherwise(F.lit(TEXT["adjust_description"]))
+                    .alias("description"), F.col("ts").alias("created_at"))
     balances = upsert(T["balances"].select("user_id", "amount"), acc.select("user_id", "amount"),
                       "user_id", "amount", "add")
     return {"transactions": tx, "balances": balances}
@@ -517,13 +562,14 @@ ADMIN_PREFIX = TEXT["admin_message_prefix"]
 
 def post_messages(T, requests: DataFrame) -> DataFrame:
     """Accepted chat lines (participant, order open, 1..2000 chars) and the
-    notification body for the other side; admin lines skip the checks and get a prefix."""
+    notification body for the other side; admin lines skip the checks and get a prefix.
+    The line is trimmed first; length, stored text and body are of the trimmed one."""
     o = T["orders"].select(F.col("id").alias("_oid"), "customer_id", "executor_id", F.col("status").alias("_st"))
     j = requests.join(o, F.col("order_id") == F.col("_oid"), "left")
-    text = F.trim(F.col("message"))
+    text = js_trim(F.col("message"))
     reason = (F.when(F.coalesce(F.length(text), F.lit(0)) < 1, "message")
               .when(F.col("is_admin"), F.lit(None))
-              .when(F.length("message") > 2000, "message")
+              .when(F.length(text) > 2000, "message")
               .when(F.col("_oid").isNull() | ~((F.col("sender_id") == F.col("customer_id"))
                                               | (F.col("sender_id") == F.col("executor_id"))), "participant")
               .when(F.col("_st").isin(*CLOSED_ORDER_STATES), "closed"))
@@ -531,9 +577,9 @@ def post_messages(T, requests: DataFrame) -> DataFrame:
     j = j.withColumn("reason", reason)
     return j.select(
         "request_id", "order_id", "sender_id",
-        F.when(F.col("is_admin"), F.concat(F.lit(ADMIN_PREFIX), text)).otherwise(F.col("message")).alias("stored"),
+        F.when(F.col("is_admin"), F.concat(F.lit(ADMIN_PREFIX), text)).otherwise(text).alias("stored"),
         F.when(F.col("reason").isNull() & ~F.col("is_admin"), other).alias("notify_user"),
-        F.when(F.col("reason").isNull() & ~F.col("is_admin"), F.substring("message", 1, 100)).alias("notify_body"),
+        F.when(F.col("reason").isNull() & ~F.col("is_admin"), F.substring(text, 1, 100)).alias("notify_body"),
         F.when(F.col("reason").isNull(), "accepted").otherwise("rejected").alias("status"), "reason")
 
 
@@ -640,10 +686,8 @@ def toggle_flags(df: DataFrame, requests: DataFrame, key: str, flag: str,
 
 
 def toggle_services(T, requests: DataFrame) -> DataFrame:
-    s = T["services"].select(F.col("id").alias("_sid"), F.col("executor_id").alias("_ex"))
-    req = requests.join(s, F.col("service_id") == F.col("_sid"))
-    req = req.filter(F.col("is_admin") | (F.col("actor_id") == F.col("_ex")))
-    return toggle_flags(T["services"], req, "service_id", "is_active")
+    """Admins only; an odd number of toggles flips a service."""
+    return toggle_flags(T["services"], requests.filter("is_admin"), "service_id", "is_active")
 
 
 def delete_services(T, requests: DataFrame) -> dict[str, DataFrame]:
@@ -691,12 +735,14 @@ def register_effects(T, outcomes: DataFrame) -> dict[str, DataFrame]:
 
 
 def update_users(T, requests: DataFrame) -> DataFrame:
-    """Last request per user; name/avatar replaced unless empty, bio unless null."""
-    last = first_per_key(requests, "user_id", last=True).select(
-        F.col("user_id").alias("id"), F.col("name").alias("_n"), F.col("bio").alias("_b"))
+    """Last valid request per user; a name that is given is trimmed and has two
+    characters at least, else the whole request is refused; the bio is replaced unless null."""
+    name = js_trim(F.col("name"))
+    ok = requests.filter(F.col("name").isNull() | (F.length(name) >= 2))
+    last = first_per_key(ok, "user_id", last=True).select(
+        F.col("user_id").alias("id"), name.alias("_n"), F.col("bio").alias("_b"))
     j = T["users"].join(last, "id", "left")
-    return (j.withColumn("name", F.when(F.coalesce(F.length("_n"), F.lit(0)) > 0, F.col("_n"))
-                         .otherwise(F.col("name")))
+    return (j.withColumn("name", F.coalesce("_n", "name"))
             .withColumn("bio", F.coalesce("_b", "bio")).drop("_n", "_b"))
 
 
@@ -786,17 +832,20 @@ def notify_all(T, requests: DataFrame, salts: int = 64) -> DataFrame:
 
 
 def add_categories(T, requests: DataFrame) -> DataFrame:
-    """Name and slug present, slug new (first request wins); icon and sort defaults."""
+    """Name and slug present, slug new (first request wins); defaults for icon,
+    description and place. New ids follow the largest one in request order."""
     ok = requests.filter(F.col("name").isNotNull() & (F.length("name") > 0)
                          & F.col("slug").isNotNull() & (F.length("slug") > 0))
-    cats = T["categories"].select("id", "name", "slug", "sort_order")
+    cats = T["categories"].select("id", "name", "slug", "icon", "description", "sort_order")
     maxid = cats.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_m"))
-    first = first_per_key(ok.select("slug", "name", "sort_order", "ts", "request_id"), "slug")
+    first = first_per_key(ok.select("slug", "name", "icon", "description", "sort_order", "ts", "request_id"), "slug")
     new = first.join(cats.select(F.col("slug")), "slug", "left_anti")
-    from pyspark.sql import Window
-    new = (new.crossJoin(F.broadcast(maxid))
-           .withColumn("id", (F.col("_m") + F.row_number().over(Window.orderBy("ts", "request_id"))).cast("int"))
-           .select("id", "name", "slug", F.coalesce(F.col("sort_order"), F.lit(99)).cast("int").alias("sort_order")))
+    nonempty = lambda c, d: F.when(F.length(c) > 0, F.col(c)).otherwise(F.lit(d)).alias(c)
+    new = running_totals(new, [F.col("ts"), F.col("request_id")], {"_before": F.lit(1)}, "new-categories")
+    new = (new.crossJoin(F.broadcast(maxid))                     # one row
+           .select((F.col("_m") + F.col("_before") + 1).cast("int").alias("id"), "name", "slug",
+                   nonempty("icon", TEXT["default_category_icon"]), nonempty("description", ""),
+                   F.coalesce(F.col("sort_order"), F.lit(99)).cast("int").alias("sort_order")))
     return cats.unionByName(new)
 
 

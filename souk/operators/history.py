@@ -4,8 +4,8 @@ A window partitioned by user alone puts every row of a user in one task;
 one user may hold a third of a table, so each operator here splits hot
 keys and stays exact:
 
-- top-k per key: k per (key, salt) first, then k per key over at most
-  ``salts × k`` survivors (two-phase top-k);
+- top-k per key: each task keeps k rows of a key before the one shuffle
+  (Spark's window group limit), so a hot key is k rows per task;
 - running sums: per (key, time bucket) running sum plus the sum of all
   earlier buckets, taken from a small per-bucket total table;
 - trailing counts over a window of length w: rows are bucketed by
@@ -20,19 +20,16 @@ from pyspark.sql import functions as F
 
 from souk.functions.predicates import money, order_participants
 
-DEFAULT_SALTS = 16
-
-
 # ----------------------------------------------------------------------------- building blocks
-def top_k_per_key(df: DataFrame, key: str, order: list[Column], k: int,
-                  salts: int = DEFAULT_SALTS, salt_col: str = "id", rank_col: str = "rn") -> DataFrame:
-    """Rows ranked ``1..k`` per ``key`` in ``order`` (which must be total)."""
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(F.col(salt_col)), F.lit(salts)))
-    w1 = Window.partitionBy(key, "_salt").orderBy(*order)
-    pre = salted.withColumn("_r1", F.row_number().over(w1)).filter(F.col("_r1") <= k)
-    w2 = Window.partitionBy(key).orderBy(*order)
-    return (pre.withColumn(rank_col, F.row_number().over(w2).cast("bigint")).filter(F.col(rank_col) <= k)
-            .drop("_salt", "_r1"))
+def top_k_per_key(df: DataFrame, key: str, order: list[Column], k: int, rank_col: str = "rn") -> DataFrame:
+    """Rows ranked ``1..k`` per ``key`` in ``order`` (which must be total).
+
+    Spark limits each task to k rows of a key before the shuffle (window group
+    limit), so a busy key sends k rows per task, in one exchange.
+    """
+    w = Window.partitionBy(key).orderBy(*order)
+    out = df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= k)
+    return out.withColumn(rank_col, F.col(rank_col).cast("bigint"))
 
 
 def running_sum(df: DataFrame, key: str, ts: str, tiebreak: str, value: Column,

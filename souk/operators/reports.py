@@ -127,11 +127,11 @@ def executor_stats(T, fanout: bool = False) -> DataFrame:
     """
     ex = T["users"].filter(F.col("role") == "executor").select(F.col("id").alias("executor_id"))
     sv = T["services"].groupBy(F.col("executor_id").alias("s_exec")).agg(
-        F.countDistinct("id").alias("services_count"))
+        F.count("id").alias("services_count"))
     od = T["orders"].groupBy(F.col("executor_id").alias("o_exec")).agg(
         _count_if(F.col("status") == "completed").alias("completed_orders"))
     rv = T["reviews"].groupBy(F.col("executor_id").alias("r_exec")).agg(
-        F.avg("rating").alias("avg_rating"), F.countDistinct("id").alias("reviews_count"))
+        F.avg("rating").alias("avg_rating"), F.count("id").alias("reviews_count"))
     j = (ex.join(sv, F.col("executor_id") == F.col("s_exec"), "left")
          .join(od, F.col("executor_id") == F.col("o_exec"), "left")
          .join(rv, F.col("executor_id") == F.col("r_exec"), "left"))

@@ -58,12 +58,11 @@ def retire_cancelled_orders(T, as_of, policy: str = "api", days: int = 90) -> St
 # ----------------------------------------------------------------------------- R2
 def fk_blockers(T, users: DataFrame) -> DataFrame:
     """Users that rows without ON DELETE CASCADE still point to (X5): they cannot go."""
-    refs = (T["orders"].select(F.col("customer_id").alias("ref"))
-            .unionByName(T["orders"].select(F.col("executor_id").alias("ref")))
+    refs = (T["orders"].select(F.explode(F.array("customer_id", "executor_id")).alias("ref"))
             .unionByName(T["messages"].select(F.col("sender_id").alias("ref")))
-            .unionByName(T["reviews"].select(F.col("customer_id").alias("ref")))
-            .unionByName(T["reviews"].select(F.col("executor_id").alias("ref"))))
-    return users.join(refs, F.col("id") == F.col("ref"), "left_semi")
+            .unionByName(T["reviews"].select(F.explode(F.array("customer_id", "executor_id")).alias("ref"))))
+    # one row per user that is referred to (combined before the shuffle), so a busy user is no hot key
+    return users.join(refs.distinct(), F.col("id") == F.col("ref"), "left_semi")
 
 
 def retire_inactive_users(T, as_of, policy: str = "api", days: int = 30) -> Step:
@@ -108,10 +107,11 @@ def drop_read_notifications(T, as_of, days: int = 7) -> Step:
 def drop_old_messages(T, as_of, days: int = 180) -> Step:
     t = dict(T)
     closed = t["orders"].filter(F.col("status").isin(*CLOSED_ORDER_STATES)).select(F.col("id").alias("_o"))
-    old = (t["messages"].filter(older_than("created_at", as_of, days))
-           .join(closed, F.col("order_id") == F.col("_o"), "left_semi").select("id"))
-    t["messages"] = _drop(t["messages"], old, "id")
-    return Step("old_messages", t, old)
+    aged = F.coalesce(older_than("created_at", as_of, days), F.lit(False))
+    # one join marks the messages; kept and removed rows are two filters of it
+    marked = t["messages"].join(closed, F.col("order_id") == F.col("_o"), "left").withColumn("_old", aged & F.col("_o").isNotNull())
+    t["messages"] = marked.filter(~F.col("_old")).drop("_o", "_old")
+    return Step("old_messages", t, marked.filter("_old").select("id"))
 
 
 # ----------------------------------------------------------------------------- R6
@@ -125,7 +125,7 @@ def drop_dead_services(T, as_of, policy: str = "api", days: int = 365) -> Step:
         s = s.join(dead_exec, F.col("executor_id") == F.col("_u"), "left_semi")
     else:
         s = s.filter(older_than("created_at", as_of, days))
-    used = t["orders"].select(F.col("service_id").alias("_s"))
+    used = t["orders"].select(F.col("service_id").alias("_s")).distinct()
     dead = s.join(used, F.col("id") == F.col("_s"), "left_anti").select("id")
     t["services"] = _drop(t["services"], dead, "id")
     return Step("dead_services", t, dead)

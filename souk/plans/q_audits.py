@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from souk.functions.predicates import money
 from souk.operators import audits as Q
 from souk.operators import changes as C
-from souk.plans.registry import money_sql as M, register
+from souk.plans.registry import TRIMMED, money_sql as M, register
 
 _T = {"users": "m_users", "categories": "m_categories", "services": "m_services", "orders": "m_orders",
       "messages": "m_messages", "reviews": "m_reviews", "balances": "m_balances",
@@ -143,15 +143,15 @@ SELECT doc_id, field,
        WHEN regexp_matches(body, '[^\\x00-\\x7F]{{50,}}') THEN 'non_ascii' END AS reason
 FROM m_texts""", "Q7/T7: text screening, first failing rule")(lambda T: Q.screen_texts(T["texts"]))
 
-register("validate_requests", """
+register("validate_requests", rf"""
 SELECT 'review' AS kind, request_id,
   CASE WHEN NOT coalesce(rating BETWEEN 1 AND 5, false) THEN 'rating'
-       WHEN coalesce(length(comment), 0) > 1000 THEN 'comment' END AS reason FROM m_req_reviews
+       WHEN coalesce(length({TRIMMED('comment')}), 0) > 1000 THEN 'comment' END AS reason FROM m_req_reviews
 UNION ALL
 SELECT 'deposit', request_id, CASE WHEN NOT coalesce(amount > 99, false) THEN 'amount' END FROM m_req_deposits
 UNION ALL
 SELECT 'message', request_id,
-  CASE WHEN coalesce(length(trim(message)), 0) < 1 OR length(message) > 2000 THEN 'message' END FROM m_req_messages""",
+  CASE WHEN coalesce(length({TRIMMED('message')}), 0) NOT BETWEEN 1 AND 2000 THEN 'message' END FROM m_req_messages""",
          "Q8: input rules of review, deposit and message requests")(
     lambda T: Q.validate_requests(T["req_reviews"], "review").select(F.lit("review").alias("kind"), "request_id", "reason")
     .unionByName(Q.validate_requests(T["req_deposits"], "deposit").select(F.lit("deposit").alias("kind"), "request_id", "reason"))

@@ -12,7 +12,7 @@ from souk.functions.predicates import money
 from souk.operators import audits as Q
 from souk.operators import changes as C
 from souk.operators import reports as R
-from souk.plans.registry import AS_OF, REGISTRY, money_sql as M, register
+from souk.plans.registry import AS_OF, REGISTRY, TRIMMED, money_sql as M, register
 
 
 def _fold_out(df):
@@ -78,6 +78,14 @@ register("apply_status_changes_split", REGISTRY["apply_status_changes"].sql,
     lambda T: C.apply_status_changes(T, T["req_status"], T["orders"].withColumn("status", F.lit("created")),
                                      split="day"))
 
+def _fresh_orders(T):
+    return T["orders"].withColumn("status", F.lit("created"))
+
+
+def _forced(T):
+    return C.force_status(T, T["req_status"], _fresh_orders(T))
+
+
 register("force_status", """
 SELECT r.request_id, r.order_id, r.actor_id, 'admin' AS role,
        coalesce(lag(r.new_status) OVER (PARTITION BY r.order_id ORDER BY r.ts, r.request_id), 'created') AS old_status,
@@ -88,6 +96,31 @@ FROM m_req_status r JOIN m_orders o ON o.id = r.order_id""",
          "C5: forced statuses with payout and refund flags")(
     lambda T: C.force_status(T, T["req_status"], T["orders"].withColumn("status", F.lit("created"))))
 
+register("force_status_notifications", """
+WITH f AS (
+  SELECT r.*, o.customer_id, o.executor_id, coalesce(lag(r.new_status) OVER (PARTITION BY r.order_id ORDER BY r.ts, r.request_id), 'created') AS old_status
+  FROM m_req_status r JOIN m_orders o ON o.id = r.order_id)
+SELECT user_id, 'admin' AS type, '⚠️ Статус заказа изменён администратором' AS title,
+       'Статус изменён с «' || old_status || '» на «' || new_status || '»' || coalesce('. Причина: ' || note, '') AS body, ts AS created_at
+FROM (SELECT *, unnest([customer_id, executor_id]) AS user_id FROM f)""",
+         "C5 effects: both sides are told, with the reason")(
+    lambda T: C.forced_status_effects(T, _forced(T), T["req_status"], _fresh_orders(T))["notifications"]
+    .select("user_id", "type", "title", "body", F.col("created_at").cast("timestamp").alias("created_at")))
+
+register("force_status_ledger", f"""
+WITH f AS (
+  SELECT r.*, o.customer_id, o.executor_id, o.total_price,
+         coalesce(lag(r.new_status) OVER (PARTITION BY r.order_id ORDER BY r.ts, r.request_id), 'created') AS old_status
+  FROM m_req_status r JOIN m_orders o ON o.id = r.order_id)
+SELECT executor_id AS user_id, order_id, 'deposit' AS type, {M('total_price')} AS amount, 'выплата по решению администратора' AS description
+FROM f WHERE new_status = 'completed' AND old_status <> 'completed'
+UNION ALL
+SELECT customer_id, order_id, 'deposit', {M('total_price')}, 'возврат по решению администратора'
+FROM f WHERE new_status = 'cancelled' AND old_status NOT IN ('completed', 'cancelled')""",
+         "C5 effects: ledger rows with the admin's descriptions")(
+    lambda T: C.forced_status_effects(T, _forced(T), T["req_status"], _fresh_orders(T))["transactions"]
+    .select("user_id", "order_id", "type", money("amount").alias("amount"), "description"))
+
 register("apply_price_changes", """
 SELECT request_id, order_id, actor_id, price,
        CASE WHEN reason IS NOT NULL THEN 'rejected' WHEN rk = 1 THEN 'applied' ELSE 'superseded' END AS status,
@@ -105,8 +138,8 @@ FROM (
          "C3: price changes, executor only, open orders, last wins")(
     lambda T: C.apply_price_changes(T, T["req_price"]))
 
-register("apply_reviews", """
-SELECT request_id, order_id, customer_id, rating,
+register("apply_reviews", rf"""
+SELECT request_id, order_id, customer_id, rating, nullif({TRIMMED('comment')}, '') AS comment,
        CASE WHEN reason IS NULL AND rk = 1 THEN 'accepted' ELSE 'rejected' END AS status,
        coalesce(reason, CASE WHEN rk = 1 THEN NULL ELSE 'duplicate' END) AS reason
 FROM (
@@ -114,7 +147,7 @@ FROM (
            PARTITION BY order_id, reason IS NULL ORDER BY ts, request_id) END AS rk
   FROM (
     SELECT r.*, CASE WHEN NOT coalesce(r.rating BETWEEN 1 AND 5, false) THEN 'rating'
-                     WHEN coalesce(length(trim(r.comment)), 0) > 1000 THEN 'comment'
+                     WHEN coalesce(length({TRIMMED('r.comment')}), 0) > 1000 THEN 'comment'
                      WHEN o.id IS NULL OR o.customer_id <> r.customer_id THEN 'order'
                      WHEN o.status <> 'completed' THEN 'status'
                      WHEN EXISTS (SELECT 1 FROM m_reviews v WHERE v.order_id = r.order_id) THEN 'exists' END AS reason
@@ -151,76 +184,66 @@ SELECT request_id, 'adjust' AS kind, user_id,
 FROM f""", "C7: manual balance changes, a debit needs cover")(
     lambda T: _fold_out(C.adjust_balances(T, T["req_adjust"])))
 
-register("post_messages", """
-SELECT r.request_id, r.order_id, r.sender_id,
-  CASE WHEN r.is_admin THEN '🛡️ [Администратор]: ' || trim(r.message) ELSE r.message END AS stored,
-  CASE WHEN q.reason IS NULL AND NOT r.is_admin THEN
-       CASE WHEN r.sender_id = o.customer_id THEN o.executor_id ELSE o.customer_id END END AS notify_user,
-  CASE WHEN q.reason IS NULL AND NOT r.is_admin THEN substr(r.message, 1, 100) END AS notify_body,
-  CASE WHEN q.reason IS NULL THEN 'accepted' ELSE 'rejected' END AS status, q.reason
-FROM m_req_messages r LEFT JOIN m_orders o ON o.id = r.order_id
-CROSS JOIN LATERAL (SELECT
-  CASE WHEN coalesce(length(trim(r.message)), 0) < 1 THEN 'message'
-       WHEN r.is_admin THEN NULL
-       WHEN length(r.message) > 2000 THEN 'message'
-       WHEN o.id IS NULL OR NOT (r.sender_id = o.customer_id OR r.sender_id = o.executor_id) THEN 'participant'
-       WHEN o.status IN ('completed','cancelled') THEN 'closed' END AS reason) q""",
-         "C8: chat lines, participant and open order; admin prefix")(
+register("post_messages", rf"""
+WITH line AS (SELECT r.*, {TRIMMED('r.message')} AS text FROM m_req_messages r),
+judged AS (
+  SELECT line.*, o.customer_id, o.executor_id,
+    CASE WHEN coalesce(length(text), 0) = 0 THEN 'message'
+         WHEN is_admin THEN NULL
+         WHEN length(text) > 2000 THEN 'message'
+         WHEN o.id IS NULL OR sender_id NOT IN (o.customer_id, o.executor_id) THEN 'participant'
+         WHEN o.status IN ('completed','cancelled') THEN 'closed' END AS reason
+  FROM line LEFT JOIN m_orders o ON o.id = line.order_id)
+SELECT request_id, order_id, sender_id, if(is_admin, '🛡️ [Администратор]: ' || text, text) AS stored,
+       if(reason IS NULL AND NOT is_admin, if(sender_id = customer_id, executor_id, customer_id), NULL) AS notify_user,
+       if(reason IS NULL AND NOT is_admin, text[:100], NULL) AS notify_body,
+       if(reason IS NULL, 'accepted', 'rejected') AS status, reason
+FROM judged""", "C8: chat lines, participant and open order; admin prefix")(
     lambda T: C.post_messages(T, T["req_messages"]))
 
 
 def _read_requests(T):
-    o = T["orders"].filter(F.expr("cast(substring(id, 2) as bigint) % 5 = 0")).select(
+    k = F.expr("cast(substring(id, 2) as bigint)")
+    o = T["orders"].select(
         F.concat(F.lit("k"), "id").alias("request_id"), F.col("updated_at").alias("ts"),
-        F.col("executor_id").alias("user_id"), F.col("id").alias("order_id"))
-    n = T["users"].filter(F.expr("role = 'customer' and cast(substring(id, 2) as bigint) % 7 = 0")).select(
+        F.when(k % 2 == 0, F.col("executor_id")).otherwise(F.col("customer_id")).alias("user_id"), F.col("id").alias("order_id"))
+    n = T["users"].filter("role = 'customer'").select(
         F.concat(F.lit("k"), "id").alias("request_id"), F.col("created_at").alias("ts"),
         F.col("id").alias("user_id"), F.lit(None).cast("string").alias("order_id"))
     return o.unionByName(n)
 
 
 register("mark_read_messages", """
-SELECT m.id, m.is_read OR EXISTS (
-  SELECT 1 FROM m_orders o WHERE o.id = m.order_id AND cast(substring(o.id, 2) as bigint) % 5 = 0
-    AND o.executor_id <> m.sender_id) AS is_read
-FROM m_messages m""", "C9: an executor reads the order chat; others' lines become read")(
+SELECT m.id, m.is_read OR coalesce(if(cast(o.id[2:] as bigint) % 2 = 0, o.executor_id, o.customer_id) <> m.sender_id, false) AS is_read
+FROM m_messages m LEFT JOIN m_orders o ON o.id = m.order_id""", "C9: a side reads each order's chat; others' lines become read")(
     lambda T: C.mark_read(T, _read_requests(T))["messages"].select("id", "is_read"))
 
 register("mark_read_notifications", """
-SELECT n.id, n.is_read OR (cast(substring(n.user_id, 2) as bigint) % 7 = 0
-   AND EXISTS (SELECT 1 FROM m_users u WHERE u.id = n.user_id AND u.role = 'customer')) AS is_read
+SELECT n.id, n.is_read OR n.user_id IN (SELECT u.id FROM m_users u WHERE u.role = 'customer') AS is_read
 FROM m_notifications n""", "C9: users mark all their notifications read")(
     lambda T: C.mark_read(T, _read_requests(T))["notifications"].select("id", "is_read"))
 
 
 def _toggle_requests(T):
+    """Every service: its owner asks (refused), an admin toggles it once, every third again."""
     s = T["services"].select("id", "executor_id", "created_at")
     k = F.expr("cast(substring(id, 2) as bigint)")
-    once = s.filter(k % 3 == 0).select(F.concat(F.lit("t1"), "id").alias("request_id"),
-                                       F.col("created_at").alias("ts"), F.col("executor_id").alias("actor_id"),
-                                       F.lit(False).alias("is_admin"), F.col("id").alias("service_id"))
-    twice = s.filter(k % 9 == 0).select(F.concat(F.lit("t2"), "id").alias("request_id"),
-                                        F.col("created_at").alias("ts"), F.col("executor_id").alias("actor_id"),
-                                        F.lit(False).alias("is_admin"), F.col("id").alias("service_id"))
-    stranger = s.filter(k % 4 == 0).select(F.concat(F.lit("t3"), "id").alias("request_id"),
-                                           F.col("created_at").alias("ts"), F.lit("c1").alias("actor_id"),
-                                           F.lit(False).alias("is_admin"), F.col("id").alias("service_id"))
-    admin = s.filter(k % 10 == 1).select(F.concat(F.lit("t4"), "id").alias("request_id"),
-                                         F.col("created_at").alias("ts"), F.lit("a0").alias("actor_id"),
-                                         F.lit(True).alias("is_admin"), F.col("id").alias("service_id"))
-    return once.unionByName(twice).unionByName(stranger).unionByName(admin)
+
+    def ask(rows, tag, actor, admin):
+        return rows.select(F.concat(F.lit(tag), "id").alias("request_id"), F.col("created_at").alias("ts"),
+                           actor.alias("actor_id"), F.lit(admin).alias("is_admin"), F.col("id").alias("service_id"))
+    return (ask(s, "t1", F.col("executor_id"), False).unionByName(ask(s, "t2", F.lit("a0"), True))
+            .unionByName(ask(s.filter(k % 3 == 0), "t3", F.lit("a0"), True)))
 
 
 register("toggle_services", """
-SELECT id, CASE WHEN ((CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END) + (CASE WHEN k % 9 = 0 THEN 1 ELSE 0 END)
-                      + (CASE WHEN k % 10 = 1 THEN 1 ELSE 0 END)) % 2 = 1 THEN NOT is_active ELSE is_active END AS is_active
-FROM (SELECT *, cast(substring(id, 2) as bigint) AS k FROM m_services) s""",
-         "C10c: odd number of allowed toggles flips a service")(
+SELECT id, (cast(id[2:] as bigint) % 3 = 0) = is_active AS is_active FROM m_services""",
+         "C10c: odd number of admins' toggles flips a service")(
     lambda T: C.toggle_services(T, _toggle_requests(T)).select("id", "is_active"))
 
 
 def _delete_requests(T):
-    s = T["services"].filter(F.expr("cast(substring(id, 2) as bigint) % 10 = 0"))
+    s = T["services"]
     return s.select(F.concat(F.lit("d"), "id").alias("request_id"), F.col("created_at").alias("ts"),
                     F.when(F.expr("cast(substring(id, 2) as bigint) % 20 = 0"), F.col("executor_id"))
                     .otherwise(F.lit("c2")).alias("actor_id"),
@@ -234,7 +257,7 @@ SELECT 'd' || s.id AS request_id, s.id AS service_id,
             THEN 'rejected' ELSE 'accepted' END AS status,
        CASE WHEN cast(substring(s.id, 2) as bigint) % 20 <> 0 THEN 'owner'
             WHEN EXISTS (SELECT 1 FROM m_orders o WHERE o.service_id = s.id) THEN 'referenced' END AS reason
-FROM m_services s WHERE cast(substring(s.id, 2) as bigint) % 10 = 0""",
+FROM m_services s""",
          "C10d/X13: deletes by owner only; referenced services refused")(
     lambda T: C.delete_services(T, _delete_requests(T))["outcomes"])
 
@@ -353,13 +376,16 @@ def _category_requests(T):
                     F.initcap("p_brand").alias("name"),
                     F.when(F.col("p_brand") == "Brand#1", F.lower("p_type"))
                     .otherwise(F.lower(F.regexp_replace("p_brand", "#", "-"))).alias("slug"),
+                    F.when(F.col("p_brand") == "Brand#2", F.lit("two")).otherwise(F.lit("")).alias("icon"),
+                    F.when(F.col("p_brand") == "Brand#3", F.lit("third")).alias("description"),
                     F.lit(None).cast("int").alias("sort_order"))
 
 
 register("add_categories", """
-SELECT id, name, slug, sort_order FROM m_categories
+SELECT id, name, slug, icon, description, sort_order FROM m_categories
 UNION ALL
-SELECT cast((SELECT max(id) FROM m_categories) + row_number() OVER (ORDER BY ts, request_id) as int), name, slug, 99 FROM (
+SELECT cast((SELECT max(id) FROM m_categories) + row_number() OVER (ORDER BY ts, request_id) as int), name, slug,
+       if(name = 'Brand#2', 'two', '📁'), if(name = 'Brand#3', 'third', ''), 99 FROM (
   SELECT arg_min(name, request_id) AS name, slug, min(ts) AS ts, min(request_id) AS request_id FROM (
     SELECT 'k' || p_type || '/' || p_brand AS request_id, timestamp '2001-08-02 00:00:00' AS ts,
            upper(substr(p_brand, 1, 1)) || lower(substr(p_brand, 2)) AS name,
@@ -443,20 +469,25 @@ FROM (SELECT *, cast(substring(id, 2) as bigint) AS k FROM m_services) s""",
 
 
 def _user_update_requests(T):
+    """Every customer: empty name, new name with blanks, one letter, no name; some twice."""
     u = T["users"].filter("role = 'customer'")
     k = F.expr("cast(substring(id, 2) as bigint)")
-    return u.filter((k % 7 == 0) | (k % 7 == 1)).select(
-        F.concat(F.lit("m"), "id").alias("request_id"), F.col("updated_at").alias("ts"),
-        F.col("id").alias("user_id"),
-        F.when(k % 7 == 0, F.lit("")).otherwise(F.lit("  Renamed ")).alias("name"),
-        F.when(k % 7 == 0, F.lit("new bio")).otherwise(F.lit(None).cast("string")).alias("bio"))
+    name = (F.when(k % 4 == 0, F.lit("")).when(k % 4 == 1, F.lit("  Renamed ")).when(k % 4 == 2, F.lit(" x\n")))
+    bio = F.when(k % 3 < 2, F.when(k % 3 == 0, F.lit("new bio")).otherwise(F.lit("")))
+    first = u.select(F.concat(F.lit("m"), "id").alias("request_id"), F.col("updated_at").alias("ts"),
+                     F.col("id").alias("user_id"), name.alias("name"), bio.alias("bio"))
+    again = u.filter(k % 5 == 0).select(F.concat(F.lit("n"), "id").alias("request_id"),
+                                        (F.col("updated_at") + F.expr("interval 1 hour")).alias("ts"), F.col("id").alias("user_id"),
+                                        F.lit("Later").alias("name"), F.lit(None).cast("string").alias("bio"))
+    return first.unionByName(again)
 
 
 register("update_users", """
+WITH n AS (SELECT *, CASE WHEN role = 'customer' THEN cast(id[2:] as bigint) END AS k FROM m_users)
 SELECT id,
-  CASE WHEN role = 'customer' AND cast(substring(id, 2) as bigint) % 7 = 1 THEN '  Renamed ' ELSE name END AS name,
-  CASE WHEN role = 'customer' AND cast(substring(id, 2) as bigint) % 7 = 0 THEN 'new bio' ELSE bio END AS bio
-FROM m_users""", "C11b: profile basics, empty name and null bio keep the old value")(
+  CASE WHEN k % 5 = 0 THEN 'Later' WHEN k % 4 = 1 THEN 'Renamed' ELSE name END AS name,
+  CASE WHEN k % 5 = 0 OR k % 4 IN (0, 2) THEN bio WHEN k % 3 = 0 THEN 'new bio' WHEN k % 3 = 1 THEN '' ELSE bio END AS bio
+FROM n""", "C11b: trimmed names of two letters, else nothing changes; a null bio keeps the old one")(
     lambda T: C.update_users(T, _user_update_requests(T)).select("id", "name", "bio"))
 
 

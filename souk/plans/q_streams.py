@@ -15,11 +15,15 @@ from pyspark.sql import functions as F
 
 from souk.plans.registry import REGISTRY, register
 from souk.session import checkpoint_dir
+from souk.sources.sinks import newest_epoch
 from souk.streaming import streams as S
 
 P = S.POLICIES["fixture"]
 
 
+FILE_ROWS = 500_000
+
+
 def _as_stream(df: DataFrame, files: int = 1, time_col: str | None = None) -> DataFrame:
     """Write ``df`` as ``files`` parquet files and open a file stream over them.
 
@@ -29,9 +33,11 @@ def _as_stream(df: DataFrame, files: int = 1, time_col: str | None = None) -> Da
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/stream_in/{uuid.uuid4().hex}"
+    # files per range follow the data: about FILE_ROWS rows each, all of a range in one trigger
+    each = max(1, -(-df.count() // (files * FILE_ROWS)))
     if time_col and files > 1:
         t = F.unix_micros(F.col(time_col).cast("timestamp"))
-        cuts = df.select(t.alias("_t")).approxQuantile("_t", [i / files for i in range(1, files)], 0.0)
+        cuts = df.select(t.alias("_t")).approxQuantile("_t", [i / files for i in range(1, files)], 0.01)
         bounds = [None, *cuts, None]
         for lo, hi in zip(bounds, bounds[1:]):
             part = df
@@ -39,10 +45,10 @@ def _as_stream(df: DataFrame, files: int = 1, time_col: str | None = None) -> Da
                 part = part.filter(t > lo)
             if hi is not None:
                 part = part.filter(t <= hi)
-            part.coalesce(1).write.mode("append").parquet(path)
+            part.repartition(each).write.mode("append").parquet(path)
     else:
-        (df.repartition(files) if files > 1 else df.coalesce(1)).write.parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        df.repartition(files * each).write.parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", each).parquet(path)
 
 
 def _run(stream: DataFrame, mode: str = "append", foreach=None) -> DataFrame:
@@ -88,7 +94,7 @@ def _rate_stream(T):
          .option("checkpointLocation", f"{base}/_chk").trigger(availableNow=True)
          .foreachBatch(S.upsert_batch(base, ["client", "window_start"])).start())
     q.awaitTermination()
-    return spark.read.parquet(f"{base}/current")
+    return newest_epoch(spark, base)
 
 
 register("request_rate_stream", """
@@ -108,9 +114,18 @@ FROM (
 register("unread_alerts", _ALERT_SQL, "T5: unread count per poll and alert flag (batch)")(
     lambda T: S.unread_alerts(T["notifications"]))
 
-register("unread_alerts_stream", _ALERT_SQL, "T5: the alerts as a stateful stream")(
-    lambda T: _run(S.unread_alerts_stream(_as_stream(
-        T["notifications"].withColumn("created_at", F.col("created_at").cast("timestamp"))))))
+def _alert_stream(T):
+    n = T["notifications"].withColumn("created_at", F.col("created_at").cast("timestamp"))
+    src = _as_stream(n, files=3, time_col="created_at")
+    base = f"{checkpoint_dir(src.sparkSession)}/alerts/{uuid.uuid4().hex}"
+    q = (S.unread_alerts_stream(src).writeStream.outputMode("update")
+         .option("checkpointLocation", f"{base}/_chk").trigger(availableNow=True)
+         .foreachBatch(S.upsert_batch(base, ["user_id", "poll_at"])).start())
+    q.awaitTermination()
+    return newest_epoch(src.sparkSession, base)
+
+
+register("unread_alerts_stream", _ALERT_SQL, "T5: the alerts as a stateful stream over several micro-batches")(_alert_stream)
 
 
 def _ratings_stream(T):
@@ -121,7 +136,7 @@ def _ratings_stream(T):
          .option("checkpointLocation", f"{base}/_chk").trigger(availableNow=True)
          .foreachBatch(S.ratings_upsert_batch(base)).start())
     q.awaitTermination()
-    return spark.read.parquet(f"{base}/current").select(
+    return newest_epoch(spark, base).select(
         "service_id", F.col("rating").cast("double").alias("rating"), "reviews_count")
 
 

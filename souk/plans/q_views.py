@@ -31,7 +31,7 @@ register("top_services", _CATALOG_SELECT + """
 ORDER BY rating DESC, reviews_count DESC, id LIMIT 4""", "L3: four best visible services")(
     lambda T: V.top_services(T, 4))
 
-register("categories_sorted", "SELECT id, name, slug, sort_order FROM m_categories",
+register("categories_sorted", "SELECT id, name, slug, icon, description, sort_order FROM m_categories",
          "L4: categories by sort order")(lambda T: V.categories_sorted(T))
 
 _ORDERS_ENRICHED = f"""

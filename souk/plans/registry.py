@@ -69,6 +69,11 @@ NOW_EV = f"timestamp '{AS_OF_EVENTS}'"
 MONEY = "round(cast({} as double), 2)"
 
 
+def TRIMMED(x: str) -> str:
+    """White space of any kind cut off at both ends, in the oracle's SQL."""
+    return rf"regexp_replace({x}, '^[\s\x0B\p{{Z}}]+|[\s\x0B\p{{Z}}]+$', '', 'g')"
+
+
 def money_sql(x: str) -> str:
     return MONEY.format(x)
 

@@ -45,8 +45,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts and written snapshots.
 
     Reads ``spark.checkpoint.dir`` from the session (a cluster names a shared
-    folder there). Only when it is unset — local tests — a scratch folder is
-    made and set.
+    folder there). When it is unset, a local master gets a scratch folder of
+    its own; anywhere else that is an error, as executors don't share folders.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     try:
@@ -56,6 +56,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not d and sc is not None:
         d = sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        master = sc.master if sc is not None else ""
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="souk-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", d)
     if sc is not None and not sc.getCheckpointDir():

@@ -39,8 +39,14 @@ def _days_back(col: str, mod: int) -> str:
 
 
 BLOCKS: dict[str, list[Block]] = {
-    "m_categories": [Block("categories_values", [
-        ("id", "a"), ("name", "b"), ("slug", "c"), ("sort_order", "d")])],
+    "m_categories": [Block("part_types", [
+        ("id", "case pt when 'ECONOMY' then 1 when 'SMALL' then 2 when 'MEDIUM' then 3 "
+               "when 'LARGE' then 4 when 'PROMO' then 5 else 6 end"),
+        ("name", "concat(substring(pt, 1, 1), lower(substring(pt, 2)))"), ("slug", "lower(pt)"),
+        ("icon", "concat('icon-', lower(substring(pt, 1, 2)))"),
+        ("description", "concat('parts of type ', lower(pt))"),
+        ("sort_order", "case pt when 'ECONOMY' then 6 when 'SMALL' then 5 when 'MEDIUM' then 4 "
+                       "when 'LARGE' then 3 when 'PROMO' then 2 else 1 end")])],
     "m_users": [
         Block("customer", [
             ("id", "concat('c', cast(c_custkey as string))"),
@@ -194,8 +200,7 @@ BLOCKS: dict[str, list[Block]] = {
     "m_texts": [Block("documents", [
         ("doc_id", "doc_id"),
         ("field", "case doc_id % 3 when 0 then 'title' when 1 then 'message' else 'description' end"),
-        ("body", "concat(case when doc_id % 2 = 0 then substring(text, 1, 100) else text end, "
-                 "case doc_id % 10 when 0 then ' Aaaaaaaa' when 1 then ' http://x.example/a' "
+        ("body", "concat(text, case doc_id % 10 when 0 then ' Aaaaaaaa' when 1 then ' http://x.example/a' "
                  "when 2 then ' Buy CASINO now' when 3 then repeat('я', 60) when 4 then ' яcrypto' "
                  "when 6 then ' https://y.example' else '' end)"),
     ])],
@@ -236,14 +241,21 @@ BLOCKS: dict[str, list[Block]] = {
     "m_req_price": [Block("m_orders", [
         ("request_id", "concat('p', id)"), ("ts", "updated_at"), ("order_id", "id"),
         ("actor_id", "case when cast(substring(id, 2) as bigint) % 2 = 0 then executor_id else customer_id end"),
-        ("price", "cast(floor(total_price * 110) / 100 as decimal(12,2))"), ("note", "'reprice'"),
-    ], where="cast(substring(id, 2) as bigint) % 7 = 0", deps=("m_orders",))],
+        ("price", "case when cast(substring(id, 2) as bigint) % 13 = 0 then cast(0 as decimal(12,2)) "
+                  "else cast(floor(total_price * 110) / 100 as decimal(12,2)) end"), ("note", "'reprice'"),
+    ], deps=("m_orders",)), Block("m_orders", [
+        ("request_id", "concat('r', id)"), ("ts", "updated_at + interval '1' hour"), ("order_id", "id"),
+        ("actor_id", "executor_id"),
+        ("price", "cast(floor(total_price * 90) / 100 as decimal(12,2))"), ("note", "'cheaper'"),
+    ], where="cast(substring(id, 2) as bigint) % 3 = 0", deps=("m_orders",))],
     "m_req_reviews": [
         Block("m_orders", [
             ("request_id", "concat('v', id)"), ("ts", "updated_at + interval '2' day"),
             ("customer_id", "customer_id"), ("order_id", "id"),
             ("rating", "cast(1 + cast(substring(id, 2) as bigint) % 6 as int)"),
-            ("comment", "case when cast(substring(id, 2) as bigint) % 4 = 0 then 'good work' else null end"),
+            ("comment", "case cast(substring(id, 2) as bigint) % 6 when 0 then 'good work' when 1 then ' fine, thanks  ' "
+                        "when 2 then '   ' when 3 then concat(repeat(' ', 600), repeat('x', 700)) "
+                        "when 4 then repeat('y', 1001) else null end"),
         ], where="status in ('completed','review')", deps=("m_orders",)),
         Block("m_orders", [
             ("request_id", "concat('x', id)"), ("ts", "updated_at + interval '3' day"),
@@ -253,16 +265,17 @@ BLOCKS: dict[str, list[Block]] = {
     ],
     "m_req_messages": [Block("m_messages", [
         ("request_id", "concat('q', id)"), ("ts", "created_at + interval '1' minute"),
-        ("order_id", "order_id"), ("sender_id", "sender_id"), ("message", "message"),
+        ("order_id", "order_id"), ("sender_id", "sender_id"),
+        ("message", "case length(message) % 9 when 0 then concat('  ', message, chr(10)) "
+                    "when 1 then concat(chr(9), ' ', chr(10)) when 2 then concat(repeat(' ', 1500), message, ' ') "
+                    "when 3 then repeat(concat(message, '.'), 2001) else message end"),
         ("is_admin", "sender_id = 'a0'"),
     ], deps=("m_messages",))],
 }
 
 # FROM clauses as DuckDB text; the Spark side builds the same relation below.
 _DUCK_FROM = {
-    "categories_values": "(values (1,'Economy','economy',6),(2,'Small','small',5),(3,'Medium','medium',4),"
-                         "(4,'Large','large',3),(5,'Promo','promo',2),(6,'Standard','standard',1),"
-                         "(7,'Other','other',7)) as t(a,b,c,d)",
+    "part_types": "(select distinct p_type as pt from part) t",
     "admin_values": "(values (0)) as t(a)",
     "orders_x_part": "orders join part on p_partkey = o_orderkey % "
                      "(select cast(floor(count(*) * 0.75) as bigint) from part)",
@@ -276,6 +289,7 @@ _DUCK_FROM = {
 
 # Tables each raw source reads (so the oracle registers only what it needs).
 _RAW_OF_SOURCE = {
+    "part_types": ("part",),
     "orders_x_part": ("orders", "part"),
     "part_with_counts": ("part",),
     "conversations_x_orders": ("conversations",),
@@ -400,8 +414,8 @@ def _input_digest(sf_dir: str) -> str:
 
 def _relation(T: Tables, source: str) -> DataFrame:
     spark, raw = T.spark, T.raw
-    if source == "categories_values":
-        return spark.sql(f"SELECT * FROM {_DUCK_FROM['categories_values']}")
+    if source == "part_types":
+        return raw["part"].select(F.col("p_type").alias("pt")).distinct()
     if source == "admin_values":
         return spark.sql(f"SELECT * FROM {_DUCK_FROM['admin_values']}")
     if source == "orders_x_part":

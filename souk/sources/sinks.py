@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,21 +31,38 @@ def write_snapshot(tables: dict[str, DataFrame], base: str, version: str | None
 
     All tables of one run share a version, so a run is published as a whole.
     """
-    version = version or time.strftime("%Y%m%dT%H%M%S")
+    version = version or f"{time.strftime('%Y%m%dT%H%M%S')}-{uuid.uuid4().hex[:12]}"
     for name, df in tables.items():
         w = df.write.mode("overwrite")
         if partition_by and name in partition_by:
             w = w.partitionBy(*partition_by[name])
         w.parquet(f"{base}/v={version}/{name}")
     spark = next(iter(tables.values())).sparkSession
-    manifest = json.dumps({"version": version, "tables": sorted(tables)})
-    spark.createDataFrame([(manifest,)], "value string").coalesce(1).write.mode("overwrite").text(
-        f"{base}/_manifest")
+    manifest = json.dumps({"version": version, "tables": sorted(tables), "at": time.time_ns()})
+    # a new file per version; the older ones stay, so a reader always finds a whole one
+    spark.createDataFrame([(manifest,)], "value string").coalesce(1).write.mode("append").text(f"{base}/_manifests")
     return version
 
 
 def current_version(spark: SparkSession, base: str) -> dict:
-    return json.loads(spark.read.text(f"{base}/_manifest").first()[0])
+    """The newest manifest (one line per published version is read)."""
+    newest = spark.read.text(f"{base}/_manifests").select(F.max_by(
+        "value", F.get_json_object("value", "$.at").cast("long"))).first()[0]
+    return json.loads(newest)
+
+
+def epoch_path(base: str, epoch: int) -> str:
+    return f"{base}/v{epoch:08d}"
+
+
+def newest_epoch(spark: SparkSession, base: str) -> DataFrame:
+    """The table version of the newest committed epoch under ``base`` (its writer left ``_SUCCESS``)."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/v*/_SUCCESS")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = sorted(s.getPath().getParent().toString() for s in fs.globStatus(path) or [])
+    if not found:
+        raise FileNotFoundError(f"no committed version under {base}")
+    return spark.read.parquet(found[-1])
 
 
 def read_snapshot(spark: SparkSession, base: str, table: str) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from souk.functions.text import screen_reason
 from souk.operators.folds import ordered_fold
 from souk.session import checkpoint_dir, ship_package
+from souk.sources.sinks import epoch_path
 
 
 # ----------------------------------------------------------------------------- T2
@@ -141,30 +142,35 @@ def unread_alerts(notifications: DataFrame, poll_seconds: int = POLL_SECONDS) ->
 
 def _alert_state_fn(poll_seconds: int):
     def fn(key, pdfs, state):
-        if state.hasTimedOut:
-            return
-        last = state.get[0] if state.exists else 0
-        rows = pd.concat(list(pdfs))
-        secs = rows["created_at"].to_numpy().astype("datetime64[s]").astype("int64")
-        ticks = pd.Series(secs // poll_seconds).value_counts().sort_index()
+        tick, before, arrived = state.get if state.exists else (None, 0, 0)
+        seen: dict[int, int] = {}
+        for rows in pdfs:                            # only counts are kept of each Arrow batch
+            secs = rows["created_at"].to_numpy().astype("datetime64[s]").astype("int64")
+            for t, n in pd.Series(secs // poll_seconds).value_counts().items():
+                t = int(t) if tick is None else max(int(t), tick)     # late rows are seen at the open poll
+                seen[t] = seen.get(t, 0) + int(n)
         out = []
-        for tick, arrived in ticks.items():
-            count = last + int(arrived)
-            out.append((key[0], pd.Timestamp(int(tick) * poll_seconds, unit="s"), int(arrived), count, last > 0))
-            last = count
-        state.update((last,))
+        for t in sorted(seen):
+            if t != tick:
+                tick, before, arrived = t, before + arrived, 0
+            arrived += seen[t]
+            out.append((key[0], pd.Timestamp(t * poll_seconds, unit="s"), arrived, before + arrived, before > 0))
+        state.update((tick, before, arrived))
         yield pd.DataFrame(out, columns=["user_id", "poll_at", "arrived", "unread_count", "alert"])
     return fn
 
 
 def unread_alerts_stream(notifications: DataFrame, poll_seconds: int = POLL_SECONDS) -> DataFrame:
+    """T5 in ``update`` mode: a poll that spans micro-batches is emitted again with its new
+    counts, so the sink keeps the last row of each (user_id, poll_at) (``upsert_batch``).
+    The state is three numbers a user: the open poll, the count before it, its arrivals."""
     ship_package(notifications.sparkSession)
     n = notifications.filter(~F.col("is_read")).select(
         "user_id", F.col("created_at").cast("timestamp").alias("created_at"))
     return n.groupBy("user_id").applyInPandasWithState(
         _alert_state_fn(poll_seconds),
         "user_id string, poll_at timestamp, arrived long, unread_count long, alert boolean",
-        "unread long", "append", GroupStateTimeout.NoTimeout)
+        "tick long, before long, arrived long", "update", GroupStateTimeout.NoTimeout)
 
 
 # ----------------------------------------------------------------------------- T6
@@ -176,19 +182,17 @@ def streaming_ratings(reviews: DataFrame) -> DataFrame:
 
 def upsert_batch(target_path: str, keys: list[str], select=None):
     """``foreachBatch`` sink for update-mode streams: the batch's rows replace the rows
-    with the same key in a parquet table (C14 set mode). Each epoch writes a new
-    version directory, then ``current``; a replayed epoch rewrites the same version."""
+    with the same key in a parquet table (C14 set mode). Each epoch writes a version of
+    its own from the version of the epoch before; only epoch 0 starts without one, so a
+    version that can't be read fails the batch. A replayed epoch rewrites its version."""
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         new = select(batch) if select else batch
-        try:
-            old = spark.read.parquet(f"{target_path}/current")
+        merged = new
+        if epoch > 0:
+            old = spark.read.parquet(epoch_path(target_path, epoch - 1))
             merged = old.join(new.select(*keys), keys, "left_anti").unionByName(new)
-        except Exception:  # first batch: no table yet
-            merged = new
-        path = f"{target_path}/v{epoch:08d}"
-        merged.write.mode("overwrite").parquet(path)
-        spark.read.parquet(path).write.mode("overwrite").parquet(f"{target_path}/current")
+        merged.write.mode("overwrite").parquet(epoch_path(target_path, epoch))
     return write
 
 
@@ -207,25 +211,27 @@ def screen_stream(texts: DataFrame, text_col: str = "body", field_col: str = "fi
 # ----------------------------------------------------------------------------- T8
 def status_stream_batch(T, base: str, orders: DataFrame | None = None):
     """``foreachBatch`` sink for T8: apply a micro-batch of status requests with C2
-    against the current order snapshot, write the outcomes, and publish the new
-    order snapshot for the next batch (versioned per epoch, so a replayed epoch
-    rewrites the same files and re-reads the snapshot of the epoch before it)."""
+    against the current order snapshot, write the outcomes and every effect (log,
+    ledger and notification rows of the epoch), and publish the new order and balance
+    snapshots for the next batch. All are versioned per epoch, so a replayed epoch
+    rewrites the same files and re-reads the snapshots of the epoch before it."""
     from souk.operators.changes import apply_status_changes, status_effects
 
     def run(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        try:
-            prev = max(int(r.value) for r in spark.read.text(f"{base}/orders/_epochs").collect()
-                       if int(r.value) < epoch)
-            current = spark.read.parquet(f"{base}/orders/v{prev:08d}")
-        except Exception:  # first epoch: start from the given snapshot
-            current = orders if orders is not None else T["orders"]
+        if epoch > 0:
+            current = spark.read.parquet(epoch_path(f"{base}/orders", epoch - 1))
+            balances = spark.read.parquet(epoch_path(f"{base}/balances", epoch - 1))
+        else:                                        # the given snapshot
+            current, balances = orders if orders is not None else T["orders"], T["balances"].select("user_id", "amount")
         out = apply_status_changes(T, batch, current)
         out.write.mode("overwrite").parquet(f"{base}/outcomes/epoch={epoch}")
         outcomes = spark.read.parquet(f"{base}/outcomes/epoch={epoch}")
-        new_orders = status_effects(T, outcomes, batch, orders=current)["orders"]
-        new_orders.write.mode("overwrite").parquet(f"{base}/orders/v{epoch:08d}")
-        spark.createDataFrame([(str(epoch),)], "value string").write.mode("append").text(f"{base}/orders/_epochs")
+        effects = status_effects({"balances": balances}, outcomes, batch, orders=current)
+        for name in ("status_log", "transactions", "notifications"):
+            effects[name].write.mode("overwrite").parquet(f"{base}/{name}/epoch={epoch}")
+        for name in ("orders", "balances"):
+            effects[name].write.mode("overwrite").parquet(epoch_path(f"{base}/{name}", epoch))
     return run
 
 

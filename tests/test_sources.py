@@ -62,6 +62,9 @@ def test_snapshot_versions_and_manifest(spark):
     sinks.write_snapshot({"t": a.filter("k > 0")}, d, "2")
     assert sinks.current_version(spark, d)["version"] == "2" and v1 == "1"
     assert sinks.read_snapshot(spark, d, "t").count() == 2
+    assert spark.read.text(f"{d}/_manifests").count() == 2          # the older manifest stays
+    names = {sinks.write_snapshot({"t": a}, d) for _ in range(3)}    # three versions in one second
+    assert len(names) == 3 and sinks.current_version(spark, d)["version"] in names
     sinks.append(a, f"{d}/log")
     sinks.append(a, f"{d}/log")
     assert spark.read.parquet(f"{d}/log").count() == 6
