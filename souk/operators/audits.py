@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from souk.functions.predicates import money
+from souk.operators.ordering import stored
 from souk.functions.text import email_ok, js_trim, screen_reason
 
 # ----------------------------------------------------------------------------- declared constraints
@@ -93,8 +94,10 @@ def all_duplicate_keys(T) -> DataFrame:
 def orphans(T) -> DataFrame:
     """Child rows whose (non-null) foreign key has no parent row.
 
-    The references to one parent table are unioned first, so each parent is
-    shuffled once for one anti join (4 joins instead of 17).
+    Per parent table the distinct references of all its children (combined
+    before the shuffle) take one anti join; the references without a parent are
+    written, and the child rows are then filtered by that table, which Spark
+    broadcasts when it is small.
     """
     by_parent: dict[str, list[DataFrame]] = {}
     for name, child, col, parent, key in FOREIGN_KEYS:
@@ -105,8 +108,9 @@ def orphans(T) -> DataFrame:
     parts = []
     for parent, refs in by_parent.items():
         p = T[parent].select(F.col("id").cast("string").alias("pid"))
-        parts.append(functools.reduce(DataFrame.unionByName, refs)
-                     .join(p, F.col("ref") == F.col("pid"), "left_anti"))
+        every = functools.reduce(DataFrame.unionByName, refs)
+        lost = every.select("ref").distinct().join(p, F.col("ref") == F.col("pid"), "left_anti")
+        parts.append(every.join(stored(lost, f"orphans-{parent}"), "ref", "left_semi").select("fk", "row_key", "ref"))
     return functools.reduce(DataFrame.unionByName, parts)
 
 
