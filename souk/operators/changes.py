@@ -602,14 +602,12 @@ def message_effects(T, requests: DataFrame) -> dict[str, DataFrame]:
 
 def mark_read(T, requests: DataFrame) -> dict[str, DataFrame]:
     """A reader marks an order's messages from others read; order_id null = all notifications."""
-    msg_req = requests.filter(F.col("order_id").isNotNull()).select(
-        F.col("order_id").alias("_o"), F.col("user_id").alias("_reader")).distinct()
-    hits = (T["messages"].select("id", "order_id", "sender_id")
-            .join(msg_req, F.col("order_id") == F.col("_o"))
-            .filter(F.col("_reader") != F.col("sender_id"))
-            .select(F.col("id").alias("_hit")).distinct())
-    messages = (T["messages"].join(hits, F.col("id") == F.col("_hit"), "left")
-                .withColumn("is_read", F.col("is_read") | F.col("_hit").isNotNull()).drop("_hit"))
+    # the smallest and the largest reader of an order tell whether anyone but the sender has read
+    readers = requests.filter(F.col("order_id").isNotNull()).groupBy(F.col("order_id").alias("_o")).agg(
+        F.min("user_id").alias("_lo"), F.max("user_id").alias("_hi"))
+    other = (F.col("_lo") != F.col("sender_id")) | (F.col("_hi") != F.col("sender_id"))
+    messages = (T["messages"].join(readers, F.col("order_id") == F.col("_o"), "left")
+                .withColumn("is_read", F.col("is_read") | F.coalesce(other, F.lit(False))).drop("_o", "_lo", "_hi"))
     users = requests.filter(F.col("order_id").isNull()).select(F.col("user_id").alias("_u")).distinct()
     n = T["notifications"].join(users, F.col("user_id") == F.col("_u"), "left")
     notifications = n.withColumn("is_read", F.col("is_read") | F.col("_u").isNotNull()).drop("_u")
@@ -624,7 +622,7 @@ def create_services(T, requests: DataFrame) -> DataFrame:
                           F.col("category_id"))
     return requests.withColumn("errors", F.array_join(errs, ",")).select(
         "request_id", request_uuid("request_id").alias("id"), F.col("actor_id").alias("executor_id"), "category_id",
-        F.trim("title").alias("title"), F.trim("description").alias("description"), "price", "deadline",
+        js_trim(F.col("title")).alias("title"), js_trim(F.col("description")).alias("description"), "price", "deadline",
         F.lit(True).alias("is_active"), F.coalesce(F.col("tags"), F.lit("[]")).alias("tags"),
         F.coalesce(F.col("is_negotiable"), F.lit(False)).alias("is_negotiable"),
         F.lit(0).cast("decimal(3,2)").alias("rating"), F.lit(0).alias("reviews_count"),
@@ -719,7 +717,7 @@ def register_users(T, requests: DataFrame) -> DataFrame:
     first = first_per_key(r.filter(F.col("reason").isNull()).select("email_n", "ts", "request_id"), "email_n") \
         .select(F.col("request_id").alias("_win"))
     r = r.join(first, F.col("request_id") == F.col("_win"), "left")
-    return r.select("request_id", F.trim("name").alias("name"), F.col("email_n").alias("email"), "role",
+    return r.select("request_id", js_trim(F.col("name")).alias("name"), F.col("email_n").alias("email"), "role",
                     F.when(F.col("_win").isNotNull(), "accepted").otherwise("rejected").alias("status"),
                     F.coalesce(F.col("reason"), F.when(F.col("_win").isNull(), "duplicate")).alias("reason"),
                     F.when(F.col("_win").isNotNull(), request_uuid("request_id")).alias("user_id"))

@@ -185,15 +185,19 @@ def orders_enriched(T) -> DataFrame:
         F.col("ex.name").alias("executor_name"), F.col("ex.email").alias("executor_email"))
 
 
-def orders_for_role(T) -> DataFrame:
-    """P10: each user's order list — customers see orders they placed, all other roles
-    the orders they execute. One equi-join on the role-dependent side."""
+def orders_for_role(T, status: str | None = None) -> DataFrame:
+    """P10: each user's order list, of one ``status`` if given (P3) — customers see orders
+    they placed, all other roles the orders they execute. The orders are enriched once;
+    each is offered to its two sides and joined to the viewers by id."""
     u = T["users"].select(F.col("id").alias("viewer_id"), F.col("role").alias("viewer_role"))
     o = orders_enriched(T)
-    # the side depends on the role: two equi-joins, unioned, instead of a join on a CASE
-    cust = u.filter(F.col("viewer_role") == "customer").join(o, F.col("viewer_id") == F.col("customer_id"))
-    other = u.filter(F.col("viewer_role") != "customer").join(o, F.col("viewer_id") == F.col("executor_id"))
-    return cust.unionByName(other)
+    o = where_all(o, [F.col("status") == status if status else None])
+    side = F.explode(F.array(F.struct(F.col("customer_id").alias("id"), F.lit(True).alias("buys")),
+                             F.struct(F.col("executor_id").alias("id"), F.lit(False).alias("buys"))))
+    o = o.withColumn("_side", side)
+    j = u.join(o, (F.col("viewer_id") == F.col("_side.id"))
+               & ((F.col("viewer_role") == "customer") == F.col("_side.buys")))
+    return j.drop("_side")
 
 
 def order_detail(T) -> DataFrame:
@@ -270,7 +274,8 @@ def list_services(T, search=None) -> DataFrame:
     j = (s.join(u, F.col("u.id") == F.col("s.executor_id"))
          .join(c, F.col("c.id") == F.col("s.category_id")))
     j = where_all(j, [search_cond(["s.title", "u.name"], search)])
-    return j.select("s.id", "s.title", money("s.price").alias("price"), "s.is_active",
+    return j.select("s.id", "s.title", "s.description", "s.deadline", "s.tags", "s.reviews_count",
+                    "s.is_negotiable", "s.category_id", money("s.price").alias("price"), "s.is_active",
                     F.col("s.rating").cast("double").alias("rating"), "s.orders_count", "s.created_at",
                     F.col("u.id").alias("executor_id"), F.col("u.name").alias("executor_name"),
                     F.col("u.email").alias("executor_email"), F.col("c.name").alias("category_name")

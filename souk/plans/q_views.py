@@ -59,6 +59,12 @@ FROM m_users v JOIN ({_ORDERS_ENRICHED}) e
   ON (CASE WHEN v.role = 'customer' THEN e.customer_id ELSE e.executor_id END) = v.id""",
          "P10: order list per viewer, side chosen by role")(lambda T: V.orders_for_role(T))
 
+register("orders_for_role_status", f"""
+SELECT v.id AS viewer_id, v.role AS viewer_role, e.*
+FROM m_users v JOIN ({_ORDERS_ENRICHED}) e
+  ON v.id = if(v.role = 'customer', e.customer_id, e.executor_id) AND e.status = 'review'""",
+         "P3/P10: the same list, one status only")(lambda T: V.orders_for_role(T, "review"))
+
 register("order_detail", f"""
 SELECT e.*,
        (SELECT count(*) FROM m_messages m WHERE m.order_id = e.id) AS messages_count,
@@ -91,11 +97,11 @@ FROM m_transactions t JOIN m_users u ON u.id = t.user_id""",
          "J7: ledger rows with user")(lambda T: V.transactions_enriched(T))
 
 register("list_services", f"""
-SELECT s.id, s.title, {M('s.price')} AS price, s.is_active, cast(s.rating as double) AS rating,
-       s.orders_count, s.created_at, u.id AS executor_id, u.name AS executor_name,
-       u.email AS executor_email, c.name AS category_name
-FROM m_services s JOIN m_users u ON u.id = s.executor_id JOIN m_categories c ON c.id = s.category_id
-WHERE s.title ILIKE '%Brand#1%' OR u.name ILIKE '%Brand#1%'""",
+SELECT offer.* EXCLUDE (price, rating), {M('offer.price')} AS price, offer.rating::double AS rating,
+       seller.name AS executor_name, seller.email AS executor_email, kind.name AS category_name
+FROM m_services offer, m_users seller, m_categories kind
+WHERE seller.id = offer.executor_id AND kind.id = offer.category_id
+  AND concat_ws(chr(10), offer.title, seller.name) ILIKE '%Brand#1%'""",
          "J8: admin service list with search")(lambda T: V.list_services(T, search="Brand#1"))
 
 register("user_order_counts", """
