@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from souk.session import checkpoint_dir
+from souk.operators.ordering import running_totals, stored  # noqa: F401  (for the operators)
 
 # Words of a text whose A-Z are lower-cased: runs of anything but ASCII
 # characters other than 0-9 and a-z.
@@ -42,38 +39,11 @@ def fresh(df: DataFrame, *bases: str) -> list[str]:
     return out
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of the session."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: computed once, lineage cut."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def running_totals(df: DataFrame, order: list[Column], sums: dict[str, Column], name: str) -> DataFrame:
-    """``df`` plus, per entry of ``sums``, the total over all rows before this one in ``order``.
-
-    The rows are range-partitioned and written with their partition's number;
-    totals run inside a partition and start from the totals of the partitions
-    before it (one row each), so no task sees the whole table. Columns are
-    taken by name from ``order``/``sums``, which may use any column of ``df``.
-    """
-    part, = fresh(df, "_part")
-    parts = stored(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), name)
-    totals = parts.groupBy(part).agg(*[F.sum(c).alias(f"_t_{k}") for k, c in sums.items()])
-    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(part, *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_o_{k}")
-                                    for k in sums])
-    inside = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = parts.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_i_{k}")
-                              for k, c in sums.items()])
-    out = out.join(offsets, part)
-    return out.select(*df.columns, *[(F.col(f"_o_{k}") + F.col(f"_i_{k}")).alias(k) for k in sums])
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts go to Python at most ``rows`` at a time, which bounds the batches' memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
 
 
 def match_spans(text: Column, pattern: Column | str) -> Column:

@@ -101,7 +101,8 @@ def alias_edges(links: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b); root is the component's least node."""
-    now = edges.select("a", "b").filter("a is not null and b is not null and a <> b").distinct().checkpoint()
+    files = 4 * edges.sparkSession.sparkContext.defaultParallelism      # four a core at most
+    now = edges.select("a", "b").filter("a is not null and b is not null and a <> b").distinct().coalesce(files).checkpoint()
 
     def state(df):
         return df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -117,7 +118,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .unionByName(least.select("a", F.col("m").alias("b"))).distinct())
-        now = small.checkpoint()
+        now = small.coalesce(files).checkpoint()
         then, seen = seen, state(now)
         if then == seen:
             break
