@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from souk.llm.common import WORD_ANY_CASE, fresh
+from souk.llm.common import WORD_ANY_CASE, fresh, text_batches
 from souk.session import ship_package
 
 WINDOW = 10
@@ -163,6 +163,7 @@ class Automaton:
 def build_shards(items: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> list[bytes]:
     """Pickled automata over ``items`` (item_id, text), one per shard of bounded size."""
     ship_package(items.sparkSession)
+    text_batches(items.sparkSession)
     items = items.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("text is not null and item_id is not null")
     total = items.agg(F.sum(F.regexp_count("text", F.lit(WORD_ANY_CASE)))).first()[0] or 0
     shards = max(1, -(-total // shard_words))

@@ -3,14 +3,19 @@
 1. One pass hashes every text into a BagMinHash signature and its band keys;
    equal texts (by md5) become one node, so copies never meet as pairs.
 2. Nodes that share a band key are candidates. No bucket is expanded into
-   pairs: in each round a few nodes of a bucket are its centres, compared with
-   the other members that aren't in their component yet, and then leave the
-   bucket; a bucket whose members are all in one component is finished. A
-   group of near copies so costs one comparison a member; the number of centres
-   grows fourfold per round, so every pair that isn't joined otherwise
-   is compared at last, without a cap on buckets or members.
+   pairs: in each round a few nodes of a bucket are its centres (first those
+   that meet most others), compared with the other members that aren't in their
+   component yet, and then leave the bucket; a bucket whose members are all in
+   one component is finished. A group of near copies so costs one comparison a
+   member. What is left after the first round are texts that only share a passage, or
+   copies edited too much. For these it is counted how many of a text's
+   shingles occur in any other of them; two texts can't share more than the
+   poorer of them has, which rules out nearly all of their pairs without a
+   comparison and without a loss. The number of centres grows with every
+   round, so every pair that isn't joined or ruled out is compared at last,
+   without a cap on buckets or members.
 3. A candidate pair must have sizes that allow the similarity and agree in at
-   least ``ESTIMATE`` of the slots (at 0.8 that fails once in 10^8); the rest
+   least ``ESTIMATE`` of the slots (at 0.8 that fails 3 times in 10^5); the rest
    is verified on the exact multisets. Links become classes by connected
    components.
 
@@ -30,14 +35,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from souk.llm import bagminhash as bag
-from souk.llm.common import fresh, stored
+from souk.llm.common import fresh, stored, text_batches
 from souk.llm.url_filter import components
 from souk.session import ship_package
 
 SIMILARITY = 0.8
-ESTIMATE = 0.6
+ESTIMATE = 0.66
+# Centres of a bucket: one at first, then so many, MORE times as many in each further round.
+CENTRES, MORE = 2048, 32
+# Bits of the sieve that keeps texts of no interest out of the shuffle; its size is fixed.
+SIEVE = 1 << 20
 
 
 def _buffers(column) -> tuple[np.ndarray, np.ndarray]:
@@ -98,6 +108,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per document: doc_id, rowkey, key, root (the class, named by a key)."""
     spark = docs.sparkSession
     ship_package(spark)
+    text_batches(spark)
     keyed = _keyed(docs)
     rows = stored(keyed.select("doc_id", "rowkey", "key"), "near-rows")
     signed = keyed.select("key", "rowkey", "text").mapInArrow(
@@ -106,64 +117,107 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     nodes = signed.groupBy("key").agg(F.min("rowkey").alias("rowkey"), *[F.first(c).alias(c) for c in ("weight", "slots", "bands")])
     known = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
     nodes = known.select("key", "rowkey", "node")
-    flat = known.select("node", F.explode("bands").alias("bucket"))
-    shared = flat.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
-    members = stored(flat.join(shared.select("bucket"), "bucket"), "near-members")
+    flat = known.select("node", "weight", F.explode("bands").alias("bucket"))
+    shared = flat.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    members = _small(flat.join(shared, "bucket"), "near-members")
     links = _links(keyed, nodes, known, members, similarity)
-    if links is None:
-        return rows.withColumn("root", F.col("key"))
     roots = components(links)
     named = nodes.select("key", F.col("node").alias("n"))
-    classes = stored(roots.join(named, roots["node"] == named["n"]).select("key", F.col("root").alias("r")), "near-roots")
+    classes = _small(roots.join(named, roots["node"] == named["n"]).select("key", F.col("root").alias("r")), "near-roots")
     tops = nodes.select(F.col("node").alias("t"), F.col("key").alias("root"))
     classes = classes.join(tops, F.col("r") == F.col("t")).select("key", "root")
     out = rows.join(classes, "key", "left")
     return out.withColumn("root", F.coalesce("root", "key"))
 
 
-def _links(keyed, nodes, known, members, similarity) -> DataFrame | None:
+def _links(keyed, nodes, known, members, similarity) -> DataFrame:
     """Verified links (a, b) between nodes that keep every component whole."""
-    links, centres = None, 1
-    live = members
+    # how many others a node meets: what many texts were copied from meets most
+    met = _small(members.groupBy("node").agg(F.sum("size").alias("met")), "near-met")
+    sets = _sets(keyed, nodes, met.select("node"))
+    signed = stored(known.select("node", "slots", "bands").join(met.select("node"), "node"), "near-signed")
+    live = members.select("bucket", "node", "weight").join(met, "node").withColumn("root", F.col("node")).withColumn("able", F.col("weight"))
+    live = _small(live, "near-live")
+    links, chosen = _compared(live, signed, sets, 1, similarity)
+    roots = _small(components(links), "near-round")
+    links = roots.filter("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
+    live = live.drop("root").join(chosen.select("bucket", F.col("centre").alias("node")), ["bucket", "node"], "left_anti")
+    live = live.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    counts = live.select("bucket", "root").distinct().groupBy("bucket").agg(F.count("*").alias("roots"))
+    live = _small(live.join(counts.filter("roots > 1").select("bucket"), "bucket"), "near-live")
+    common = _small(_shareable(sets.join(live.select("node").distinct(), "node")), "near-common").withColumnRenamed("able", "common")
+    live = live.join(common, "node", "left").withColumn("able", F.coalesce("common", "able"))
+    live = live.filter(F.col("able") >= similarity * F.col("weight")).select("bucket", "node", "weight", "met", "root", "able")
+    centres = CENTRES
     while True:
-        if links is not None:
-            root = stored(components(links), "near-round")
-            live = live.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        else:
-            live = live.withColumn("root", F.col("node"))
-        busy = live.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("bucket")
-        live = stored(live.join(busy, "bucket"), "near-live")
+        counts = live.select("bucket", "root").distinct().groupBy("bucket").agg(F.count("*").alias("roots"))
+        live = _small(live.join(counts.filter("roots > 1").select("bucket"), "bucket"), "near-live")
         if live.isEmpty():
             return links
-        # the smallest nodes of each bucket, kept as a bounded array (at most ``centres`` a bucket)
-        heads = live
-        chosen = heads.groupBy("bucket").agg(F.min(F.struct("node", "root")).alias("c")) if centres == 1 else _smallest(heads, centres)
-        chosen = stored(chosen.select("bucket", F.col("c.node").alias("centre"), F.col("c.root").alias("croot")), "near-centres")
-        pairs = live.join(chosen, "bucket").filter("root <> croot and node <> centre").select(
-            F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-        good = stored(_verified(keyed, nodes, known, pairs, similarity), "near-links")
-        links = good if links is None else links.unionByName(good)
-        live = live.join(chosen, (live["bucket"] == chosen["bucket"]) & (live["node"] == chosen["centre"]), "left_anti").select("bucket", "node")
-        centres *= 4
-
-
-def _smallest(rows: DataFrame, k: int) -> DataFrame:
-    from pyspark.sql.window import Window
-    w = Window.partitionBy("bucket").orderBy("node")
-    return (rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-            .select("bucket", F.struct("node", "root").alias("c")))
-
-
-def _verified(keyed, nodes, known, pairs, similarity) -> DataFrame:
-    x = known.select(F.col("node").alias("a"), F.col("weight").alias("wa"), F.col("slots").alias("sa"))
-    y = known.select(F.col("node").alias("b"), F.col("weight").alias("wb"), F.col("slots").alias("sb"))
-    sized = pairs.join(x, "a").join(y, "b").filter(F.least("wa", "wb") >= similarity * F.greatest("wa", "wb"))
-    same = F.size(F.filter(F.zip_with("sa", "sb", lambda p, q: p == q), lambda z: z))
-    likely = stored(sized.filter(same >= ESTIMATE * bag.SLOTS).select("a", "b"), "near-likely")
-    wanted = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
-    wanted = nodes.join(wanted, "node").select("node", "rowkey")
-    texts = keyed.select("rowkey", "text").join(wanted, "rowkey").dropDuplicates(["node"]).select("node", "text")
-    sets = stored(texts.mapInArrow(_expand, "node bigint, elements array<bigint>"), "near-sets")
+        found, chosen = _compared(live, signed, sets, centres, similarity)
+        links = links.unionByName(found)
+        live = live.join(chosen.select("bucket", F.col("centre").alias("node")), ["bucket", "node"], "left_anti")
+        centres *= MORE
+
+
+def _compared(live, signed, sets, centres, similarity) -> tuple[DataFrame, DataFrame]:
+    """Links between the buckets' next centres and their other members; the centres."""
+    chosen = _small(_centres(live, centres), "near-centres")
+    # what two texts share is at most what the poorer one has in common with any
+    share = F.least("able", "cable")
+    near = (F.col("root") != F.col("croot")) & (share >= similarity * (F.col("weight") + F.col("cweight") - share))
+    same = F.size(F.filter(F.zip_with("slots", "cslots", lambda p, q: p == q), lambda z: z)) >= ESTIMATE * bag.SLOTS
+    once = F.get(F.array_intersect("bands", "cbands"), F.lit(0)) == F.col("bucket")    # only in the first shared bucket
+    heads = chosen.join(signed.select(F.col("node").alias("centre"), F.col("slots").alias("cslots"), F.col("bands").alias("cbands")), "centre")
+    rows = live.join(signed, "node")
+    pairs = rows.join(heads, "bucket").filter(near & same & once).select(
+        F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    return _small(_verified(sets, _small(pairs, "near-pairs"), similarity), "near-links"), chosen
+
+
+def _shareable(sets: DataFrame) -> DataFrame:
+    """(node, able): how many of a node's elements occur in another of these nodes."""
+    flat = sets.select("node", F.explode("elements").alias("element"))
+    alone = flat.groupBy("element").agg(F.count("*").alias("n"), F.min("node").alias("node")).filter("n = 1")
+    alone = alone.groupBy("node").agg(F.count("*").alias("alone"))
+    size = sets.select("node", F.size("elements").cast("long").alias("size"))
+    return size.join(alone, "node", "left").select("node", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("able"))
+
+
+def _centres(live: DataFrame, k: int) -> DataFrame:
+    """(bucket, centre, croot, cweight, cable): the ``k`` nodes of each bucket that meet most."""
+    if k == 1:
+        most = live.groupBy("bucket").agg(F.max(F.struct("met", "node", "root", "weight", "able")).alias("c"))
+        return most.select("bucket", F.col("c.node").alias("centre"), F.col("c.root").alias("croot"), F.col("c.weight").alias("cweight"), F.col("c.able").alias("cable"))
+    w = Window.partitionBy("bucket").orderBy(F.desc("met"), "node")
+    return live.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= k).select(
+        "bucket", F.col("node").alias("centre"), F.col("root").alias("croot"), F.col("weight").alias("cweight"), F.col("able").alias("cable"))
+
+
+def _sets(keyed, nodes, wanted) -> DataFrame:
+    """(node, elements): the multisets of the wanted nodes.
+
+    A bitmap of their hashed keys, one row of a fixed size, drops most other
+    texts before the shuffle; the join decides.
+    """
+    wanted = _small(nodes.join(wanted, "node").select("node", "rowkey"), "near-wanted")
+    place = F.pmod(F.xxhash64("rowkey"), F.lit(SIEVE))
+    word, bit = F.floor(place / 64).cast("int"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(rowkey), {SIEVE}) % 64 as int))")
+    none = keyed.sparkSession.range(SIEVE // 64).select(F.col("id").cast("int").alias("word"), F.lit(0).cast("long").alias("bits"))
+    words = none.unionByName(wanted.select(word.alias("word"), bit.alias("bits"))).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    sieve = words.agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("w")).select(F.transform("w", lambda x: x["bits"]).alias("sieve"))
+    likely = keyed.crossJoin(F.broadcast(stored(sieve, "near-sieve")))                      # one row
+    likely = likely.filter(F.get("sieve", word).bitwiseAND(bit) != 0).select("rowkey", "text")
+    texts = likely.join(wanted, "rowkey").dropDuplicates(["node"]).select("node", "text")
+    return stored(texts.mapInArrow(_expand, "node bigint, elements array<bigint>"), "near-sets")
+
+
+def _small(df: DataFrame, name: str) -> DataFrame:
+    """``stored`` in at most four files a core: for tables far smaller than the texts."""
+    return stored(df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism), name)
+
+
+def _verified(sets, likely, similarity) -> DataFrame:
     a = sets.select(F.col("node").alias("a"), F.col("elements").alias("ea"))
     b = sets.select(F.col("node").alias("b"), F.col("elements").alias("eb"))
     both = likely.join(a, "a").join(b, "b")
@@ -192,8 +246,6 @@ def dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     The kept rows are joined back on a key of (id, text); of rows repeated
     with the same id and text one is returned.
     """
-    from pyspark.sql.window import Window
-
     kept = stored(kept_rows(near_classes(docs, similarity)).select("rowkey"), "near-kept")
     rowkey, nth = fresh(docs, "_rowkey", "_nth")
     text = F.coalesce("text", F.lit(""))

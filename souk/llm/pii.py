@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from souk.llm.common import fresh, stored
+from souk.llm.common import fresh, stored, text_batches
 from souk.session import ship_package
 
 KEY = b"surrogates-1"
@@ -259,6 +259,7 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY) -> tuple[DataFrame, str]:
     ``n_chars``, if there, follows the text.
     """
     ship_package(docs.sparkSession)
+    text_batches(docs.sparkSession)
     found = stored(occurrences(docs), "pii-found")
     fixed = assign_attempts(found.select("type", "value"), key).filter("attempt > 0")
     later = found.join(fixed.select("type", "value", "attempt"), ["type", "value"])

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.llm.common import running_totals, stored
+from souk.llm.common import running_totals, stored, text_batches
 from souk.session import ship_package
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -45,6 +45,7 @@ def document_lengths(docs: DataFrame, tokenizer: str = TOKENIZER, column: str =
     """``docs`` with the encoded length of each text in ``column`` instead of its text."""
     spark: SparkSession = docs.sparkSession
     ship_package(spark)
+    text_batches(spark)
     file = spark.read.format("binaryFile").load(tokenizer).select("length", "content")
     size, content = file.first()
     if size > MAX_VOCABULARY:

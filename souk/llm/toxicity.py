@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from souk.llm.common import fresh, stored
+from souk.llm.common import fresh, stored, text_batches
 from souk.llm.decontamination import words_of
 from souk.session import ship_package
 
@@ -189,6 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
     """
     spark = docs.sparkSession
     ship_package(spark)
+    text_batches(spark)
     sample, weights = sample_of(labels, max_toxic, max_clean)
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")      # at most max_toxic + max_clean ids
     texts = texts.withColumn("key", F.md5(F.coalesce("text", F.lit(""))))
@@ -244,6 +245,7 @@ def document_frequencies(docs: DataFrame, features: list[bytes]) -> tuple[int, d
 def score_toxicity(docs: DataFrame, labels: DataFrame, model: Model | None = None, **limits) -> tuple[DataFrame, list[str]]:
     """``docs`` plus a score and its evidence; returns the frame and the two columns' names."""
     spark = docs.sparkSession
+    text_batches(spark)
     shared = spark.sparkContext.broadcast(model or fit(docs, labels, **limits))
     names = fresh(docs, "score", "evidence")
     kind = T.ArrayType(T.StructType([T.StructField("doc_id", T.StringType()), T.StructField("toxic", T.IntegerType()),
