@@ -6,8 +6,10 @@ to care about punctuation, line ends or comment marks. The rules are the
 product of license names, version spellings and statement forms, most
 specific first; that order is the priority.
 
-A text goes through three gates: it must contain one of a few licence words at
-all, then a rule's own keyword, and only then runs the rule's pattern. Of the
+A text goes through three gates, each implied by the rules: it must hold a word
+that some rule can't do without (``gate_of``, derived from the rules), then a
+rule's own keyword and the other fixed pieces of its pattern, and only then runs
+the pattern. So a gate never rejects what a rule would match. Of the
 matches, one that lies inside another of the same or a better priority is
 suppressed; the rest stand, also where they overlap.
 
@@ -19,6 +21,8 @@ repeated places of a rule all count; columns of any name are kept.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,7 +64,8 @@ FAMILIES = [
     ("ms-pl", "microsoft", [r"microsoft public"], []),
     ("ms-rl", "microsoft", [r"microsoft reciprocal"], []),
     ("odbl", "open database", [r"(?:odc )?open database"], ["1 0"]),
-    ("cc0", "cc0", [r"cc0", r"creative commons zero"], ["1 0"]),
+    ("cc0", "cc0", [r"cc0"], ["1 0"]),
+    ("cc0", "creative commons zero", [r"creative commons zero"], ["1 0"]),
 ]
 CC_PARTS = [("cc-by-nc-nd", "by nc nd", "attribution non ?commercial no ?deriv(?:ative)?s?"),
             ("cc-by-nc-sa", "by nc sa", "attribution non ?commercial share ?alike"),
@@ -78,8 +83,6 @@ FORMS = [
     (r"subject to (?:the )?(?:terms of (?:the )?)?{name}", 0.9),
     (r"{name}", 0.7),
 ]
-# Words of a text that may state a license at all.
-GATE = r"(?i)licen[sc]e|copyright|copyleft|public domain|creative commons|cc0|\bcc\W+by\b|all rights reserved|permission is hereby|redistribution and use"
 STATEMENTS = [
     ("public-domain", "public domain", r"(?:released|dedicated|placed|is) (?:in|into|to) the public domain", 0.9),
     ("mit", "permission is hereby", r"permission is hereby granted free of charge to any person obtaining a copy", 0.9),
@@ -114,6 +117,34 @@ def signature_rules() -> list[tuple[int, str, str, str, float]]:
             for i, (label, word, pattern, confidence) in enumerate(found)]
 
 
+def literals(pattern: str) -> list[str]:
+    """The fixed pieces of a rule's pattern: every match holds each of them."""
+    p = re.sub(r"\(\?<?= \)", "", pattern)
+    while m := re.search(r"\(\?:([^()]*)\)(\?|\{[^}]*\})?", p):
+        p = p[:m.start()] + ("\0" if m[2] or "|" in m[1] else m[1]) + p[m.end():]
+    if "|" in p or "(" in p:                         # nothing is known of such a pattern
+        return []
+    p = re.sub(r".[?*]", "\0", re.sub(r"\[[^]]*\][+*?]?", "\0", p))
+    return [x for x in p.split("\0") if x.strip()]
+
+
+def gate_of(rules) -> str:
+    """A pattern for unchanged texts: found wherever a rule or base phrase can match.
+
+    Per rule "licen" if its matches can't be without it, else its keyword, with
+    any gap for a blank.
+    """
+    needed = {"licen" if any("licen" in x for x in literals(pattern)) else word for _, _, word, pattern, _ in rules}
+    needed |= {"licen" if "licen" in x else x for x in PHRASES}
+    least = sorted(x for x in needed if not any(y != x and y in x for y in needed))
+    gap = f"(?:{GAP_ANY_CASE}|$)"
+    return "(?i)" + "|".join(gap.join(map(re.escape, x.split(" "))) for x in least)
+
+
+# What a text must hold to get as far as the rules.
+GATE = gate_of(signature_rules())
+
+
 def normal_words(text: Column) -> Column:
     """The words of a text, A-Z lower-cased, each with a blank before and after."""
     words = ascii_lower(F.regexp_replace(text, GAP_ANY_CASE, " "))
@@ -122,10 +153,15 @@ def normal_words(text: Column) -> Column:
 
 def _detections(normal: Column, rules) -> Column:
     """Standing matches: array<struct<start,end,label,confidence>>, by start."""
-    table = F.array(*[F.struct(F.lit(p).alias("priority"), F.lit(label).alias("label"), F.lit(word).alias("word"),
-                               F.lit(pattern).alias("pattern"), F.lit(float(c)).alias("confidence"))
-                      for p, label, word, pattern, c in rules])
-    gated = F.filter(table, lambda r: F.contains(normal, r["word"]))
+    by_word: dict[str, list[Column]] = {}
+    for p, label, word, pattern, c in rules:
+        pieces = F.array(*map(F.lit, literals(pattern))).cast("array<string>")
+        by_word.setdefault(word, []).append(F.struct(
+            F.lit(p).alias("priority"), F.lit(label).alias("label"), pieces.alias("pieces"),
+            F.lit(pattern).alias("pattern"), F.lit(float(c)).alias("confidence")))
+    table = F.array(*[F.struct(F.lit(word).alias("word"), F.array(*rs).alias("rules")) for word, rs in by_word.items()])
+    named = F.flatten(F.transform(F.filter(table, lambda g: F.contains(normal, g["word"])), lambda g: g["rules"]))
+    gated = F.filter(named, lambda r: F.forall(r["pieces"], lambda x: F.contains(normal, x)))
     found = F.flatten(F.transform(gated, lambda r: F.transform(
         match_spans(normal, r["pattern"]),
         lambda m: F.struct(r["priority"].alias("priority"), (-(m["end"] - m["start"])).alias("neg_size"),
@@ -153,7 +189,7 @@ def scan_licenses(docs: DataFrame, rules=None) -> DataFrame:
     rules = signature_rules() if rules is None else rules
     text, normal, gate = fresh(docs, "_text", "_normal", "_gate")
     out = docs.select("*", F.coalesce(F.col("text"), F.lit("")).alias(text))
-    out = out.withColumn(normal, F.when(F.col(text).rlike(GATE), normal_words(F.col(text))))
+    out = out.withColumn(normal, F.when(F.col(text).rlike(gate_of(rules)), normal_words(F.col(text))))
     pattern = r"(?<= )(?:" + "|".join(PHRASES) + r")(?= )"
     labels = F.create_map(*[F.lit(x) for kv in PHRASES.items() for x in kv])
 

@@ -79,3 +79,37 @@ def test_query_equals_brute_force(spark, sf_dir, documents):
 
 def test_empty_table(docs_of):
     assert licenses.scan_licenses(docs_of([])).collect() == []
+
+
+def detect_all(t):
+    """Standing matches of all rules, without gate or keyword."""
+    s = " " + " ".join(words(t)) + " "
+    found = sorted((p, -(m.end() - m.start()), m.start(), m.end(), label, c) for p, label, _, pattern, c in licenses.signature_rules()
+                   for m in re.finditer(pattern, s))
+    kept = []
+    for _, _, a, b, label, c in found:
+        if not any(x <= a and y >= b for x, y, _, _ in kept):
+            kept.append((a, b, label, c))
+    return sorted(kept)
+
+
+GATED = {"Released under Apache 2.0.": "apache-2.0", "placed in the public\ndomain": "public-domain", "All rights\nreserved": "proprietary",
+         "Redistribution and\n * use in source and binary forms, with or without modification": "bsd",
+         "Permission to use, copy, modify, and/or distribute this software for any purpose": "isc",
+         "it is provided 'as is', without any express or implied warranty": "zlib", "Creative Commons Zero 1.0": "cc0-1.0",
+         "Permission\tis hereby granted, free of charge, to any person obtaining a copy": "mit", "subject to Mozilla Public 2.0": "mpl-2.0",
+         "CC-BY": "cc-by", "creative\ncommons attribution": "cc-by", "published under WTFPL 2": "wtfpl-2"}
+
+
+def test_no_gate_is_narrower_than_the_rules(docs_of):
+    texts = [*GATED, *TEXTS[:-4], "mit dem Auto, nichts weiter", "see the docs, cc", "python 2.0"]
+    got = {r.doc_id: [(d.start, d.end, d.label, d.confidence) for d in r.detections]
+           for r in licenses.scan_licenses(docs_of(list(enumerate(texts)))).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == detect_all(t), t
+        assert t not in GATED or GATED[t] in {d[2] for d in got[i]}
+
+
+def test_every_rule_implies_its_keyword():
+    for _, _, word, pattern, _ in licenses.signature_rules():
+        assert any(word in piece + " " for piece in licenses.literals(pattern)), (word, pattern)
