@@ -17,8 +17,11 @@ entities with a later attempt than the first are needed for the texts again;
 they are grouped by document and joined on a row key, which Spark broadcasts
 only when it is small.
 
-Names: family names and given names are entities of their own, so "Mr. Ivan
-Petrov" and "Mr. Petrov" get the same family name.
+Names: all capitalised words after a form of address, the last one the family
+name. Family names and given names are entities of their own, so "Mr. Ivan
+Petrov" and "Mr. Petrov" get the same family name. Further whole-word mentions of
+a name in the same text, capitalised or in capitals, are the same entity (that of
+its first mention after a form of address). Names that never follow one stay.
 
 Defined cases: null stays null and has no entity; equal texts get equal
 replacements; an empty table gives an empty result; columns of any name are kept.
@@ -46,6 +49,9 @@ FIRST_ONLY = 12          # attempts in the entity's own space; later ones may gr
 TITLES = {"Mr": "m", "Mister": "m", "Herr": "m", "Herrn": "m", "Monsieur": "m", "Señor": "m", "Sr": "m", "Don": "m",
           "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Mlle": "f", "Señora": "f",
           "Sra": "f", "Srta": "f", "Doña": "f", "господин": "m", "госпожа": "f", "г-н": "m", "г-жа": "f"}
+_TITLE = "|".join(sorted(map(re.escape, TITLES), key=len, reverse=True))
+_NOT_NEXT = "|".join(sorted(map(re.escape, set(TITLES) - {"Don"}), key=len, reverse=True))     # Don is a given name too
+_CAPITALISED = r"[^\W\d_a-zà-ÿа-яё][^\W\d_]+"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 SHAPES = {
     "email": r"(?<![\w.%+-])\w[\w.%+-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}",
@@ -54,8 +60,8 @@ SHAPES = {
     "ssn": r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "ip": rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)",
     "card": r"(?<!\w)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){2,3}(?:[ -]\d{1,3})?)(?!\w)",
-    "name": (r"(?<!\w)(?P<title>" + "|".join(sorted(map(re.escape, TITLES), key=len, reverse=True)) +
-             r")\.?[ \t]+(?P<names>(?:[^\W\d_a-zà-ÿа-яё][^\W\d_]+)(?:[ -][^\W\d_a-zà-ÿа-яё][^\W\d_]+){0,2})"),
+    "name": (rf"(?<!\w)(?P<title>{_TITLE})\.?[ \t]+(?P<names>{_CAPITALISED}"
+             rf"(?:[ -](?!(?:{_NOT_NEXT})(?!\w)){_CAPITALISED})*)"),
 }
 _PATTERNS = {k: re.compile(p) for k, p in SHAPES.items()}
 _DIGIT = re.compile(r"\d")
@@ -183,6 +189,14 @@ def find_entities(text: str) -> list[tuple[int, int, str, str]]:
                 g = gender if part == "given" or script == "cyrillic" else "x"
                 found.append((m.start("names") + w.start(), m.start("names") + w.end(), "name",
                               f"{part}:{g}:{script}:{w.group().lower()}"))
+    names: dict[str, str] = {}
+    for a, b, kind, value in found:
+        if kind == "name":
+            for spelling in (text[a:b], text[a:b].capitalize(), text[a:b].upper()):
+                names.setdefault(spelling, value)
+    if names:                                        # after the titled ones, which come first among equal spans
+        mention = re.compile(r"(?<!\w)(?:" + "|".join(sorted(map(re.escape, names), key=len, reverse=True)) + r")(?!\w)")
+        found += [(m.start(), m.end(), "name", names[m.group()]) for m in mention.finditer(text)]
     order, out, end = {k: i for i, k in enumerate(SHAPES)}, [], 0
     for span in sorted(found, key=lambda x: (x[0], order[x[2]], -x[1])):
         if span[0] >= end:

@@ -94,3 +94,32 @@ def test_empty_table(docs_of):
 def test_attempts_give_many_surrogates(kind, value):
     made = {pii.surrogate(kind, value, k) for k in range(60)}
     assert len(made) > 40 and all(pii.surrogate(kind, value, 3) == pii.surrogate(kind, value, 3) for _ in range(2))
+
+
+def test_further_mentions_of_a_name_are_the_same_entity():
+    text = ("Petrov called. Mr. Ivan Petrov wrote; Petrov's note, PETROV and Ivan said. Petrova, petrov and Petrovsk stay. "
+            "Ask Petrov@mail.example.com. Frau Anna Petrov came, Anna left.")
+    new, spans = pii.replace_entities(text, {})
+    assert [text[a:b] for a, b, *_ in spans] == ["Petrov", "Ivan", "Petrov", "Petrov", "PETROV", "Ivan", "Petrov@mail.example.com",
+                                                  "Anna", "Petrov", "Anna"]
+    assert len({v for a, b, k, v in spans if text[a:b].lower() == "petrov"}) == 1
+    assert not re.search(r"\b(Petrov|PETROV|Ivan|Anna)\b", new) and "Petrova, petrov and Petrovsk stay" in new
+    again = [(new[a:b], k) for a, b, k, _ in pii.find_entities(new)]
+    assert [k for _, k in again] == [k for *_, k, _ in spans]
+    names = [t for t, k in again if k == "name"]
+    assert names[0] == names[2] == names[3] == names[4].capitalize() == names[7] and names[1] == names[5] and names[6] == names[8]
+
+
+def test_a_name_has_all_its_capitalised_words():
+    text = "Señora Ana Lucia Gomez Herrera came with Herr Karl Otto Emil Franz Weber Frau Müller and Mr. Don Smith."
+    spans = pii.find_entities(text)
+    assert [text[a:b] for a, b, *_ in spans] == ["Ana", "Lucia", "Gomez", "Herrera", "Karl", "Otto", "Emil", "Franz", "Weber", "Müller",
+                                                  "Don", "Smith"]
+    assert [text[a:b] for a, b, _, v in spans if v.startswith("family")] == ["Herrera", "Weber", "Müller", "Smith"]
+
+
+def test_mentions_keep_one_surrogate_over_the_corpus(docs_of):
+    rows = [(0, "Mr. Ivan Petrov wrote. Petrov said."), (1, "Petrov again, Mr. Petrov"), (2, "Petrov without a title stays")]
+    got = {r.doc_id: r.text for r in pii.pseudonymise(docs_of(rows))[0].collect()}
+    family = re.fullmatch(r"Mr\. \w+ (\w+) wrote\. (\w+) said\.", got[0])
+    assert family[1] == family[2] != "Petrov" and got[1] == f"{family[1]} again, Mr. {family[1]}" and got[2] == rows[2][1]
