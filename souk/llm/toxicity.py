@@ -8,8 +8,9 @@ TF-IDF weights. Examples are unit vectors in blocks of ``BLOCK``; a block-max
 inverted index holds, per feature, the blocks in which it occurs and its
 largest weight there. A document's bound for a block is the sum of its weights
 times these; a block whose bound is below the k-th best similarity so far
-can't change the answer and is skipped, so the k nearest by cosine are exact
-(equal similarities: the earlier example).
+can't change the answer and is skipped, so the k nearest by cosine over the
+features are exact (equal similarities: the earlier example). Words that are not
+features don't count; the README has what that finds and misses.
 
 The neighbours vote with their similarity as weight, examples of a class
 weighted by how thinly it was sampled, plus one vote of the share found
