@@ -3,8 +3,8 @@
 Rules name a host and a path prefix; the longest rule that fits a URL decides.
 URLs that no rule fits take the decision of their aliases: the URLs joined to
 them by redirects (meta refresh), canonical links and canonical forms of the
-address (scheme, leading www./m., query, fragment, trailing slash and .html
-dropped). Aliases are the connected components of these edges, found with
+address (scheme, leading www./m., tracking parameters, fragment, trailing slash
+and .html dropped; other parameters kept, sorted). Aliases are the connected components of these edges, found with
 alternating large-star / small-star steps: each step only joins and takes
 minima by node, so a component or node of any size is split over tasks and
 combined before the shuffle. Rounds are cut with ``checkpoint()``; no
@@ -34,6 +34,9 @@ RULES = [
     ("block", "net", "/fr/"),
 ]
 
+# Query parameters that only track where a visitor came from.
+TRACKING = r"(?i)^(?:utm_\w+|gclid|dclid|gbraid|wbraid|fbclid|msclkid|yclid|igshid|mc_[ce]id|_ga|_gl)(?:=|$)"
+
 
 def host_of(url: Column) -> Column:
     """After the first ``://`` up to /, ?, # or the end, A-Z lower-cased; else empty."""
@@ -64,7 +67,10 @@ def canonical_form(url: Column) -> Column:
     """One spelling of an address; null without a host."""
     host = F.regexp_replace(host_of(url), r"^(?:www|m)\.", "")
     path = F.regexp_replace(path_of(url), r"(?:/|/index\.html?|\.html?)$", "")
-    return F.when(host != "", F.concat(F.lit("//"), host, path))
+    query = F.regexp_extract(url, r"(?s)^.*?://[^?#]*\?([^#]*)", 1)
+    kept = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(TRACKING)))
+    asked = F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")
+    return F.when(host != "", F.concat(F.lit("//"), host, path, asked))
 
 
 def _absolute(href: Column, url: Column) -> Column:
@@ -145,13 +151,14 @@ def judge_urls(pages: DataFrame, rules=RULES, default: str = "allow") -> DataFra
         F.coalesce(F.max(F.col("verdict") == "allow"), F.lit(False)).alias("allowed"),
         F.coalesce(F.max(F.col("verdict") == "block"), F.lit(False)).alias("blocked")), "url-nodes")
     roots = stored(components(alias_edges(links)), "url-roots")
-    judged = judged.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    judged = judged.join(roots, "node", "left").withColumn("linked", F.col("root").isNotNull()).withColumn(
+        "root", F.coalesce("root", "node"))
     groups = judged.groupBy("root").agg(F.max("allowed").alias("allowed"), F.max("blocked").alias("blocked"))
     node, root, group, fit, own = fresh(pages, "_node", "_root", "_group", "_fit", "_own")
-    # only groups with a decision matter to URLs without a rule
-    decided = (judged.select("node", "root").join(groups.filter("allowed or blocked"), "root")
+    # a node without link and decision is its own alias and gets the default
+    decided = (judged.select("node", "root", "linked").join(groups, "root").filter("linked or allowed or blocked")
                .select(F.col("node").alias(node), F.col("root").alias(root),
-                       F.when(F.col("allowed"), "allow").otherwise("block").alias(group)))
+                       F.when(F.col("allowed"), "allow").when(F.col("blocked"), "block").alias(group)))
     out = pages.select("*", rule_for(host_of(url), path_of(url), rules).alias(fit), canonical_form(url).alias(own))
     out = out.join(decided, F.col(own) == F.col(node), "left")
     made = {"host": host_of(url), "path": path_of(url), "rule": F.col(fit)["rule"],

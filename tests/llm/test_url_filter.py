@@ -115,3 +115,22 @@ def test_query_equals_brute_force(spark, sf_dir):
 
 def test_empty_table(spark):
     assert uf.judge_urls(frame(spark, [("a", "b")]).limit(0)).collect() == []
+
+
+def test_alias_names_the_component_without_any_rule(spark):
+    pages = [("http://q.org/b", '<link rel="canonical" href="/a">'), ("http://q.org/a", ""), ("http://q.org/c", '<link rel="canonical" href="/b">'),
+             ("http://q.org/alone", ""), (None, "")]
+    got = {r.page_id: (r.rule, r.alias, r.verdict) for r in uf.judge_urls(frame(spark, pages)).collect()}
+    assert [got[k] for k in range(3)] == [(None, "//q.org/a", "allow")] * 3
+    assert got[3] == (None, "//q.org/alone", "allow") and got[4] == (None, None, "allow")
+
+
+def test_a_redirect_of_one_query_blocks_only_that_page(spark):
+    pages = [("http://q.org/index.php?id=1", '<meta http-equiv="refresh" content="0; url=http://example.net/es/x">'),
+             ("http://q.org/index.php?id=2", ""), ("http://q.org/index.php", ""), ("https://www.q.org/index.php?utm_source=a&id=1&gclid=z#top", ""),
+             ("http://q.org/index.php?b=2&a=1", ""), ("http://q.org/index.php?a=1&&b=2", ""), ("http://q.org/index.php?fbclid=7", ""),
+             ("http://r.org?x=a/b", "")]
+    got = {r.page_id: (r.alias, r.verdict) for r in uf.judge_urls(frame(spark, pages)).collect()}
+    assert [got[k][1] for k in range(8)] == ["block", "allow", "allow", "block", "allow", "allow", "allow", "allow"]
+    assert got[0][0] == got[3][0] and got[4][0] == got[5][0] == "//q.org/index.php?a=1&b=2"
+    assert got[2][0] == got[6][0] == "//q.org/index.php" and got[7][0] == "//r.org?x=a/b"
