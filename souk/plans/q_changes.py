@@ -317,10 +317,12 @@ register("register_users", _register_sql(),
         "user_id", F.when(F.col("user_id").isNotNull(), F.lit("#"))))
 
 
-def _user_requests(T, tag: str, mod: int):
-    u = T["users"].filter(F.expr(f"role = 'customer' and cast(substring(id, 2) as bigint) % {mod} = 0"))
+def _user_requests(T, tag: str, mod: int, refused: bool = True):
+    """One request a user: every ``mod``-th customer's by an admin or oneself, all others' (``refused``) by oneself."""
+    picked = F.expr(f"role = 'customer' and cast(substring(id, 2) as bigint) % {mod} = 0")
+    u = T["users"] if refused else T["users"].filter(picked)
     return u.select(F.concat(F.lit(tag), "id").alias("request_id"), F.col("updated_at").alias("ts"),
-                    F.when(F.expr("cast(substring(id, 2) as bigint) % 2 = 0"), F.lit("a0"))
+                    F.when(picked & F.expr("cast(substring(id, 2) as bigint) % 2 = 0"), F.lit("a0"))
                     .otherwise(F.col("id")).alias("actor_id"),
                     F.col("id").alias("user_id"),
                     F.when(F.expr("cast(substring(id, 2) as bigint) % 3 = 0"), F.lit("executor"))
@@ -347,7 +349,7 @@ SELECT id,
   CASE WHEN role = 'customer' AND cast(substring(id, 2) as bigint) % 13 = 0 THEN name || ' (удалён)' ELSE name END AS name,
   CASE WHEN role = 'customer' AND cast(substring(id, 2) as bigint) % 13 = 0 THEN false ELSE is_active END AS is_active
 FROM m_users""", "C11f: soft delete with stamped e-mail")(
-    lambda T: C.soft_delete_users(T, _user_requests(T, "x", 13), AS_OF).select("id", "email", "name", "is_active"))
+    lambda T: C.soft_delete_users(T, _user_requests(T, "x", 13, refused=False), AS_OF).select("id", "email", "name", "is_active"))
 
 
 def _broadcast_requests(T):

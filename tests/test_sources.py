@@ -163,3 +163,12 @@ def test_registered_plans_run_on_loaded_tables(spark, T):
         a = sorted(tuple(r) for r in REGISTRY[q].plan(T).collect())
         b = sorted(tuple(r) for r in REGISTRY[q].plan(loaded).collect())
         assert a == b, q
+
+
+def test_every_user_has_a_toggle_and_a_role_request(T):
+    from souk.plans.q_changes import _user_requests
+    users = {r.id for r in T["users"].select("id").collect()}
+    for tag in ("u", "r"):
+        asked = [(r.user_id, r.actor_id) for r in _user_requests(T, tag, 5).collect()]
+        assert len(asked) == len(users) and {u for u, _ in asked} == users
+        assert {a for u, a in asked if a != u} == {"a0"} and any(a == u for u, a in asked)
