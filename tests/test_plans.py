@@ -6,7 +6,7 @@ import os
 
 import pytest
 
-from conftest import ROOT
+from harness import ROOT
 
 _spec = importlib.util.spec_from_file_location("spark_entry", os.path.join(ROOT, "__spark_entry__.py"))
 entry_mod = importlib.util.module_from_spec(_spec)
