@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.llm import decontamination, fingerprints, licenses, mixing, near_dedup, pii, secrets, token_counts, toxicity, url_filter
+from souk.llm import (decontamination, fingerprints, licenses, mixing, near_dedup, periodic_runs, pii, secrets, sentencepiece_codec,
+                      token_counts, toxicity, url_filter)
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -162,3 +163,28 @@ def op10_licenses(spark, sf_dir):
         F.array_join(F.array_sort(F.array_distinct(base)), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_distinct(F.concat(base, found))), ",").alias("labels"),
         score.alias("score"))
+
+
+@query("op11_sentencepiece")
+def op11_sentencepiece(spark, sf_dir):
+    out, coded = sentencepiece_codec.digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", f"{coded}.*")
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    h = F.crc32(F.col("doc_id").cast("string"))
+    # a tenth of the documents get a stretch that repeats; only their words are taken apart here
+    cut = docs.withColumn("words", F.when(h % 10 == 0, F.regexp_extract_all(
+        F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))))
+    cut = cut.withColumn("n", F.size("words").cast("long")).withColumn("g", F.floor(h / 10))
+    cut = cut.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    cut = cut.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    cycles = F.array_repeat(F.slice("words", (F.col("a") + 1).cast("int"), F.col("p").cast("int")),
+                            F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int"))
+    planted = F.slice(F.concat(F.slice("words", F.lit(1), F.col("a").cast("int")), F.flatten(cycles)),
+                      F.lit(1), F.col("n").cast("int"))
+    docs = cut.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(planted, " ")).otherwise(F.col("text")).alias("text"))
+    out, summary = periodic_runs.summaries(docs)
+    return out.select("doc_id", f"{summary}.*")
