@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.llm import (decontamination, fingerprints, licenses, mixing, near_dedup, periodic_runs, pii, secrets, sentencepiece_codec,
-                      token_counts, toxicity, url_filter)
+from souk.llm import (conversation_repair, decontamination, fingerprints, licenses, mixing, near_dedup, periodic_runs, pii, secrets,
+                      sentencepiece_codec, token_counts, toxicity, url_filter)
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -188,3 +188,70 @@ def op12_periodic_runs(spark, sf_dir):
     docs = cut.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(planted, " ")).otherwise(F.col("text")).alias("text"))
     out, summary = periodic_runs.summaries(docs)
     return out.select("doc_id", f"{summary}.*")
+
+
+@query("op13_conversation_repair", """
+WITH RECURSIVE c AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(list_concat([4294967295::UBIGINT],
+               list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::UBIGINT)),
+             lambda c, b: list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]),
+               lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END)), 4294967295::UBIGINT) % 20 AS h
+  FROM conversations),
+d AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+             CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+      FROM (SELECT *, unnest(CASE h WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) FROM c)),
+e AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS again FROM d),
+o AS (SELECT *, left(role, 1) AS initial, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, again) AS i,
+             regexp_replace(text, '[\\x20\\x09-\\x0D]+$', '') AS body FROM e),
+r AS (SELECT *, CASE WHEN body = '' THEN 'blank' WHEN again THEN 'duplicate'
+                     WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+             lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS previous FROM o),
+n AS (SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps,
+             count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+             count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+             count(*) FILTER (WHERE previous IS NOT NULL AND previous || initial NOT IN ('su', 'ua', 'au')) AS illegal,
+             count(*) AS n FROM r GROUP BY conv_id),
+ins(q, via, edits, lines, price) AS (VALUES
+  (0, 0, '', []::VARCHAR[], 0), (1, 1, '', [], 0), (2, 2, '', [], 0), (3, 3, '', [], 0),
+  (0, 2, 'I', ['user:'], 3), (1, 2, 'I', ['user:'], 3), (2, 3, 'I', ['assistant:'], 3), (3, 2, 'I', ['user:'], 3),
+  (0, 3, 'II', ['user:', 'assistant:'], 6), (1, 3, 'II', ['user:', 'assistant:'], 6),
+  (2, 2, 'II', ['assistant:', 'user:'], 6), (3, 3, 'II', ['user:', 'assistant:'], 6)),
+act(via, edit, wants, behind) AS (VALUES
+  (0, 'D', NULL, 0), (1, 'D', NULL, 1), (2, 'D', NULL, 2), (3, 'D', NULL, 3),
+  (0, 'K', 's', 1), (0, 'K', 'u', 2), (1, 'K', 'u', 2), (2, 'K', 'a', 3), (3, 'K', 'u', 2),
+  (0, 'R', 'user', 2), (1, 'R', 'user', 2), (2, 'R', 'assistant', 3), (3, 'R', 'user', 2)),
+steps AS (SELECT ins.q, ins.edits || act.edit AS edits, ins.lines, ins.price, act.* FROM ins JOIN act USING (via)),
+best AS (
+  SELECT n.conv_id, n.n + 1 AS i, ins.q, min({'cost': ins.price, 'audit': ins.edits, 'out': ins.lines}) AS s
+  FROM n, ins WHERE ins.via IN (0, 3) GROUP BY n.conv_id, n.n, ins.q
+  UNION ALL
+  SELECT r.conv_id, r.i, t.q, min({
+           'cost': (s).cost + t.price + CASE t.edit WHEN 'D' THEN 4 WHEN 'K' THEN 0 ELSE 3 END
+                   + CASE WHEN t.edit <> 'D' AND r.fault = 'truncated' THEN 3 ELSE 0 END,
+           'audit': t.edits || (s).audit,
+           'out': t.lines || CASE t.edit WHEN 'D' THEN [] WHEN 'K' THEN [r.role || ':' || r.text] ELSE [t.wants || ':' || r.text] END || (s).out})
+  FROM best JOIN r ON r.conv_id IS NOT DISTINCT FROM best.conv_id AND r.i = best.i - 1
+  JOIN steps t ON t.behind = best.q
+   AND (t.edit = 'D' OR r.fault NOT IN ('blank', 'duplicate') AND (t.edit = 'R' OR t.wants = r.initial))
+  GROUP BY r.conv_id, r.i, t.q)
+SELECT k.conv_id, coalesce(n.gaps, 0)::BIGINT AS gaps, coalesce(n.blank, 0)::BIGINT AS blank, coalesce(n.duplicate, 0)::BIGINT AS duplicate,
+       coalesce(n.truncated, 0)::BIGINT AS truncated, coalesce(n.illegal, 0)::BIGINT AS illegal,
+       coalesce((b.s).cost, 0)::BIGINT AS cost, coalesce((b.s).audit, '') AS audit,
+       sha256(coalesce(array_to_string((b.s).out, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) k
+LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM k.conv_id
+LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM k.conv_id AND b.i = 1 AND b.q = 0
+""")
+def op13_conversation_repair(spark, sf_dir):
+    def filled(name):
+        return F.coalesce(F.col(name).cast("string"), F.lit(" "))
+
+    rows = table(spark, sf_dir, "conversations").withColumn(
+        "h", F.crc32(F.concat(filled("conv_id"), F.lit(":"), filled("turn"))) % 20)
+    damaged = rows.select(
+        "conv_id", "turn", F.when(F.col("h") == 4, "user").otherwise(filled("role")).alias("role"),
+        F.when(F.col("h").isin(0, 1), "").when(F.col("h") == 2, F.translate(filled("text"), ".!?", "")).otherwise(filled("text")).alias("text"),
+        (F.col("h") > 0).alias("stays"),
+        F.explode(F.when(F.col("h") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("copy"))
+    return conversation_repair.summaries(damaged, F.col("stays"))
