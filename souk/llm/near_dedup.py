@@ -2,26 +2,27 @@
 
 1. One pass hashes every text into a BagMinHash signature and its band keys;
    equal texts (by md5) become one node, so copies never meet as pairs.
-2. Nodes that share a band key are candidates. No bucket is expanded into
-   pairs: in each round a few nodes of a bucket are its centres (first those
-   that meet most others), compared with the other members that aren't in their
-   component yet, and then leave the bucket; a bucket whose members are all in
-   one component is finished. A group of near copies so costs one comparison a
-   member. What is left after the first round are texts that only share a passage, or
-   copies edited too much. For these it is counted how many of a text's
-   shingles occur in any other of them; two texts can't share more than the
-   poorer of them has, which rules out nearly all of their pairs without a
-   comparison and without a loss. The number of centres grows with every
-   round, so every pair that isn't joined or ruled out is compared at last,
-   without a cap on buckets or members.
-3. A candidate pair must have sizes that allow the similarity and agree in at
-   least ``ESTIMATE`` of the slots (at 0.8 that fails 3 times in 10^5); the rest
-   is verified on the exact multisets. Links become classes by connected
-   components.
-
-Shuffled are band keys with 8-byte node numbers, signatures of candidates, and
-multisets of nodes in surviving pairs; joins on a frequent centre are left to skew
-splitting. Tables between the rounds are written to the shared folder.
+2. Nodes that share a band key are candidates. First every bucket's hub, the
+   member that meets most others, is compared with the other members: one
+   comparison a member, whatever the size of a group of near copies.
+3. Buckets whose members are then in one component are finished. For the rest it
+   is counted how many of a text's shingles occur in any other text that is left;
+   two texts can't share more than the poorer of them has, which rules out texts
+   that only share a passage without a comparison and without a loss.
+4. What still is in small buckets (``SMALL`` members) meets as pairs. In a larger one the
+   members outside its largest component are compared with all others in cells of
+   at most about ``BLOCK`` x ``BLOCK`` texts: shared counts by matrix products over the
+   shingles that occur twice in the cell. A cell returns a spanning forest of its
+   links, so its output grows with its members, not with its pairs. Nothing is
+   capped: more members give more cells.
+5. Pairs of steps 2 and 4 must have sizes that allow the similarity and agree in at
+   least ``ESTIMATE`` of the slots (at 0.8 that fails 3 times in 10^5); the rest, and all
+   pairs of the cells, are verified on the exact multisets. Links become classes by
+   connected components.
+
+Shuffled are band keys with 8-byte node numbers, pairs of node numbers, signatures and
+multisets of nodes in surviving pairs; joins on a frequent hub are left to skew
+splitting. Tables between the steps are written to the shared folder.
 
 Defined cases: null is an empty text; texts without words are near only to
 texts equal to them; texts of fewer than five words are one shingle; rows
@@ -44,10 +45,10 @@ from souk.session import ship_package
 
 SIMILARITY = 0.8
 ESTIMATE = 0.66
-# Centres of a bucket: one at first, then so many, MORE times as many in each further round.
-CENTRES, MORE = 2048, 32
-# Bits of the sieve that keeps texts of no interest out of the shuffle; its size is fixed.
-SIEVE = 1 << 20
+# Buckets of at most so many members meet as pairs.
+SMALL = 32
+# Texts and shingles on one side of a cell (about: members are dealt by hash), columns of one product.
+BLOCK, ELEMENTS, COLUMNS = 256, 400_000, 2048
 
 
 def _buffers(column) -> tuple[np.ndarray, np.ndarray]:
@@ -108,7 +109,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per document: doc_id, rowkey, key, root (the class, named by a key)."""
     spark = docs.sparkSession
     ship_package(spark)
-    text_batches(spark)
+    text_batches(spark, 250)
     keyed = _keyed(docs)
     rows = stored(keyed.select("doc_id", "rowkey", "key"), "near-rows")
     signed = keyed.select("key", "rowkey", "text").mapInArrow(
@@ -135,44 +136,117 @@ def _links(keyed, nodes, known, members, similarity) -> DataFrame:
     # how many others a node meets: what many texts were copied from meets most
     met = _small(members.groupBy("node").agg(F.sum("size").alias("met")), "near-met")
     sets = _sets(keyed, nodes, met.select("node"))
-    signed = stored(known.select("node", "slots", "bands").join(met.select("node"), "node"), "near-signed")
-    live = members.select("bucket", "node", "weight").join(met, "node").withColumn("root", F.col("node")).withColumn("able", F.col("weight"))
-    live = _small(live, "near-live")
-    links, chosen = _compared(live, signed, sets, 1, similarity)
-    roots = _small(components(links), "near-round")
-    links = roots.filter("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
-    live = live.drop("root").join(chosen.select("bucket", F.col("centre").alias("node")), ["bucket", "node"], "left_anti")
-    live = live.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    counts = live.select("bucket", "root").distinct().groupBy("bucket").agg(F.count("*").alias("roots"))
-    live = _small(live.join(counts.filter("roots > 1").select("bucket"), "bucket"), "near-live")
-    common = _small(_shareable(sets.join(live.select("node").distinct(), "node")), "near-common").withColumnRenamed("able", "common")
-    live = live.join(common, "node", "left").withColumn("able", F.coalesce("common", "able"))
-    live = live.filter(F.col("able") >= similarity * F.col("weight")).select("bucket", "node", "weight", "met", "root", "able")
-    centres = CENTRES
-    while True:
-        counts = live.select("bucket", "root").distinct().groupBy("bucket").agg(F.count("*").alias("roots"))
-        live = _small(live.join(counts.filter("roots > 1").select("bucket"), "bucket"), "near-live")
-        if live.isEmpty():
-            return links
-        found, chosen = _compared(live, signed, sets, centres, similarity)
-        links = links.unionByName(found)
-        live = live.join(chosen.select("bucket", F.col("centre").alias("node")), ["bucket", "node"], "left_anti")
-        centres *= MORE
-
-
-def _compared(live, signed, sets, centres, similarity) -> tuple[DataFrame, DataFrame]:
-    """Links between the buckets' next centres and their other members; the centres."""
-    chosen = _small(_centres(live, centres), "near-centres")
+    hubs = members.join(met, "node").groupBy("bucket").agg(F.max(F.struct("met", "node", "weight")).alias("hub"))
+    fits = F.least("weight", "hub.weight") >= similarity * F.greatest("weight", "hub.weight")
+    pairs = members.join(hubs, "bucket").filter((F.col("node") != F.col("hub.node")) & fits).select(
+        F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+    first = _compared(pairs, known, sets, similarity)
+    roots = _small(components(first), "near-round")
+    live = members.select("bucket", "node", "weight").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_buckets = live.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
+    live = _small(live.join(open_buckets.select("bucket"), "bucket"), "near-live")
+    able = _small(_shareable(sets.join(live.select("node").distinct(), "node")), "near-common")
+    live = live.join(able, "node").filter(F.col("able") >= similarity * F.col("weight"))
+    live = _small(_sized(live), "near-open")
+    return first.unionByName(_met_in_pairs(live, known, sets, similarity)).unionByName(_met_in_cells(live, sets, similarity))
+
+
+def _sized(live: DataFrame) -> DataFrame:
+    """Members of buckets with several components, with the bucket's largest one and how many parts each side takes."""
+    def parts(n, elements):
+        return F.ceil(F.greatest(n / BLOCK, elements / ELEMENTS)).cast("int")
+
+    per = live.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
+    per = per.groupBy("bucket").agg(F.sum("n").alias("size"), F.sum("w").alias("w"), F.max(F.struct("n", "root", "w")).alias("top"))
+    per = per.filter(F.col("size") > F.col("top.n")).select(
+        "bucket", "size", F.col("top.root").alias("top"), parts(F.col("top.n"), F.col("top.w")).alias("top_parts"),
+        parts(F.col("size") - F.col("top.n"), F.col("w") - F.col("top.w")).alias("rest_parts"))
+    return live.join(per, "bucket")
+
+
+def _met_in_pairs(live, known, sets, similarity) -> DataFrame:
+    few = live.filter(F.col("size") <= SMALL).select("bucket", "node", "weight", "root", "able")
+    other = few.select("bucket", *[F.col(c).alias(f"o{c}") for c in ("node", "weight", "root", "able")])
     # what two texts share is at most what the poorer one has in common with any
-    share = F.least("able", "cable")
-    near = (F.col("root") != F.col("croot")) & (share >= similarity * (F.col("weight") + F.col("cweight") - share))
-    same = F.size(F.filter(F.zip_with("slots", "cslots", lambda p, q: p == q), lambda z: z)) >= ESTIMATE * bag.SLOTS
-    once = F.get(F.array_intersect("bands", "cbands"), F.lit(0)) == F.col("bucket")    # only in the first shared bucket
-    heads = chosen.join(signed.select(F.col("node").alias("centre"), F.col("slots").alias("cslots"), F.col("bands").alias("cbands")), "centre")
-    rows = live.join(signed, "node")
-    pairs = rows.join(heads, "bucket").filter(near & same & once).select(
-        F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-    return _small(_verified(sets, _small(pairs, "near-pairs"), similarity), "near-links"), chosen
+    share = F.least("able", "oable")
+    near = (F.col("root") != F.col("oroot")) & (share >= similarity * (F.col("weight") + F.col("oweight") - share))
+    pairs = few.join(other, "bucket").filter((F.col("node") < F.col("onode")) & near)
+    return _compared(pairs.select(F.col("node").alias("a"), F.col("onode").alias("b")).distinct(), known, sets, similarity)
+
+
+def _met_in_cells(live, sets, similarity) -> DataFrame:
+    """Links of the large buckets: the texts outside a bucket's largest component against each other and against that."""
+    rest = F.col("root") != F.col("top")
+    rows = live.filter(F.col("size") > SMALL).withColumn(
+        "own", F.pmod(F.xxhash64("node"), F.when(rest, F.col("rest_parts")).otherwise(F.col("top_parts"))).cast("int"))
+
+    def cells(parts, cell):
+        return F.transform(F.sequence(F.lit(0), F.col(parts) - 1), cell)
+
+    def cell(kind, p, q, left):
+        return F.struct(F.lit(kind).alias("kind"), p.alias("p"), q.alias("q"), left.alias("first"))
+
+    own, yes, no = F.col("own"), F.lit(True), F.lit(False)
+    among = cells("rest_parts", lambda x: cell(0, F.least(x, own), F.greatest(x, own), own <= x))
+    against = cells("top_parts", lambda x: cell(1, own, x, yes))
+    behind = cells("rest_parts", lambda x: cell(1, x, own, no))
+    dealt = rows.select("bucket", "node", "root", F.explode(F.when(rest, F.concat(among, against)).otherwise(behind)).alias("c"))
+    dealt = dealt.join(sets, "node").select("bucket", "c.*", "node", "root", "elements")
+    found = dealt.groupBy("bucket", "kind", "p", "q").applyInArrow(lambda t: cell_links(t, similarity), "a bigint, b bigint")
+    return _small(found.distinct(), "near-cells")
+
+
+def cell_links(table: pa.Table, similarity: float) -> pa.Table:
+    """A spanning forest of the links between a cell's first and its other texts (all with all if it has no others)."""
+    node, root, first = (table.column(c).to_numpy() for c in ("node", "root", "first"))
+    lists = table.column("elements").combine_chunks()
+    size = lists.value_lengths().to_numpy().astype(np.int64)
+    a = np.flatnonzero(first)
+    b = np.flatnonzero(~first) if not first.all() else a
+    shared = _shared_counts(lists.flatten().to_numpy(), np.repeat(np.arange(len(node)), size), a, b, len(node))
+    alike = shared / (size[a][:, None] + size[b][None, :] - shared) >= similarity
+    alike &= root[a][:, None] != root[b][None, :]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    out = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(alike))):
+        x, y = find(int(root[a[i]])), find(int(root[b[j]]))
+        if x != y:
+            parent[x] = y
+            out.append(sorted((int(node[a[i]]), int(node[b[j]]))))
+    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+
+def _shared_counts(values, owner, a, b, n) -> np.ndarray:
+    """How many elements each text of ``a`` shares with each of ``b``, over the elements that occur twice."""
+    _, column, times = np.unique(values, return_inverse=True, return_counts=True)
+    twice = times > 1
+    number = np.cumsum(twice) - 1
+    use = twice[column]
+    column, owner = number[column[use]], owner[use]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    shared = np.zeros((len(a), len(b)))
+    edges = np.searchsorted(column, np.arange(0, int(twice.sum()) + COLUMNS, COLUMNS))
+    for k in range(len(edges) - 1):
+        part = slice(edges[k], edges[k + 1])
+        held = np.zeros((n, COLUMNS), np.float32)
+        held[owner[part], column[part] - k * COLUMNS] = 1
+        shared += held[a] @ held[b].T
+    return shared
+
+
+def _compared(pairs, known, sets, similarity) -> DataFrame:
+    """The links among pairs of node numbers: signatures are fetched for the pairs, multisets for those that agree."""
+    slots = [known.select(F.col("node").alias(x), F.col("slots").alias(f"{x}_slots")) for x in "ab"]
+    same = F.size(F.filter(F.zip_with("a_slots", "b_slots", lambda p, q: p == q), lambda z: z)) >= ESTIMATE * bag.SLOTS
+    likely = _small(pairs, "near-pairs").join(slots[0], "a").join(slots[1], "b").filter(same).select("a", "b")
+    return _small(_verified(sets, _small(likely, "near-likely"), similarity), "near-links")
 
 
 def _shareable(sets: DataFrame) -> DataFrame:
@@ -184,31 +258,10 @@ def _shareable(sets: DataFrame) -> DataFrame:
     return size.join(alone, "node", "left").select("node", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("able"))
 
 
-def _centres(live: DataFrame, k: int) -> DataFrame:
-    """(bucket, centre, croot, cweight, cable): the ``k`` nodes of each bucket that meet most."""
-    if k == 1:
-        most = live.groupBy("bucket").agg(F.max(F.struct("met", "node", "root", "weight", "able")).alias("c"))
-        return most.select("bucket", F.col("c.node").alias("centre"), F.col("c.root").alias("croot"), F.col("c.weight").alias("cweight"), F.col("c.able").alias("cable"))
-    w = Window.partitionBy("bucket").orderBy(F.desc("met"), "node")
-    return live.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= k).select(
-        "bucket", F.col("node").alias("centre"), F.col("root").alias("croot"), F.col("weight").alias("cweight"), F.col("able").alias("cable"))
-
-
 def _sets(keyed, nodes, wanted) -> DataFrame:
-    """(node, elements): the multisets of the wanted nodes.
-
-    A bitmap of their hashed keys, one row of a fixed size, drops most other
-    texts before the shuffle; the join decides.
-    """
+    """(node, elements): the multisets of the wanted nodes."""
     wanted = _small(nodes.join(wanted, "node").select("node", "rowkey"), "near-wanted")
-    place = F.pmod(F.xxhash64("rowkey"), F.lit(SIEVE))
-    word, bit = F.floor(place / 64).cast("int"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(rowkey), {SIEVE}) % 64 as int))")
-    none = keyed.sparkSession.range(SIEVE // 64).select(F.col("id").cast("int").alias("word"), F.lit(0).cast("long").alias("bits"))
-    words = none.unionByName(wanted.select(word.alias("word"), bit.alias("bits"))).groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    sieve = words.agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("w")).select(F.transform("w", lambda x: x["bits"]).alias("sieve"))
-    likely = keyed.crossJoin(F.broadcast(stored(sieve, "near-sieve")))                      # one row
-    likely = likely.filter(F.get("sieve", word).bitwiseAND(bit) != 0).select("rowkey", "text")
-    texts = likely.join(wanted, "rowkey").dropDuplicates(["node"]).select("node", "text")
+    texts = keyed.select("rowkey", "text").join(wanted, "rowkey").dropDuplicates(["node"]).select("node", "text")
     return stored(texts.mapInArrow(_expand, "node bigint, elements array<bigint>"), "near-sets")
 
 

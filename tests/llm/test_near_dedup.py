@@ -144,3 +144,42 @@ def test_agreement_estimates_weighted_jaccard():
         assert (values != 0).all() and weight.tolist() == [sum(multiset(" ".join(x)).values()) for x in (heavy, other)]
         errors.append((values[0] == values[1]).mean() - similarity(multiset(" ".join(heavy)), multiset(" ".join(other))))
     assert abs(np.mean(errors)) < 0.015 and np.std(errors) < 0.06
+
+
+def edited_group(seed, n, most):
+    """Copies of one text with up to ``most`` words of 120 exchanged: many pairs just above or below the limit."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(120)]
+    out = []
+    for _ in range(n):
+        w = list(base)
+        for _ in range(rng.randrange(most + 1)):
+            w[rng.randrange(120)] = f"e{rng.randrange(4)}"
+        out.append(" ".join(w[rng.randrange(3):]))
+    return out
+
+
+def test_large_groups_of_edited_copies(docs_of):
+    rows = list(enumerate(edited_group(3, 400, 7) + edited_group(4, 150, 12) + ["w0 " * 50, "other words of no group at all"]))
+    got = classes(near_dedup.assign_classes(docs_of(rows)).collect())
+    assert got == brute(rows) and max(map(len, got)) > 100
+
+
+def test_cells_join_all_links(spark, monkeypatch):
+    import pyarrow as pa
+    monkeypatch.setattr(near_dedup, "COLUMNS", 50)
+    texts = edited_group(9, 90, 6)
+    (owner, s, occurrence), n = shingled(texts)
+    found = bag.elements(owner, s, occurrence)
+    lists = [found[owner == i].tolist() for i in range(n)]
+    for first in ([True] * n, [i < 30 for i in range(n)]):
+        cell = pa.table({"node": list(range(n)), "root": list(range(n)), "first": first, "elements": pa.array(lists, pa.list_(pa.int64()))})
+        links = near_dedup.cell_links(cell, 0.8).to_pylist()
+        linked = {(i, j) for i in range(n) for j in range(i) if (first[i] != first[j] or all(first))
+                  and similarity(multiset(texts[i]), multiset(texts[j])) >= 0.8}
+        assert len(links) < n and {(x["b"], x["a"]) for x in links} <= linked
+        group = list(range(n))
+        for x in links:
+            a, b = group[x["a"]], group[x["b"]]
+            group = [b if g == a else g for g in group]
+        assert all(group[i] == group[j] for i, j in linked) and linked
