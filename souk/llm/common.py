@@ -39,11 +39,13 @@ def fresh(df: DataFrame, *bases: str) -> list[str]:
     return out
 
 
-def text_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Whole texts go to Python at most ``rows`` at a time, which bounds the batches' memory."""
+def text_batches(spark: SparkSession, rows: int = 1000, size: int | None = None) -> None:
+    """Whole texts go to Python at most ``rows`` at a time, and with ``size`` in batches of about so many bytes."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))
+    if size:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def match_spans(text: Column, pattern: Column | str) -> Column:

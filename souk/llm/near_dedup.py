@@ -109,7 +109,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per document: doc_id, rowkey, key, root (the class, named by a key)."""
     spark = docs.sparkSession
     ship_package(spark)
-    text_batches(spark, 250)
+    text_batches(spark, 250, 4 << 20)
     keyed = _keyed(docs)
     rows = stored(keyed.select("doc_id", "rowkey", "key"), "near-rows")
     signed = keyed.select("key", "rowkey", "text").mapInArrow(
@@ -261,7 +261,9 @@ def _shareable(sets: DataFrame) -> DataFrame:
 def _sets(keyed, nodes, wanted) -> DataFrame:
     """(node, elements): the multisets of the wanted nodes."""
     wanted = _small(nodes.join(wanted, "node").select("node", "rowkey"), "near-wanted")
-    texts = keyed.select("rowkey", "text").join(wanted, "rowkey").dropDuplicates(["node"]).select("node", "text")
+    # the same join at every size: a row's key is hashed once and the texts aren't sorted for it
+    texts = keyed.select("rowkey", "text").join(wanted.hint("shuffle_hash"), "rowkey")
+    texts = texts.dropDuplicates(["rowkey"]).select("node", "text")
     return stored(texts.mapInArrow(_expand, "node bigint, elements array<bigint>"), "near-sets")
 
 
