@@ -2,39 +2,45 @@
 
 A bounded sample of labelled documents is the set of examples
 (``MAX_TOXIC`` + ``MAX_CLEAN`` rows, chosen by a hash; the only sampled thing
-here). From it come the features, the words most associated with the label.
-Their document frequencies are counted over all documents, which gives the
-TF-IDF weights. Examples are unit vectors in blocks of ``BLOCK``; a block-max
-inverted index holds, per feature, the blocks in which it occurs and its
-largest weight there. A document's bound for a block is the sum of its weights
-times these; a block whose bound is below the k-th best similarity so far
-can't change the answer and is skipped, so the k nearest by cosine over the
-features are exact (equal similarities: the earlier example). Words that are not
-features don't count; the README has what that finds and misses.
+here). All words of the examples are features. A word's weight is its inverse
+document frequency, counted over all documents, times 1 + G2 / ``LABEL_G2``,
+where G2 is the log-likelihood ratio of the word and the label among the examples
+(0 for words that rather speak for clean): what says nothing about the label still
+counts in the cosine, what does counts more. A word that no example has can't
+tell one example from another and is left out of a text's norm.
+
+The examples' unit vectors form an inverted index. The ``FREQUENT`` words of most
+examples are full rows, scored for a batch by one matrix product; every other
+word's list is cut into blocks of ``BLOCK`` examples with the largest weight in each.
+For a text the exact part plus a block's maxima bounds every similarity there; a
+block whose bound is below the k-th best part can't hold a neighbour and its
+postings are skipped, so the k nearest by cosine are exact (equal similarities:
+the earlier example).
 
 The neighbours vote with their similarity as weight, examples of a class
-weighted by how thinly it was sampled, plus one vote of the share found
-among examples without any feature. The votes are calibrated by a monotone fit
+weighted by how thinly it was sampled, plus a small vote of the share found
+among examples without a word. The votes are calibrated by a monotone fit
 to the leave-one-out votes of the examples. Evidence: the nearest examples.
 
 The whole corpus is read twice (frequencies, scores) and never shuffled. What
-is broadcast is the model: at most ``MAX_TOXIC + MAX_CLEAN`` vectors of
-``MAX_FEATURES`` weights.
+is gathered on the driver and broadcast are the examples' words and counts, at most
+``MAX_TOXIC + MAX_CLEAN`` texts (one for each labelled id), and one frequency for each of their words.
 
-Defined cases: null and empty texts, and texts without a feature, get the
-score of such examples; equal texts get equal scores; null labels are left
+Defined cases: null and empty texts, and texts without a known word, get the
+score of such examples; equal texts get equal scores; an id with several texts
+gives one example (the one with the least md5); null labels are left
 out, contradicting ones of an id count as toxic; without any usable example
 every score is 0; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,88 +49,149 @@ from souk.llm.common import fresh, stored, text_batches
 from souk.llm.decontamination import words_of
 from souk.session import ship_package
 
-MAX_TOXIC, MAX_CLEAN = 4000, 12000       # bound of the sample of labelled rows
-MAX_FEATURES, MIN_G2 = 256, 15.0
-NEAREST, BLOCK, EVIDENCE = 15, 64, 3
+MAX_TOXIC, MAX_CLEAN = 2000, 6000       # bound of the sample of labelled rows
+LABEL_G2, PRIOR = 5.0, 0.05
+NEAREST, EVIDENCE = 15, 3
+FREQUENT, BLOCK = 256, 64
+BATCH_ROWS, BATCH_BYTES = 250, 4 << 20
 
 
 def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
+def ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the given ranges one after the other, and the range each is from."""
+    n = end - start
+    owner = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n), owner
+
+
+def label_weights(word: np.ndarray, toxic: np.ndarray, n_words: int, labels: np.ndarray) -> np.ndarray:
+    """1 + G2 / ``LABEL_G2`` of each word; ``toxic`` is the label of the example that each entry of ``word`` is in."""
+    n, t = float(len(labels)), float(labels.sum())
+    a = np.bincount(word[toxic == 1], minlength=n_words).astype(float)
+    b = np.bincount(word, minlength=n_words) - a
+
+    def part(seen, row, column):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(seen > 0, seen * np.log(seen * n / (row * column)), 0.0)
+
+    g2 = 2 * (part(a, a + b, t) + part(b, a + b, n - t) + part(t - a, n - a - b, t) + part(n - t - b, n - a - b, n - t))
+    return 1 + np.where(a * (n - t) > b * t, np.round(np.maximum(g2, 0), 9), 0) / LABEL_G2
+
+
 class Model:
-    """Examples as unit vectors with a block-max inverted index; built from bounded rows."""
-
-    def __init__(self, features: list[bytes], idf: np.ndarray, examples: list[tuple[int, int, dict[int, int]]],
-                 weights: tuple[float, float], nearest: int = NEAREST):
-        self.place = {f: i for i, f in enumerate(features)}
-        self.idf, self.nearest, self.weights = idf, nearest, weights
-        vectors = self.vectors([e[2] for e in examples])
-        empty = ~vectors.any(axis=1) if examples else np.zeros(0, bool)
-        label = np.array([e[1] for e in examples], float)
-        share = np.where(label == 1, weights[1], weights[0])
+    """Examples as unit vectors in a block-max inverted index; built from bounded rows.
+
+    Example i (ids[i], labels[i]) has the words ``word[start[i]:start[i + 1]]``, numbers into ``words``, with their counts.
+    """
+
+    def __init__(self, words: list[bytes], idf: np.ndarray, ids: list[str], labels: np.ndarray, start: np.ndarray,
+                 word: np.ndarray, count: np.ndarray, shares: tuple[float, float] = (1.0, 1.0), nearest: int = NEAREST):
+        self.nearest, self.shares = nearest, shares
+        self.place = {w: i for i, w in enumerate(words)}
+        n, label = len(ids), np.asarray(labels, float)
+        owner = np.repeat(np.arange(n), np.diff(start))
+        self.weight = idf * label_weights(word, label[owner], len(words), label) if n else np.zeros(0)
+        value = (1 + np.log(count)) * self.weight[word]
+        value = value / np.sqrt(np.bincount(owner, value * value, n))[owner]
+        share = np.where(label == 1, shares[1], shares[0])
+        empty = np.diff(start) == 0
         w0 = share[empty]
-        self.base = float((w0 @ label[empty] + 0.5) / (w0.sum() + 1)) if len(w0) else (0.5 if examples else 0.0)
-        keep = np.flatnonzero(~empty)
-        # like examples share a block: by their heaviest feature, then the rest of the vector
-        top = vectors[keep].argmax(axis=1) if len(keep) else keep
-        keep = keep[np.lexsort((*np.round(vectors[keep].T, 9), top))] if len(keep) else keep
-        self.v, self.y, self.w = vectors[keep], label[keep], share[keep]
-        self.id = [examples[i][0] for i in keep]
-        starts = range(0, len(keep), BLOCK)
-        self.blocks = [(a, min(a + BLOCK, len(keep))) for a in starts]
-        # the inverted index: feature -> blocks, largest weights
-        most = np.array([self.v[a:b].max(axis=0) for a, b in self.blocks]).reshape(len(self.blocks), len(features))
-        self.postings = [(np.flatnonzero(col), col[np.flatnonzero(col)]) for col in most.T]
+        usual = (share @ label) / share.sum() if n else 0.0
+        self.base = float((w0 @ label[empty] + usual) / (w0.sum() + 1))
+        # like examples share blocks: by their heaviest word
+        heaviest = np.full(n, -1)
+        order = np.lexsort((-word, value, owner))
+        heaviest[owner[order]] = word[order]
+        kept = np.flatnonzero(~empty)
+        kept = kept[np.lexsort((kept, heaviest[kept]))]
+        own = [(word[start[i]:start[i + 1]], value[start[i]:start[i + 1]]) for i in kept]
+        number = np.full(n, -1)
+        number[kept] = np.arange(len(kept))
+        self.id, self.y, self.w = [ids[i] for i in kept], label[kept], share[kept]
+        self.blocks = -(-len(kept) // BLOCK)
+        example = number[owner]
+        # the rows of frequent words
+        spread = np.bincount(word, minlength=len(words))
+        often = np.sort(np.argsort(-spread, kind="stable")[:FREQUENT])
+        self.row = np.full(len(words), -1)
+        self.row[often] = np.arange(len(often))
+        self.full = np.zeros((len(often), self.blocks * BLOCK))
+        is_often = self.row[word] >= 0
+        self.full[self.row[word[is_often]], example[is_often]] = value[is_often]
+        # the lists of the others: by word, then example; a cut begins where the word or the block changes
+        word, example, value = word[~is_often], example[~is_often], value[~is_often]
+        order = np.lexsort((example, word))
+        word, self.example, self.value = word[order], example[order].astype(np.int32), value[order]
+        block = self.example // BLOCK
+        new = np.ones(len(word), bool)
+        new[1:] = (word[1:] != word[:-1]) | (block[1:] != block[:-1])
+        begin = np.flatnonzero(new)
+        self.cut = np.append(begin, len(word))
+        self.cut_block = block[begin]
+        self.cut_most = np.maximum.reduceat(self.value, begin) if len(begin) else np.zeros(0)
+        self.cuts_of = np.searchsorted(word[begin], np.arange(len(words) + 1))
         self.knots = None
-        self._calibrate()
-
-    def vectors(self, counts: list[dict[int, int]]) -> np.ndarray:
-        out = np.zeros((len(counts), len(self.place)))
-        for row, terms in enumerate(counts):
-            for i, n in terms.items():
-                out[row, i] = (1 + math.log(n)) * self.idf[i]
-        norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
-        return np.divide(out, norm, out=out, where=norm > 0)
-
-    def counts(self, words: list[bytes]) -> dict[int, int]:
-        found = Counter(w for w in words if w in self.place)
-        return {self.place[w]: n for w, n in found.items()}
-
-    def search(self, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(similarities, example numbers) of the k nearest of each row of ``q``; -1 where there is none."""
-        sims, nums = np.zeros((len(q), k)), np.full((len(q), k), -1)
-        bound = np.zeros((len(q), len(self.blocks)))
-        for i, (blocks, most) in enumerate(self.postings):
-            rows = np.flatnonzero(q[:, i])
-            if len(rows) and len(blocks):
-                bound[np.ix_(rows, blocks)] += q[rows, i][:, None] * most
-        for n, (a, b) in enumerate(self.blocks):
-            rows = np.flatnonzero((bound[:, n] > 0) & (bound[:, n] + 1e-9 >= sims[:, -1]))
-            if not len(rows):
-                continue
-            s = np.round(q[rows] @ self.v[a:b].T, 9)
-            both = np.hstack((sims[rows], s))
-            who = np.hstack((nums[rows], np.broadcast_to(np.arange(a, b), s.shape)))
-            who = np.where(both > 0, who, -1)
-            order = np.argsort(-both, axis=1, kind="stable")[:, :k]      # earlier examples first among equals
-            sims[rows], nums[rows] = np.take_along_axis(both, order, 1), np.take_along_axis(who, order, 1)
+        self._calibrate(own)
+
+    def query(self, counts: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+        """The known words of a text and their weights, of length 1."""
+        place = self.place
+        known = [(place[w], n) for w, n in counts.items() if w in place]
+        if not known:
+            return np.zeros(0, np.int64), np.zeros(0)
+        known.sort()
+        word, n = np.array(known).T
+        value = (1 + np.log(n)) * self.weight[word]
+        return word, value / np.sqrt((value * value).sum())
+
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(similarities, example numbers) of the k nearest of each query; -1 where there is none."""
+        n, width = len(self.y), self.blocks * BLOCK
+        sims, nums = np.zeros((len(queries), k)), np.full((len(queries), k), -1)
+        if not n:
+            return sims, nums
+        often = np.zeros((len(queries), len(self.full)))
+        for i, (word, value) in enumerate(queries):
+            rows = self.row[word]
+            often[i, rows[rows >= 0]] = value[rows >= 0]
+        part = often @ self.full
+        for i, (word, value) in enumerate(queries):
+            s, rare = part[i], self.row[word] < 0
+            word, value = word[rare], value[rare]
+            cut, owner = ranges(self.cuts_of[word], self.cuts_of[word + 1])
+            if len(cut):
+                bound = np.bincount(self.cut_block[cut], self.cut_most[cut] * value[owner], self.blocks)
+                least = np.partition(s, width - k)[width - k] if width > k else 0.0
+                # a block whose bound is below the k-th best part can't hold a neighbour
+                alive = s.reshape(self.blocks, BLOCK).max(axis=1) + bound >= least - 1e-9
+                use = alive[self.cut_block[cut]]
+                at, of = ranges(self.cut[cut[use]], self.cut[cut[use] + 1])
+                s = s + np.bincount(self.example[at], self.value[at] * value[owner[use]][of], width)
+            s = np.round(s[:n], 9)
+            least = np.partition(s, n - k)[n - k] if n > k else 0.0
+            best = np.flatnonzero((s >= least) & (s > 0))
+            best = best[np.argsort(-s[best], kind="stable")[:k]]        # earlier examples first among equals
+            sims[i, :len(best)], nums[i, :len(best)] = s[best], best
         return sims, nums
 
     def _votes(self, sims: np.ndarray, nums: np.ndarray) -> np.ndarray:
         if not len(self.y):
             return np.full(len(sims), self.base)
         s = np.where(nums >= 0, sims, 0) * self.w[nums]
-        return ((s * self.y[nums]).sum(axis=1) + self.base) / (s.sum(axis=1) + 1)
+        return ((s * self.y[nums]).sum(axis=1) + PRIOR * self.base) / (s.sum(axis=1) + PRIOR)
 
-    def _calibrate(self) -> None:
+    def _calibrate(self, own: list) -> None:
         """Monotone fit (pool adjacent violators) of the labels to the leave-one-out votes."""
         if not len(self.y):
             return
-        sims, nums = self.search(self.v, self.nearest + 1)
-        own = nums == np.arange(len(nums))[:, None]
-        sims = np.where(own, 0, sims)
-        raw = self._votes(sims, np.where(own, -1, nums))
+        found = [self.search(own[a:a + BATCH_ROWS], self.nearest + 1) for a in range(0, len(own), BATCH_ROWS)]
+        sims, nums = (np.concatenate(x) for x in zip(*found))
+        self_ = nums == np.arange(len(nums))[:, None]
+        sims, nums = np.where(self_, 0, sims), np.where(self_, -1, nums)
+        raw = self._votes(sims, nums)
         order = np.argsort(raw, kind="stable")
         pools: list[list[float]] = []                   # weight, label sum, vote sum
         for x, group in groupby(order, key=lambda i: round(raw[i], 9)):
@@ -138,18 +205,30 @@ class Model:
         value = [(p[1] + 2 * x) / (p[0] + 2) for p, x in zip(pools, at)]
         self.knots = (np.array(at), np.maximum.accumulate(value))
 
-    def score(self, texts: list[list[bytes]]) -> tuple[np.ndarray, list[list[tuple]]]:
-        """Scores in [0, 1] and evidence (example id, label, similarity) of tokenised texts."""
-        counts = [self.counts(words) for words in texts]
-        rows = [i for i, c in enumerate(counts) if c]
-        out, evidence = np.full(len(texts), self.base), [[] for _ in texts]
+    def score(self, texts: list[dict[bytes, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores in [0, 1] of texts given by their words' counts; similarities and numbers of their nearest examples."""
+        queries = [self.query(c) for c in texts]
+        rows = [i for i, q in enumerate(queries) if len(q[0])]
+        out = np.full(len(texts), self.base)
+        sims, nums = np.zeros((len(texts), self.nearest)), np.full((len(texts), self.nearest), -1)
         if rows and len(self.y):
-            sims, nums = self.search(self.vectors([counts[i] for i in rows]), self.nearest)
-            votes = self._votes(sims, nums)
-            out[rows] = np.interp(votes, *self.knots)
-            for i, s, n in zip(rows, sims, nums):
-                evidence[i] = [(self.id[j], int(self.y[j]), float(x)) for x, j in zip(s, n) if j >= 0][:EVIDENCE]
-        return np.clip(np.round(out, 9), 0, 1), evidence
+            sims[rows], nums[rows] = self.search([queries[i] for i in rows], self.nearest)
+            out[rows] = np.interp(self._votes(sims[rows], nums[rows]), *self.knots)
+        return np.clip(np.round(out, 9), 0, 1), sims, nums
+
+    def evidence(self, sims: np.ndarray, nums: np.ndarray) -> pa.ListArray:
+        """The first ``EVIDENCE`` neighbours of each row as (doc_id, toxic, similarity)."""
+        sims, nums = sims[:, :EVIDENCE], nums[:, :EVIDENCE]
+        there = nums >= 0
+        flat = pa.StructArray.from_arrays(
+            [pa.array([self.id[j] for j in nums[there]], pa.string()), pa.array(self.y[nums[there]].astype(np.int32) if len(self.y) else [], pa.int32()),
+             pa.array(sims[there], pa.float64())], names=["doc_id", "toxic", "similarity"])
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(there.sum(axis=1)))), pa.int32()), flat)
+
+
+def word_counts(text: pa.StringScalar) -> dict[bytes, int]:
+    raw = text.as_buffer()
+    return Counter(words_of(raw.to_pybytes())) if raw is not None else {}
 
 
 def sample_of(labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> tuple[DataFrame, tuple[float, float]]:
@@ -165,105 +244,85 @@ def sample_of(labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MA
     return stored(picked[0].unionByName(picked[1]), "toxic-sample"), (thin[0] / low, thin[1] / low)
 
 
-def _tokens(column: str, out: str):
-    """Arrow function: per text, its distinct words and their counts."""
-    def run(batches):
-        for batch in batches:
-            lists = []
-            for text in batch.column(column):
-                raw = text.as_buffer()
-                lists.append(list(Counter(words_of(raw.to_pybytes()) if raw is not None else []).items()))
-            kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
-            arrays = [batch.column(c) for c in batch.schema.names if c != column]
-            names = [c for c in batch.schema.names if c != column]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(
-                [[{"word": w, "n": n} for w, n in x] for x in lists], kind)], names=[*names, out])
-    return run
+def _count_words(batches):
+    """Per text its distinct words and their counts, as flat arrays."""
+    for batch in batches:
+        words, counts, per = [], [], [0]
+        for text in batch.column("text"):
+            found = word_counts(text)
+            words += found
+            counts += found.values()
+            per.append(len(words))
+        per = pa.array(per, pa.int32())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("toxic"), pa.ListArray.from_arrays(per, pa.array(words, pa.binary())),
+             pa.ListArray.from_arrays(per, pa.array(counts, pa.int64()))], names=["doc_id", "toxic", "words", "counts"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN,
-        max_features: int = MAX_FEATURES, min_g2: float = MIN_G2, nearest: int = NEAREST) -> Model:
-    """The model: features and examples from the sample, frequencies from all documents.
+def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, nearest: int = NEAREST) -> Model:
+    """The model: examples from the sample, frequencies of their words from all documents.
 
-    Equal texts are one example. Texts of the sample stay in the tasks; the driver
-    gets the chosen features and, per example, its counts of these.
+    One text stands for an id, and equal texts are one example. The driver gets, per
+    example, its words and their counts, and per word its frequency.
     """
     spark = docs.sparkSession
     ship_package(spark)
-    text_batches(spark)
-    sample, weights = sample_of(labels, max_toxic, max_clean)
+    text_batches(spark, BATCH_ROWS, BATCH_BYTES)
+    sample, shares = sample_of(labels, max_toxic, max_clean)
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")      # at most max_toxic + max_clean ids
-    texts = texts.withColumn("key", F.md5(F.coalesce("text", F.lit(""))))
-    kinds = "doc_id string, toxic int, key string, words array<struct<word:binary,n:bigint>>"
-    tokens = stored(texts.select(F.col("doc_id").cast("string").alias("doc_id"), "toxic", "key", "text")
-                    .mapInArrow(_tokens("text", "words"), kinds), "toxic-examples")
-    first = tokens.groupBy("key").agg(F.min(F.struct("doc_id", "toxic")).alias("f")).select("key", "f.*")
-    tokens = tokens.join(first.select("key", "doc_id"), ["key", "doc_id"], "left_semi").dropDuplicates(["key"])
-    flat = tokens.select("doc_id", "toxic", F.explode("words").alias("w")).select("doc_id", "toxic", "w.word", "w.n")
-    size = tokens.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
-    n, t = float(size.n), float(size.t)
-    # log-likelihood ratio of the 2x2 table (word there or not, toxic or not), words of toxic rows only
-    per = flat.groupBy("word").agg(F.sum("toxic").alias("a"), F.count("*").alias("df")).filter("a > 0")
-    a, b = F.col("a").cast("double"), (F.col("df") - F.col("a")).cast("double")
-    part = lambda o, row, col: F.when(o > 0, o * F.log(o * n / (row * col))).otherwise(0.0)      # noqa: E731
-    absent, n0 = n - a - b, n - t
-    g2 = 2 * (part(a, a + b, F.lit(t)) + part(b, a + b, F.lit(n0)) + part(t - a, absent, F.lit(t)) + part(n0 - b, absent, F.lit(n0)))
-    more = (a * max(n0, 1.0) > b * max(t, 1.0))
-    top = [bytes(r.word) for r in per.filter(more).withColumn("g2", F.round(g2, 9)).filter(F.col("g2") >= min_g2)
-           .orderBy(F.desc("g2"), "word").limit(max_features).collect()]
-    total, df = document_frequencies(docs, top)
-    idf = np.array([math.log(1 + total / max(1, df.get(w, 0))) for w in top])
-    place = {w: i for i, w in enumerate(top)}
-    kept = flat.filter(F.col("word").isin([bytearray(w) for w in top])) if top else flat.limit(0)
-    chosen: dict[str, dict[int, int]] = {}
-    for r in kept.select("doc_id", "word", "n").toLocalIterator():
-        chosen.setdefault(r.doc_id, {})[place[bytes(r.word)]] = r.n
-    rows = sorted((r.doc_id, r.toxic) for r in tokens.select("doc_id", "toxic").toLocalIterator())
-    return Model(top, idf, [(d, y, chosen.get(d, {})) for d, y in rows], weights, nearest)
-
-
-def document_frequencies(docs: DataFrame, features: list[bytes]) -> tuple[int, dict[bytes, int]]:
-    """Number of documents, and of those that hold each feature, over all of ``docs``."""
-    wanted = frozenset(features)
+    texts = texts.select("doc_id", F.struct(F.md5(F.coalesce("text", F.lit(""))).alias("key"), "toxic", "text").alias("t"))
+    texts = texts.groupBy("doc_id").agg(F.min("t").alias("t")).select(F.col("doc_id").cast("string").alias("doc_id"), "t.*")
+    texts = texts.groupBy("key").agg(F.min(F.struct("doc_id", "toxic", "text")).alias("t")).select("t.*")
+    found = texts.mapInArrow(_count_words, "doc_id string, toxic int, words array<binary>, counts array<bigint>").toArrow()
+    found = found.sort_by("doc_id").combine_chunks()
+    coded = pa.array(found.column("words").combine_chunks().flatten()).dictionary_encode()
+    order = sorted(range(len(coded.dictionary)), key=(named := coded.dictionary.to_pylist()).__getitem__)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    words = [named[i] for i in order]
+    total, frequency = document_frequencies(docs, words)
+    idf = np.log(1 + total / np.maximum(1, [frequency.get(w, 0) for w in words]))
+    start = np.concatenate(([0], np.cumsum(pa.compute.list_value_length(found.column("words")).to_numpy())))
+    return Model(words, idf, found.column("doc_id").to_pylist(), found.column("toxic").to_numpy(), start, place[coded.indices.to_numpy()],
+                 found.column("counts").combine_chunks().flatten().to_numpy(), shares, nearest)
+
+
+def document_frequencies(docs: DataFrame, words: list[bytes]) -> tuple[int, dict[bytes, int]]:
+    """Number of documents, and of those that hold each word, over all of ``docs``."""
+    wanted = docs.sparkSession.sparkContext.broadcast(frozenset(words))       # words of the bounded sample
 
     def run(batches):
-        counts, n = Counter(), 0
+        counts, n, known = Counter(), 0, wanted.value
         for batch in batches:
             for text in batch.column("text"):
                 raw = text.as_buffer()
                 n += 1
-                if raw is not None and wanted:
-                    counts.update(wanted.intersection(words_of(raw.to_pybytes())))
-        words = [None, *counts]
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([n, *counts.values()], pa.int64())],
+                if raw is not None and known:
+                    counts.update(known.intersection(words_of(raw.to_pybytes())))
+        yield pa.RecordBatch.from_arrays([pa.array([None, *counts], pa.binary()), pa.array([n, *counts.values()], pa.int64())],
                                          names=["word", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    found = {bytes(r.word) if r.word is not None else None: r.n for r in rows}      # at most features + 1 rows
+    rows = docs.select("text").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    rows = rows.toArrow()                                                     # at most the sample's words and one row
+    found = dict(zip(rows.column("word").to_pylist(), rows.column("n").to_pylist()))
     return found.pop(None, 0), found
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, model: Model | None = None, **limits) -> tuple[DataFrame, list[str]]:
     """``docs`` plus a score and its evidence; returns the frame and the two columns' names."""
     spark = docs.sparkSession
-    text_batches(spark)
+    text_batches(spark, BATCH_ROWS, BATCH_BYTES)
     shared = spark.sparkContext.broadcast(model or fit(docs, labels, **limits))
     names = fresh(docs, "score", "evidence")
     kind = T.ArrayType(T.StructType([T.StructField("doc_id", T.StringType()), T.StructField("toxic", T.IntegerType()),
                                      T.StructField("similarity", T.DoubleType())]))
     schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], kind)])
-    arrow = pa.list_(pa.struct([("doc_id", pa.string()), ("toxic", pa.int32()), ("similarity", pa.float64())]))
 
     def run(batches):
+        model = shared.value
         for batch in batches:
-            texts = []
-            for text in batch.column("text"):
-                raw = text.as_buffer()
-                texts.append(words_of(raw.to_pybytes()) if raw is not None else [])
-                texts[-1] = [w for w in texts[-1] if w in shared.value.place]
-            scores, evidence = shared.value.score(texts)
-            rows = [[{"doc_id": d, "toxic": y, "similarity": s} for d, y, s in e] for e in evidence]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array(rows, arrow)],
+            scores, sims, nums = model.score([word_counts(t) for t in batch.column("text")])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), model.evidence(sims, nums)],
                                              names=[*batch.schema.names, *names])
 
     return docs.mapInArrow(run, schema), names
