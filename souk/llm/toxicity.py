@@ -49,10 +49,10 @@ from souk.llm.common import fresh, stored, text_batches
 from souk.llm.decontamination import words_of
 from souk.session import ship_package
 
-MAX_TOXIC, MAX_CLEAN = 2000, 6000       # bound of the sample of labelled rows
+MAX_TOXIC, MAX_CLEAN = 1000, 2000       # bound of the sample of labelled rows
 LABEL_G2, PRIOR = 5.0, 0.05
 NEAREST, EVIDENCE = 15, 3
-FREQUENT, BLOCK = 256, 64
+FREQUENT, BLOCK = 512, 64
 BATCH_ROWS, BATCH_BYTES = 250, 4 << 20
 
 
@@ -64,7 +64,7 @@ def ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All numbers of the given ranges one after the other, and the range each is from."""
     n = end - start
     owner = np.repeat(np.arange(len(n)), n)
-    return np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n), owner
+    return np.arange(len(owner)) + (start - np.cumsum(n) + n)[owner], owner
 
 
 def label_weights(word: np.ndarray, toxic: np.ndarray, n_words: int, labels: np.ndarray) -> np.ndarray:
@@ -138,14 +138,12 @@ class Model:
 
     def query(self, counts: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
         """The known words of a text and their weights, of length 1."""
-        place = self.place
-        known = [(place[w], n) for w, n in counts.items() if w in place]
-        if not known:
-            return np.zeros(0, np.int64), np.zeros(0)
-        known.sort()
-        word, n = np.array(known).T
+        get = self.place.get
+        word = np.array([get(w, -1) for w in counts], np.int64)
+        there = word >= 0
+        word, n = word[there], np.array(list(counts.values()), np.float64)[there]
         value = (1 + np.log(n)) * self.weight[word]
-        return word, value / np.sqrt((value * value).sum())
+        return word, value / np.sqrt((value * value).sum() or 1.0)
 
     def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray]:
         """(similarities, example numbers) of the k nearest of each query; -1 where there is none."""
@@ -304,6 +302,7 @@ def document_frequencies(docs: DataFrame, words: list[bytes]) -> tuple[int, dict
 
     rows = docs.select("text").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     rows = rows.toArrow()                                                     # at most the sample's words and one row
+    wanted.destroy()
     found = dict(zip(rows.column("word").to_pylist(), rows.column("n").to_pylist()))
     return found.pop(None, 0), found
 
