@@ -6,8 +6,9 @@ effects — new snapshot rows, appended ledger rows, notifications.
 Requests for the same key apply in (``ts``, ``request_id``) order.
 
 Rules whose checks read state left by earlier requests of the same key
-(balance, order status) run through ``ordered_fold``; everything else is
-joins, filters and aggregations. "First/last request per key wins" uses the
+(balance, order status) work on segments, so a busy key is many tasks; only a
+user's rows after the first refused one are scanned (``ordered_fold``).
+Everything else is joins, filters and aggregations. "First/last request per key wins" uses the
 ``min_by``/``max_by`` aggregates, which combine map-side, so a hot key does
 not land in one task. New ids are derived from the request id (F24): a
 re-run of the same requests produces the same rows.
@@ -17,13 +18,14 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from souk.functions.predicates import CLOSED_ORDER_STATES, request_uuid
 from souk.functions.text import js_trim
 from souk.operators.folds import ordered_fold
-from souk.operators.ordering import running_totals
+from souk.operators.ordering import running_totals, stored
+from souk.operators.segments import PART, previous, running, segments
 
 CENT = Decimal("0.01")
 
@@ -113,19 +115,13 @@ def insert_ignore(df: DataFrame, rows: DataFrame, key: str, order: list[str] | N
     return df.unionByName(new)
 
 
-# ----------------------------------------------------------------------------- C1
-def _order_step(state, r):
-    bal = state
-    if r["kind"] == "deposit":
-        if r["pre"] is None:
-            bal = bal + r["amount"]
-            return bal, _out(r, "accepted", None, bal)
-        return bal, _out(r, "rejected", r["pre"], bal)
+# ----------------------------------------------------------------------------- C1 / C7
+def _settle_step(bal, r):
     if r["pre"] is not None:
         return bal, _out(r, "rejected", r["pre"], bal)
-    if bal < r["amount"]:
+    if r["checked"] and bal + r["change"] < 0:
         return bal, _out(r, "rejected", "funds", bal)
-    bal = bal - r["amount"]
+    bal = bal + r["change"]
     return bal, _out(r, "accepted", None, bal)
 
 
@@ -138,6 +134,69 @@ FOLD_SCHEMA = ("request_id string, kind string, user_id string, status string, r
                "amount decimal(12,2), balance_after decimal(14,2)")
 
 
+def settle(events: DataFrame) -> DataFrame:
+    """Outcomes of balance events (request_id, ts, user_id, kind, amount, pre, start, change) in each user's order.
+
+    ``pre`` is a reason known beforehand. An order, and a manual change below zero, is
+    refused if it would leave less than nothing.
+
+    1. A running sum over segments gives the balance if every event went through. Up to a
+       user's first event that this leaves below zero that is the true balance: no scan.
+    2. Rows from there on are scanned segment by segment, all segments at once, each from an
+       assumed balance (nothing; a user who is refused has little left). A segment whose true
+       balance, the end of the one before, differs is scanned again from that, until none
+       differs. Every round settles at least one more segment of a user, mostly all.
+
+    A null user is the user with the empty id.
+    """
+    kept = ["request_id", "ts", "kind", "user_id", "amount", "pre", "start", "change"]
+    valid = F.col("pre").isNull()
+    checked = valid & ((F.col("kind") == "order") | ((F.col("kind") == "adjust") & (F.col("change") < 0)))
+    ev = events.select(*kept, F.coalesce("user_id", F.lit("")).alias("_user"), checked.alias("checked"),
+                       F.when(valid, F.col("change")).otherwise(F.lit(0)).cast("decimal(14,2)").alias("_move"))
+    s = segments(ev, "_user", ["ts", "request_id"], "settle")
+    after = running(s, _sum=F.col("_move")).withColumn("_after", (F.col("start") + F.col("_sum")).cast("decimal(14,2)")).drop("_sum")
+    after = s.derive(stored(after, "settle-sums"))
+    short = F.when(F.col("checked") & (F.col("_after") < 0), 1).otherwise(0)
+    rows = running(after, "max", _short=short)
+    easy = rows.filter("_short = 0").select(
+        "request_id", "kind", "user_id", F.when(valid, "accepted").otherwise("rejected").alias("status"), F.col("pre").alias("reason"),
+        "amount", F.col("_after").alias("balance_after"))
+    tight = stored(rows.filter("_short = 1").withColumn("_from", (F.col("_after") - F.col("_move")).cast("decimal(14,2)")).drop("_short", "_after"),
+                   "settle-tight")
+    if tight.isEmpty():
+        return easy
+    scanned = ordered_fold(_with_starts(s.derive(tight)), ["_user", PART], _order_key(), lambda r: r["_from"], _settle_step, FOLD_SCHEMA,
+                           sort_only=["ts"])
+    return easy.unionByName(scanned)
+
+
+def _with_starts(s) -> DataFrame:
+    """The rows to scan, those of a user's second and later segments with the balance that enters the segment in ``_from``."""
+    ends = "_user string, _part int, _end decimal(14,2)"
+    w = Window.partitionBy("_user").orderBy(PART)
+    chunks = s.carry([F.min_by("_from", F.struct("ts", "request_id")).alias("_from")])         # users in several partitions
+    chunks = chunks.withColumn("_n", F.row_number().over(w)).withColumn(
+        "_from", F.when(F.col("_n") == 1, F.col("_from")).otherwise(F.lit(0).cast("decimal(14,2)")))
+    todo = chunks = stored(chunks, "settle-chunks")
+    done = None
+    while not todo.isEmpty():
+        again = s.rows.drop("_from").join(F.broadcast(todo.select("_user", PART, "_from")), ["_user", PART])
+        found = ordered_fold(again, ["_user", PART], _order_key(), lambda r: r["_from"],
+                             lambda bal, r: (_settle_step(bal, r)[0], None), ends,
+                             finish=lambda bal, last: (last["_user"], last[PART], bal), sort_only=["ts"])
+        new = todo.join(found, ["_user", PART])
+        done = new if done is None else done.join(todo.select("_user", PART), ["_user", PART], "left_anti").unionByName(new)
+        done = stored(done, "settle-chunks")
+        true = F.lag("_end").over(w)
+        wrong = done.withColumn("_true", true).filter((F.col("_n") > 1) & (F.col("_true") != F.col("_from")))
+        todo = stored(wrong.select("_user", PART, F.col("_true").alias("_from"), "_n"), "settle-chunks")
+    if done is None:
+        return s.rows
+    given = done.filter("_n > 1").select("_user", PART, F.col("_from").alias("_given"))
+    return s.rows.join(F.broadcast(given), ["_user", PART], "left").withColumn("_from", F.coalesce("_given", "_from")).drop("_given")
+
+
 def _start_balance(T, events: DataFrame) -> DataFrame:
     b = T["balances"].select(F.col("user_id").alias("_bu"), F.col("amount").alias("start"))
     return (events.join(b, F.col("user_id") == F.col("_bu"), "left").drop("_bu")
@@ -170,9 +229,8 @@ def place_orders(T, requests: DataFrame, deposits: DataFrame | None = None) -> D
                             F.col("amount").cast("decimal(12,2)").alias("amount"),
                             F.when(~F.coalesce(F.col("amount") > 99, F.lit(False)), "amount").alias("pre"))
         ev = ev.unionByName(d)
-    ev = _start_balance(T, ev)
-    return ordered_fold(ev, "user_id", _order_key(), lambda r: r["start"], _order_step, FOLD_SCHEMA,
-                        sort_only=["ts"])
+    signed = F.when(F.col("kind") == "deposit", F.col("amount")).otherwise(-F.col("amount"))
+    return settle(_start_balance(T, ev).withColumn("change", signed))
 
 
 def place_orders_effects(T, requests: DataFrame, outcomes: DataFrame) -> dict[str, DataFrame]:
@@ -206,11 +264,6 @@ def place_orders_effects(T, requests: DataFrame, outcomes: DataFrame) -> dict[st
 
 
 # ----------------------------------------------------------------------------- C2 / C5
-def _role(actor: Column) -> Column:
-    return (F.when(actor == F.col("customer_id"), "customer")
-            .when(actor == F.col("executor_id"), "executor"))
-
-
 def _status_step(state, r):
     old = state
     new = r["new_status"]
@@ -278,8 +331,8 @@ def apply_status_changes(T, requests: DataFrame, orders: DataFrame | None = None
 
     The actor must be the order's customer or executor; the transition table is
     read with the actor's account role (a participant with another role has no
-    allowed transition). ``split`` (a ``date_trunc`` unit) cuts every order into
-    time chunks processed in parallel, for data where one order is very busy.
+    allowed transition). A busy order is cut into segments. ``split`` (a ``date_trunc``
+    unit) is the older form by chunk maps and folds, for rules that may lead back.
     """
     o = (orders if orders is not None else T["orders"]).select(
         F.col("id").alias("_oid"), "customer_id", "executor_id", F.col("status").alias("start"))
@@ -292,8 +345,63 @@ def apply_status_changes(T, requests: DataFrame, orders: DataFrame | None = None
           .select("request_id", "ts", "order_id", "actor_id", "new_status", "role", "start"))
     if split:
         return _split_status_changes(ev, split)
-    return ordered_fold(ev, "order_id", _order_key(), lambda r: r["start"], _status_step, STATUS_SCHEMA,
-                        sort_only=["ts"])
+    return _moves(ev)
+
+
+def _longest_path(edges: dict[str, set[str]], state: str, seen: tuple = ()) -> int:
+    if state in seen:
+        raise ValueError("the transitions have a cycle")
+    return max((1 + _longest_path(edges, s, (*seen, state)) for s in edges.get(state, ())), default=0)
+
+
+def _moves(ev: DataFrame) -> DataFrame:
+    """C2 by first moves: no transition leads back, so an order has at most as many accepted
+    requests as the longest path has steps. The next one is the first request after the last
+    accepted one that its state allows: a minimum over the order's segments.
+    """
+    edges: dict[str, set[str]] = {}
+    for per_role in TRANSITIONS.values():
+        for old, targets in per_role.items():
+            edges.setdefault(old, set()).update(targets)
+    steps = max(_longest_path(edges, s) for s in edges)
+    at = F.struct("ts", "request_id")
+
+    def allowed(state: Column) -> Column:
+        ok = F.lit(False)
+        for role, per_state in TRANSITIONS.items():
+            for old, targets in per_state.items():
+                if targets:
+                    ok = ok | ((F.col("role") == role) & (state == old) & F.col("new_status").isin(*targets))
+        return F.coalesce(ok, F.lit(False))
+
+    def candidate(state: Column, since: Column) -> Column:
+        later = since.isNull() | (at > since)
+        return F.when(allowed(state) & later, F.struct(at.alias("at"), F.col("new_status").alias("to")))
+
+    ev = ev.withColumn("_order", F.coalesce("order_id", F.lit("")))
+    s = segments(ev, "_order", ["ts", "request_id"], "moves")
+    # orders in several partitions: one aggregate a step, combined before the shuffle
+    busy = s.rows.join(F.broadcast(s.crossing), "_order")
+    firsts = s.crossing
+    state, since = F.col("start"), F.lit(None).cast(ev.select(at.alias("x")).schema["x"].dataType)
+    busy_state, busy_since = state, since
+    for i in range(steps):
+        found = busy.join(F.broadcast(firsts), "_order").groupBy("_order").agg(F.min(candidate(busy_state, busy_since)).alias(f"_b{i}"))
+        firsts = stored(firsts.join(found, "_order", "left"), "moves-first")       # at most two orders a partition
+        busy_state, busy_since = F.coalesce(f"_b{i}.to", busy_state), F.coalesce(f"_b{i}.at", busy_since)
+    rows = s.rows.join(F.broadcast(firsts.withColumn("_busy", F.lit(True))), "_order", "left")
+    whole = Window.partitionBy(PART, "_order")
+    old, accepted = F.col("start"), F.lit(False)
+    for i in range(steps):
+        rows = rows.withColumn(f"_m{i}", F.min(candidate(state, since)).over(whole))
+        rows = rows.withColumn(f"_m{i}", F.when(F.col("_busy"), F.col(f"_b{i}")).otherwise(F.col(f"_m{i}")))
+        state, since = F.coalesce(f"_m{i}.to", state), F.coalesce(f"_m{i}.at", since)
+        old = F.when(F.col(f"_m{i}.at") < at, F.col(f"_m{i}.to")).otherwise(old)
+        accepted = accepted | F.coalesce(F.col(f"_m{i}.at") == at, F.lit(False))
+    return rows.select(
+        "request_id", "order_id", "actor_id", "role", old.alias("old_status"), "new_status",
+        F.when(accepted, "accepted").otherwise("rejected").alias("status"),
+        F.when(F.col("role").isNull(), "participant").when(~accepted, "transition").alias("reason"))
 
 
 def forced_status_effects(T, outcomes: DataFrame, requests: DataFrame,
@@ -378,8 +486,8 @@ ORDER_STATES = ("created", "in_progress", "review", "completed", "cancelled")
 def force_status(T, requests: DataFrame, orders: DataFrame | None = None) -> DataFrame:
     """An admin moves an order to any valid state. Rejection depends only on the
     request (unknown order, invalid state), so the state before an accepted request
-    is the previous accepted target, or the stored status: a ``lag``, no fold."""
-    from pyspark.sql import Window
+    is the previous accepted target, or the stored status: no fold, and a busy order's
+    rows are cut into segments."""
     o = (orders if orders is not None else T["orders"]).select(F.col("id").alias("_oid"),
                                                                F.col("status").alias("start"))
     ev = requests.join(o, F.col("order_id") == F.col("_oid"), "left")
@@ -387,8 +495,8 @@ def force_status(T, requests: DataFrame, orders: DataFrame | None = None) -> Dat
               .when(~F.coalesce(F.col("new_status").isin(*ORDER_STATES), F.lit(False)), "status"))
     ev = ev.withColumn("reason", reason)
     ok = ev.filter(F.col("reason").isNull())
-    w = Window.partitionBy("order_id").orderBy("ts", "request_id")
-    ok = ok.withColumn("old_status", F.coalesce(F.lag("new_status").over(w), F.col("start")))
+    ok = previous(segments(ok, "order_id", ["ts", "request_id"], "forced"), "new_status").drop(PART)
+    ok = ok.withColumn("old_status", F.coalesce("previous_new_status", "start")).drop("previous_new_status")
     bad = ev.filter(F.col("reason").isNotNull()).withColumn("old_status", F.lit(None).cast("string"))
     out = ok.unionByName(bad)
     accepted = F.col("reason").isNull()
@@ -426,14 +534,13 @@ def apply_price_changes(T, requests: DataFrame) -> DataFrame:
 def price_change_effects(T, requests: DataFrame) -> dict[str, DataFrame]:
     """Every accepted price change notifies the customer (X1's intent) and writes a chat
     line with the previous and the new price; the order keeps the last price. The
-    previous price of a change is the one before it (a ``lag``), or the stored price."""
-    from pyspark.sql import Window
+    previous price of a change is the one before it (over segments), or the stored price."""
     from souk.functions.predicates import ru_number
     out = apply_price_changes(T, requests).filter(F.col("status") != "rejected").select("request_id")
     o = T["orders"].select(F.col("id").alias("order_id"), "customer_id", "total_price")
     acc = requests.join(out, "request_id").join(o, "order_id")
-    w = Window.partitionBy("order_id").orderBy("ts", "request_id")
-    acc = acc.withColumn("old_price", F.coalesce(F.lag("price").over(w), F.col("total_price")))
+    acc = previous(segments(acc, "order_id", ["ts", "request_id"], "prices"), "price").drop(PART)
+    acc = acc.withColumn("old_price", F.coalesce("previous_price", "total_price")).drop("previous_price")
     note = F.coalesce(F.col("note"), F.lit(""))
     notes = acc.select(
         F.concat(F.lit("npc-"), request_uuid("request_id")).alias("id"), F.col("customer_id").alias("user_id"),
@@ -521,23 +628,12 @@ def apply_deposits(T, requests: DataFrame) -> dict[str, DataFrame]:
     return {"balances": balances, "transactions": tx, "rejects": rejects}
 
 
-def _adjust_step(state, r):
-    bal = state
-    amt = r["amount"]
-    if amt is None or amt == 0:
-        return bal, _out(r, "rejected", "amount", bal)
-    if amt < 0 and bal < -amt:
-        return bal, _out(r, "rejected", "funds", bal)
-    bal = bal + amt
-    return bal, _out(r, "accepted", None, bal)
-
-
 def adjust_balances(T, requests: DataFrame) -> DataFrame:
     """C7 outcomes: manual change ≠ 0; a negative one needs balance ≥ its size."""
     ev = _start_balance(T, requests.select("request_id", "ts", "user_id", F.lit("adjust").alias("kind"),
                                            F.col("amount").cast("decimal(12,2)").alias("amount")))
-    return ordered_fold(ev, "user_id", _order_key(), lambda r: r["start"], _adjust_step, FOLD_SCHEMA,
-                        sort_only=["ts"])
+    pre = F.when(F.coalesce("amount", F.lit(0)) == 0, "amount")
+    return settle(ev.withColumn("pre", pre).withColumn("change", F.col("amount")))
 
 
 def adjust_effects(T, requests: DataFrame, outcomes: DataFrame) -> dict[str, DataFrame]:

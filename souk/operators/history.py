@@ -6,11 +6,10 @@ keys and stays exact:
 
 - top-k per key: each task keeps k rows of a key before the one shuffle
   (Spark's window group limit), so a hot key is k rows per task;
-- running sums: per (key, time bucket) running sum plus the sum of all
-  earlier buckets, taken from a small per-bucket total table;
-- trailing counts over a window of length w: rows are bucketed by
-  ``floor(ts / w)`` and each row is also copied into the next bucket, so a
-  bucket holds every row its members can see.
+- running sums: a running sum per segment (``segments.py``) plus the totals
+  of the key's segments before it;
+- trailing counts over a window of length w: the rank of the row less the
+  number of rows before its window, ranked together over segments.
 """
 
 from __future__ import annotations
@@ -19,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from souk.functions.predicates import money, order_participants
+from souk.operators.segments import PART, running, segments, trailing
 
 # ----------------------------------------------------------------------------- building blocks
 def top_k_per_key(df: DataFrame, key: str, order: list[Column], k: int, rank_col: str = "rn") -> DataFrame:
@@ -32,45 +32,14 @@ def top_k_per_key(df: DataFrame, key: str, order: list[Column], k: int, rank_col
     return out.withColumn(rank_col, F.col(rank_col).cast("bigint"))
 
 
-def running_sum(df: DataFrame, key: str, ts: str, tiebreak: str, value: Column,
-                out: str = "running", bucket: str = "quarter") -> DataFrame:
-    """Exact running sum of ``value`` per ``key`` in (ts, tiebreak) order, split by time bucket.
+def running_sum(df: DataFrame, key: str, ts: str, tiebreak: str, value: Column, out: str = "running") -> DataFrame:
+    """Exact running sum of ``value`` per ``key`` in (ts, tiebreak) order, a busy key cut into segments."""
+    return running(segments(df, key, [ts, tiebreak], "running-sum"), **{out: value}).drop(PART)
 
-    ``bucket`` (a ``date_trunc`` unit) sets how finely one key is split: pick it so
-    a busy key spans many buckets while (keys × buckets) stays far below the rows.
-    """
-    d = df.withColumn("_v", value).withColumn("_b", F.date_trunc(bucket, F.col(ts)))
-    part = Window.partitionBy(key, "_b")
-    # running sum and bucket total from the same shuffle; the totals below reuse it
-    d = (d.withColumn("_in", F.sum("_v").over(part.orderBy(ts, tiebreak)
-                                                 .rowsBetween(Window.unboundedPreceding, 0)))
-         .withColumn("_bt", F.sum("_v").over(part)))
-    totals = d.select(key, "_b", "_bt").dropDuplicates([key, "_b"])
-    before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("_off", F.coalesce(F.sum("_bt").over(before), F.lit(0))).drop("_bt")
-    return (d.join(offsets, [key, "_b"]).withColumn(out, F.col("_in") + F.col("_off"))
-            .drop("_v", "_b", "_in", "_bt", "_off"))
-
-
-def trailing_count(df: DataFrame, key: str, ts: str, seconds: int, out: str = "earlier",
-                   splits: int = 1) -> DataFrame:
-    """Rows of the same key with ``ts`` in ``[ts - seconds, ts]``, this row excluded.
-
-    Rows are bucketed by ``floor(ts / (seconds / splits))`` and each row is also
-    copied into the ``splits`` following buckets, so a bucket holds every row its
-    own members can see. ``splits`` > 1 spreads a key that is busy within a single
-    window length over more tasks, at the cost of ``splits + 1`` copies per row.
-    """
-    width = int(seconds) * 1_000_000
-    step = -(-width // int(splits))                       # ceil(width / splits)
-    t = F.unix_micros(F.col(ts).cast("timestamp"))  # NTZ columns read as UTC wall time
-    # each row once as itself (shift 0) and as context for the next buckets, in one pass
-    base = (df.withColumn("_t", t)
-            .withColumn("_shift", F.explode(F.sequence(F.lit(0), F.lit(int(splits)))))
-            .withColumn("_b", F.floor(F.col("_t") / step) + F.col("_shift")))
-    w = Window.partitionBy(key, "_b").orderBy("_t").rangeBetween(-width, 0)
-    return (base.withColumn(out, F.count(F.lit(1)).over(w) - 1)
-            .filter(F.col("_shift") == 0).drop("_t", "_b", "_shift"))
+
+def trailing_count(df: DataFrame, key: str, ts: str, seconds: int, out: str = "earlier") -> DataFrame:
+    """Rows of the same key with ``ts`` in ``[ts - seconds, ts]``, this row excluded (a difference of ranks)."""
+    return trailing(df, key, ts, seconds, out)
 
 
 def flag_bursts(df: DataFrame, key: str, ts: str, seconds: int, limit: int) -> DataFrame:

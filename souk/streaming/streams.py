@@ -20,6 +20,8 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from souk.functions.text import screen_reason
 from souk.operators.folds import ordered_fold
+from souk.operators.ordering import stored
+from souk.operators.segments import PART, next_ranks, reached, running, segments
 from souk.session import checkpoint_dir, ship_package
 from souk.sources.sinks import epoch_path
 
@@ -63,9 +65,23 @@ def limit_attempts(attempts: DataFrame, policy: Policy) -> DataFrame:
     """Anchored-window limiter over stored attempts: the window starts at the first
     attempt, resets when an attempt comes more than the window length after that start,
     and an attempt is blocked once the count in the window exceeds the limit."""
+    # keys inside one range partition are scanned there; a busy key's window starts are
+    # found by pointer doubling: every attempt's next window start is a rank, and the starts
+    # are what the chain of these ranks visits from the first attempt.
     a = attempts.select("attempt_id", "attempt_key", F.col("ts").cast("timestamp").alias("ts"))
-    return ordered_fold(a, "attempt_key", ["ts", "attempt_id"], lambda r: (0, None),
-                        _limit_step(policy), LIMIT_SCHEMA)
+    s = segments(a, "attempt_key", ["ts", "attempt_id"], "attempts")
+    calm = s.rows.join(F.broadcast(s.crossing), "attempt_key", "left_anti").drop(PART)
+    counted = ordered_fold(calm, "attempt_key", ["ts", "attempt_id"], lambda r: (0, None), _limit_step(policy), LIMIT_SCHEMA)
+    if s.crossing.isEmpty():
+        return counted
+    busy = s.rows.join(F.broadcast(s.crossing), "attempt_key").drop(PART)
+    linked = next_ranks(busy, "attempt_key", "ts", "attempt_id", policy.window_seconds * 1_000_000)
+    rows = stored(linked.rows, "attempts-linked")
+    starts = reached(rows.select("attempt_key", "rank", "next"), "attempt_key").withColumn("_start", F.col("rank"))
+    marked = linked.derive(rows.join(starts, ["attempt_key", "rank"], "left"))
+    out = running(marked, "max", _from=F.col("_start"))
+    count = (F.col("rank") - F.col("_from") + 1).cast("int")
+    return counted.unionByName(out.select("attempt_id", "attempt_key", "ts", count.alias("attempt_count"), (count > policy.limit).alias("blocked")))
 
 
 # ----------------------------------------------------------------------------- T1 / T4 (stream)
