@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from souk.functions.predicates import CLOSED_ORDER_STATES, older_than
+from souk.operators.ordering import stored
 
 TABLES = ("users", "services", "orders", "status_log", "messages", "reviews", "balances",
           "transactions", "notifications", "profiles", "categories")
@@ -146,43 +147,112 @@ def cascade(T, table: str, ids: DataFrame) -> dict[str, DataFrame]:
     return t
 
 
-def run_retention(T, as_of, policy: str = "api", as_of_notifications=None,
-                  materialize=None) -> tuple[dict[str, DataFrame], list[Step]]:
-    """R1 → R6 in order, each step reading the tables the previous one left.
+def mark_tables(T, as_of, policy: str = "api", as_of_notifications=None) -> dict[str, DataFrame]:
+    """Every table of a full run (R1 to R6 in order) with ``_mark``, the step that removes the row (null: kept).
 
-    ``materialize`` (e.g. ``lambda df: df.checkpoint()`` or a snapshot writer)
-    is applied to every table between steps to cut lineage on large runs.
+    A step hands marks to the next one, not tables: (id, dead, closed) of orders and (id, state) of
+    inactive users are written once, each other table meets them in one join, and kept and removed
+    rows are two filters of the result. ``_hidden`` marks services that are hidden, ``_no_order`` and
+    ``_no_user`` ledger rows that lose a reference. A row is marked by the first step that removes it.
     """
     nts = as_of_notifications or as_of
-    t = snapshot(T)
-    steps = []
-    for fn in (lambda x: retire_cancelled_orders(x, as_of, policy),
-               lambda x: retire_inactive_users(x, as_of, policy),
-               lambda x: drop_old_notifications(x, nts),
-               lambda x: drop_read_notifications(x, nts),
-               lambda x: drop_old_messages(x, as_of),
-               lambda x: drop_dead_services(x, as_of, policy)):
-        st = fn(t)
-        if materialize is not None:
-            # only the tables this step changed; untouched ones keep their plan
-            st.tables = {k: (v if v is t.get(k) else materialize(v)) for k, v in st.tables.items()}
-            st.removed = materialize(st.removed)
-            st.extra = {k: materialize(v) for k, v in st.extra.items()}
-        t = st.tables
-        steps.append(st)
-    return t, steps
-
-
-def retention_counts(T, as_of, policy: str = "api", as_of_notifications=None,
-                     materialize=None) -> DataFrame:
-    """One row: rows removed per step and the row counts left (A3), as the run log reports."""
-    from souk.operators.reports import table_counts
-    t, steps = run_retention(T, as_of, policy, as_of_notifications, materialize)
-    counts = [st.removed.agg(F.count(F.lit(1)).alias(st.name)) for st in steps]
-    blocked = steps[1].extra["blocked"].agg(F.count(F.lit(1)).alias("blocked_users"))
-    out = counts[0]
-    for c in counts[1:] + [blocked, table_counts(t)]:
-        out = out.crossJoin(F.broadcast(c))
+    orders = T["orders"].withColumn("_mark", F.when(
+        (F.col("status") == "cancelled") & older_than("updated_at", as_of, 90), "cancelled_orders"))
+    order_marks = stored(orders.select(
+        F.col("id").alias("_o"), F.col("_mark").isNotNull().alias("_dead"),
+        F.col("status").isin(*CLOSED_ORDER_STATES).alias("_closed")).filter("_dead or _closed"), "order-marks")
+
+    def with_order(df: DataFrame) -> DataFrame:
+        out = df.join(order_marks, F.col("order_id") == F.col("_o"), "left").drop("_o")
+        return out.withColumn("_dead", F.coalesce("_dead", F.lit(False)))
+
+    aged = F.coalesce(older_than("created_at", as_of, 180), F.lit(False))
+    messages = with_order(T["messages"]).withColumn(
+        "_mark", F.when(F.col("_dead"), "cancelled_orders").when(aged & F.coalesce("_closed", F.lit(False)), "old_messages")).drop("_dead", "_closed")
+    log = with_order(T["status_log"]).withColumn("_mark", F.when(F.col("_dead"), "cancelled_orders")).drop("_dead", "_closed")
+
+    candidates = T["users"].filter(~F.col("is_active") & older_than("updated_at", as_of, 30)).select("id")
+    live = orders.filter("_mark is null")
+    refs = (live.select(F.explode(F.array("customer_id", "executor_id")).alias("ref"))
+            .unionByName(messages.filter("_mark is null or _mark <> 'cancelled_orders'").select(F.col("sender_id").alias("ref")))
+            .unionByName(T["reviews"].select(F.explode(F.array("customer_id", "executor_id")).alias("ref")))).distinct()
+    user_marks = stored(candidates.join(refs, F.col("id") == F.col("ref"), "left").select(
+        F.col("id").alias("_u"), F.col("ref").isNull().alias("_gone")), "user-marks")
+
+    def with_user(df: DataFrame, col: str) -> DataFrame:
+        out = df.join(user_marks, F.col(col) == F.col("_u"), "left")
+        return out.withColumn("_inactive", F.col("_u").isNotNull()).withColumn("_gone", F.coalesce("_gone", F.lit(False))).drop("_u")
+
+    user = F.when(F.col("_gone"), "inactive_users")
+    users = with_user(T["users"], "id").withColumn("_mark", user).withColumn("_blocked", F.col("_inactive") & ~F.col("_gone")).drop("_inactive", "_gone")
+    out = {"orders": orders, "messages": messages, "status_log": log, "users": users}
+    for name in ("balances", "profiles"):
+        out[name] = with_user(T[name], "user_id").withColumn("_mark", user).drop("_inactive", "_gone")
+    out["notifications"] = with_user(T["notifications"], "user_id").withColumn(
+        "_mark", user.when(older_than("created_at", nts, 60), "old_notifications")
+        .when(F.col("is_read") & older_than("created_at", nts, 7), "read_notifications")).drop("_inactive", "_gone")
+    ledger = with_user(with_order(T["transactions"]).withColumnRenamed("_dead", "_no_order").drop("_closed"), "user_id")
+    lost = F.when(F.col("_no_order"), "cancelled_orders") if policy == "script" else F.lit(None).cast("string")
+    out["transactions"] = ledger.withColumn("_mark", lost).withColumnRenamed("_gone", "_no_user").drop("_inactive")
+
+    services = with_user(T["services"], "executor_id").withColumn(
+        "_hidden", (F.col("_inactive") & F.col("is_active")) if policy == "api" else F.lit(False))
+    used = live.select(F.col("service_id").alias("_s")).distinct()
+    services = services.join(used, F.col("id") == F.col("_s"), "left")
+    off = ~F.col("is_active") | F.col("_hidden")
+    if policy == "script":
+        inactive = T["users"].filter(~F.col("is_active")).select(F.col("id").alias("_i"))
+        services = services.join(inactive, F.col("executor_id") == F.col("_i"), "left")
+        dead = off & F.col("_i").isNotNull()
+    else:
+        dead = off & older_than("created_at", as_of, 365)
+    out["services"] = services.withColumn("_mark", user.when(F.coalesce(dead, F.lit(False)) & F.col("_s").isNull(), "dead_services")
+                                          ).drop("_inactive", "_gone", "_s", *(["_i"] if policy == "script" else []))
+    return out
+
+
+MARKS = ("_mark", "_hidden", "_no_order", "_no_user", "_blocked")
+
+
+def kept_tables(marked: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables a run leaves: unmarked rows, hidden services inactive, lost references null."""
+    out = {name: df.filter("_mark is null") for name, df in marked.items()}
+    out["services"] = out["services"].withColumn("is_active", F.col("is_active") & ~F.col("_hidden"))
+    for col, lost in (("order_id", "_no_order"), ("user_id", "_no_user")):
+        out["transactions"] = out["transactions"].withColumn(col, F.when(~F.col(lost), F.col(col)))
+    return {name: df.drop(*MARKS) for name, df in out.items()}
+
+
+def run_retention(T, as_of, policy: str = "api", as_of_notifications=None) -> tuple[dict[str, DataFrame], list[Step]]:
+    """R1 → R6 in order: the tables that stay, and what each step removes."""
+    marked = mark_tables(T, as_of, policy, as_of_notifications)
+    kept = {**snapshot(T), **kept_tables(marked)}
+    owner = {"cancelled_orders": "orders", "inactive_users": "users", "old_notifications": "notifications",
+             "read_notifications": "notifications", "old_messages": "messages", "dead_services": "services"}
+    steps = [Step(name, kept, marked[table].filter(F.col("_mark") == name).select("id")) for name, table in owner.items()]
+    steps[1].extra["blocked"] = marked["users"].filter("_blocked").select("id")
+    return kept, steps
+
+
+def retention_counts(T, as_of, policy: str = "api", as_of_notifications=None) -> DataFrame:
+    """One row: rows removed per step and the row counts left (A3), as the run log reports; one aggregate a table."""
+    marked = mark_tables(T, as_of, policy, as_of_notifications)
+
+    def removed(step: str):
+        return F.count(F.when(F.col("_mark") == step, 1)).alias(step)
+
+    def left(table: str):
+        return F.count(F.when(F.col("_mark").isNull(), 1)).alias(f"total_{table}")
+
+    parts = [marked["orders"].agg(removed("cancelled_orders"), left("orders")),
+             marked["users"].agg(removed("inactive_users"), F.count(F.when(F.col("_blocked"), 1)).alias("blocked_users"), left("users")),
+             marked["notifications"].agg(removed("old_notifications"), removed("read_notifications"), left("notifications")),
+             marked["messages"].agg(removed("old_messages"), left("messages")),
+             marked["services"].agg(removed("dead_services"), left("services")),
+             marked["transactions"].agg(left("transactions"))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.crossJoin(F.broadcast(p))                                    # one row each
     return out
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from souk.operators import retention as RT
-from souk.plans.registry import AS_OF, AS_OF_EVENTS, NOW, NOW_EV, register
+from souk.plans.registry import AS_OF, AS_OF_EVENTS, NOW, NOW_EV, money_sql, register
 
 
 def _S(T):
@@ -56,7 +56,7 @@ WHERE NOT s.is_active AND NOT u.is_active
          "R6: dead services (script policy)")(
     lambda T: RT.drop_dead_services(_S(T), AS_OF, policy="script").removed)
 
-register("run_retention", f"""
+_RUN = f"""
 WITH o1 AS (SELECT id FROM m_orders WHERE status = 'cancelled' AND updated_at < {NOW} - INTERVAL 90 DAY),
 orders1 AS (SELECT * FROM m_orders WHERE id NOT IN (SELECT id FROM o1)),
 msg1 AS (SELECT * FROM m_messages WHERE order_id NOT IN (SELECT id FROM o1)),
@@ -74,7 +74,9 @@ m5 AS (SELECT id FROM msg1 WHERE created_at < {NOW} - INTERVAL 180 DAY
 svc2 AS (SELECT id, created_at, is_active AND executor_id NOT IN (SELECT id FROM cand) AS is_active
          FROM m_services WHERE executor_id NOT IN (SELECT id FROM gone)),
 s6 AS (SELECT id FROM svc2 WHERE NOT is_active AND created_at < {NOW} - INTERVAL 365 DAY
-         AND id NOT IN (SELECT service_id FROM orders1))
+         AND id NOT IN (SELECT service_id FROM orders1))"""
+
+register("run_retention", f"""{_RUN}
 SELECT (SELECT count(*) FROM o1) AS cancelled_orders, (SELECT count(*) FROM gone) AS inactive_users,
        (SELECT count(*) FROM n3) AS old_notifications, (SELECT count(*) FROM n4) AS read_notifications,
        (SELECT count(*) FROM m5) AS old_messages, (SELECT count(*) FROM s6) AS dead_services,
@@ -87,3 +89,30 @@ SELECT (SELECT count(*) FROM o1) AS cancelled_orders, (SELECT count(*) FROM gone
        (SELECT count(*) FROM m_transactions) AS total_transactions""",
          "R7/A3: full retention run, counts per step and tables left")(
     lambda T: RT.retention_counts(T, AS_OF, "api", AS_OF_EVENTS))
+
+
+# The tables a full run leaves; "id" columns only where a table's other columns stay as they are.
+_KEPT = {
+    "orders": ("id, status", "SELECT id, status FROM orders1"),
+    "users": ("id, is_active", "SELECT id, is_active FROM m_users WHERE id NOT IN (SELECT id FROM gone)"),
+    "services": ("id, executor_id, is_active",
+                 "SELECT s.id, m.executor_id, s.is_active FROM svc2 s JOIN m_services m ON m.id = s.id WHERE s.id NOT IN (SELECT id FROM s6)"),
+    "messages": ("id, order_id", "SELECT id, order_id FROM msg1 WHERE id NOT IN (SELECT id FROM m5)"),
+    "notifications": ("id, user_id, is_read", "SELECT id, user_id, is_read FROM notif3 WHERE id NOT IN (SELECT id FROM n4)"),
+    "status_log": ("order_id, old_status, new_status, created_at",
+                   "SELECT order_id, old_status, new_status, created_at FROM m_status_log WHERE order_id NOT IN (SELECT id FROM o1)"),
+    "balances": ("user_id, amount", f"SELECT user_id, {money_sql('amount')} AS amount FROM m_balances WHERE user_id NOT IN (SELECT id FROM gone)"),
+    "profiles": ("user_id", "SELECT user_id FROM m_profiles WHERE user_id NOT IN (SELECT id FROM gone)"),
+    "transactions": ("id, user_id, order_id", """SELECT t.id,
+       CASE WHEN EXISTS (SELECT 1 FROM gone g WHERE g.id = t.user_id) THEN NULL ELSE t.user_id END AS user_id,
+       CASE WHEN EXISTS (SELECT 1 FROM o1 WHERE o1.id = t.order_id) THEN NULL ELSE t.order_id END AS order_id
+FROM m_transactions t"""),
+}
+for _name, (_cols, _sql) in _KEPT.items():
+    register(f"retention_kept_{_name}", f"{_RUN}\n{_sql}", f"R1-R7: the rows of {_name} that a full run leaves")(
+        lambda T, _n=_name, _c=_cols: _kept(T, _n, _c))
+
+
+def _kept(T, name, cols):
+    df = RT.kept_tables(RT.mark_tables(T, AS_OF, "api", AS_OF_EVENTS))[name]
+    return df.select(*[F.round(F.col(c).cast("double"), 2).alias(c) if c == "amount" else F.col(c) for c in cols.split(", ")])

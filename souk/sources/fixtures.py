@@ -283,8 +283,8 @@ _DUCK_FROM = {
                         "group by service_id) o on os = concat('p', cast(p_partkey as string)) "
                         "left join (select service_id as rs, count(*) as rc, avg(rating) as ra "
                         "from m_reviews group by service_id) r on rs = concat('p', cast(p_partkey as string))",
-    "conversations_x_orders": "conversations join m_orders on id = concat('o', cast(conv_id as string))",
-    "lineitem_x_orders": "lineitem join m_orders on id = concat('o', cast(l_orderkey as string))",
+    "conversations_x_orders": "conversations join m_orders on conv_id = cast(substring(id, 2) as bigint)",
+    "lineitem_x_orders": "lineitem join m_orders on l_orderkey = cast(substring(id, 2) as bigint)",
 }
 
 # Tables each raw source reads (so the oracle registers only what it needs).
@@ -327,8 +327,8 @@ def _closure(names) -> list[str]:
 
 
 def with_clause(names) -> str:
-    """``WITH m_x AS (...), ...`` for the oracle, dependencies included."""
-    parts = [f"{n} AS ({table_sql(n)})" for n in _closure(names)]
+    """``WITH m_x AS MATERIALIZED (...), ...`` for the oracle, dependencies included: each table is derived once."""
+    parts = [f"{n} AS MATERIALIZED ({table_sql(n)})" for n in _closure(names)]
     return "WITH " + ",\n".join(parts) + "\n" if parts else ""
 
 
@@ -391,11 +391,12 @@ def _stored(spark: SparkSession, path: str, build) -> DataFrame:
     df = _STORED.get(path)
     if df is not None:
         return df
-    try:
-        df = spark.read.parquet(path)       # committed by an earlier query of this session
-    except Exception:                       # absent (a failed job commits nothing): write it
+    # a commit leaves _SUCCESS (a failed job doesn't); any other error of reading a stored table is raised
+    jvm, done = spark._jvm, f"{path}/_SUCCESS"
+    at = jvm.org.apache.hadoop.fs.Path(done)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
         build().write.mode("overwrite").parquet(path)
-        df = spark.read.parquet(path)
+    df = spark.read.parquet(path)
     _STORED[path] = df
     return df
 
