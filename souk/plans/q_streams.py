@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from souk.plans.registry import REGISTRY, register
 from souk.session import checkpoint_dir
-from souk.sources.sinks import newest_epoch
 from souk.streaming import streams as S
 
 P = S.POLICIES["fixture"]
@@ -94,7 +93,7 @@ def _rate_stream(T):
          .option("checkpointLocation", f"{base}/_chk").trigger(availableNow=True)
          .foreachBatch(S.upsert_batch(base, ["client", "window_start"])).start())
     q.awaitTermination()
-    return newest_epoch(spark, base)
+    return S.upserted(spark, base, ["client", "window_start"])
 
 
 register("request_rate_stream", """
@@ -122,7 +121,7 @@ def _alert_stream(T):
          .option("checkpointLocation", f"{base}/_chk").trigger(availableNow=True)
          .foreachBatch(S.upsert_batch(base, ["user_id", "poll_at"])).start())
     q.awaitTermination()
-    return newest_epoch(src.sparkSession, base)
+    return S.upserted(src.sparkSession, base, ["user_id", "poll_at"])
 
 
 register("unread_alerts_stream", _ALERT_SQL, "T5: the alerts as a stateful stream over several micro-batches")(_alert_stream)
@@ -136,7 +135,7 @@ def _ratings_stream(T):
          .option("checkpointLocation", f"{base}/_chk").trigger(availableNow=True)
          .foreachBatch(S.ratings_upsert_batch(base)).start())
     q.awaitTermination()
-    return newest_epoch(spark, base).select(
+    return S.upserted(spark, base, ["service_id"]).select(
         "service_id", F.col("rating").cast("double").alias("rating"), "reviews_count")
 
 

@@ -51,20 +51,6 @@ def current_version(spark: SparkSession, base: str) -> dict:
     return json.loads(newest)
 
 
-def epoch_path(base: str, epoch: int) -> str:
-    return f"{base}/v{epoch:08d}"
-
-
-def newest_epoch(spark: SparkSession, base: str) -> DataFrame:
-    """The table version of the newest committed epoch under ``base`` (its writer left ``_SUCCESS``)."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/v*/_SUCCESS")
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = sorted(s.getPath().getParent().toString() for s in fs.globStatus(path) or [])
-    if not found:
-        raise FileNotFoundError(f"no committed version under {base}")
-    return spark.read.parquet(found[-1])
-
-
 def read_snapshot(spark: SparkSession, base: str, table: str) -> DataFrame:
     v = current_version(spark, base)["version"]
     return spark.read.parquet(f"{base}/v={v}/{table}")

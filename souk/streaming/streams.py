@@ -23,7 +23,7 @@ from souk.operators.folds import ordered_fold
 from souk.operators.ordering import stored
 from souk.operators.segments import PART, next_ranks, reached, running, segments
 from souk.session import checkpoint_dir, ship_package
-from souk.sources.sinks import epoch_path
+from souk.sources.buckets import BucketedTable
 
 
 # ----------------------------------------------------------------------------- T2
@@ -150,7 +150,7 @@ def unread_alerts(notifications: DataFrame, poll_seconds: int = POLL_SECONDS) ->
          .withColumn("tick", F.floor(F.unix_seconds(F.col("created_at").cast("timestamp")) / poll_seconds)))
     per = n.groupBy("user_id", "tick").agg(F.count(F.lit(1)).alias("arrived"))
     per = per.withColumn("tick_ts", F.timestamp_seconds(F.col("tick") * poll_seconds))
-    cum = running_sum(per, "user_id", "tick_ts", "tick", F.col("arrived"), "unread_count", bucket="day")
+    cum = running_sum(per, "user_id", "tick_ts", "tick", F.col("arrived"), "unread_count")
     return cum.select("user_id", F.col("tick_ts").alias("poll_at"), "arrived",
                       F.col("unread_count").cast("bigint").alias("unread_count"),
                       ((F.col("unread_count") - F.col("arrived")) > 0).alias("alert"))
@@ -197,21 +197,19 @@ def streaming_ratings(reviews: DataFrame) -> DataFrame:
 
 
 def upsert_batch(target_path: str, keys: list[str], select=None):
-    """``foreachBatch`` sink for update-mode streams: the batch's rows replace the rows
-    with the same key in a parquet table (C14 set mode). Each epoch writes a version of
-    its own from the version of the epoch before; only epoch 0 starts without one, so a
-    version that can't be read fails the batch. A replayed epoch rewrites its version."""
+    """``foreachBatch`` sink for update-mode streams: the batch's rows replace the rows with the
+    same key in a bucketed table (C14 set mode). An epoch writes its own rows; a replayed
+    epoch is written once; an epoch whose predecessor is missing fails the batch."""
     def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        new = select(batch) if select else batch
-        merged = new
-        if epoch > 0:
-            old = spark.read.parquet(epoch_path(target_path, epoch - 1))
-            merged = old.join(new.select(*keys), keys, "left_anti").unionByName(new)
-        merged.write.mode("overwrite").parquet(epoch_path(target_path, epoch))
+        BucketedTable(batch.sparkSession, target_path, keys).upsert(select(batch) if select else batch, epoch)
     return write
 
 
+def upserted(spark: SparkSession, target_path: str, keys: list[str]) -> DataFrame:
+    """The newest committed state of a table written by ``upsert_batch``."""
+    return BucketedTable(spark, target_path, keys).read()
+
+
 def ratings_upsert_batch(target_path: str):
     """T6 sink: service ratings (2 decimals) merged by service."""
     return upsert_batch(target_path, ["service_id"], lambda b: b.select(
@@ -227,30 +225,42 @@ def screen_stream(texts: DataFrame, text_col: str = "body", field_col: str = "fi
 # ----------------------------------------------------------------------------- T8
 def status_stream_batch(T, base: str, orders: DataFrame | None = None):
     """``foreachBatch`` sink for T8: apply a micro-batch of status requests with C2
-    against the current order snapshot, write the outcomes and every effect (log,
-    ledger and notification rows of the epoch), and publish the new order and balance
-    snapshots for the next batch. All are versioned per epoch, so a replayed epoch
-    rewrites the same files and re-reads the snapshots of the epoch before it."""
+    against the current orders, write the outcomes and every effect (log, ledger and
+    notification rows of the epoch), and the changed orders and balances.
+
+    Orders and balances are bucketed tables: version 0 is the given snapshot, epoch e reads
+    the buckets its requests touch from version e and writes the changed rows as version
+    e + 1. Outcomes and effects are overwritten per epoch, so a replayed epoch writes the same."""
     from souk.operators.changes import apply_status_changes, status_effects
 
     def run(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        if epoch > 0:
-            current = spark.read.parquet(epoch_path(f"{base}/orders", epoch - 1))
-            balances = spark.read.parquet(epoch_path(f"{base}/balances", epoch - 1))
-        else:                                        # the given snapshot
-            current, balances = orders if orders is not None else T["orders"], T["balances"].select("user_id", "amount")
+        o, b = status_tables(spark, base)
+        if epoch == 0:
+            o.upsert(orders if orders is not None else T["orders"], 0)
+            b.upsert(T["balances"].select("user_id", "amount"), 0)
+        touched = [r[0] for r in batch.select(o.bucket_of(["order_id"]).alias("b")).distinct().collect()]       # at most a table's buckets
+        current = o.read(epoch, touched)
         out = apply_status_changes(T, batch, current)
         out.write.mode("overwrite").parquet(f"{base}/outcomes/epoch={epoch}")
         outcomes = spark.read.parquet(f"{base}/outcomes/epoch={epoch}")
-        effects = status_effects({"balances": balances}, outcomes, batch, orders=current)
+        ids = outcomes.filter("status = 'accepted'").select(F.col("order_id").alias("id")).distinct()
+        sides = current.join(ids, "id", "left_semi").select(F.explode(F.array("customer_id", "executor_id")).alias("u"))
+        users = [r[0] for r in sides.select(b.bucket_of(["u"])).distinct().collect()]
+        effects = status_effects({"balances": b.read(epoch, users)}, outcomes, batch, orders=current)
         for name in ("status_log", "transactions", "notifications"):
             effects[name].write.mode("overwrite").parquet(f"{base}/{name}/epoch={epoch}")
-        for name in ("orders", "balances"):
-            effects[name].write.mode("overwrite").parquet(epoch_path(f"{base}/{name}", epoch))
+        o.upsert(effects["orders"].join(ids, "id", "left_semi"), epoch + 1)
+        paid = spark.read.parquet(f"{base}/transactions/epoch={epoch}").select("user_id").distinct()
+        b.upsert(effects["balances"].join(paid, "user_id", "left_semi"), epoch + 1)
     return run
 
 
+def status_tables(spark: SparkSession, base: str) -> tuple[BucketedTable, BucketedTable]:
+    """The orders and the balances that ``status_stream_batch`` keeps under ``base``."""
+    return BucketedTable(spark, f"{base}/orders", ["id"]), BucketedTable(spark, f"{base}/balances", ["user_id"])
+
+
 # ----------------------------------------------------------------------------- running
 def run_available(spark: SparkSession, stream: DataFrame, mode: str = "append",
                   foreach_batch=None) -> DataFrame:

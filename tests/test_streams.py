@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from souk.operators import changes as C
-from souk.sources.sinks import epoch_path, newest_epoch
+from souk.sources.buckets import BucketedTable
 from souk.streaming import streams as S
 
 
@@ -42,7 +42,7 @@ def test_unread_alerts_stream_equals_batch(spark):
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(d)
     out = f"{d}-out"
     S.run_available(spark, S.unread_alerts_stream(src), mode="update", foreach_batch=S.upsert_batch(out, ["user_id", "poll_at"]))
-    got = sorted(newest_epoch(spark, out).collect())
+    got = sorted(S.upserted(spark, out, ["user_id", "poll_at"]).collect())
     want = sorted(S.unread_alerts(spark.createDataFrame(rows, schema)).collect())
     assert [tuple(r) for r in got] == [tuple(r) for r in want]
     first = {}
@@ -71,26 +71,53 @@ def test_a_poll_split_over_micro_batches(spark):
     d = _files_in_time_order(spark, rows, schema, 2)
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(d)
     S.run_available(spark, S.unread_alerts_stream(src), mode="update", foreach_batch=S.upsert_batch(f"{d}-out", ["user_id", "poll_at"]))
-    got = sorted((r.poll_at.second, r.arrived, r.unread_count, r.alert) for r in newest_epoch(spark, f"{d}-out").collect())
+    got = sorted((r.poll_at.second, r.arrived, r.unread_count, r.alert) for r in S.upserted(spark, f"{d}-out", ["user_id", "poll_at"]).collect())
     assert got == [(0, 1, 1, False), (8, 2, 3, True)]
 
 
 def test_a_crashed_sink_loses_no_rows(spark):
-    """A batch reads the version of the epoch before; a missing one is an error, not an empty table."""
+    """A version is read once its manifest is there; a missing predecessor is an error, not an empty table."""
     import pytest
     base = tempfile.mkdtemp(prefix="souk-sink-", dir="/tmp")
     write = S.upsert_batch(base, ["k"])
     frame = lambda *rows: spark.createDataFrame(rows, "k string, v int")
+    table = lambda: sorted(tuple(r) for r in S.upserted(spark, base, ["k"]).collect())
     write(frame(("a", 1), ("b", 1)), 0)
     write(frame(("b", 2)), 1)
     write(frame(("b", 2)), 1)                                # replayed
-    assert sorted(newest_epoch(spark, base).collect()) == [("a", 1), ("b", 2)]
-    spark.createDataFrame([], "k string, v int").write.parquet(f"{epoch_path(base, 2)}/_temporary/x")   # a crash while writing
-    assert sorted(newest_epoch(spark, base).collect()) == [("a", 1), ("b", 2)]
+    assert table() == [("a", 1), ("b", 2)]
+    frame(("a", 99)).withColumn("_bucket", F.lit(3)).write.partitionBy("_bucket").parquet(f"{base}/data/v00000002")   # a crash before the manifest
+    assert table() == [("a", 1), ("b", 2)]
     write(frame(("c", 3)), 2)
-    assert sorted(newest_epoch(spark, base).collect()) == [("a", 1), ("b", 2), ("c", 3)]
-    with pytest.raises(Exception):
+    assert table() == [("a", 1), ("b", 2), ("c", 3)]
+    with pytest.raises(FileNotFoundError):
         write(frame(("d", 4)), 7)
+    write(frame(), 3)                                        # an empty batch is a version too
+    assert table() == [("a", 1), ("b", 2), ("c", 3)]
+
+
+def test_bytes_written_follow_the_batch(spark):
+    import os
+    import random
+    base = tempfile.mkdtemp(prefix="souk-sink-", dir="/tmp")
+    t = BucketedTable(spark, base, ["k"], buckets=8, most=3)
+    written = lambda v: sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(f"{base}/data/v{v:08d}") for f in fs if f.endswith(".parquet"))
+    t.upsert(spark.range(20_000).selectExpr("id AS k", "md5(cast(id as string)) AS v"), 0)
+    rng, want = random.Random(2), {}
+    for version in range(1, 12):
+        rows = [(rng.randrange(25_000), f"x{version}") for _ in range(5)]
+        want |= dict(rows)
+        t.upsert(spark.createDataFrame(list(dict(rows).items()), "k long, v string"), version)
+        assert max(map(len, t.manifest(version)[1].values())) <= 3 + 1
+    sizes = [written(v) for v in range(12)]
+    assert sorted(sizes[1:])[3] * 20 < sizes[0]              # most versions write a few rows; some compact a bucket
+    got = {r.k: r.v for r in t.read().collect()}
+    assert len(got) == 20_000 + sum(k >= 20_000 for k in want) and all(got[k] == v for k, v in want.items())
+    assert {r.k: r.v for r in t.read(3).collect()} != got
+    only = [r[0] for r in spark.createDataFrame([(k,) for k in list(want)[:2]], "k long").select(t.bucket_of()).distinct().collect()]
+    assert {r.k for r in t.read(only=only).collect()} >= set(list(want)[:2])
+    assert t.expire(keep=1) > 0 and t.versions() == [11]
+    assert {r.k: r.v for r in t.read().collect()} == got
 
 
 def test_status_stream_writes_every_effect(spark, T):
@@ -106,7 +133,8 @@ def test_status_stream_writes_every_effect(spark, T):
     want = C.status_effects(T, C.apply_status_changes(T, reqs, start), reqs, orders=start)
     for name in ("status_log", "transactions", "notifications"):
         assert spark.read.parquet(f"{out}/{name}").drop("epoch").count() == want[name].count() > 0
+    orders, balances = S.status_tables(spark, out)
     money = lambda df: {r.user_id: r.amount for r in df.collect()}
-    assert money(newest_epoch(spark, f"{out}/balances")) == money(want["balances"])
+    assert money(balances.read()) == money(want["balances"])
     state = lambda df: {r.id: r.status for r in df.collect()}
-    assert state(newest_epoch(spark, f"{out}/orders")) == state(want["orders"])
+    assert state(orders.read()) == state(want["orders"])
