@@ -2,21 +2,21 @@
 
 Every stream function has a batch twin over the same rows, so a test can
 run the stream with ``availableNow`` over a file source and compare.
-Stateful operators keep per-key state in the state store and drop it with
-event-time timeouts once no later event can still see it.
+Stateful operators keep per-key state in the state store (``transformWithState``) and
+drop it by event-time timers once no later event can still see it, or by a TTL.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import uuid
-from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from souk.functions.text import screen_reason
 from souk.operators.folds import ordered_fold
@@ -85,39 +85,68 @@ def limit_attempts(attempts: DataFrame, policy: Policy) -> DataFrame:
 
 
 # ----------------------------------------------------------------------------- T1 / T4 (stream)
-def _limit_state_fn(policy: Policy):
-    window = pd.Timedelta(seconds=policy.window_seconds)
-
-    def fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()          # no later attempt can fall inside this window
-            return
-        count, first = (state.get if state.exists else (0, None))
-        first = pd.Timestamp(first) if first is not None else None
-        rows = pd.concat(list(pdfs)).sort_values(["ts", "attempt_id"])
-        out = []
-        for r in rows.itertuples(index=False):
-            now = pd.Timestamp(r.ts)
-            if first is None or now - first > window:
-                count, first = 1, now
-            else:
-                count += 1
-            out.append((r.attempt_id, r.attempt_key, now, count, count > policy.limit))
-        state.update((count, first.to_pydatetime()))
-        state.setTimeoutTimestamp(int(first.timestamp() * 1000) + policy.window_seconds * 1000)
-        yield pd.DataFrame(out, columns=["attempt_id", "attempt_key", "ts", "attempt_count", "blocked"])
+def state_store(spark: SparkSession) -> None:
+    """``transformWithState`` keeps its state in RocksDB; it runs with no other provider."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+class LimitProcessor(StatefulProcessor):
+    """The anchored-window limiter: a key's open window (its attempts, its start) and the timer that ends it.
+
+    Of a key's rows in a micro-batch only the times and ids are held, 16 bytes a row, whose
+    number the source's trigger limit bounds; a window is one search, not one step a row.
+    """
 
-    return fn
+    def __init__(self, policy: Policy):
+        self.policy = policy
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.window = handle.getValueState("window", "attempts long, first long, expiry long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        width, limit = self.policy.window_seconds * 1_000_000, self.policy.limit
+        times, ids = [], []
+        for pdf in rows:
+            times.append(pdf["ts"].to_numpy().astype("datetime64[us]").astype(np.int64))
+            ids.append(pdf["attempt_id"].to_numpy())
+        times, ids = np.concatenate(times), np.concatenate(ids)
+        order = np.lexsort((ids, times))
+        times, ids = times[order], ids[order]
+        count, first, expiry = self.window.get() if self.window.exists() else (0, None, None)
+        counts, at = np.empty(len(times), np.int64), 0
+        while at < len(times):
+            if first is None or times[at] - first > width:
+                count, first = 0, int(times[at])
+            end = int(np.searchsorted(times, first + width, "right"))       # a late row before the window counts in it
+            counts[at:end] = count + np.arange(1, end - at + 1)
+            count, at = int(counts[end - 1]), end
+        if expiry is not None:
+            self.handle.deleteTimer(expiry)
+        expiry = -(-(first + width) // 1000)
+        self.handle.registerTimer(expiry)
+        self.window.update((count, first, expiry))
+        for a in range(0, len(times), 10_000):
+            part = slice(a, a + 10_000)
+            yield pd.DataFrame({"attempt_id": ids[part], "attempt_key": key[0], "ts": times[part].astype("datetime64[us]"),
+                                "attempt_count": counts[part].astype("int32"), "blocked": counts[part] > limit})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.window.clear()         # no later attempt can fall inside this window
+        return iter(())
+
+    def close(self) -> None:
+        pass
 
 
 def limit_attempts_stream(attempts: DataFrame, policy: Policy, watermark: str = "1 minute") -> DataFrame:
-    """The limiter on a streaming frame (state per key, cleared by event-time timeout)."""
+    """The limiter on a streaming frame (state per key, cleared by an event-time timer)."""
     ship_package(attempts.sparkSession)
+    state_store(attempts.sparkSession)
     a = (attempts.select("attempt_id", "attempt_key", F.col("ts").cast("timestamp").alias("ts"))
          .withWatermark("ts", watermark))
-    return a.groupBy("attempt_key").applyInPandasWithState(
-        _limit_state_fn(policy), LIMIT_SCHEMA, "attempt_count int, first_at timestamp", "append",
-        GroupStateTimeout.EventTimeTimeout)
+    return a.groupBy("attempt_key").transformWithStateInPandas(LimitProcessor(policy), LIMIT_SCHEMA, "append", "eventTime")
 
 
 # ----------------------------------------------------------------------------- T3
@@ -156,13 +185,21 @@ def unread_alerts(notifications: DataFrame, poll_seconds: int = POLL_SECONDS) ->
                       ((F.col("unread_count") - F.col("arrived")) > 0).alias("alert"))
 
 
-def _alert_state_fn(poll_seconds: int):
-    def fn(key, pdfs, state):
-        tick, before, arrived = state.get if state.exists else (None, 0, 0)
+class AlertProcessor(StatefulProcessor):
+    """Unread alerts: the open poll, the count before it and its arrivals; with ``ttl_ms`` a user idle for so long is forgotten."""
+
+    def __init__(self, poll_seconds: int, ttl_ms: int | None):
+        self.poll_seconds, self.ttl_ms = poll_seconds, ttl_ms
+
+    def init(self, handle) -> None:
+        self.poll = handle.getValueState("poll", "tick long, before long, arrived long", self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues):
+        tick, before, arrived = self.poll.get() if self.poll.exists() else (None, 0, 0)
         seen: dict[int, int] = {}
-        for rows in pdfs:                            # only counts are kept of each Arrow batch
-            secs = rows["created_at"].to_numpy().astype("datetime64[s]").astype("int64")
-            for t, n in pd.Series(secs // poll_seconds).value_counts().items():
+        for pdf in rows:                             # only counts are kept of each Arrow batch
+            secs = pdf["created_at"].to_numpy().astype("datetime64[s]").astype("int64")
+            for t, n in pd.Series(secs // self.poll_seconds).value_counts().items():
                 t = int(t) if tick is None else max(int(t), tick)     # late rows are seen at the open poll
                 seen[t] = seen.get(t, 0) + int(n)
         out = []
@@ -170,23 +207,27 @@ def _alert_state_fn(poll_seconds: int):
             if t != tick:
                 tick, before, arrived = t, before + arrived, 0
             arrived += seen[t]
-            out.append((key[0], pd.Timestamp(t * poll_seconds, unit="s"), arrived, before + arrived, before > 0))
-        state.update((tick, before, arrived))
+            out.append((key[0], pd.Timestamp(t * self.poll_seconds, unit="s"), arrived, before + arrived, before > 0))
+        self.poll.update((tick, before, arrived))
         yield pd.DataFrame(out, columns=["user_id", "poll_at", "arrived", "unread_count", "alert"])
-    return fn
+
+    def close(self) -> None:
+        pass
 
 
-def unread_alerts_stream(notifications: DataFrame, poll_seconds: int = POLL_SECONDS) -> DataFrame:
+def unread_alerts_stream(notifications: DataFrame, poll_seconds: int = POLL_SECONDS, idle_days: int | None = None) -> DataFrame:
     """T5 in ``update`` mode: a poll that spans micro-batches is emitted again with its new
     counts, so the sink keeps the last row of each (user_id, poll_at) (``upsert_batch``).
-    The state is three numbers a user: the open poll, the count before it, its arrivals."""
+    The state is three numbers a user, kept while the user has unread rows to count from; with
+    ``idle_days`` it expires (TTL) and a user who comes back starts at a first poll."""
     ship_package(notifications.sparkSession)
+    state_store(notifications.sparkSession)
     n = notifications.filter(~F.col("is_read")).select(
         "user_id", F.col("created_at").cast("timestamp").alias("created_at"))
-    return n.groupBy("user_id").applyInPandasWithState(
-        _alert_state_fn(poll_seconds),
-        "user_id string, poll_at timestamp, arrived long, unread_count long, alert boolean",
-        "tick long, before long, arrived long", "update", GroupStateTimeout.NoTimeout)
+    ttl = idle_days * 86_400_000 if idle_days else None
+    return n.groupBy("user_id").transformWithStateInPandas(
+        AlertProcessor(poll_seconds, ttl), "user_id string, poll_at timestamp, arrived long, unread_count long, alert boolean",
+        "update", "processingTime" if ttl else "none")
 
 
 # ----------------------------------------------------------------------------- T6

@@ -34,6 +34,26 @@ def test_limiter_stream_over_many_batches_equals_batch(spark):
     assert any(r.blocked for r in got) and any(r.attempt_count == 1 and r.attempt_id > 0 for r in got)
 
 
+def test_limiter_state_falls_to_zero_after_the_window(spark):
+    """A busy key's window is dropped by its timer; only the key of the last file is left."""
+    t0 = dt.datetime(2024, 1, 1)
+    schema = "attempt_id long, attempt_key string, ts timestamp"
+    rows = [(i, "hot" if i % 3 else f"k{i % 7}", t0 + dt.timedelta(seconds=i % 400)) for i in range(3000)]
+    later = [(5000, "last", t0 + dt.timedelta(days=2)), (5001, "last", t0 + dt.timedelta(days=2, hours=5))]
+    d = _files_in_time_order(spark, sorted(rows, key=lambda r: r[2]), schema, 2)
+    for row in later:
+        spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(d)
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(d)
+    policy = S.Policy(5, 120)
+    q = (S.limit_attempts_stream(src, policy, "1 minute").writeStream.format("parquet").option("path", f"{d}-out")
+         .option("checkpointLocation", f"{d}-chk").trigger(availableNow=True).start())
+    q.awaitTermination()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert max(held) >= 8 and held[-1] <= 2
+    want = sorted(S.limit_attempts(spark.createDataFrame(rows + later, schema), policy).collect())
+    assert sorted(spark.read.parquet(f"{d}-out").collect()) == want
+
+
 def test_unread_alerts_stream_equals_batch(spark):
     t0 = dt.datetime(2024, 1, 1)
     rows = [(f"n{i}", f"u{i % 3}", i % 5 == 0, t0 + dt.timedelta(seconds=5 * i)) for i in range(90)]
