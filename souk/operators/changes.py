@@ -332,7 +332,8 @@ def apply_status_changes(T, requests: DataFrame, orders: DataFrame | None = None
     The actor must be the order's customer or executor; the transition table is
     read with the actor's account role (a participant with another role has no
     allowed transition). A busy order is cut into segments. ``split`` (a ``date_trunc``
-    unit) is the older form by chunk maps and folds, for rules that may lead back.
+    unit) is the older form by chunk maps and folds, for rules that may lead back;
+    "scan" is one ordered scan an order, for a micro-batch, whose rows the trigger bounds.
     """
     o = (orders if orders is not None else T["orders"]).select(
         F.col("id").alias("_oid"), "customer_id", "executor_id", F.col("status").alias("start"))
@@ -343,6 +344,8 @@ def apply_status_changes(T, requests: DataFrame, orders: DataFrame | None = None
           .withColumn("role", F.when(F.coalesce(participant, F.lit(False)), F.col("_urole")))
           .withColumn("start", F.coalesce("start", F.lit("created")))
           .select("request_id", "ts", "order_id", "actor_id", "new_status", "role", "start"))
+    if split == "scan":
+        return ordered_fold(ev, "order_id", _order_key(), lambda r: r["start"], _status_step, STATUS_SCHEMA, sort_only=["ts"])
     if split:
         return _split_status_changes(ev, split)
     return _moves(ev)

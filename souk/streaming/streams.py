@@ -281,14 +281,16 @@ def status_stream_batch(T, base: str, orders: DataFrame | None = None):
             o.upsert(orders if orders is not None else T["orders"], 0)
             b.upsert(T["balances"].select("user_id", "amount"), 0)
         touched = [r[0] for r in batch.select(o.bucket_of(["order_id"]).alias("b")).distinct().collect()]       # at most a table's buckets
-        current = o.read(epoch, touched)
-        out = apply_status_changes(T, batch, current)
+        # merged once, as the outcomes and every effect read it
+        current = stored(o.read(epoch, touched).join(batch.select(F.col("order_id").alias("id")).distinct(), "id", "left_semi"), "status-orders")
+        out = apply_status_changes(T, batch, current, split="scan")       # the trigger bounds the batch
         out.write.mode("overwrite").parquet(f"{base}/outcomes/epoch={epoch}")
         outcomes = spark.read.parquet(f"{base}/outcomes/epoch={epoch}")
         ids = outcomes.filter("status = 'accepted'").select(F.col("order_id").alias("id")).distinct()
         sides = current.join(ids, "id", "left_semi").select(F.explode(F.array("customer_id", "executor_id")).alias("u"))
         users = [r[0] for r in sides.select(b.bucket_of(["u"])).distinct().collect()]
-        effects = status_effects({"balances": b.read(epoch, users)}, outcomes, batch, orders=current)
+        balances = b.read(epoch, users).join(sides.select(F.col("u").alias("user_id")).distinct(), "user_id", "left_semi")
+        effects = status_effects({"balances": stored(balances, "status-balances")}, outcomes, batch, orders=current)
         for name in ("status_log", "transactions", "notifications"):
             effects[name].write.mode("overwrite").parquet(f"{base}/{name}/epoch={epoch}")
         o.upsert(effects["orders"].join(ids, "id", "left_semi"), epoch + 1)
