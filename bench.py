@@ -28,9 +28,9 @@ HEADLINE = [
     "flag_attempt_bursts",    # W4: bucketed trailing counts
     "orphans",                # Q2: 17 anti joins
     "screen_texts",           # Q7: regex screening over whole documents
-    "place_orders",           # C1: ordered fold per customer
-    "apply_status_changes",   # C2: state machine fold per order
-    "run_retention",          # R7: six chained steps
+    "place_orders",           # C1: running sums, scan from the first refusal
+    "apply_status_changes",   # C2: first moves per order
+    "run_retention",          # R7: mark tables of a full run
     "limit_attempts",         # T1 batch: anchored-window limiter
 ]
 

@@ -2,8 +2,8 @@
 
 Each entry pairs a Spark plan (a function of the table mapping ``T``) with
 an independent SQL statement over the same derived tables. The SQL side is
-written the way the reference's handlers phrase it (correlated subqueries,
-NOT EXISTS, ...), so it checks the Spark rewrite rather than repeating it.
+written from the survey's wording, in other relations than the Spark side
+uses, so it checks the plan rather than repeating it.
 The derived tables come from ``souk.sources.fixtures`` on both sides.
 """
 
