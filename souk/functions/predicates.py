@@ -124,6 +124,11 @@ def on_day(col: str, as_of) -> Column:
 
 
 # ----------------------------------------------------------------------------- F1 / F13 / F14
+def collated(c: Column) -> Column:
+    """A text as the original's tables compare it: without regard to case and accents."""
+    return F.collate(c, "UNICODE_CI_AI")
+
+
 def email_domain(col: str = "email") -> Column:
     """Text after the last ``@``; no ``@`` → the whole text."""
     return F.substring_index(F.col(col), "@", -1)

@@ -12,7 +12,7 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from souk.functions.predicates import money
+from souk.functions.predicates import collated, money
 from souk.operators.ordering import stored
 from souk.functions.text import email_ok, js_trim, screen_reason
 
@@ -75,6 +75,14 @@ def _row_key(table: str) -> Column:
 
 
 # ----------------------------------------------------------------------------- Q1
+def duplicate_texts(df: DataFrame, col: str) -> DataFrame:
+    """Texts that the tables take as equal (D1: case and accents don't count) in more than one row:
+    the least spelling, the rows and the number of spellings."""
+    return (df.groupBy(collated(F.col(col)).alias("_k"))
+            .agg(F.min(F.lower(col)).alias("key_value"), F.count(F.lit(1)).alias("n"), F.countDistinct(col).alias("spellings"))
+            .filter(F.col("n") > 1).drop("_k"))
+
+
 def duplicate_keys(df: DataFrame, cols: list[str | Column]) -> DataFrame:
     """Key values held by more than one row, with their row count."""
     keys = [F.expr(c) if isinstance(c, str) else c for c in cols]

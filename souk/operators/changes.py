@@ -21,7 +21,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from souk.functions.predicates import CLOSED_ORDER_STATES, request_uuid
+from souk.functions.predicates import CLOSED_ORDER_STATES, collated, request_uuid
 from souk.functions.text import js_trim
 from souk.operators.folds import ordered_fold
 from souk.operators.ordering import running_totals, stored
@@ -805,15 +805,17 @@ def delete_services(T, requests: DataFrame) -> dict[str, DataFrame]:
 
 # ----------------------------------------------------------------------------- C11
 def register_users(T, requests: DataFrame) -> DataFrame:
-    """C11a outcomes: input rules, lower-cased e-mail not taken, first request per e-mail wins."""
+    """C11a outcomes: input rules, lower-cased e-mail not taken, first request per e-mail wins;
+    e-mails are compared as the tables do (D1)."""
     from souk.operators.audits import request_reason
     from souk.functions.text import normalized_email
     r = requests.withColumn("email_n", normalized_email("email"))
     r = r.withColumn("reason", request_reason("register", r))
-    taken = T["users"].select(F.lower(F.col("email")).alias("_taken"))
-    r = r.join(taken, F.col("email_n") == F.col("_taken"), "left")
+    r = r.withColumn("_key", collated(F.col("email_n")))
+    taken = T["users"].select(collated(F.col("email")).alias("_taken")).distinct()
+    r = r.join(taken, F.col("_key") == F.col("_taken"), "left")
     r = r.withColumn("reason", F.coalesce("reason", F.when(F.col("_taken").isNotNull(), "taken")))
-    first = first_per_key(r.filter(F.col("reason").isNull()).select("email_n", "ts", "request_id"), "email_n") \
+    first = first_per_key(r.filter(F.col("reason").isNull()).select("_key", "ts", "request_id"), "_key") \
         .select(F.col("request_id").alias("_win"))
     r = r.join(first, F.col("request_id") == F.col("_win"), "left")
     return r.select("request_id", js_trim(F.col("name")).alias("name"), F.col("email_n").alias("email"), "role",

@@ -65,6 +65,23 @@ def _domain_sql() -> str:
 register("domain_violations", _domain_sql(), "Q4: values outside enumerated domains")(
     lambda T: Q.domain_violations(T))
 
+_SPELLINGS = """SELECT email FROM m_users
+UNION ALL SELECT upper(email) FROM m_users WHERE cast(substring(id, 2) as bigint) % 4 = 0
+UNION ALL SELECT replace(email, 'e', 'é') FROM m_users WHERE cast(substring(id, 2) as bigint) % 6 = 0"""
+
+
+def _spellings(T):
+    """All e-mails, some again in upper case or with accents (rows that a unique key would refuse)."""
+    u, k = T["users"], F.expr("cast(substring(id, 2) as bigint)")
+    return (u.select("email").unionByName(u.filter(k % 4 == 0).select(F.upper("email").alias("email")))
+            .unionByName(u.filter(k % 6 == 0).select(F.expr("replace(email, 'e', 'é')").alias("email"))))
+
+
+register("duplicate_emails", f"""
+SELECT min(lower(email)) AS key_value, count(*) AS n, count(DISTINCT email) AS spellings
+FROM ({_SPELLINGS}) s GROUP BY strip_accents(lower(email)) HAVING count(*) > 1""",
+         "Q1/D1: e-mails that are equal but for case and accents")(lambda T: Q.duplicate_texts(_spellings(T), "email"))
+
 _SERVICE_ERRORS = """array_to_string(list_filter([
     CASE WHEN coalesce(length(trim({title})), 0) < 10 THEN 'title' END,
     CASE WHEN coalesce(length(trim({description})), 0) < 30 THEN 'description' END,

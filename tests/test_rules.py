@@ -455,3 +455,20 @@ def test_place_orders_effects(spark, base):
     assert note.user_id == "s1" and note.body == "Заказ на «Logo design pro»"
     assert dict(eff["balances"].collect()) == {"c1": D("0.00"), "c2": D("30.00")}
     assert {r.id: r.orders_count for r in eff["services"].collect()}["p1"] == 1
+
+
+def test_registration_compares_emails_as_the_tables_do(spark, base):
+    """Case and accents don't make another e-mail."""
+    from souk.operators import audits
+    taken = "mail1@gmail.com"
+    base = {**base, "users": base["users"].withColumn("email", F.lit(taken))}
+    odd = taken.replace("e", "é", 1) if "e" in taken else taken.upper()
+    rows = [("r1", ts(2024, 1, 1), "Anna Lind", taken.upper(), "secret12", "customer"),
+            ("r2", ts(2024, 1, 2), "Anna Lind", "Zoe.New@gmail.com", "secret12", "customer"),
+            ("r3", ts(2024, 1, 3), "Anna Lind", "zoe.new@GMAIL.com", "secret12", "customer")]
+    req = df(spark, rows, "request_id string, ts timestamp, name string, email string, password string, role string")
+    out = {r.request_id: (r.status, r.reason) for r in C.register_users(dict(base), req).collect()}
+    assert out["r1"] == ("rejected", "taken")
+    assert out["r2"][0] == "accepted" and out["r3"] == ("rejected", "duplicate")
+    dup = {r.key_value: (r.n, r.spellings) for r in audits.duplicate_texts(df(spark, [(taken,), (odd,), ("other@x.ru",)], "email string"), "email").collect()}
+    assert list(dup.values()) == [(2, 2)]
