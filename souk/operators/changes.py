@@ -156,14 +156,13 @@ def settle(events: DataFrame) -> DataFrame:
                        F.when(valid, F.col("change")).otherwise(F.lit(0)).cast("decimal(14,2)").alias("_move"))
     s = segments(ev, "_user", ["ts", "request_id"], "settle")
     after = running(s, _sum=F.col("_move")).withColumn("_after", (F.col("start") + F.col("_sum")).cast("decimal(14,2)")).drop("_sum")
-    after = s.derive(stored(after, "settle-sums"))
     short = F.when(F.col("checked") & (F.col("_after") < 0), 1).otherwise(0)
-    rows = running(after, "max", _short=short)
+    before = (F.col("_after") - F.col("_move")).cast("decimal(14,2)")
+    rows = stored(running(s.derive(after), "max", _short=short).withColumn("_from", before), "settle-rows")
     easy = rows.filter("_short = 0").select(
         "request_id", "kind", "user_id", F.when(valid, "accepted").otherwise("rejected").alias("status"), F.col("pre").alias("reason"),
         "amount", F.col("_after").alias("balance_after"))
-    tight = stored(rows.filter("_short = 1").withColumn("_from", (F.col("_after") - F.col("_move")).cast("decimal(14,2)")).drop("_short", "_after"),
-                   "settle-tight")
+    tight = rows.filter("_short = 1").drop("_short", "_after")
     if tight.isEmpty():
         return easy
     scanned = ordered_fold(_with_starts(s.derive(tight)), ["_user", PART], _order_key(), lambda r: r["_from"], _settle_step, FOLD_SCHEMA,
