@@ -895,9 +895,11 @@ def toggle_users(T, requests: DataFrame) -> DataFrame:
 
 
 def soft_delete_users(T, requests: DataFrame, as_of) -> DataFrame:
-    """C11f: deactivate; e-mail gets ``_deleted_<unix time>``, name a suffix."""
+    """C11f: users delete themselves with a ``confirmed`` request (the caller has checked the password; null is no):
+    deactivated, e-mail gets ``_deleted_<unix time>``, name a suffix."""
     from souk.functions.predicates import ts_lit
-    ids = requests.select(F.col("user_id").alias("_d")).distinct()
+    own = requests.filter((F.col("actor_id") == F.col("user_id")) & F.col("confirmed"))
+    ids = own.select(F.col("user_id").alias("_d")).distinct()
     j = T["users"].join(ids, F.col("id") == F.col("_d"), "left")
     hit = F.col("_d").isNotNull()
     stamp = F.unix_timestamp(ts_lit(as_of)).cast("string")

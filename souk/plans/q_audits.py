@@ -101,31 +101,31 @@ FROM m_services""", "Q5: service input rules over the catalogue")(
 def _create_requests(T):
     p = T.raw["part"]
     k = F.col("p_partkey")
-    return p.filter(k % 4 == 0).select(
+    return p.select(
         F.concat(F.lit("n"), k.cast("string")).alias("request_id"),
         F.lit("2001-08-02 00:00:00").cast("timestamp").alias("ts"),
         F.concat(F.lit("s"), F.floor(k / 20).cast("bigint").cast("string")).alias("actor_id"),
         F.when(k % 3 == 0, F.col("p_type")).otherwise(F.lit(None)).cast("string").alias("p_type"),
-        F.when(k % 8 == 0, F.lit(6)).otherwise(F.lit(None)).cast("int").alias("category_id"),
+        F.when(k % 8 != 1, F.lit(6)).cast("int").alias("category_id"),
         F.col("p_name").alias("title"),
         F.concat(F.lit("new offer "), F.col("p_name"), F.lit(" by "), F.col("p_brand")).alias("description"),
-        (F.col("p_retailprice") - F.lit(1000)).cast("decimal(12,2)").alias("price"),
+        (F.col("p_retailprice") - F.when(k % 3 == 0, 1000).otherwise(0)).cast("decimal(12,2)").alias("price"),
         (F.col("p_size") * 4).alias("deadline"),
         F.lit(None).cast("string").alias("tags"), F.lit(None).cast("boolean").alias("is_negotiable"))
 
 
 register("create_services", """
 SELECT 'n' || cast(p_partkey as varchar) AS request_id, 's' || cast(cast(floor(p_partkey / 20) as bigint) as varchar) AS executor_id,
-  CASE WHEN p_partkey % 8 = 0 THEN 6 END AS category_id, p_name AS title,
+  CASE WHEN p_partkey % 8 <> 1 THEN 6 END AS category_id, p_name AS title,
   CASE WHEN """ + _SERVICE_ERRORS.format(
     title="p_name", description="'new offer ' || p_name || ' by ' || p_brand",
-    price="cast(p_retailprice - 1000 as decimal(12,2))", deadline="p_size * 4",
-    category="CASE WHEN p_partkey % 8 = 0 THEN 6 END") + """ = '' THEN 'accepted' ELSE 'rejected' END AS status,
+    price="cast(p_retailprice - if(p_partkey % 3 = 0, 1000, 0) as decimal(12,2))", deadline="p_size * 4",
+    category="CASE WHEN p_partkey % 8 <> 1 THEN 6 END") + """ = '' THEN 'accepted' ELSE 'rejected' END AS status,
   """ + _SERVICE_ERRORS.format(
     title="p_name", description="'new offer ' || p_name || ' by ' || p_brand",
-    price="cast(p_retailprice - 1000 as decimal(12,2))", deadline="p_size * 4",
-    category="CASE WHEN p_partkey % 8 = 0 THEN 6 END") + """ AS errors
-FROM part WHERE p_partkey % 4 = 0""", "C10a/Q5: new services checked by the input rules")(
+    price="cast(p_retailprice - if(p_partkey % 3 = 0, 1000, 0) as decimal(12,2))", deadline="p_size * 4",
+    category="CASE WHEN p_partkey % 8 <> 1 THEN 6 END") + """ AS errors
+FROM part""", "C10a/Q5: new services checked by the input rules")(
     lambda T: C.create_services(T, _create_requests(T)).select(
         "request_id", "executor_id", "category_id", "title", "status", "errors"))
 

@@ -317,16 +317,14 @@ register("register_users", _register_sql(),
         "user_id", F.when(F.col("user_id").isNotNull(), F.lit("#"))))
 
 
-def _user_requests(T, tag: str, mod: int, refused: bool = True):
-    """One request a user: every ``mod``-th customer's by an admin or oneself, all others' (``refused``) by oneself."""
+def _user_requests(T, tag: str, mod: int):
+    """One request a user: every ``mod``-th customer's is ``confirmed`` and by an admin or oneself, all others' are by oneself."""
     picked = F.expr(f"role = 'customer' and cast(substring(id, 2) as bigint) % {mod} = 0")
-    u = T["users"] if refused else T["users"].filter(picked)
-    return u.select(F.concat(F.lit(tag), "id").alias("request_id"), F.col("updated_at").alias("ts"),
-                    F.when(picked & F.expr("cast(substring(id, 2) as bigint) % 2 = 0"), F.lit("a0"))
-                    .otherwise(F.col("id")).alias("actor_id"),
-                    F.col("id").alias("user_id"),
-                    F.when(F.expr("cast(substring(id, 2) as bigint) % 3 = 0"), F.lit("executor"))
-                    .otherwise(F.lit("superuser")).alias("role"))
+    return T["users"].select(
+        F.concat(F.lit(tag), "id").alias("request_id"), F.col("updated_at").alias("ts"),
+        F.when(picked & F.expr("cast(substring(id, 2) as bigint) % 2 = 0"), F.lit("a0")).otherwise(F.col("id")).alias("actor_id"),
+        F.col("id").alias("user_id"), picked.alias("confirmed"),
+        F.when(F.expr("cast(substring(id, 2) as bigint) % 3 = 0"), F.lit("executor")).otherwise(F.lit("superuser")).alias("role"))
 
 
 register("toggle_users", """
@@ -348,8 +346,8 @@ SELECT id,
        THEN email || '_deleted_' || cast(epoch(timestamp '2001-08-02 00:00:00') as bigint) ELSE email END AS email,
   CASE WHEN role = 'customer' AND cast(substring(id, 2) as bigint) % 13 = 0 THEN name || ' (удалён)' ELSE name END AS name,
   CASE WHEN role = 'customer' AND cast(substring(id, 2) as bigint) % 13 = 0 THEN false ELSE is_active END AS is_active
-FROM m_users""", "C11f: soft delete with stamped e-mail")(
-    lambda T: C.soft_delete_users(T, _user_requests(T, "x", 13, refused=False), AS_OF).select("id", "email", "name", "is_active"))
+FROM m_users""", "C11f: confirmed soft delete of oneself with stamped e-mail")(
+    lambda T: C.soft_delete_users(T, _user_requests(T, "x", 13).withColumn("actor_id", F.col("user_id")), AS_OF).select("id", "email", "name", "is_active"))
 
 
 def _broadcast_requests(T):
@@ -433,41 +431,52 @@ FROM m_balances b FULL OUTER JOIN (
 
 
 def _service_update_requests(T):
+    """One request a service; its kind follows from the number: an owner's edit (0), a stranger's (3), no title (2),
+    181 days (4), an owner's edit of every field (7 of 12), an admin's with nothing in price and days (1 of 12),
+    an owner's free service (5 of 18), else an admin's of 200 days."""
     s = T["services"]
     k = F.expr("cast(substring(id, 2) as bigint)")
-    base = dict(service_id=F.col("id"), ts=F.col("created_at"), new_title=F.upper("title"),
-                new_description=F.col("description"), new_price=(F.col("price") + 1).cast("decimal(12,2)"),
-                new_deadline=F.col("deadline"), new_category_id=F.col("category_id"),
-                new_tags=F.lit(None).cast("string"), new_is_active=F.lit(None).cast("boolean"),
-                new_is_negotiable=F.lit(None).cast("boolean"))
-
-    def req(cond, tag, actor, admin, **over):
-        cols = {**base, **over}
-        return s.filter(cond).select(F.concat(F.lit(tag), "id").alias("request_id"),
-                                     actor.alias("actor_id"), F.lit(admin).alias("is_admin"),
-                                     *[v.alias(n) for n, v in cols.items()])
-    return (req(k % 6 == 0, "e", F.col("executor_id"), False)
-            .unionByName(req(k % 6 == 3, "f", F.lit("c5"), False))
-            .unionByName(req(k % 12 == 1, "g", F.lit("a0"), True, new_price=F.lit(None).cast("decimal(12,2)"),
-                             new_deadline=F.lit(0), new_title=F.concat("title", F.lit(" *")),
-                             new_tags=F.lit('["x"]'), new_is_active=F.lit(False)))
-            .unionByName(req(k % 18 == 5, "h", F.col("executor_id"), False,
-                             new_price=F.lit(0).cast("decimal(12,2)"))))
+    kind = (F.when(k % 6 == 0, "e").when(k % 6 == 3, "f").when(k % 6 == 2, "i").when(k % 6 == 4, "j")
+            .when(k % 12 == 1, "g").when(k % 12 == 7, "l").when(k % 18 == 5, "h").otherwise("n"))
+    s = s.withColumn("kind", kind)
+
+    def by(default, **kinds):
+        for name, value in kinds.items():
+            default = F.when(F.col("kind") == name, value).otherwise(default)
+        return default
+    none = lambda t: F.lit(None).cast(t)                                          # noqa: E731
+    admin = F.col("kind").isin("g", "n")
+    return s.select(
+        F.concat("kind", "id").alias("request_id"), admin.alias("is_admin"), F.col("id").alias("service_id"),
+        F.when(admin, "a0").when(F.col("kind") == "f", "c5").otherwise(F.col("executor_id")).alias("actor_id"),
+        F.col("created_at").alias("ts"),
+        by(F.upper("title"), g=F.concat("title", F.lit(" *")), i=none("string")).alias("new_title"),
+        F.col("description").alias("new_description"),
+        by((F.col("price") + 1).cast("decimal(12,2)"), g=none("decimal(12,2)"), h=F.lit(0).cast("decimal(12,2)")).alias("new_price"),
+        by(F.col("deadline"), g=F.lit(0), j=F.lit(181), n=F.lit(200)).alias("new_deadline"),
+        by(F.col("category_id"), l=F.lit(2)).alias("new_category_id"),
+        by(none("string"), g=F.lit('["x"]'), l=F.lit('["a","b"]')).alias("new_tags"),
+        by(none("boolean"), g=F.lit(False), l=F.lit(True)).alias("new_is_active"),
+        by(none("boolean"), l=F.lit(True)).alias("new_is_negotiable"))
 
 
 register("update_services", f"""
+WITH n AS (SELECT *, cast(id[2:] as bigint) AS k FROM m_services),
+z AS (SELECT *, CASE WHEN k % 12 = 1 THEN 'bare' WHEN k % 12 = 7 THEN 'full' WHEN k % 6 = 0 THEN 'plain'
+                     WHEN k % 6 = 5 AND k % 18 <> 5 THEN 'long' END AS edit FROM n)
 SELECT id,
-  CASE WHEN k % 6 = 0 THEN upper(title) WHEN k % 12 = 1 THEN title || ' *' ELSE title END AS title,
-  {M("CASE WHEN k % 6 = 0 THEN price + 1 WHEN k % 12 = 1 THEN 1 ELSE price END")} AS price,
-  CASE WHEN k % 12 = 1 THEN 1 ELSE deadline END AS deadline,
-  CASE WHEN k % 12 = 1 THEN false ELSE is_active END AS is_active,
-  CASE WHEN k % 6 = 0 THEN '[]' WHEN k % 12 = 1 THEN '["x"]' ELSE tags END AS tags,
-  CASE WHEN k % 6 = 0 OR k % 12 = 1 THEN false ELSE is_negotiable END AS is_negotiable,
-  CASE WHEN k % 6 = 3 THEN 'owner' WHEN k % 18 = 5 THEN 'price' END AS reason
-FROM (SELECT *, cast(substring(id, 2) as bigint) AS k FROM m_services) s""",
+  CASE edit WHEN 'bare' THEN title || ' *' ELSE if(edit IS NULL, title, upper(title)) END AS title,
+  {M("CASE WHEN edit IS NULL THEN price WHEN edit = 'bare' THEN 1 ELSE price + 1 END")} AS price,
+  CASE edit WHEN 'bare' THEN 1 WHEN 'long' THEN 200 ELSE deadline END AS deadline,
+  if(edit = 'full', 2, category_id) AS category_id,
+  CASE edit WHEN 'bare' THEN false WHEN 'full' THEN true ELSE is_active END AS is_active,
+  CASE edit WHEN 'bare' THEN '["x"]' WHEN 'full' THEN '["a","b"]' ELSE if(edit IS NULL, tags, '[]') END AS tags,
+  if(edit IS NULL, is_negotiable, edit = 'full') AS is_negotiable,
+  CASE WHEN edit IS NULL THEN ['', '', 'fields', 'owner', 'deadline', 'price'][k % 6 + 1] END AS reason
+FROM z""",
          "C10b: service edits, owner-only with limits; admin fallbacks")(
     lambda T: C.update_services(T, _service_update_requests(T)).select(
-        "id", "title", money("price").alias("price"), "deadline", "is_active", "tags", "is_negotiable", "reason"))
+        "id", "title", money("price").alias("price"), "deadline", "category_id", "is_active", "tags", "is_negotiable", "reason"))
 
 
 def _user_update_requests(T):
@@ -494,34 +503,37 @@ FROM n""", "C11b: trimmed names of two letters, else nothing changes; a null bio
 
 
 def _profile_requests(T):
-    u = T["users"]
+    """One request a user: executors with empty fields, with unreadable ones, with absent ones; others' socials, some unreadable."""
     k = F.expr("cast(substring(id, 2) as bigint)")
-    ex = u.filter((F.col("role") == "executor") & (k % 3 == 0))
-    cu = u.filter((F.col("role") == "customer") & (k % 25 == 0))
-    cols = lambda avail, spec, rate, socials: [
-        F.concat(F.lit("q"), "id").alias("request_id"), F.col("updated_at").alias("ts"),
-        F.col("id").alias("actor_id"), F.lit(avail).alias("availability"), F.lit(spec).alias("specialization"),
-        F.lit(rate).cast("decimal(10,2)").alias("hourly_rate"), F.lit(None).cast("string").alias("response_time"),
-        F.lit("[]").alias("languages"), F.lit('[{"name":"go","level":4}]').alias("skills"),
-        F.lit("oops").alias("portfolio"), F.lit(socials).alias("socials")]
-    return ex.select(*cols("", "sql", 0, '{"github":"gh"}')).unionByName(
-        cu.select(*cols("busy", "x", 5, "not json")))
+    seller, third = F.col("role") == "executor", k % 3
+    none = F.lit(None).cast("string")
+    pick = lambda a, b, c: F.when(third == 0, a).when(third == 1, b).otherwise(c)
+    socials = F.when(seller, pick(F.lit('{"github":"gh"}'), F.lit("not json"), none)).otherwise(
+        F.when(k % 25 == 0, "not json").otherwise('{"website":"w"}'))
+    return T["users"].select(
+        F.concat(F.lit("q"), "id").alias("request_id"), F.col("updated_at").alias("ts"), F.col("id").alias("actor_id"),
+        pick(F.lit(""), F.lit("busy"), none).alias("availability"), pick(F.lit("sql"), F.lit("x"), F.lit("")).alias("specialization"),
+        pick(F.lit(0), F.lit(5), F.lit(None)).cast("decimal(10,2)").alias("hourly_rate"),
+        pick(none, F.lit(""), F.lit("soon")).alias("response_time"),
+        pick(F.lit("[]"), F.lit("oops"), F.lit('["ru","fr"]')).alias("languages"),
+        pick(F.lit('[{"name":"go","level":4}]'), F.lit("[]"), F.lit("oops")).alias("skills"),
+        pick(F.lit("oops"), F.lit('[{"url":"u"}]'), none).alias("portfolio"), socials.alias("socials"))
 
 
 register("upsert_profiles", f"""
-SELECT coalesce(p.user_id, r.user_id) AS user_id,
-  CASE WHEN r.exec THEN 'available' ELSE p.availability END AS availability,
-  CASE WHEN r.exec THEN 'sql' ELSE p.specialization END AS specialization,
-  {M("CASE WHEN r.exec THEN NULL ELSE p.hourly_rate END")} AS hourly_rate,
-  CASE WHEN r.exec THEN '< 24 часов' ELSE p.response_time END AS response_time,
-  CASE WHEN r.exec THEN '[]' ELSE p.languages END AS languages,
-  CASE WHEN r.exec THEN '[{{"name":"go","level":4}}]' ELSE p.skills END AS skills,
-  CASE WHEN r.exec THEN '[]' ELSE p.portfolio END AS portfolio,
-  coalesce(CASE WHEN r.exec THEN '{{"github":"gh"}}' WHEN r.user_id IS NOT NULL THEN '{{}}' END, p.socials) AS socials
-FROM m_profiles p FULL OUTER JOIN (
-  SELECT id AS user_id, role = 'executor' AS exec FROM m_users
-  WHERE (role = 'executor' AND cast(substring(id, 2) as bigint) % 3 = 0)
-     OR (role = 'customer' AND cast(substring(id, 2) as bigint) % 25 = 0)) r ON r.user_id = p.user_id""",
+WITH offer(third, availability, specialization, hourly_rate, response_time, languages, skills, portfolio, socials) AS (VALUES
+  (0, 'available', 'sql', NULL, '< 24 часов', '[]', '[{{"name":"go","level":4}}]', '[]', '{{"github":"gh"}}'),
+  (1, 'busy', 'x', 5, '< 24 часов', '[]', '[]', '[{{"url":"u"}}]', '{{}}'),
+  (2, 'available', NULL, NULL, 'soon', '["ru","fr"]', '[]', '[]', '{{}}'))
+SELECT u.id AS user_id, offer.* EXCLUDE (third, hourly_rate), {M("offer.hourly_rate")} AS hourly_rate
+FROM m_users u JOIN offer ON cast(u.id[2:] as bigint) % 3 = third WHERE u.role = 'executor'
+UNION ALL BY NAME
+SELECT u.id AS user_id, availability, specialization, response_time, languages, skills, portfolio,
+       if(cast(u.id[2:] as bigint) % 25 = 0, '{{}}', '{{"website":"w"}}') AS socials, {M("hourly_rate")} AS hourly_rate
+FROM m_users u LEFT JOIN m_profiles p ON p.user_id = u.id WHERE u.role <> 'executor'
+UNION ALL BY NAME
+SELECT user_id, availability, specialization, response_time, languages, skills, portfolio, socials, {M("hourly_rate")} AS hourly_rate
+FROM m_profiles WHERE user_id NOT IN (SELECT id FROM m_users)""",
          "C11c: profile upsert, executors all fields with defaults, others socials only")(
     lambda T: C.upsert_profiles(T, _profile_requests(T)).select(
         "user_id", "availability", "specialization", money("hourly_rate").alias("hourly_rate"), "response_time",

@@ -472,3 +472,21 @@ def test_registration_compares_emails_as_the_tables_do(spark, base):
     assert out["r2"][0] == "accepted" and out["r3"] == ("rejected", "duplicate")
     dup = {r.key_value: (r.n, r.spellings) for r in audits.duplicate_texts(df(spark, [(taken,), (odd,), ("other@x.ru",)], "email string"), "email").collect()}
     assert list(dup.values()) == [(2, 2)]
+
+
+def test_soft_delete_needs_the_users_own_confirmed_request(spark):
+    T0_ = dt.datetime(2024, 1, 1)
+    users = spark.createDataFrame([(i, f"{i}@x.ru", i.upper(), True) for i in "abcd"], "id string, email string, name string, is_active boolean")
+    asked = spark.createDataFrame([("r1", "a", "a", True), ("r2", "b", "b", False), ("r3", "z", "c", True), ("r4", "d", "d", None), ("r5", "a", "a", True)],
+                                  "request_id string, actor_id string, user_id string, confirmed boolean")
+    got = {r.id: (r.email, r.name, r.is_active) for r in C.soft_delete_users({"users": users}, asked, T0_).collect()}
+    assert got["a"] == ("a@x.ru_deleted_1704067200", "A" + C.TEXT["deleted_name_suffix"], False)
+    assert all(got[i] == (f"{i}@x.ru", i.upper(), True) for i in "bcd")
+
+
+@pytest.mark.parametrize("name, column, wanted", [
+    ("update_services", "reason", {None, "owner", "fields", "deadline", "price"}),
+    ("create_services", "status", {"accepted", "rejected"})])
+def test_registered_requests_meet_every_answer(spark, sf_dir, name, column, wanted):
+    from souk.plans.registry import spark_query
+    assert {r[0] for r in spark_query(name)(spark, sf_dir).select(column).distinct().collect()} == wanted
