@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import functions as F
+
+from souk.operators import pages as P
 from souk.operators import views as V
 from souk.plans.registry import money_sql as M, register
+from souk.session import checkpoint_dir
 
 # A service with its seller and category, as one relation.
 _OFFER = f"""
@@ -160,3 +166,66 @@ SELECT order_id, old_status, new_status, changed_by, created_at FROM m_status_lo
 register("catalog_page", _CATALOG_SELECT + """
 ORDER BY price DESC, id LIMIT 12 OFFSET 12""", "L2: second catalogue page, most expensive first")(
     lambda T: V.catalog_page(T, page=2, limit=12, sort="price_desc", with_total=False).rows)
+
+
+def _sorted_pages(T):
+    out = None
+    for sort in V.SORTS:
+        b = P.page_boundaries(V.catalog_filter(T).select(*V.catalog_cols()).select("id", *SORT_KEYS), V.sort_columns(sort), 12)
+        b = b.withColumn("sort", F.lit(sort))
+        out = b if out is None else out.unionByName(b)
+    return out
+
+
+SORT_KEYS = ["created_at", "rating", "reviews_count", "price"]
+_RANKED = " UNION ALL ".join(
+    f"SELECT '{name}' AS sort, id, row_number() OVER (ORDER BY {keys}, id) AS place FROM shown" for name, keys in (
+        ("newest", "created_at DESC"), ("rating", "rating DESC, reviews_count DESC"), ("price_asc", "price"), ("price_desc", "price DESC")))
+
+register("catalog_page_boundaries", f"""
+WITH shown AS ({_CATALOG_SELECT}), ranked AS ({_RANKED})
+SELECT sort, (place + 11) // 12 AS page, count(*) AS n_rows, arg_min(id, place) AS first_id, arg_max(id, place) AS last_id
+FROM ranked GROUP BY ALL""", "L1/L2: first and last service of every page in each of the four sorts")(_sorted_pages)
+
+
+def _last_pages(T):
+    """Page 1, the one in the middle and the last one of the admin list of services, through the page index."""
+    path = f"{checkpoint_dir(T['services'].sparkSession).rstrip('/')}/page-index-{uuid.uuid4().hex}"
+    index = P.build_page_index(V.list_services(T), [F.col("created_at").desc(), F.col("id")], path, block_rows=1000)
+    last = index.page(1, 20).pages
+    out = None
+    for p in dict.fromkeys((1, (last + 1) // 2, last, last + 1)):
+        rows = index.page(p, 20, 20, 100).rows.select(F.lit(p).cast("long").alias("page"), F.lit(index.total).cast("long").alias("total"),
+                                                      "id", "title", "executor_name", "created_at")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+register("service_list_deep_pages", """
+WITH listed AS (
+  SELECT offer.id, offer.title, seller.name AS executor_name, offer.created_at
+  FROM m_services offer JOIN m_users seller ON seller.id = offer.executor_id JOIN m_categories kind ON kind.id = offer.category_id),
+placed AS (SELECT *, (row_number() OVER (ORDER BY created_at DESC, id) + 19) // 20 AS page, count(*) OVER () AS total FROM listed)
+SELECT page, total, id, title, executor_name, created_at FROM placed
+WHERE page IN (1, ((total + 19) // 20 + 1) // 2, (total + 19) // 20)""",
+         "L2/J8: first, middle and last page read by position from the page index")(_last_pages)
+
+_ITEM = "array_join(transform(items, i -> concat_ws('|', {})), '\n')"
+
+register("order_threads", f"""
+WITH line AS (
+  SELECT m.*, u.name AS sender_name, row_number() OVER (PARTITION BY order_id ORDER BY m.created_at, m.id) AS place
+  FROM m_messages m JOIN m_users u ON u.id = m.sender_id),
+change AS (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY created_at, new_status) AS place FROM m_status_log)
+SELECT 'messages' AS part, order_id, (place + 2) // 3 AS page, count(*) AS n_rows,
+       string_agg(concat_ws('|', id, sender_name, is_read::varchar, message), chr(10) ORDER BY place) AS items FROM line GROUP BY ALL
+UNION ALL
+SELECT 'status_log', order_id, (place + 1) // 2, count(*),
+       string_agg(concat_ws('|', old_status, new_status, changed_by), chr(10) ORDER BY place) FROM change GROUP BY ALL""",
+         "J3/S8: thread and status log of every order in numbered pages (of three lines, of two changes)")(
+    lambda T: P.thread_pages(T, 3).select(
+        F.lit("messages").alias("part"), "order_id", "page", "n_rows",
+        F.expr(_ITEM.format("i.id, i.sender_name, cast(i.is_read as string), i.message")).alias("items"))
+    .unionByName(P.log_pages(T, 2).select(
+        F.lit("status_log").alias("part"), "order_id", "page", "n_rows",
+        F.expr(_ITEM.format("i.old_status, i.new_status, i.changed_by")).alias("items"))))
