@@ -48,6 +48,11 @@ def text_batches(spark: SparkSession, rows: int = 1000, size: int | None = None)
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, inside lambdas too."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def match_spans(text: Column, pattern: Column | str) -> Column:
     """Leftmost non-overlapping matches of ``pattern`` as array<struct<start,end,hit>>.
 
@@ -69,3 +74,30 @@ def match_spans(text: Column, pattern: Column | str) -> Column:
 
     zipped = F.arrays_zip(F.slice(pieces, 1, F.size(hits)).alias("piece"), hits.alias("hit"))
     return F.aggregate(zipped, start, step, lambda acc: acc["out"])
+
+
+def many_match_spans(text: Column, pattern: str, chunk: int = 256) -> Column:
+    """``match_spans`` for texts with any number of matches: they are folded ``chunk`` at a time,
+    so that the list so far is copied once a chunk and not once a match."""
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pieces = F.split(text, pattern, -1)
+    empty = F.expr("cast(array() as array<struct<start:bigint,end:bigint,hit:string>>)")
+
+    def state(at: Column, out: Column) -> Column:
+        return F.struct(at.cast("long").alias("at"), out.alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        begin = acc["at"] + F.length(x["piece"])
+        end = begin + F.length(x["hit"])
+        span = F.struct(begin.cast("long").alias("start"), end.cast("long").alias("end"), x["hit"].alias("hit"))
+        return state(end, F.concat(acc["out"], F.array(span)))
+
+    def folded(found: Column) -> Column:
+        def add(acc: Column, k: Column) -> Column:
+            part = F.aggregate(F.slice(found, k * chunk + 1, F.lit(chunk)), state(acc["at"], empty), step)
+            return let(part, lambda p: state(p["at"], F.concat(acc["out"], p["out"])))
+        chunks = F.sequence(F.lit(0), F.greatest(F.floor((F.size(found) - 1) / chunk), F.lit(0)).cast("int"))
+        return F.aggregate(chunks, state(F.lit(0), empty), add, lambda acc: acc["out"])
+
+    zipped = let(hits, lambda h: F.arrays_zip(F.slice(pieces, F.lit(1), F.size(h)).alias("piece"), h.alias("hit")))
+    return let(zipped, folded)

@@ -12,7 +12,8 @@ Everything is DataFrame expressions in one scan without a shuffle; the costly
 ones run only for texts that a cheap pattern lets through.
 
 Defined cases: null is an empty text with no span; a text may be one long
-candidate; equal texts get equal spans; columns of any name are kept.
+candidate (the scan is linear in it, the list of matches is copied once in 256); equal texts
+get equal spans; columns of any name are kept.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from souk.llm.common import fresh, match_spans
+from souk.llm.common import fresh, let, many_match_spans
 
 # The shapes of the base spans.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -33,6 +34,7 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{%d,}" % HEX_MIN
 KINDS = ["assign", "access", "hex", "entropy_hex", "entropy_base64"]
 
 WINDOW = 20
+BLOCK = 512          # characters of a candidate scanned by one fold
 # kind -> (candidate pattern, alphabet, bits a character)
 CLASSES = {
     "entropy_hex": (r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{%d,}" % WINDOW, "0123456789abcdef", 2.8),
@@ -42,28 +44,24 @@ CLASSES = {
 # Candidates that are no secrets: only one sort of character, words, ramps, placeholders, paths.
 ALLOW = [
     r"^[0-9]+$", r"^[A-Za-z_-]+$", r"(?i)example|sample|placeholder|changeme|xxxx", r"(?i)0123456789|abcdefghijkl",
-    r"^(?:[A-Za-z0-9_-]{1,16}/)+[A-Za-z0-9_-]{0,16}$",
+    r"^(?:[A-Za-z0-9_-]{1,16}/)++[A-Za-z0-9_-]{0,16}$",       # possessive: no recursion a part of the path
 ]
 
 
-def hot_spans(s: Column, alphabet: str, bits: float, window: int = WINDOW) -> Column:
-    """Unions of the windows of ``s`` with at least ``bits`` of entropy: array<struct<start,end>> from 0.
+def _hot_in_block(t: Column, fold: str, bits: float, window: int) -> Column:
+    """Unions of the hot windows of the short string ``t``: array<struct<start,end>> from 0.
 
     One fold over the characters; its state holds the counts of the window's
     characters, the sum of c*log2(c), and the spans so far.
     """
     term = F.array(*[F.lit(c * math.log2(c) if c > 1 else 0.0) for c in range(window + 1)])
     f = lambda c: F.get(term, c)                                                  # noqa: E731
-    fold = alphabet if alphabet.lower() != alphabet else alphabet
-    cased = s if fold != alphabet.lower() else F.lower(s)
-    code = lambda i: F.instr(F.lit(fold), F.substring(cased, i, F.lit(1)))        # noqa: E731
     none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
     zero = F.struct(F.array_repeat(F.lit(0), len(fold)).alias("counts"), F.lit(0.0).alias("sum"), none.alias("out"))
     limit = window * (math.log2(window) - bits) + 1e-9      # entropy >= bits: sum <= limit
 
-    def step(acc: Column, i: Column) -> Column:             # i: position from 1
-        enters = code(i)
-        leaves = F.when(i > window, code(F.greatest(i - window, F.lit(1)))).otherwise(F.lit(0))
+    def step(acc: Column, x: Column) -> Column:
+        enters, leaves, i = x["enters"], x["leaves"], x["i"]      # codes from 1 (0: none), position from 1
         n_out = F.when(leaves > 0, F.get(acc["counts"], leaves - 1)).otherwise(F.lit(0))
         less = F.when(leaves > 0, f(n_out) - f(n_out - 1)).otherwise(F.lit(0.0))
         n_in = F.get(acc["counts"], enters - 1) - F.when(leaves == enters, 1).otherwise(0)
@@ -78,7 +76,36 @@ def hot_spans(s: Column, alphabet: str, bits: float, window: int = WINDOW) -> Co
                .when((F.size(acc["out"]) > 0) & (last["end"] >= i - window), grown).otherwise(opened))
         return F.struct(counts.alias("counts"), total.alias("sum"), out.alias("out"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(s)), zero, step, lambda acc: acc["out"])
+    def scan(codes: Column) -> Column:
+        leaving = F.slice(F.concat(F.array_repeat(F.lit(0), window), codes), F.lit(1), F.size(codes))
+        moves = F.arrays_zip(codes.alias("enters"), leaving.alias("leaves"), F.sequence(F.lit(1), F.size(codes)).alias("i"))
+        return F.aggregate(moves, zero, step, lambda acc: acc["out"])
+
+    return let(F.transform(F.split(t, ""), lambda c: F.instr(F.lit(fold), c)), scan)
+
+
+def hot_spans(s: Column, alphabet: str, bits: float, window: int = WINDOW, block: int = BLOCK) -> Column:
+    """Unions of the windows of ``s`` with at least ``bits`` of entropy: array<struct<start,end>> from 0.
+
+    ``s`` is scanned in blocks, each with the ``window`` - 1 characters before it, so that every window
+    ends in one block and the work is linear in the length; spans of neighbouring blocks that meet are one.
+    """
+    cased = s if alphabet.lower() != alphabet else F.lower(s)
+
+    def blocks_of(blocks: Column) -> Column:
+        def scan(b: Column, k: Column) -> Column:
+            tail = F.when(k > 0, F.substring(F.get(blocks, k - 1), 1 - window, window - 1)).otherwise("")
+            base = F.when(k > 0, k * block - (window - 1)).otherwise(0)
+            return F.transform(_hot_in_block(F.concat(tail, b), alphabet, bits, window),
+                               lambda m: F.struct((m["start"] + base).alias("start"), (m["end"] + base).alias("end")))
+        return F.flatten(F.transform(blocks, scan))
+
+    def merged(spans: Column) -> Column:
+        first = F.filter(spans, lambda m, j: (j == 0) | (F.get(spans, j - 1)["end"] < m["start"]))
+        last = F.filter(spans, lambda m, j: (j == F.size(spans) - 1) | (F.get(spans, j + 1)["start"] > m["end"]))
+        return F.zip_with(first, last, lambda a, z: F.struct(a["start"].alias("start"), z["end"].alias("end")))
+
+    return let(let(F.regexp_extract_all(cased, F.lit(".{1,%d}" % block), F.lit(0)), blocks_of), merged)
 
 
 def _named(spans: Column, kind: str, shift: Column | None = None) -> Column:
@@ -95,16 +122,16 @@ def secret_spans(text: Column, window: int = WINDOW, allow=ALLOW) -> Column:
         return F.when(text.rlike(pattern), spans).otherwise(none)
 
     value = lambda m: F.regexp_extract(m["hit"], ASSIGN, 2)                       # noqa: E731
-    found = [where(ASSIGN, _named(F.filter(match_spans(text, ASSIGN), lambda m: F.length(value(m)) >= ASSIGN_MIN), "assign")),
-             where(ACCESS, _named(match_spans(text, ACCESS), "access")),
-             where(HEX, _named(match_spans(text, HEX), "hex"))]
+    found = [where(ASSIGN, _named(F.filter(many_match_spans(text, ASSIGN), lambda m: F.length(value(m)) >= ASSIGN_MIN), "assign")),
+             where(ACCESS, _named(many_match_spans(text, ACCESS), "access")),
+             where(HEX, _named(many_match_spans(text, HEX), "hex"))]
     for kind, (pattern, alphabet, bits) in CLASSES.items():
         def allowed(m):
             out = F.lit(False)
             for p in allow:
                 out = out | m["hit"].rlike(p)
             return out
-        candidates = F.filter(match_spans(text, pattern), lambda m: ~allowed(m))
+        candidates = F.filter(many_match_spans(text, pattern), lambda m: ~allowed(m))
         hot = F.transform(candidates, lambda m: _named(hot_spans(m["hit"], alphabet, bits, window), kind, m["start"]))
         found.append(where(pattern, F.flatten(hot)))
     return F.array_sort(F.concat(*found))

@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from souk.llm import secrets
 from souk.llm.queries import QUERIES
 
@@ -93,3 +95,37 @@ def test_redaction_keeps_documents_and_other_text(docs_of, clash):
 
 def test_empty_table(docs_of):
     assert secrets.redact(docs_of([])).collect() == []
+
+
+def test_windows_that_meet_over_block_borders(spark):
+    rng = random.Random(8)
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    texts = ["".join(rng.choice(b64 if rng.random() < 0.5 else "ab1") for _ in range(n)) for n in (20, 21, 63, 64, 65, 83, 84, 400, 1500)]
+    texts += ["".join(rng.choice(rng.choice([b64, "a1", "a1"])) * rng.randrange(1, 5) for _ in range(400)) for _ in range(6)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    kind, (_, alphabet, bits) = "entropy_base64", secrets.CLASSES["entropy_base64"]
+    for block in (20, 64, 512):
+        got = {r.i: [(s.start, s.end) for s in r.spans] for r in
+               df.select("i", secrets.hot_spans(F.col("t"), alphabet, bits, block=block).alias("spans")).collect()}
+        for i, t in enumerate(texts):
+            spans = []
+            for a in range(len(t) - 19):
+                if entropy(t[a:a + 20]) >= bits - 1e-9:
+                    if spans and spans[-1][1] >= a:
+                        spans[-1][1] = a + 20
+                    else:
+                        spans.append([a, a + 20])
+            assert got[i] == [tuple(x) for x in spans], (block, i)
+
+
+def test_very_long_candidate_and_very_many_matches(docs_of):
+    rng = random.Random(9)
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    long = "x " + "".join(rng.choices(b64, k=1_000_000))
+    many = " ".join("%016x" % rng.getrandbits(64) for _ in range(50_000))
+    path = "ab1/" * 20_000
+    out, name = secrets.scan_secrets(docs_of([(1, long), (2, many), (3, path)]))
+    got = {r.doc_id: [(s.start, s.rank, s.end, s.kind) for s in r[name]] for r in out.collect()}
+    assert got[1] == sorted(base(long) + method(long)) and got[1]
+    assert got[2] == base(many) and len(got[2]) == 50_000
+    assert got[3] == []
