@@ -143,22 +143,31 @@ def scan_secrets(docs: DataFrame, window: int = WINDOW, allow=ALLOW) -> tuple[Da
     return docs.withColumn(name, secret_spans(F.coalesce(F.col("text"), F.lit("")), window, allow)), name
 
 
+PIECE = 4096         # characters of a text in which spans are replaced at a time
+
+
 def redact(docs: DataFrame, mark: str = "[SECRET]", window: int = WINDOW, allow=ALLOW) -> DataFrame:
     """``docs`` with every secret replaced by ``mark``, same columns; other texts stay as they are.
 
-    Overlapping spans become one mark. ``n_chars``, if there, follows the text.
+    Overlapping spans become one mark, also over the borders of the pieces in which a text is cut. ``n_chars``, if there, follows the text.
     """
     out, name = scan_secrets(docs, window, allow)
     text = F.col("text")
 
-    def step(acc: Column, s: Column) -> Column:
-        before = F.substring(text, (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
-        more = F.concat(acc["out"], before, F.when(s["start"] >= acc["at"], mark).otherwise(""))
-        return F.when(s["end"] <= acc["at"], acc).otherwise(F.struct(more.alias("out"), s["end"].alias("at")))
+    def cleaned(piece: Column, k: Column) -> Column:            # a piece of the text and its number
+        begin = (k * PIECE).cast("long")
+
+        def step(acc: Column, s: Column) -> Column:
+            before = F.substring(piece, (acc["at"] - begin + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
+            more = F.concat(acc["out"], before, F.when(s["start"] >= acc["at"], mark).otherwise(""))
+            return F.when(s["end"] <= acc["at"], acc).otherwise(F.struct(more.alias("out"), s["end"].alias("at")))
+
+        here = F.filter(F.col(name), lambda s: (s["start"] < begin + PIECE) & (s["end"] > begin))
+        return F.aggregate(here, F.struct(F.lit("").alias("out"), begin.alias("at")), step, lambda acc: F.concat(
+            acc["out"], F.substring(piece, (acc["at"] - begin + 1).cast("int"), F.length(piece))))
 
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-    cut = F.aggregate(F.col(name), start, step, lambda acc: F.concat(
-        acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
+    pieces = F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % PIECE), F.lit(0))
+    cut = F.array_join(F.transform(pieces, cleaned), "")
     hit = F.size(name) > 0
     new, = fresh(out, "_new_text")
     out = out.withColumn(new, F.when(hit, cut).otherwise(text))

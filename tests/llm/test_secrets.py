@@ -129,3 +129,19 @@ def test_very_long_candidate_and_very_many_matches(docs_of):
     assert got[1] == sorted(base(long) + method(long)) and got[1]
     assert got[2] == base(many) and len(got[2]) == 50_000
     assert got[3] == []
+
+
+def test_redaction_of_texts_of_many_pieces(docs_of):
+    rng = random.Random(4)
+    rand = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))          # noqa: E731
+    rows = [(i, "".join(rng.choice([rand("0123456789abcdef", rng.randrange(10, 200)), "é😀 ", " token=" + rand("abcXYZ/", 30), "\n", "x" * rng.randrange(900)])
+                        for _ in range(150))) for i in range(4)]
+    rows += [(9, "a" * 4090 + " " + "0123456789abcdef1" * 600 + " end"), (10, "q" * (4096 - 1) + " " + "f0" * 10)]
+    got = {r.doc_id: (r.text, r.n_chars) for r in secrets.redact(docs_of(rows)).collect()}
+    for i, t in rows:
+        out, at = "", 0
+        for a, _, b, _ in sorted(base(t) + method(t)):
+            if b > at:
+                out += t[at:a] + ("[SECRET]" if a >= at else "")
+                at = b
+        assert got[i] == (out + t[at:], len(out + t[at:]))
