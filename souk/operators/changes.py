@@ -823,10 +823,11 @@ def register_users(T, requests: DataFrame) -> DataFrame:
                     F.when(F.col("_win").isNotNull(), request_uuid("request_id")).alias("user_id"))
 
 
-def register_effects(T, outcomes: DataFrame) -> dict[str, DataFrame]:
-    """New user rows of accepted registrations and their zero balances (insert-ignore)."""
-    acc = outcomes.filter(F.col("status") == "accepted")
-    users = acc.select(F.col("user_id").alias("id"), "name", "email", "role", F.lit(True).alias("is_active"))
+def register_effects(T, requests: DataFrame, outcomes: DataFrame) -> dict[str, DataFrame]:
+    """New user rows of accepted registrations, made at the request's time, and their zero balances (insert-ignore)."""
+    acc = outcomes.filter(F.col("status") == "accepted").join(requests.select("request_id", "ts"), "request_id")
+    users = acc.select(F.col("user_id").alias("id"), "name", "email", "role", F.lit(True).alias("is_active"),
+                       F.col("ts").alias("created_at"), F.col("ts").alias("updated_at"))
     zero = acc.select("user_id", F.lit(0).cast("decimal(12,2)").alias("amount"))
     balances = insert_ignore(T["balances"].select("user_id", "amount"), zero, "user_id")
     return {"users": users, "balances": balances}

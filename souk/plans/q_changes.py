@@ -538,3 +538,101 @@ FROM m_profiles WHERE user_id NOT IN (SELECT id FROM m_users)""",
     lambda T: C.upsert_profiles(T, _profile_requests(T)).select(
         "user_id", "availability", "specialization", money("hourly_rate").alias("hourly_rate"), "response_time",
         "languages", "skills", "portfolio", "socials"))
+
+
+# ----------------------------------------------------------------------------- effects of C7, C8, C11a
+_UUID = "array_to_string([sha256({0})[1:8], sha256({0})[9:12], sha256({0})[13:16], sha256({0})[17:20], sha256({0})[21:32]], '-')"
+
+register("post_messages_effects", f"""
+WITH done AS (SELECT p.*, r.ts, r.is_admin, {_UUID.format('p.request_id')} AS new_id
+              FROM ({REGISTRY['post_messages'].sql}) p JOIN m_req_messages r USING (request_id) WHERE p.status = 'accepted')
+SELECT 'message' AS row_kind, new_id AS id, order_id, sender_id AS user_id, stored AS body, NULL AS title, NULL AS data, ts AS created_at FROM done
+UNION ALL
+SELECT 'notification', 'nm-' || new_id, NULL, notify_user, notify_body, 'Новое сообщение', '{{"order_id":"' || order_id || '"}}', ts
+FROM done WHERE NOT is_admin""", "C8/F4/F24: message rows of accepted chat lines and the other side's notification")(
+    lambda T: _message_rows(C.message_effects(T, T["req_messages"])))
+
+
+def _message_rows(effects):
+    none = F.lit(None).cast("string")
+    return (effects["messages"].select(F.lit("message").alias("row_kind"), "id", "order_id", F.col("sender_id").alias("user_id"),
+                                       F.col("message").alias("body"), none.alias("title"), none.alias("data"), "created_at")
+            .unionByName(effects["notifications"].select(F.lit("notification").alias("row_kind"), "id", none.alias("order_id"), "user_id",
+                                                         "body", "title", "data", "created_at")))
+
+
+def _adjust_rows(T):
+    effects = C.adjust_effects(T, T["req_adjust"], C.adjust_balances(T, T["req_adjust"]))
+    none = F.lit(None)
+    return (effects["transactions"].select(F.lit("ledger").alias("row_kind"), "id", "user_id", "type", money("amount").alias("amount"),
+                                           "description", "created_at")
+            .unionByName(effects["balances"].select(
+                F.lit("balance").alias("row_kind"), none.cast("string").alias("id"), "user_id", none.cast("string").alias("type"),
+                money("amount").alias("amount"), none.cast("string").alias("description"), none.cast("timestamp").alias("created_at"))))
+
+
+register("adjust_balances_effects", f"""
+WITH settled AS ({REGISTRY['adjust_balances'].sql}),
+done AS (SELECT r.* FROM m_req_adjust r JOIN settled USING (request_id) WHERE settled.status = 'accepted'),
+moved AS (SELECT user_id, amount FROM m_balances UNION ALL SELECT user_id, amount FROM done)
+SELECT 'ledger' AS row_kind, 'tx-' || {_UUID.format('request_id')} AS id, user_id, if(amount > 0, 'deposit', 'withdrawal') AS type,
+       {M('abs(amount)')} AS amount, coalesce(nullif(reason, ''), 'корректировка администратором') AS description, ts AS created_at FROM done
+UNION ALL
+SELECT 'balance', NULL, user_id, NULL, {M('sum(amount)')}, NULL, NULL FROM moved GROUP BY user_id""",
+         "C7/F15/F24: ledger rows of accepted manual changes and the balances after them")(_adjust_rows)
+
+
+def _registered_rows(T):
+    requests = _register_requests(T)
+    effects = C.register_effects(T, requests, C.register_users(T, requests))
+    none = lambda t: F.lit(None).cast(t)                                          # noqa: E731
+    return (effects["users"].select(F.lit("user").alias("row_kind"), "id", "name", "email", "role", "is_active", "created_at", "updated_at",
+                                    none("double").alias("amount"))
+            .unionByName(effects["balances"].select(
+                F.lit("balance").alias("row_kind"), F.col("user_id").alias("id"), none("string").alias("name"), none("string").alias("email"),
+                none("string").alias("role"), none("boolean").alias("is_active"), none("timestamp").alias("created_at"),
+                none("timestamp").alias("updated_at"), money("amount").alias("amount"))))
+
+
+register("register_users_effects", f"""
+WITH done AS (SELECT *, {_UUID.format('request_id')} AS new_id,
+                     timestamp '2001-08-01 00:00:00' + INTERVAL 1 SECOND * cast(request_id[2:]::bigint % 1000 as int) AS ts
+              FROM ({_register_sql()}) q WHERE status = 'accepted')
+SELECT 'user' AS row_kind, new_id AS id, name, email, role, true AS is_active, ts AS created_at, ts AS updated_at, NULL AS amount FROM done
+UNION ALL SELECT 'balance', user_id, NULL, NULL, NULL, NULL, NULL, NULL, {M('amount')} FROM m_balances
+UNION ALL SELECT 'balance', new_id, NULL, NULL, NULL, NULL, NULL, NULL, 0 FROM done""",
+         "C11a/C15/F24: users of accepted registrations, and balances with theirs at zero")(_registered_rows)
+
+
+def _order_rows(T):
+    e = C.place_orders_effects(T, T["req_orders"], C.place_orders(T, T["req_orders"]))
+    kind = lambda k: F.lit(k).alias("row_kind")                                   # noqa: E731
+    parts = [
+        e["orders"].select(kind("order"), "id", "service_id", F.col("customer_id").alias("user_id"), F.col("executor_id").alias("other_id"),
+                           "status", money("total_price").alias("amount"), "deadline_date", F.col("requirements").alias("body"), "created_at"),
+        e["transactions"].select(kind("payment"), "id", "user_id", F.col("type").alias("status"), money("amount").alias("amount"),
+                                 F.col("description").alias("body"), "created_at"),
+        e["notifications"].select(kind("notification"), "id", "user_id", F.col("type").alias("status"), "title", "body", "data", "created_at"),
+        e["balances"].select(kind("balance"), "user_id", money("amount").alias("amount")),
+        e["services"].select(kind("counter"), F.col("id").alias("service_id"), F.col("orders_count").cast("double").alias("amount"))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
+register("place_orders_effects", f"""
+WITH settled AS ({REGISTRY['place_orders'].sql}),
+done AS (SELECT r.*, s.price, s.title AS offer, s.deadline, s.executor_id, {_UUID.format('r.request_id')} AS new_id
+         FROM m_req_orders r JOIN settled USING (request_id) JOIN m_services s ON s.id = r.service_id WHERE settled.status = 'accepted'),
+purse AS (SELECT user_id, amount FROM m_balances UNION ALL SELECT customer_id, -price FROM done),
+sold AS (SELECT id, orders_count AS n FROM m_services UNION ALL SELECT service_id, 1 FROM done)
+SELECT 'order' AS row_kind, new_id AS id, service_id, customer_id AS user_id, executor_id AS other_id, 'created' AS status,
+       {M('price')} AS amount, cast(ts as date) + deadline AS deadline_date, requirements AS body, NULL AS title, NULL AS data, ts AS created_at FROM done
+UNION ALL BY NAME SELECT 'payment' AS row_kind, 'tx-' || new_id AS id, customer_id AS user_id, 'payment' AS status, {M('price')} AS amount,
+       'Оплата заказа: ' || offer AS body, ts AS created_at FROM done
+UNION ALL BY NAME SELECT 'notification' AS row_kind, 'nt-' || new_id AS id, executor_id AS user_id, 'order_created' AS status,
+       '📦 Новый заказ!' AS title, 'Заказ на «' || offer || '»' AS body, '{{"order_id":"' || new_id || '"}}' AS data, ts AS created_at FROM done
+UNION ALL BY NAME SELECT 'balance' AS row_kind, user_id, {M('sum(amount)')} AS amount FROM purse GROUP BY user_id
+UNION ALL BY NAME SELECT 'counter' AS row_kind, id AS service_id, sum(n)::double AS amount FROM sold GROUP BY id""",
+         "C1/F2/F13/F24: orders, payments and notifications of accepted requests, balances and counters after them")(_order_rows)

@@ -344,7 +344,7 @@ def test_registration_rules(spark, base):
     got = {r.request_id: (r.status, r.reason) for r in out.collect()}
     assert got == {"g1": ("accepted", None), "g2": ("rejected", "duplicate"), "g3": ("rejected", "taken"),
                    "g4": ("rejected", "email"), "g5": ("rejected", "name"), "g6": ("rejected", "role")}
-    eff = C.register_effects(base, out)
+    eff = C.register_effects(base, req, out)
     new = eff["users"].collect()
     assert len(new) == 1 and new[0].email == "new@gmail.com"
     bal = dict(eff["balances"].collect())
