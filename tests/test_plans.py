@@ -17,7 +17,8 @@ QUERIES = {n: f for n, f in entry_mod.queries().items() if n in REGISTRY}
 
 # ordered folds and stateful streams run Python over Arrow batches by design
 FOLDS = {"place_orders", "adjust_balances", "apply_status_changes_split", "limit_attempts",
-         "limit_attempts_registration"}
+         "limit_attempts_registration",
+         "place_orders_effects", "adjust_balances_effects"}     # effects read the outcomes of the folds above
 STREAMS = {n for n in QUERIES if n.endswith("_stream") or n in ("streaming_ratings",)}
 # one-row results combined side by side (each side is a global aggregate)
 ONE_ROW_COMBINES = {"platform_stats", "health_counts", "table_counts", "category_counts", "run_retention",
