@@ -172,3 +172,20 @@ def test_every_user_has_a_toggle_and_a_role_request(T):
         asked = [(r.user_id, r.actor_id) for r in _user_requests(T, tag, 5).collect()]
         assert len(asked) == len(users) and {u for u, _ in asked} == users
         assert {a for u, a in asked if a != u} == {"a0"} and any(a == u for u, a in asked)
+
+
+def test_request_texts_are_not_stored_or_scanned(spark, sf_dir):
+    """Messages repeated 2001 times come from a projection of the stored ones, row by row."""
+    from souk.sources.fixtures import fixture_tables
+    T = fixture_tables(spark, sf_dir, store=True)
+    files = T["req_messages"].inputFiles()
+    assert files and all("/m_messages-" in f for f in files)
+
+
+def test_trim_cuts_what_the_pattern_matches(spark):
+    """Every BMP character at the ends, against the regular expression; no pattern runs over the text."""
+    from souk.functions.text import js_trim
+    c = spark.range(1, 0xFFFF).filter("id < 55296 or id > 57343").selectExpr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE') AS c")
+    t = c.select(F.explode(F.array("c", F.concat("c", F.lit("x \n y"), "c", F.lit("\n")), F.concat(F.lit(" "), "c"))).alias("t"))
+    assert t.filter(~F.regexp_replace("t", r"(?U)^\s+|\s+$", "").eqNullSafe(js_trim(F.col("t")))).count() == 0
+    assert "regexp" not in t.select(js_trim(F.col("t")))._jdf.queryExecution().toString()
