@@ -490,3 +490,22 @@ def test_soft_delete_needs_the_users_own_confirmed_request(spark):
 def test_registered_requests_meet_every_answer(spark, sf_dir, name, column, wanted):
     from souk.plans.registry import spark_query
     assert {r[0] for r in spark_query(name)(spark, sf_dir).select(column).distinct().collect()} == wanted
+
+
+def test_message_times_of_repeated_ids(spark, base):
+    """A line meets every request with its id (also itself); a line without an id has no effects."""
+    req = df(spark, [("m1", ts(2001, 8, 2, 1), "o1", "c1", "one", False), ("m1", ts(2001, 8, 2, 2), "o9", "c1", "two", False),
+                     ("m2", ts(2001, 8, 2, 3), "o1", "c1", "three", False), (None, ts(2001, 8, 2, 4), "o1", "c1", "four", False)],
+             "request_id string, ts timestamp, order_id string, sender_id string, message string, is_admin boolean")
+    eff = C.message_effects(base, req)
+    assert sorted((r.message, r.created_at.hour) for r in eff["messages"].collect()) == [("one", 1), ("one", 2), ("three", 3)]
+    assert sorted((r.body, r.created_at.hour) for r in eff["notifications"].collect()) == [("one", 1), ("one", 2), ("three", 3)]
+
+
+def test_chat_texts_are_not_exchanged(spark, base):
+    req = df(spark, [("m1", ts(2001, 8, 2, 1), "o1", "c1", "hello", False)],
+             "request_id string, ts timestamp, order_id string, sender_id string, message string, is_admin boolean")
+    eff = C.message_effects(base, req)
+    for out in (C.post_messages(base, req), eff["messages"], eff["notifications"]):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan
