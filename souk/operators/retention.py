@@ -9,6 +9,7 @@ at the boundary instant is kept. ``policy`` picks the web-handler variant
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -21,38 +22,62 @@ TABLES = ("users", "services", "orders", "status_log", "messages", "reviews", "b
           "transactions", "notifications", "profiles", "categories")
 
 
+class Lazy(Mapping):
+    """Tables by name: those of ``base`` and the ``changed`` ones, each made when it is first
+    asked for, so that a step whose reader wants one table derives (and stores) no other."""
+
+    def __init__(self, base: Mapping[str, DataFrame], **changed: Callable[[], DataFrame]):
+        self._base, self._changed, self._made = base, changed, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self._changed[name]() if name in self._changed else self._base[name]
+        return self._made[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(dict.fromkeys([*self._base, *self._changed]))
+
+    def __len__(self) -> int:
+        return len(list(iter(self)))
+
+
 @dataclass
 class Step:
     name: str
-    tables: dict[str, DataFrame]
+    tables: Mapping[str, DataFrame]
     removed: DataFrame                      # one row per removed key, column ``id``
     extra: dict[str, DataFrame] = field(default_factory=dict)
 
 
-def snapshot(T) -> dict[str, DataFrame]:
-    """A plain mapping of the tables retention touches (built from a lazy mapping)."""
-    return {t: T[t] for t in TABLES}
+def snapshot(T) -> Mapping[str, DataFrame]:
+    """The tables retention touches (of a lazy mapping those that are asked for)."""
+    return Lazy({}, **{t: lambda t=t: T[t] for t in TABLES})
 
 
 def _drop(df: DataFrame, ids: DataFrame, col: str) -> DataFrame:
     return df.join(ids.select(F.col("id").alias("_x")), F.col(col) == F.col("_x"), "left_anti")
 
 
+def _met(df: DataFrame, marks: DataFrame, col: str, key: str) -> DataFrame:
+    """``df`` left-joined to ``marks`` on ``col`` = ``key``. Rows without a reference match nothing and
+    stay out of the join: most ledger rows have no order, and would all be sorted in one task."""
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in marks.schema.fields]
+    return (df.filter(F.col(col).isNotNull()).join(marks, F.col(col) == F.col(key), "left")
+            .unionByName(df.filter(F.col(col).isNull()).select("*", *none)))
+
+
+def _unlinked(df: DataFrame, ids: DataFrame, col: str) -> DataFrame:
+    """``df`` with references to ``ids`` set to null."""
+    hit = _met(df, ids.select(F.col("id").alias("_x")), col, "_x")
+    return hit.withColumn(col, F.when(F.col("_x").isNull(), F.col(col))).drop("_x")
+
+
 # ----------------------------------------------------------------------------- R1
 def retire_cancelled_orders(T, as_of, policy: str = "api", days: int = 90) -> Step:
-    t = dict(T)
-    old = t["orders"].filter((F.col("status") == "cancelled") & older_than("updated_at", as_of, days)).select("id")
-    t["messages"] = _drop(t["messages"], old, "order_id")
-    t["status_log"] = _drop(t["status_log"], old, "order_id")
-    tx = t["transactions"]
-    if policy == "script":
-        t["transactions"] = _drop(tx, old, "order_id")
-    else:
-        hit = tx.join(old.select(F.col("id").alias("_x")), F.col("order_id") == F.col("_x"), "left")
-        t["transactions"] = hit.withColumn(
-            "order_id", F.when(F.col("_x").isNotNull(), F.lit(None).cast("string")).otherwise(F.col("order_id"))
-        ).drop("_x")
-    t["orders"] = _drop(t["orders"], old, "id")
+    old = T["orders"].filter((F.col("status") == "cancelled") & older_than("updated_at", as_of, days)).select("id")
+    ledger = _drop if policy == "script" else _unlinked
+    t = Lazy(T, messages=lambda: _drop(T["messages"], old, "order_id"), status_log=lambda: _drop(T["status_log"], old, "order_id"),
+             transactions=lambda: ledger(T["transactions"], old, "order_id"), orders=lambda: _drop(T["orders"], old, "id"))
     return Step("cancelled_orders", t, old)
 
 
@@ -70,48 +95,43 @@ def retire_inactive_users(T, as_of, policy: str = "api", days: int = 30) -> Step
     """Inactive accounts older than ``days``: their notifications, balance and profile go,
     ledger rows keep the history with a null user; ``api`` also hides their services.
     Accounts still referenced by orders, messages or reviews stay and are reported."""
-    t = dict(T)
-    cand = t["users"].filter(~F.col("is_active") & older_than("updated_at", as_of, days)).select("id")
-    blocked = fk_blockers(t, cand)
+    cand = T["users"].filter(~F.col("is_active") & older_than("updated_at", as_of, days)).select("id")
+    blocked = fk_blockers(T, cand)
     gone = cand.join(blocked, "id", "left_anti")
-    t["notifications"] = _drop(t["notifications"], gone, "user_id")
-    t["balances"] = _drop(t["balances"], gone, "user_id")
-    t["profiles"] = _drop(t["profiles"], gone, "user_id")
-    hit = t["transactions"].join(gone.select(F.col("id").alias("_x")), F.col("user_id") == F.col("_x"), "left")
-    t["transactions"] = hit.withColumn(
-        "user_id", F.when(F.col("_x").isNotNull(), F.lit(None).cast("string")).otherwise(F.col("user_id"))).drop("_x")
-    svc = t["services"]
-    if policy == "api":
-        h = svc.join(cand.select(F.col("id").alias("_x")), F.col("executor_id") == F.col("_x"), "left")
-        svc = h.withColumn("is_active", F.col("is_active") & F.col("_x").isNull()).drop("_x")
-    t["services"] = _drop(svc, gone, "executor_id")          # ON DELETE CASCADE
-    t["users"] = _drop(t["users"], gone, "id")
+
+    def services() -> DataFrame:
+        svc = T["services"]
+        if policy == "api":
+            h = svc.join(cand.select(F.col("id").alias("_x")), F.col("executor_id") == F.col("_x"), "left")
+            svc = h.withColumn("is_active", F.col("is_active") & F.col("_x").isNull()).drop("_x")
+        return _drop(svc, gone, "executor_id")               # ON DELETE CASCADE
+
+    t = Lazy(T, notifications=lambda: _drop(T["notifications"], gone, "user_id"), balances=lambda: _drop(T["balances"], gone, "user_id"),
+             profiles=lambda: _drop(T["profiles"], gone, "user_id"), transactions=lambda: _unlinked(T["transactions"], gone, "user_id"),
+             services=services, users=lambda: _drop(T["users"], gone, "id"))
     return Step("inactive_users", t, gone, {"blocked": blocked})
 
 
 # ----------------------------------------------------------------------------- R3 / R4
 def drop_old_notifications(T, as_of, days: int = 60) -> Step:
-    t = dict(T)
-    old = t["notifications"].filter(older_than("created_at", as_of, days))
-    t["notifications"] = t["notifications"].filter(~older_than("created_at", as_of, days))
+    old = T["notifications"].filter(older_than("created_at", as_of, days))
+    t = Lazy(T, notifications=lambda: T["notifications"].filter(~older_than("created_at", as_of, days)))
     return Step("old_notifications", t, old.select("id"))
 
 
 def drop_read_notifications(T, as_of, days: int = 7) -> Step:
-    t = dict(T)
     cond = F.col("is_read") & older_than("created_at", as_of, days)
-    t["notifications"] = t["notifications"].filter(~cond)
+    t = Lazy(T, notifications=lambda: T["notifications"].filter(~cond))
     return Step("read_notifications", t, T["notifications"].filter(cond).select("id"))
 
 
 # ----------------------------------------------------------------------------- R5
 def drop_old_messages(T, as_of, days: int = 180) -> Step:
-    t = dict(T)
-    closed = t["orders"].filter(F.col("status").isin(*CLOSED_ORDER_STATES)).select(F.col("id").alias("_o"))
+    closed = T["orders"].filter(F.col("status").isin(*CLOSED_ORDER_STATES)).select(F.col("id").alias("_o"))
     aged = F.coalesce(older_than("created_at", as_of, days), F.lit(False))
     # one join marks the messages; kept and removed rows are two filters of it
-    marked = t["messages"].join(closed, F.col("order_id") == F.col("_o"), "left").withColumn("_old", aged & F.col("_o").isNotNull())
-    t["messages"] = marked.filter(~F.col("_old")).drop("_o", "_old")
+    marked = T["messages"].join(closed, F.col("order_id") == F.col("_o"), "left").withColumn("_old", aged & F.col("_o").isNotNull())
+    t = Lazy(T, messages=lambda: marked.filter(~F.col("_old")).drop("_o", "_old"))
     return Step("old_messages", t, marked.filter("_old").select("id"))
 
 
@@ -119,16 +139,15 @@ def drop_old_messages(T, as_of, days: int = 180) -> Step:
 def drop_dead_services(T, as_of, policy: str = "api", days: int = 365) -> Step:
     """``api``: inactive, older than ``days``, no order refers to it; ``script``: inactive
     with an inactive executor. Services an order refers to are kept either way (X13)."""
-    t = dict(T)
-    s = t["services"].filter(~F.col("is_active"))
+    s = T["services"].filter(~F.col("is_active"))
     if policy == "script":
-        dead_exec = t["users"].filter(~F.col("is_active")).select(F.col("id").alias("_u"))
+        dead_exec = T["users"].filter(~F.col("is_active")).select(F.col("id").alias("_u"))
         s = s.join(dead_exec, F.col("executor_id") == F.col("_u"), "left_semi")
     else:
         s = s.filter(older_than("created_at", as_of, days))
-    used = t["orders"].select(F.col("service_id").alias("_s")).distinct()
+    used = T["orders"].select(F.col("service_id").alias("_s")).distinct()
     dead = s.join(used, F.col("id") == F.col("_s"), "left_anti").select("id")
-    t["services"] = _drop(t["services"], dead, "id")
+    t = Lazy(T, services=lambda: _drop(T["services"], dead, "id"))
     return Step("dead_services", t, dead)
 
 
@@ -147,7 +166,7 @@ def cascade(T, table: str, ids: DataFrame) -> dict[str, DataFrame]:
     return t
 
 
-def mark_tables(T, as_of, policy: str = "api", as_of_notifications=None) -> dict[str, DataFrame]:
+def mark_tables(T, as_of, policy: str = "api", as_of_notifications=None) -> Mapping[str, DataFrame]:
     """Every table of a full run (R1 to R6 in order) with ``_mark``, the step that removes the row (null: kept).
 
     A step hands marks to the next one, not tables: (id, dead, closed) of orders and (id, state) of
@@ -163,14 +182,12 @@ def mark_tables(T, as_of, policy: str = "api", as_of_notifications=None) -> dict
         F.col("status").isin(*CLOSED_ORDER_STATES).alias("_closed")).filter("_dead or _closed"), "order-marks")
 
     def with_order(df: DataFrame) -> DataFrame:
-        out = df.join(order_marks, F.col("order_id") == F.col("_o"), "left").drop("_o")
+        out = _met(df, order_marks, "order_id", "_o").drop("_o")
         return out.withColumn("_dead", F.coalesce("_dead", F.lit(False)))
 
     aged = F.coalesce(older_than("created_at", as_of, 180), F.lit(False))
     messages = with_order(T["messages"]).withColumn(
         "_mark", F.when(F.col("_dead"), "cancelled_orders").when(aged & F.coalesce("_closed", F.lit(False)), "old_messages")).drop("_dead", "_closed")
-    log = with_order(T["status_log"]).withColumn("_mark", F.when(F.col("_dead"), "cancelled_orders")).drop("_dead", "_closed")
-
     candidates = T["users"].filter(~F.col("is_active") & older_than("updated_at", as_of, 30)).select("id")
     live = orders.filter("_mark is null")
     refs = (live.select(F.explode(F.array("customer_id", "executor_id")).alias("ref"))
@@ -180,50 +197,62 @@ def mark_tables(T, as_of, policy: str = "api", as_of_notifications=None) -> dict
         F.col("id").alias("_u"), F.col("ref").isNull().alias("_gone")), "user-marks")
 
     def with_user(df: DataFrame, col: str) -> DataFrame:
-        out = df.join(user_marks, F.col(col) == F.col("_u"), "left")
+        out = _met(df, user_marks, col, "_u")
         return out.withColumn("_inactive", F.col("_u").isNotNull()).withColumn("_gone", F.coalesce("_gone", F.lit(False))).drop("_u")
 
     user = F.when(F.col("_gone"), "inactive_users")
-    users = with_user(T["users"], "id").withColumn("_mark", user).withColumn("_blocked", F.col("_inactive") & ~F.col("_gone")).drop("_inactive", "_gone")
-    out = {"orders": orders, "messages": messages, "status_log": log, "users": users}
-    for name in ("balances", "profiles"):
-        out[name] = with_user(T[name], "user_id").withColumn("_mark", user).drop("_inactive", "_gone")
-    out["notifications"] = with_user(T["notifications"], "user_id").withColumn(
-        "_mark", user.when(older_than("created_at", nts, 60), "old_notifications")
-        .when(F.col("is_read") & older_than("created_at", nts, 7), "read_notifications")).drop("_inactive", "_gone")
-    ledger = with_user(with_order(T["transactions"]).withColumnRenamed("_dead", "_no_order").drop("_closed"), "user_id")
     lost = F.when(F.col("_no_order"), "cancelled_orders") if policy == "script" else F.lit(None).cast("string")
-    out["transactions"] = ledger.withColumn("_mark", lost).withColumnRenamed("_gone", "_no_user").drop("_inactive")
 
-    services = with_user(T["services"], "executor_id").withColumn(
-        "_hidden", (F.col("_inactive") & F.col("is_active")) if policy == "api" else F.lit(False))
-    used = live.select(F.col("service_id").alias("_s")).distinct()
-    services = services.join(used, F.col("id") == F.col("_s"), "left")
-    off = ~F.col("is_active") | F.col("_hidden")
-    if policy == "script":
-        inactive = T["users"].filter(~F.col("is_active")).select(F.col("id").alias("_i"))
-        services = services.join(inactive, F.col("executor_id") == F.col("_i"), "left")
-        dead = off & F.col("_i").isNotNull()
-    else:
-        dead = off & older_than("created_at", as_of, 365)
-    out["services"] = services.withColumn("_mark", user.when(F.coalesce(dead, F.lit(False)) & F.col("_s").isNull(), "dead_services")
-                                          ).drop("_inactive", "_gone", "_s", *(["_i"] if policy == "script" else []))
-    return out
+    def ledger() -> DataFrame:
+        out = with_user(with_order(T["transactions"]).withColumnRenamed("_dead", "_no_order").drop("_closed"), "user_id")
+        return out.withColumn("_mark", lost).withColumnRenamed("_gone", "_no_user").drop("_inactive")
+
+    def services() -> DataFrame:
+        out = with_user(T["services"], "executor_id").withColumn(
+            "_hidden", (F.col("_inactive") & F.col("is_active")) if policy == "api" else F.lit(False))
+        used = live.select(F.col("service_id").alias("_s")).distinct()
+        out = out.join(used, F.col("id") == F.col("_s"), "left")
+        off = ~F.col("is_active") | F.col("_hidden")
+        if policy == "script":
+            inactive = T["users"].filter(~F.col("is_active")).select(F.col("id").alias("_i"))
+            out = out.join(inactive, F.col("executor_id") == F.col("_i"), "left")
+            dead = off & F.col("_i").isNotNull()
+        else:
+            dead = off & older_than("created_at", as_of, 365)
+        return out.withColumn("_mark", user.when(F.coalesce(dead, F.lit(False)) & F.col("_s").isNull(), "dead_services")
+                              ).drop("_inactive", "_gone", "_s", *(["_i"] if policy == "script" else []))
+
+    return Lazy(
+        {}, orders=lambda: orders, messages=lambda: messages,
+        status_log=lambda: with_order(T["status_log"]).withColumn("_mark", F.when(F.col("_dead"), "cancelled_orders")).drop("_dead", "_closed"),
+        users=lambda: with_user(T["users"], "id").withColumn("_mark", user).withColumn(
+            "_blocked", F.col("_inactive") & ~F.col("_gone")).drop("_inactive", "_gone"),
+        balances=lambda: with_user(T["balances"], "user_id").withColumn("_mark", user).drop("_inactive", "_gone"),
+        profiles=lambda: with_user(T["profiles"], "user_id").withColumn("_mark", user).drop("_inactive", "_gone"),
+        notifications=lambda: with_user(T["notifications"], "user_id").withColumn(
+            "_mark", user.when(older_than("created_at", nts, 60), "old_notifications")
+            .when(F.col("is_read") & older_than("created_at", nts, 7), "read_notifications")).drop("_inactive", "_gone"),
+        transactions=ledger, services=services)
 
 
 MARKS = ("_mark", "_hidden", "_no_order", "_no_user", "_blocked")
 
 
-def kept_tables(marked: dict[str, DataFrame]) -> dict[str, DataFrame]:
+def kept_tables(marked: Mapping[str, DataFrame]) -> Mapping[str, DataFrame]:
     """The tables a run leaves: unmarked rows, hidden services inactive, lost references null."""
-    out = {name: df.filter("_mark is null") for name, df in marked.items()}
-    out["services"] = out["services"].withColumn("is_active", F.col("is_active") & ~F.col("_hidden"))
-    for col, lost in (("order_id", "_no_order"), ("user_id", "_no_user")):
-        out["transactions"] = out["transactions"].withColumn(col, F.when(~F.col(lost), F.col(col)))
-    return {name: df.drop(*MARKS) for name, df in out.items()}
+    def kept(name: str) -> DataFrame:
+        out = marked[name].filter("_mark is null")
+        if name == "services":
+            out = out.withColumn("is_active", F.col("is_active") & ~F.col("_hidden"))
+        if name == "transactions":
+            for col, lost in (("order_id", "_no_order"), ("user_id", "_no_user")):
+                out = out.withColumn(col, F.when(~F.col(lost), F.col(col)))
+        return out.drop(*MARKS)
+
+    return Lazy({}, **{name: lambda name=name: kept(name) for name in marked})
 
 
-def run_retention(T, as_of, policy: str = "api", as_of_notifications=None) -> tuple[dict[str, DataFrame], list[Step]]:
+def run_retention(T, as_of, policy: str = "api", as_of_notifications=None) -> tuple[Mapping[str, DataFrame], list[Step]]:
     """R1 → R6 in order: the tables that stay, and what each step removes."""
     marked = mark_tables(T, as_of, policy, as_of_notifications)
     kept = {**snapshot(T), **kept_tables(marked)}

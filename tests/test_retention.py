@@ -45,3 +45,38 @@ def test_half_the_exchanges(T):
     for s in steps[1:]:
         old = old.crossJoin(F.broadcast(s.removed.agg(F.count("*"))))
     assert exchanges(RT.retention_counts(T, AS_OF, "api", AS_OF_EVENTS)) * 2 <= exchanges(old)
+
+
+class Asked(dict):
+    """Tables that remember which of them were asked for."""
+
+    def __init__(self, T):
+        self.T, self.names = T, set()
+
+    def __missing__(self, name):
+        self.names.add(name)
+        return self.T[name]
+
+
+@pytest.mark.parametrize("query, names", [
+    ("retire_cancelled_orders", {"orders"}), ("drop_old_messages", {"orders", "messages"}), ("drop_old_notifications", {"notifications"}),
+    ("drop_dead_services", {"services", "orders"})])
+def test_a_step_derives_only_what_its_rows_need(T, query, names):
+    from souk.plans.registry import REGISTRY
+    asked = Asked(T)
+    REGISTRY[query].plan(asked)
+    assert asked.names == names
+
+
+@pytest.mark.parametrize("which", ["run", "step"])
+def test_ledger_rows_without_an_order_meet_no_marks(T, which):
+    """Nor are they exchanged: a null key would bring them all to one task."""
+    spark = T["transactions"].sparkSession
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tables = RT.run_retention(T, AS_OF, "api", AS_OF_EVENTS)[0] if which == "run" else RT.retire_cancelled_orders(RT.snapshot(T), AS_OF).tables
+        plan = tables["transactions"].select("order_id")._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert "Union" in plan and "isnull(order_id" in plan and "isnotnull(order_id" in plan
