@@ -12,6 +12,7 @@ import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from souk.plans.registry import REGISTRY, register
 from souk.session import checkpoint_dir
@@ -20,7 +21,7 @@ from souk.streaming import streams as S
 P = S.POLICIES["fixture"]
 
 
-FILE_ROWS = 500_000
+FILE_ROWS, FILE_BYTES = 500_000, 64 << 20
 
 
 def _as_stream(df: DataFrame, files: int = 1, time_col: str | None = None) -> DataFrame:
@@ -32,8 +33,11 @@ def _as_stream(df: DataFrame, files: int = 1, time_col: str | None = None) -> Da
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/stream_in/{uuid.uuid4().hex}"
-    # files per range follow the data: about FILE_ROWS rows each, all of a range in one trigger
-    each = max(1, -(-df.count() // (files * FILE_ROWS)))
+    # files per range follow the data: about FILE_ROWS rows or FILE_BYTES each, all of a range in one trigger
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in texts), F.lit(8 * len(df.columns)).cast("long"))
+    rows, volume = df.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    each = max(1, -(-rows // (files * FILE_ROWS)), -(-volume // (files * FILE_BYTES)))
     if time_col and files > 1:
         t = F.unix_micros(F.col(time_col).cast("timestamp"))
         cuts = df.select(t.alias("_t")).approxQuantile("_t", [i / files for i in range(1, files)], 0.01)

@@ -509,3 +509,43 @@ def test_chat_texts_are_not_exchanged(spark, base):
     for out in (C.post_messages(base, req), eff["messages"], eff["notifications"]):
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+
+
+def test_scans_carry_their_state_over_batches_and_null_keys(spark):
+    """A running count per key, and its last row, with Arrow batches of two rows; nulls are one key."""
+    from souk.operators.folds import ordered_scan
+
+    def make():
+        n = 0
+
+        def advance(first, pdf):
+            nonlocal n
+            out = []
+            for f in first:
+                n = 1 if f else n + 1
+                out.append(n)
+            return [out]
+        return advance
+
+    rows = df(spark, [(k, i) for k, m in (("a", 5), (None, 3), ("b", 1)) for i in range(m)], "k string, i int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        got = sorted(((r.k or "", r.i, r.n) for r in ordered_scan(rows, ["k"], ["i"], make, "n int", ["k", "i"]).collect()))
+        ends = sorted(((r.k or "", r.n) for r in ordered_scan(rows, ["k"], ["i"], make, "n int", ["k"], ends=True).collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == [(k, i, i + 1) for k, m in (("", 3), ("a", 5), ("b", 1)) for i in range(m)]
+    assert ends == [("", 3), ("a", 5), ("b", 1)]
+
+
+def test_stream_files_follow_the_bytes(spark, monkeypatch):
+    """Long texts take more files than their number of rows asks for."""
+    from souk.plans import q_streams
+    monkeypatch.setattr(q_streams, "FILE_BYTES", 1000)
+    rows = spark.range(40).select("id", F.repeat(F.lit("x"), 300).alias("t"))
+    stream = q_streams._as_stream(rows, files=3)
+    path = stream._jdf.queryExecution().analyzed().toString()
+    import glob
+    import re
+    found = glob.glob(re.search(r"(/[^\s,\]]*stream_in/\w+)", path).group(1) + "/*.parquet")
+    assert len(found) >= 12
