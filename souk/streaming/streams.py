@@ -199,17 +199,20 @@ class AlertProcessor(StatefulProcessor):
         seen: dict[int, int] = {}
         for pdf in rows:                             # only counts are kept of each Arrow batch
             secs = pdf["created_at"].to_numpy().astype("datetime64[s]").astype("int64")
-            for t, n in pd.Series(secs // self.poll_seconds).value_counts().items():
+            for t, n in zip(*np.unique(secs // self.poll_seconds, return_counts=True)):
                 t = int(t) if tick is None else max(int(t), tick)     # late rows are seen at the open poll
                 seen[t] = seen.get(t, 0) + int(n)
-        out = []
-        for t in sorted(seen):
+        ticks, new, old = sorted(seen), [], []
+        for t in ticks:
             if t != tick:
                 tick, before, arrived = t, before + arrived, 0
             arrived += seen[t]
-            out.append((key[0], pd.Timestamp(t * self.poll_seconds, unit="s"), arrived, before + arrived, before > 0))
+            new.append(arrived)
+            old.append(before)
         self.poll.update((tick, before, arrived))
-        yield pd.DataFrame(out, columns=["user_id", "poll_at", "arrived", "unread_count", "alert"])
+        polls = (np.array(ticks, "int64") * self.poll_seconds).astype("datetime64[s]").astype("datetime64[us]")
+        new, old = np.array(new, "int64"), np.array(old, "int64")
+        yield pd.DataFrame({"user_id": key[0], "poll_at": polls, "arrived": new, "unread_count": old + new, "alert": old > 0})
 
     def close(self) -> None:
         pass
@@ -290,7 +293,7 @@ def status_stream_batch(T, base: str, orders: DataFrame | None = None):
         sides = current.join(ids, "id", "left_semi").select(F.explode(F.array("customer_id", "executor_id")).alias("u"))
         users = [r[0] for r in sides.select(b.bucket_of(["u"])).distinct().collect()]
         balances = b.read(epoch, users).join(sides.select(F.col("u").alias("user_id")).distinct(), "user_id", "left_semi")
-        effects = status_effects({"balances": stored(balances, "status-balances")}, outcomes, batch, orders=current)
+        effects = status_effects({"balances": stored(balances, "status-balances")}, outcomes, batch, orders=current, keep=True)
         for name in ("status_log", "transactions", "notifications"):
             effects[name].write.mode("overwrite").parquet(f"{base}/{name}/epoch={epoch}")
         o.upsert(effects["orders"].join(ids, "id", "left_semi"), epoch + 1)
