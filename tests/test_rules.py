@@ -549,3 +549,33 @@ def test_stream_files_follow_the_bytes(spark, monkeypatch):
     import re
     found = glob.glob(re.search(r"(/[^\s,\]]*stream_in/\w+)", path).group(1) + "/*.parquet")
     assert len(found) >= 12
+
+
+def test_long_chat_texts_meet_no_exchange_whatever_is_broadcast(spark, base):
+    """Lines whose verdict needs no order stay where they are; of an order held twice every line still comes twice."""
+    long = "x" * 3000
+    req = df(spark, [("m1", ts(2001, 8, 2, 1), "o1", "c1", " short ", False), ("m2", ts(2001, 8, 2, 2), "o1", "a0", long, True),
+                     ("m3", ts(2001, 8, 2, 3), "o1", "c1", long, False), ("m4", ts(2001, 8, 2, 4), "o1", "c1", "  ", None),
+                     ("m5", ts(2001, 8, 2, 5), None, "a0", "note", True), ("m6", ts(2001, 8, 2, 6), "o9", "c1", "lost", None)],
+             "request_id string, ts timestamp, order_id string, sender_id string, message string, is_admin boolean")
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")
+    try:
+        plan = C.message_effects(base, req)["messages"]._jdf.queryExecution().executedPlan().toString()
+        heavy = [i for i, line in enumerate(plan.splitlines()) if "message#" in line and "trim(" in line]
+        assert heavy and not any("Exchange" in line for line in plan.splitlines()[heavy[0] - 3:])
+        twice = dict(base, orders=base["orders"].unionByName(base["orders"].filter("id = 'o1'")))
+        for T, n in ((base, 1), (twice, 2)):
+            got = sorted((r.request_id, r.stored, r.status, r.reason, r.notify_user) for r in C.post_messages(T, req).collect())
+            other = T["orders"].filter("id = 'o1'").first().executor_id
+            assert got == sorted(n * [("m1", "short", "accepted", None, other), ("m2", C.ADMIN_PREFIX + long, "accepted", None, None),
+                                      ("m3", long, "rejected", "message", None), ("m4", "", "rejected", "message", None)]
+                                 + [("m5", C.ADMIN_PREFIX + "note", "accepted", None, None), ("m6", "lost", "rejected", "participant", None)],
+                                 key=lambda r: r[0])
+            eff = C.message_effects(T, req)
+            assert sorted(r.message for r in eff["messages"].collect()) == sorted(
+                n * ["short", C.ADMIN_PREFIX + long] + [C.ADMIN_PREFIX + "note"])
+            assert [r.body for r in eff["notifications"].collect()] == n * ["short"]
+    finally:
+        spark.conf.set(limit, before)
