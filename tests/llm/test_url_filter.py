@@ -80,6 +80,28 @@ def test_rules_and_propagation(spark):
     assert [verdict[k] for k in (3, 4, 5, 6, 14, 15)] == ["block", "block", "block", "allow", "allow", "block"]
 
 
+def test_components_read_exchanges_in_few_tasks(spark):
+    """A star settles in one round, however many shuffle partitions there are most stages have four tasks a core at most."""
+    few = 4 * spark.sparkContext.defaultParallelism
+    edges = spark.createDataFrame([(40, i) for i in range(40)] + [(40, 90), (41, 90)], "a long, b long").coalesce(2)
+    conf = {"spark.sql.shuffle.partitions": "211", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("few-tasks", "components")
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        roots = uf.components(edges)
+        stages = {s for j in tracker.getJobIdsForGroup("few-tasks") for s in tracker.getJobInfo(j).stageIds}
+        tasks = [i.numTasks for i in map(tracker.getStageInfo, stages) if i and i.numCompletedTasks]
+        assert tasks and sum(t <= few for t in tasks) > 2 * sum(t > few for t in tasks)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r.node: r.root for r in roots.collect()} == {i: 0 for i in [*range(42), 90]}
+
+
 def test_components_equal_union_find(spark):
     rng = random.Random(4)
     chain = [(f"c{i:03}", f"c{i + 1:03}") for i in range(60)]
