@@ -320,6 +320,38 @@ def test_orphans_and_duplicates_are_found(spark, base):
     assert dup == {("orders", "o1", 2)}
 
 
+def test_duplicate_keys_bound_the_rows_of_a_task(spark, monkeypatch):
+    from souk.operators import audits as Q
+    monkeypatch.setattr(Q, "ROWS_PER_TASK", 500, raising=False)
+    d = spark.range(4000).selectExpr("concat('k', id % 2000) AS id", "cast(null as string) AS other")
+    found = Q.duplicate_keys(d, ["id"])
+    assert found.columns == ["id", "n"] and {r.n for r in found.select("n").distinct().collect()} == {2}
+    tasks = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == 2000 and max(tasks) <= 500
+    # rows without a key are counted before they meet in one task
+    assert [tuple(r) for r in Q.duplicate_keys(d, ["other"]).collect()] == [(None, 4000)]
+    assert Q.duplicate_keys(d.limit(1), ["lower(id)"]).columns == ["lower(id)", "n"]
+
+
+def test_duplicates_of_every_declared_key(spark, monkeypatch):
+    from souk.operators import audits as Q
+    monkeypatch.setattr(Q, "ROWS_PER_TASK", 3, raising=False)
+    rows = {"users": ([("u1", "A@x.org"), ("u1", "a@X.org"), ("u2", None), (None, "b@x.org"), (None, None)],
+                      "id string, email string"),
+            "categories": ([("art",), ("art",), ("Art",)], "slug string"),
+            "reviews": ([("r1", "o1"), ("r2", "o1"), ("r3", None)], "id string, order_id string"),
+            "balances": ([(7,), (7,), (8,), (None,)], "user_id int"), "profiles": ([("p",)], "user_id string")}
+    t = {name: spark.createDataFrame(*rows.get(name, ([("x",)], "id string"))) for name, _ in Q.UNIQUE_KEYS}
+    found = Q.all_duplicate_keys(t)
+    assert found.dtypes == [("table_name", "string"), ("key_name", "string"), ("key_value", "string"), ("n", "bigint")]
+    assert sorted((tuple(r) for r in found.collect()), key=str) == [
+        ("balances", "user_id", "7", 2), ("categories", "slug", "art", 2), ("reviews", "order_id", "o1", 2),
+        ("users", "id", "u1", 2), ("users", "id", None, 2), ("users", "lower(email)", "a@x.org", 2),
+        ("users", "lower(email)", None, 2)]
+    # every key in the same exchange, dealt by the number of rows: 25 rows, three of them a task
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().toString()
+
+
 def test_accent_insensitive_search_and_pages(spark, base):
     from souk.functions.predicates import search_cond
     d = spark.createDataFrame([("Дизайн логотипа",), ("Café crème",), ("plain",)], "t string")
