@@ -140,6 +140,66 @@ def test_balance_rules_with_a_busy_user(spark, rich):
     assert ("MapInPandas" in plan) == (rich < 10 ** 6) and (rich == 10 ** 6 or any(w[1] == "funds" for w in want.values()))
 
 
+def adjustments(n, seed):
+    """Changes of 25 users and a busy one; some without user, id, time or amount, ids that come again."""
+    rng = random.Random(seed)
+    out = []
+    for i in range(n):
+        user = "hot" if i % 3 == 0 else rng.choice([f"u{rng.randrange(25):02d}"] * 9 + [None, ""])
+        out.append((None if i % 97 == 0 else f"a{i % (n - 40):05d}", None if i % 89 == 0 else T0 + dt.timedelta(seconds=i * 7919 % 5000 + i), user,
+                    rng.choice([None, Decimal(0), *[Decimal(rng.randrange(-30000, 25000)) / 100] * 9]), rng.choice([None, "", "fee"])))
+    return out
+
+
+def test_manual_changes_by_one_exchange(spark, monkeypatch):
+    """Outcomes equal a sequential run, effects the join of outcomes and requests; only one table of all events is written."""
+    rows = adjustments(1500, 3)
+    purse = [("hot", Decimal(40)), ("u01", Decimal(30)), ("u02", Decimal(500)), ("u02", Decimal(500)), ("u03", None), (None, Decimal(900)), ("idle", Decimal(7))]
+    req = spark.createDataFrame(rows, "request_id string, ts timestamp, user_id string, amount decimal(12,2), reason string").repartition(4)
+    T = {"balances": spark.createDataFrame(purse, "user_id string, amount decimal(12,2)")}
+    want, bal, sizes, parts, write = [], {}, {}, {}, C.stored
+
+    def counted(df, name, *a, **b):
+        out = write(df, name, *a, **b)
+        sizes[name], parts[name] = out.count(), out.select(SG.PART).distinct().count() if SG.PART in out.columns else 0
+        return out
+
+    monkeypatch.setattr(C, "stored", counted)
+    monkeypatch.setattr(SG, "stored", counted)
+    monkeypatch.setattr(C, "EVENTS_PER_TASK", 100, raising=False)                   # more ranges than the session's eight
+    at = lambda t: (t is not None, t)                                               # noqa: E731
+    order = lambda r: (r[2] or "", at(r[1]), at(r[0]))                              # noqa: E731
+    assert len({order(r) for r in rows}) == len(rows)                               # no ties
+    for rid, t, user, amount, note in sorted(rows, key=order):
+        for start in [b or 0 for u, b in purse if user is not None and u == user] or [0]:   # once per balance
+            b = bal.get(user or "", start)
+            reason = "amount" if not amount else "funds" if amount < 0 and b + amount < 0 else None
+            bal[user or ""] = b if reason else b + amount
+            want.append((rid, user, "rejected" if reason else "accepted", reason, amount, bal[user or ""]))
+    out = C.adjust_balances(T, req)
+    got = [(r.request_id, r.user_id, r.status, r.reason, r.amount, r.balance_after) for r in out.collect()]
+    own, joined = C.adjust_effects(T, req, out), C.adjust_effects(T, req, out.select("request_id", "status"))
+    key = lambda r: tuple(map(str, r))                                              # noqa: E731
+    for name in own:
+        assert sorted(own[name].collect(), key=key) == sorted(joined[name].collect(), key=key)
+    assert own["transactions"].filter("user_id is null").count() and {r[3] for r in want} == {None, "amount", "funds"}
+    assert sorted(got, key=str) == sorted(want, key=str)
+    # those of users in several ranges are written again, nobody else's
+    busy = sum(r[2] == "hot" for r in rows)
+    assert parts["settle"] > 8 and sizes["settle"] >= len(want) and busy <= sizes["settle-rows"] < 0.8 * len(want)
+
+
+def test_effects_of_changes_exchange_no_request(spark):
+    """Ids that come once: ledger rows are a projection of the outcomes."""
+    rows = [(f"a{i}", T0, f"u{i % 9}", Decimal(i - 20), "fee") for i in range(60)]
+    req = spark.createDataFrame(rows, "request_id string, ts timestamp, user_id string, amount decimal(12,2), reason string")
+    T = {"balances": spark.createDataFrame([("u1", Decimal(30))], "user_id string, amount decimal(12,2)")}
+    tx = C.adjust_effects(T, req, C.adjust_balances(T, req))["transactions"]
+    plan = tx._jdf.queryExecution().executedPlan().toString()
+    assert "request_id" in plan and "SortMergeJoin" not in plan and "hashpartitioning(request_id" not in plan
+    assert {r.user_id for r in tx.collect()} and all(r.created_at == T0 and r.description == "fee" for r in tx.collect())
+
+
 def test_status_rules_with_a_busy_order(spark):
     rng = random.Random(6)
     users = spark.createDataFrame([("c1", "customer"), ("s1", "executor"), ("x9", "customer")], "id string, role string")
